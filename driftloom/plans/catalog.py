@@ -8,10 +8,25 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom import schemas
+from driftloom.functions import ids, recency, summaries as M, text as X
+from driftloom.functions import predicates as P
 from driftloom.functions.text import stripped_lines
+from driftloom.operators import cards as K
+from driftloom.operators import coverage as C
+from driftloom.operators import digest as D
+from driftloom.operators import pages as G
+from driftloom.operators import posts as O
+from driftloom.operators import reports as R
 from driftloom.operators import state as S
+from driftloom.operators import threads as H
 from driftloom.plans import trends as T
 from driftloom.plans.adapters import table, view
+from driftloom.plans.weekly import weekly_run
+from driftloom.session import scratch_path
+from driftloom.sources import inputs as I
+from driftloom.sources import tables as B
+from driftloom.streaming import incremental as N
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,3 +262,907 @@ def f10_recent_checks(spark, sf):
 @query
 def f11_usage_line(spark, sf):
     return T.usage_line(view(spark, sf, "fx_usage"))
+
+
+# --- Sources and sinks ----------------------------------------------------------------------
+
+
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    raw = view(spark, sf, "fx_entities")
+    return I.load_entities(
+        raw.withColumn("keywords", F.split("keywords_raw", ",")).drop("keywords_raw"), ["keywords"]
+    )
+
+
+def page_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """The given pages as captures; some of them marked as failed or empty."""
+    n = F.col("page_id")
+    return table(spark, sf, "pages").select(
+        n.alias("entity_id"), F.lit("pricing").alias("page_type"), "url",
+        F.when(n % 7 == 0, F.lit("")).otherwise(G.visible_text(F.col("html"))).alias("text"),
+        F.when(n % 10 == 0, F.concat(F.lit("timeout while loading "), F.repeat(F.lit("resource "), 20), "url"))
+        .alias("error"),
+    )
+
+
+def joined(arr, sep="|"):
+    return F.array_join(arr, sep)
+
+
+@query
+def a1_load_entities(spark, sf):
+    return entities(spark, sf).withColumn("keywords", joined("keywords"))
+
+
+@query
+def a2_capture_status(spark, sf):
+    return I.capture_status(page_captures(spark, sf)).select("entity_id", "url", "status", "note")
+
+
+def posts(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.col("created_at")
+    seconds = F.datediff(at, F.lit("1970-01-01")).cast("double") * 86400 + F.hour(at) * 3600
+    return view(spark, sf, "fx_posts").withColumns(
+        {
+            "created_utc": seconds,
+            "permalink": F.concat(F.lit("/r/"), "channel", F.lit("/comments/"), "post_id", F.lit("/")),
+        }
+    ).drop("created_at")
+
+
+def listings(spark: SparkSession, sf: str) -> DataFrame:
+    """Forum listings as raw JSON: pages of at most 25 posts per keyword."""
+    post = F.struct(
+        F.col("post_id").alias("id"), "title", F.col("raw_body").alias("selftext"),
+        F.col("channel").alias("subreddit"), "permalink", "created_utc",
+    )
+    page = F.floor(F.col("pos") / 150)
+    grouped = posts(spark, sf).groupBy("keyword_idx", page.alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.struct(post.alias("data")).alias("child")))).alias("rows")
+    )
+    listing = F.struct(F.struct(F.transform("rows", lambda r: r["child"]).alias("children")).alias("data"))
+    good = grouped.select("keyword_idx", "page", F.to_json(listing).alias("payload"))
+    broken = good.select("keyword_idx", "page", F.concat(F.lit("<html>"), "payload").alias("payload"))
+    return good.unionByName(broken)
+
+
+@query
+def a3_parse_listing(spark, sf):
+    return I.parse_listing(listings(spark, sf), "payload").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def social_posts(spark: SparkSession, sf: str) -> DataFrame:
+    return I.normalize_payload(view(spark, sf, "fx_payload"), "payload", F.lit("facebook"), F.lit(False))
+
+
+@query
+def a4_normalize_payload(spark, sf):
+    pairs = F.transform(F.map_entries("engagement"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return social_posts(spark, sf).withColumns(
+        {"engagement": joined(F.array_sort(pairs), ","), "pos": F.col("pos").cast("bigint")}
+    )
+
+
+@query
+def a5_endpoint_sources(spark, sf):
+    names = ["reddit_posts", "linkedin_company_posts", "facebook_page_reviews", "twitter_user_tweets", "other"]
+    pick = F.substring("endpoint", 1, 1).cast("int")
+    log = view(spark, sf, "fx_usage").withColumn("endpoint", F.element_at(F.array(*[F.lit(n) for n in names]), pick))
+    return I.with_endpoint(log).groupBy("source", "is_owned").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if("success").alias("successes")
+    )
+
+
+@query
+def a6_append_round_trip(spark, sf):
+    path = scratch_path(spark, "snapshots")
+    rows = S.snapshots_to_append(changes(spark, sf))
+    cut = day(KNOWN_BEFORE)
+    B.append(rows.filter(F.col("checked_at") < cut), path)
+    B.append(rows.filter(F.col("checked_at") >= cut), path)
+    return spark.read.parquet(path)
+
+
+@query
+def a7_commit_state(spark, sf):
+    path = scratch_path(spark, "items")
+    B.commit_state(known_items(spark, sf), path)
+    B.commit_state(S.upsert_items(B.read_state(spark, path), observed_items(spark, sf)), path)
+    return B.read_state(spark, path).drop("item_ref")
+
+
+@query
+def e8_save_summaries(spark, sf):
+    path = scratch_path(spark, "summaries")
+    B.append(view(spark, sf, "fx_summaries"), path, partition_by=["summary_type"])
+    return spark.read.parquet(path)
+
+
+@query
+def e14_read_evolved(spark, sf):
+    path = scratch_path(spark, "run_log")
+    log = view(spark, sf, "fx_run_log").select(
+        F.col("pos").cast("string").alias("entity_id"), "run_id", "status",
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("run_at"), F.lit(None).cast("string").alias("error_message"),
+    )
+    B.append(log.filter(F.col("run_id") % 2 == 0).drop("run_id"), path)
+    newer = log.filter(F.col("run_id") % 2 == 1)
+    B.append(newer.withColumn("new_ads_count", F.lit(3).cast("bigint")), path)
+    rows = B.read_evolved(spark, path, schemas.RUN_LOG, schemas.RUN_LOG_DEFAULTS)
+    return rows.groupBy("status", "new_ads_count", "new_posts_count").agg(
+        F.count(F.lit(1)).alias("n"), F.count("run_id").alias("with_run"), F.count("duration_seconds").alias("with_duration")
+    )
+
+
+# --- Extraction -----------------------------------------------------------------------------
+
+
+@query
+def b1_visible_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", G.visible_text(F.col("html")).alias("visible_text"))
+
+
+def read_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return G.extract_pages(table(spark, sf, "pages"), ["page_id"])
+
+
+@query
+def b1_visible_text_parsed(spark, sf):
+    return read_pages(spark, sf).select("page_id", "visible_text")
+
+
+@query
+def b2_focused_text(spark, sf):
+    return read_pages(spark, sf).select("page_id", "focused_text")
+
+
+@query
+def b3_article_titles(spark, sf):
+    return read_pages(spark, sf).select("page_id", F.explode("article_titles").alias("title"))
+
+
+@query
+def b4_job_titles(spark, sf):
+    """The given pages with their list items and ad boxes classed as openings."""
+    html = F.regexp_replace("html", '<(nav|/nav)>', "<!-- $1 -->")
+    html = F.regexp_replace(html, "<li>", '<li class="job-opening">')
+    marked = table(spark, sf, "pages").select("page_id", html.alias("html"))
+    return G.extract_pages(marked, ["page_id"]).select(
+        "page_id", F.posexplode("job_titles").alias("pos", "title")
+    ).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query
+def b5_list_page_text(spark, sf):
+    pages = view(spark, sf, "fx_page_items")
+    return pages.select(
+        "entity_id", "page_type",
+        G.list_page_text(stripped_lines(F.col("items_raw")), F.col("fallback_text")).alias("content_text"),
+    )
+
+
+@query
+def b6_parse_ad_cards(spark, sf):
+    cards = view(spark, sf, "fx_cards")
+    return K.parse_ad_cards(cards).drop("card_text")
+
+
+@query
+def b7_parse_organic_cards(spark, sf):
+    cards = view(spark, sf, "fx_cards").select(
+        "pos", F.split("card_text", "\n").alias("bodies"), F.array("card_text").alias("label_texts"),
+        F.repeat(F.concat("card_text", F.lit(" ")), 2).alias("full_text"),
+        F.when(F.col("pos") % 5 == 0, F.concat(F.lit("https://x.example/posts/a-"), "pos")).alias("url"),
+    )
+    return K.parse_organic_cards(cards).select("pos", "post_id", "post_text", "posted_label")
+
+
+@query
+def b8_posted_label(spark, sf):
+    labels = view(spark, sf, "fx_age_labels")
+    raw = F.array(F.concat(F.lit("Acme • "), "label"), F.lit("1,000 followers"))
+    full = F.concat(F.lit("Acme posted "), F.coalesce("label", F.lit("today")))
+    return labels.select("event_id", recency.posted_label(raw, full).alias("posted_label"))
+
+
+@query
+def b9_canonical_url(spark, sf):
+    n = F.col("page_id")
+    href = F.when(n % 3 == 0, F.concat(F.lit("/posts/"), n.cast("string"), F.lit("?x=1"))).when(n % 5 > 0, F.col("url"))
+    urn = F.concat(F.lit("urn:li:activity:"), (n + 7000).cast("string"))
+    return table(spark, sf, "pages").select("page_id", ids.canonical_url(href, urn).alias("canonical_url"))
+
+
+@query
+def b9_candidate_urls(spark, sf):
+    n = F.col("page_id")
+    key = n.cast("string")
+    company = F.when(
+        n % 3 == 0, F.concat(F.lit("https://www.linkedin.com/company/"), key, F.lit("/posts/"))
+    ).when(n % 3 == 1, F.concat(F.lit("https://www.linkedin.com/company/c"), key, F.lit("/?a=1#top")))
+    return table(spark, sf, "pages").select("page_id", joined(ids.candidate_urls(key, company)).alias("candidates"))
+
+
+@query
+def b10_item_id(spark, sf):
+    n = F.col("page_id")
+    url = F.when(n % 4 == 0, F.concat(F.lit("https://h.example/posts/a-b-"), n.cast("string"), F.lit("?q"))).when(
+        n % 4 == 1, F.concat(F.lit("https://h.example/x/share:"), n.cast("string"))
+    ).when(n % 4 == 2, F.col("url"))
+    label = F.when(n % 8 == 3, F.lit("3d"))
+    return table(spark, sf, "pages").select("page_id", ids.item_id(url, F.col("html"), label).alias("item_id"))
+
+
+@query
+def b11_content_id(spark, sf):
+    url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://d.example/"), "doc_id")).otherwise(F.lit(""))
+    return table(spark, sf, "documents").select(
+        "doc_id", ids.content_id(url, F.col("source"), F.col("text")).alias("content_id"),
+        ids.text_id(F.col("text")).alias("text_id"),
+    )
+
+
+@query
+def b12_page_state(spark, sf):
+    return view(spark, sf, "fx_states").select("conv_id", "turn", P.page_state(F.col("body_text")).alias("state"))
+
+
+@query
+def b13_blocked_captures(spark, sf):
+    url = F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/AuthWall?x"))).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", P.is_blocked(url).alias("blocked"))
+
+
+def comments(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "fx_comments")
+
+
+@query
+def b14_flatten_comments(spark, sf):
+    body = F.when(F.col("comment_id") % 5 == 3, F.lit("[deleted]")).otherwise(F.col("body"))
+    tree = comments(spark, sf).withColumns({"body": body, "pos": F.col("comment_id")})
+    path = F.transform("ord", lambda p: p["comment_id"].cast("string"))
+    return H.flatten_comments(tree).select("post_id", "comment_id", "body", joined(path, ".").alias("path"))
+
+
+@query
+def b14_raw_comment_payloads(spark, sf):
+    """Conversations nested as raw payloads: each turn replies to the one before it."""
+    turn = F.struct(F.col("turn"), F.to_json(F.struct("text")).alias("json"))
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(turn)).alias("turns")
+    )
+    opened = F.transform("turns", lambda t: F.concat(
+        F.lit('{"kind":"t1","data":{"body":'), F.regexp_extract(t["json"], r'^\{"text":(.*)\}$', 1),
+        F.lit(',"replies":{"data":{"children":['),
+    ))
+    nested = F.concat(
+        F.lit('[{},{"data":{"children":['), joined(opened, ""), F.repeat(F.lit("]}}}}"), F.size("turns")), F.lit("]}}]")
+    )
+    payloads = turns.select(F.col("conv_id").cast("string").alias("post_id"), nested.alias("payload"))
+    return H.parse_comment_payloads(payloads)
+
+
+# --- Predicates and text --------------------------------------------------------------------
+
+
+@query
+def c1_price_signal(spark, sf):
+    return view(spark, sf, "fx_posts").select("pos", P.has_price_signal(F.concat_ws(" ", "title", "raw_body")).alias("hit"))
+
+
+@query
+def c2_specific_price(spark, sf):
+    return view(spark, sf, "fx_posts").select("pos", P.has_specific_price(F.concat_ws(" ", "title", "raw_body")).alias("hit"))
+
+
+@query
+def c3_finance_channel(spark, sf):
+    return view(spark, sf, "fx_posts").select("pos", P.is_finance(F.col("channel")).alias("hit"))
+
+
+@query
+def c4_customer_signal(spark, sf):
+    return view(spark, sf, "fx_posts").select("pos", P.has_customer_signal(F.col("title")).alias("hit"))
+
+
+@query
+def c5_employee_signal(spark, sf):
+    return comments(spark, sf).select("post_id", "comment_id", P.has_employee_signal(F.col("body")).alias("hit"))
+
+
+@query
+def c6_filter_channels(spark, sf):
+    return O.filter_channels(
+        view(spark, sf, "fx_posts"), [" SmallBusiness", "hvac", "startups", ""], ["Startups "]
+    ).select("pos", "channel")
+
+
+@query
+def c6_filter_channels_by_entity(spark, sf):
+    rules = view(spark, sf, "fx_entities").select(
+        "entity_id",
+        F.when(F.col("entity_id") % 2 == 0, F.array(F.lit(" HVAC"), F.lit("stocks"))).otherwise(
+            F.array().cast("array<string>")
+        ).alias("include_channels"),
+        F.when(F.col("entity_id") % 3 == 0, F.array(F.lit("Stocks"))).otherwise(
+            F.array().cast("array<string>")
+        ).alias("exclude_channels"),
+    )
+    owned = view(spark, sf, "fx_posts").withColumn("entity_id", F.col("pos") % 10 + 1)
+    return O.filter_channels_by_entity(owned, rules).select("pos", "entity_id", "channel")
+
+
+@query
+def c7_clean_posts(spark, sf):
+    return O.clean_posts(view(spark, sf, "fx_posts")).select("pos", "title", "text")
+
+
+@query
+def c8_filter_pricing_posts(spark, sf):
+    return O.filter_posts(posts(spark, sf), "pricing").select("post_id", "pos", "channel", "title", "text", "date", "url")
+
+
+@query
+def c8_filter_discussion_posts(spark, sf):
+    return O.filter_posts(posts(spark, sf), "discussion", deny=["startups"]).select(
+        "post_id", "pos", "channel", "title", "text", "date", "url"
+    )
+
+
+@query
+def c9_exclude_own(spark, sf):
+    handle = F.when(F.col("pos") % 2 == 0, F.lit("ACMEHANDLE"))
+    return O.exclude_own(view(spark, sf, "fx_posts"), handle).select("pos", "author")
+
+
+@query
+def c10_select_entities(spark, sf):
+    return O.select_entities(entities(spark, sf), "SUPPLIER#000000003").select("entity_id", "name")
+
+
+@query
+def c10_entities_with_id(spark, sf):
+    return O.entities_with_id(entities(spark, sf), "search_term").select("entity_id", "name")
+
+
+@query
+def c11_within_days(spark, sf):
+    labels = view(spark, sf, "fx_age_labels")
+    return labels.select("event_id", recency.within_days(F.col("label"), 7, F.col("as_of")).alias("recent"))
+
+
+@query
+def c12_content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query
+def c13_sanitize(spark, sf):
+    dirty = F.replace(F.replace("text", F.lit("a"), F.lit("\x07a")), F.lit("."), F.lit(".\x0b\r\t"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(X.sanitize(dirty), 256).alias("clean_hash"))
+
+
+@query
+def c14_truncate(spark, sf):
+    return table(spark, sf, "documents").select(
+        "doc_id", X.truncate(F.col("text"), 500).alias("cut"), M.truncate_block(F.col("text")).alias("block")
+    )
+
+
+@query
+def c15_truncate_words(spark, sf):
+    return table(spark, sf, "documents").select(
+        "doc_id", X.truncate_phrase(F.col("text")).alias("phrase"), X.truncate_note(F.col("text")).alias("note")
+    )
+
+
+@query
+def c16_truncate_smart(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.truncate_smart(F.col("text"), 220).alias("smart"))
+
+
+@query
+def c17_pricing_callouts(spark, sf):
+    return view(spark, sf, "fx_summaries").select(
+        "id", P.is_pricing_callout(F.col("summary_text")).alias("callout"),
+        P.is_non_material(F.col("summary_text")).alias("non_material"),
+    )
+
+
+@query
+def c18_source_labels(spark, sf):
+    source = F.when(F.col("seq") % 11 == 0, F.lit("custom:feed")).otherwise(F.col("source"))
+    return view(spark, sf, "fx_source_status").select(
+        "seq", C.source_label(source).alias("label"), C.source_label(source, digest=True).alias("digest_label")
+    )
+
+
+def _queries_for(spark, sf, mode):
+    return O.expand_queries(entities(spark, sf), mode).withColumn("keyword_idx", F.col("keyword_idx").cast("bigint"))
+
+
+@query
+def c19_pricing_queries(spark, sf):
+    return _queries_for(spark, sf, "pricing")
+
+
+@query
+def c19_discussion_queries(spark, sf):
+    return _queries_for(spark, sf, "discussion")
+
+
+@query
+def c19_commentary_queries(spark, sf):
+    return _queries_for(spark, sf, "commentary")
+
+
+def noted_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts as items of one entity per author, some with comments."""
+    notes = F.when(
+        F.col("pos") % 2 == 0, F.array(F.concat(F.lit("note "), F.col("pos").cast("string")), F.col("channel"))
+    ).otherwise(F.array().cast("array<string>"))
+    kept = O.filter_posts(posts(spark, sf), "pricing")
+    return kept.withColumns({"entity_id": F.col("author"), "comments": notes})
+
+
+@query
+def c20_item_text(spark, sf):
+    p = {c: F.col(c) for c in ("title", "text", "url", "comments")}
+    label = F.when(F.col("pos") % 3 == 0, F.lit("3d"))
+    return noted_posts(spark, sf).select(
+        "pos",
+        O.item_text("forum", **p).alias("forum"),
+        O.item_text("organic", text=F.col("title"), label=label, url=F.lit("")).alias("organic"),
+        O.item_text("social", **p).alias("social"),
+    )
+
+
+@query
+def c21_to_post(spark, sf):
+    return O.to_post(social_posts(spark, sf)).withColumn("comments", joined("comments"))
+
+
+# --- Dedup, ranking and enrichment ----------------------------------------------------------
+
+
+def first_posts(spark: SparkSession, sf: str) -> DataFrame:
+    return O.dedup_first(O.filter_posts(posts(spark, sf), "pricing"), ["post_id"], ["keyword_idx", "pos"])
+
+
+@query
+def d1_dedup_first(spark, sf):
+    return first_posts(spark, sf).select("post_id", "keyword_idx", "pos", "title")
+
+
+@query
+def d3_select_recent(spark, sf):
+    labels = view(spark, sf, "fx_age_labels").select(F.col("event_id").alias("seq"), "label", "as_of")
+    cards = view(spark, sf, "fx_items").join(labels, "seq")
+    return O.select_recent(cards, "seq").select("entity_id", "item_id", "seq")
+
+
+def _ranked(spark, sf, mode):
+    ranked = O.rank_comments(comments(spark, sf), mode, "comment_id")
+    return ranked.select("post_id", "comment_id", F.col("rank").cast("bigint").alias("rank"), "body")
+
+
+@query
+def d4_rank_pricing_comments(spark, sf):
+    return _ranked(spark, sf, "pricing")
+
+
+@query
+def d4_rank_discussion_comments(spark, sf):
+    return _ranked(spark, sf, "discussion")
+
+
+@query
+def d5_attach_comments(spark, sf):
+    owned = first_posts(spark, sf).withColumn("entity_id", F.col("author"))
+    threads = comments(spark, sf).withColumn("post_id", F.concat(F.lit("p"), F.col("post_id").cast("string")))
+    lists = O.comment_lists(O.rank_comments(threads, "pricing", "comment_id"))
+    out = O.attach_comments(owned, lists, ["keyword_idx", "pos"])
+    return out.select("entity_id", "post_id", joined("comments").alias("comments"))
+
+
+@query
+def d6_union_sources(spark, sf):
+    base = posts(spark, sf)
+    pricing = O.filter_posts(base, "pricing").select("post_id", "pos", "title", "author")
+    discussion = O.filter_posts(base, "discussion").select("post_id", "pos", "title", "channel")
+    return O.union_sources(pricing, discussion)
+
+
+@query
+def d9_prefix_budget(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return R.prefix_budget(docs, ["source"], "doc_id", F.length("text"), 22_000).select("doc_id", "source", "running")
+
+
+# --- Coverage and reports -------------------------------------------------------------------
+
+
+def status_events(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "fx_source_status").withColumn("run_id", F.col("entity_id") % 7)
+
+
+def statuses(spark: SparkSession, sf: str) -> DataFrame:
+    return C.source_status(status_events(spark, sf), ["run_id", "entity_id"])
+
+
+@query
+def e6_log_run(spark, sf):
+    fresh = S.new_items(observed_items(spark, sf), known_items(spark, sf))
+    metrics = S.run_metrics(fresh, changes(spark, sf), ["click"])
+    return C.log_run(metrics, C.source_lists(statuses(spark, sf), ["entity_id"]))
+
+
+@query
+def g1_source_status(spark, sf):
+    return statuses(spark, sf)
+
+
+@query
+def g2_needs_pricing_research(spark, sf):
+    registry = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("entity_id"),
+        F.when(F.col("c_custkey") % 5 > 0, F.lit("https://p.example")).alias("pricing_url"),
+    )
+    priced = captures(spark, sf).filter(F.col("page_type") == "pricing")
+    n = F.col("seq")
+    pages = S.latest_by(priced, ["entity_id"], "seq").select(
+        "entity_id",
+        F.when(n % 8 == 2, F.lit("")).when(n % 12 == 6, F.concat("content_text", F.lit(" from $ 99"))).otherwise(
+            F.col("content_text")
+        ).alias("text"),
+        F.when(n % 16 == 6, F.lit("timeout")).alias("error"),
+    )
+    return C.needs_pricing_research(registry, pages)
+
+
+@query
+def g3_route_fallbacks(spark, sf):
+    keys = ["entity_id"]
+    wide = R.entity_report(view(spark, sf, "fx_summaries"), keys).select(
+        "entity_id", "linkedin_organic_summary", "pricing_research_summary",
+        F.when(F.col("entity_id") < 5, F.col("reddit_discussion_summary")).alias("reddit_discussion_summary"),
+    )
+    return C.route_fallbacks(C.source_status(view(spark, sf, "fx_source_status"), keys), wide, keys)
+
+
+@query
+def g4_cascade_skips(spark, sf):
+    n = F.col("seq")
+    attempts = view(spark, sf, "fx_source_status").select(
+        F.floor(n / 100).alias("run_id"), n.alias("run_pos"), "entity_id", (n % 6 > 0).alias("has_id"),
+        F.when(F.col("source") != "linkedin:ads", F.lit("ok")).when(F.col("status") == "failed", F.lit("expired"))
+        .when(F.col("status") == "skipped", F.lit("partial")).otherwise(F.lit("ok")).alias("outcome"),
+        F.when(n % 4 == 0, F.lit("ok")).alias("ads_status"), F.lit(None).cast("string").alias("organic_status"),
+        F.when(n % 3 > 0, F.col("note")).alias("note"),
+    )
+    return C.cascade_skips(attempts)
+
+
+@query
+def g5_coverage_summary(spark, sf):
+    return C.coverage_summary(statuses(spark, sf), ["run_id", "entity_id"])
+
+
+@query
+def g6_coverage_bullet(spark, sf):
+    return C.coverage_bullet(statuses(spark, sf), ["run_id"])
+
+
+@query
+def g7_issue_lines(spark, sf):
+    return C.issue_lines(statuses(spark, sf), "website:").select("run_id", "entity_id", "source", "line")
+
+
+@query
+def g8_entity_report(spark, sf):
+    return R.entity_report(view(spark, sf, "fx_summaries"), ["run_id", "entity_id"])
+
+
+def reports(spark: SparkSession, sf: str) -> DataFrame:
+    raw = view(spark, sf, "fx_reports")
+    mark = F.col("run_id") + F.col("entity_id")
+    return R.complete_report(
+        raw.withColumns(
+            {
+                "name": F.concat(F.lit("Entity "), F.col("entity_id").cast("string")),
+                "website_url": F.concat(F.lit("https://e"), F.col("entity_id").cast("string"), F.lit(".example")),
+                "coverage_summary": F.when(mark % 7 == 0, F.lit("Blog failed: timeout")),
+            }
+        )
+    )
+
+
+@query
+def g9_evidence_block(spark, sf):
+    return reports(spark, sf).select("run_id", "entity_id", R.evidence_block().alias("evidence"))
+
+
+EVIDENCE_KINDS = list(R.EVIDENCE_CAPS)
+
+
+@query
+def g10_evidence_packets(spark, sf):
+    items = noted_posts(spark, sf)
+    parts = [
+        R.evidence_packet(items, ["entity_id"], ["pos"], kind).withColumn("kind", F.lit(kind))
+        for kind in EVIDENCE_KINDS
+    ]
+    return O.union_sources(*parts)
+
+
+@query
+def g10_page_evidence(spark, sf):
+    rows = S.lag_over(
+        table(spark, sf, "documents").withColumnRenamed("text", "new_text"), ["source"], "doc_id", "new_text", "old_text"
+    )
+    return R.page_evidence(rows.filter(F.col("old_text").isNotNull())).select("doc_id", "old_text", "new_text")
+
+
+@query
+def g11_fallback_summaries(spark, sf):
+    items = noted_posts(spark, sf)
+    parts = [
+        R.summarize(items, ["entity_id"], ["pos"], kind).withColumn("kind", F.lit(kind)) for kind in EVIDENCE_KINDS
+    ]
+    return O.union_sources(*parts)
+
+
+@query
+def g12_headlines(spark, sf):
+    items = noted_posts(spark, sf)
+    parts = [
+        R.headline(R.summarize(items, ["entity_id"], ["pos"], kind), kind, platform).withColumn("platform", F.lit(platform))
+        for kind, platform in (
+            ("linkedin_ads", "linkedin"), ("linkedin_organic", "linkedin_organic"),
+            ("linkedin_organic", "apidirect_linkedin"), ("reddit_discussion", "apidirect_reddit"),
+            ("twitter_activity", "twitter"),
+        )
+    ]
+    return O.union_sources(*parts)
+
+
+@query
+def g13_signal_line(spark, sf):
+    return view(spark, sf, "fx_summaries").select("id", M.signal_line(F.col("summary_text"), 60).alias("line"))
+
+
+@query
+def g14_compact_bullets(spark, sf):
+    text = F.col("summary_text")
+    return view(spark, sf, "fx_summaries").select(
+        "id", M.compact_bullets(text).alias("bullets"), M.compact_bullets(text, 6, 380).alias("long_bullets")
+    )
+
+
+def long_bullets(spark: SparkSession, sf: str) -> DataFrame:
+    """Bullet lists of many lines, made of each document's own text."""
+    words = F.split(X.collapse("text"), " ")
+    numbered = F.transform(
+        F.sequence(F.lit(0), F.least(F.floor(F.size(words) / 12), F.lit(40)).cast("int")),
+        lambda i: F.concat(F.lit("• "), F.array_join(F.slice(words, i * 12 + 1, F.lit(12)), " ")),
+    )
+    plain = F.when(F.col("doc_id") % 5 == 0, F.lit("no bullet\n")).otherwise(F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", F.concat(plain, F.array_join(numbered, "\n")).alias("bullets"))
+
+
+@query
+def g15_fit_bullets(spark, sf):
+    return long_bullets(spark, sf).select("doc_id", M.fit_bullets(F.col("bullets"), 700).alias("fitted"))
+
+
+@query
+def g16_normalize_card(spark, sf):
+    name = F.concat(F.lit("Entity "), F.col("entity_id").cast("string"))
+    return view(spark, sf, "fx_summaries").select("id", M.normalize_card(F.col("summary_text"), name).alias("card"))
+
+
+@query
+def g17_fallback_card(spark, sf):
+    return reports(spark, sf).select("run_id", "entity_id", R.fallback_card().alias("card"))
+
+
+@query
+def g18_pricing_bullet(spark, sf):
+    return R.pricing_bullet(reports(spark, sf), ["run_id"], "entity_id")
+
+
+def run_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A draft per run: its summaries of one kind, one line each."""
+    return reports(spark, sf).select(
+        "run_id", "entity_id",
+        F.concat_ws("\n", F.lit("• Messaging moved."), "homepage_change", F.lit("  "), "linkedin_ads_summary").alias("draft"),
+    )
+
+
+@query
+def g19_ensure_pricing(spark, sf):
+    bullets = R.pricing_bullet(reports(spark, sf), ["run_id"], "entity_id")
+    drafts = run_lines(spark, sf).join(bullets, "run_id", "left")
+    return drafts.select("run_id", "entity_id", M.ensure_pricing(F.col("draft"), F.col("pricing_bullet"), 4).alias("ensured"))
+
+
+def runs_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run with reports, and one that has none."""
+    some = view(spark, sf, "fx_summaries").select("run_id").distinct()
+    return some.unionByName(some.agg((F.max("run_id") + 1).alias("run_id")))
+
+
+@query
+def g20_executive_fallback(spark, sf):
+    return R.executive_summary(runs_of(spark, sf), reports(spark, sf), ["run_id"], "entity_id")
+
+
+@query
+def g20_card_evidence(spark, sf):
+    return R.card_evidence(reports(spark, sf), ["run_id"], "entity_id")
+
+
+@query
+def g21_append_bullet(spark, sf):
+    bullet = F.when(F.col("run_id") % 3 > 0, F.lit(" • Added last "))
+    return run_lines(spark, sf).select("run_id", "entity_id", M.append_bullet(F.col("draft"), bullet, 3).alias("appended"))
+
+
+@query
+def g22_recovery_run(spark, sf):
+    registry = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("entity_id"), F.when(F.col("c_custkey") % 2 == 0, F.lit("id")).alias("network_id")
+    )
+    events = status_events(spark, sf)
+    current = C.source_status(events, ["run_id", "entity_id"])
+    wide = reports(spark, sf).filter(F.col("entity_id") % 4 == 0).select(
+        "run_id", "entity_id", "linkedin_ads_summary", "linkedin_organic_summary"
+    )
+    drafts = R.executive_summary(runs_of(spark, sf), reports(spark, sf), ["run_id"], "entity_id")
+    return R.recovery_run(registry, current, wide, drafts)
+
+
+def report_sources(spark: SparkSession, sf: str) -> DataFrame:
+    kept = C.source_status(view(spark, sf, "fx_source_status"), ["entity_id"])
+    filled = reports(spark, sf).join(C.source_lists(kept, ["entity_id"]), "entity_id", "left")
+    return filled
+
+
+def digest_runs(spark: SparkSession, sf: str) -> DataFrame:
+    done = R.executive_summary(runs_of(spark, sf), reports(spark, sf), ["run_id"], "entity_id")
+    return done.withColumn("run_date", F.lit("2024-02-01"))
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return D.digest_blocks(report_sources(spark, sf), digest_runs(spark, sf), "entity_id")
+
+
+@query
+def g23_digest_blocks(spark, sf):
+    return blocks(spark, sf)
+
+
+@query
+def g23_summary_digest(spark, sf):
+    return D.digest_blocks(report_sources(spark, sf), digest_runs(spark, sf), "entity_id", summary_only=True)
+
+
+@query
+def g24_pack_blocks(spark, sf):
+    return D.pack_blocks(blocks(spark, sf)).select("run_id", "block_no", "kind", "message_no")
+
+
+@query
+def a8_write_digest(spark, sf):
+    path = scratch_path(spark, "digest")
+    packed = D.pack_blocks(D.digest_blocks(report_sources(spark, sf), digest_runs(spark, sf), "entity_id", True))
+    B.write_digest(D.digest_messages(packed), path)
+    return spark.read.schema("run_id bigint, message_no bigint, block_count bigint, payload string").json(path)
+
+
+# --- Incremental forms ----------------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def item_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return event_stream(spark, sf).select(
+        (F.col("user_id") % 10).alias("entity_id"), F.col("event_type").alias("platform"), F.col("props").alias("item_id"),
+        F.concat("event_type", F.lit(" "), "props").alias("item_text"), F.col("ts").alias("seen_at"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def capture_stream(spark: SparkSession, sf: str) -> DataFrame:
+    pages = F.array(*[F.lit(p) for p in ("homepage", "blog", "pricing", "careers")])
+    return event_stream(spark, sf).select(
+        F.col("user_id").alias("entity_id"), F.get(pages, (F.col("event_id") % 4).cast("int")).alias("page_type"),
+        F.col("event_type").alias("content_text"), F.col("ts").alias("checked_at"), F.col("event_id").alias("seq"),
+    )
+
+
+@query
+def h1_stream_changes(spark, sf):
+    root = scratch_path(spark, "stream-changes")
+    N.stream_changes(capture_stream(spark, sf), root).awaitTermination()
+    return spark.read.parquet(f"{root}/changes").select("seq", "entity_id", "page_type", "content_hash", "verdict")
+
+
+@query
+def h2_stream_items(spark, sf):
+    root = scratch_path(spark, "stream-items")
+    N.stream_items(item_stream(spark, sf), root).awaitTermination()
+    return B.read_state(spark, f"{root}/items").drop("item_ref")
+
+
+@query
+def h3_stream_new(spark, sf):
+    root = scratch_path(spark, "stream-new")
+    N.stream_items(item_stream(spark, sf), root).awaitTermination()
+    return spark.read.parquet(f"{root}/new_items").select("seq", *S.ITEM_KEYS)
+
+
+@query
+def h3_stream_new_in_state(spark, sf):
+    root = scratch_path(spark, "stream-dedup")
+    done = (
+        N.stream_new(item_stream(spark, sf)).select(*S.ITEM_KEYS).writeStream.format("parquet")
+        .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    done.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query
+def h4_stream_trend(spark, sf):
+    root = scratch_path(spark, "stream-trend")
+    N.stream_items(item_stream(spark, sf), root).awaitTermination()
+    feed = spark.read.parquet(f"{root}/new_items")
+    stream = spark.readStream.schema(feed.drop("batch").schema).option("recursiveFileLookup", "true").parquet(f"{root}/new_items")
+    N.stream_trend(stream, f"{root}/weeks").awaitTermination()
+    out = N.current_trend(spark, f"{root}/weeks")
+    return out.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
+
+
+@query
+def h5_summarize_callback(spark, sf):
+    """A caller's own summary: how many items, and the longest leading title."""
+
+    def longest(items, count):
+        titles = F.transform(items, lambda x: F.struct(F.length(x["title"]).alias("n"), x["title"].alias("t")))
+        return F.format_string("%d items, longest: %s", count, F.array_max(titles)["t"])
+
+    return R.summarize(noted_posts(spark, sf), ["entity_id"], ["pos"], "twitter_activity", longest)
+
+
+# --- Whole run ------------------------------------------------------------------------------
+
+
+@query
+def weekly_digest(spark, sf):
+    """One whole run per entity group: from captures and sightings to packed digest messages."""
+    registry = view(spark, sf, "fx_items").select("entity_id").distinct().select(
+        (F.col("entity_id") % 2).alias("run_id"), "entity_id", F.col("entity_id").alias("position"),
+        F.concat(F.lit("Entity "), F.col("entity_id").cast("string")).alias("name"), F.lit("https://e.example").alias("website_url"),
+    )
+    run = (F.col("entity_id") % 2).alias("run_id")
+    every = captures(spark, sf).withColumn("entity_id", F.col("entity_id") % 10)
+    cut = day(KNOWN_BEFORE)
+    before = S.page_state_of(S.snapshots_to_append(S.detect_changes(every.filter(F.col("checked_at") < cut))))
+    seen = observed_items(spark, sf).select(
+        "*", run, F.col("item_text").alias("title"), F.col("item_id").alias("text"), F.lit("n/a").alias("url"),
+        F.date_format("seen_at", "yyyy-MM-dd").alias("date"), F.col("platform").alias("author"), F.lit("feed").alias("channel"),
+        F.array().cast("array<string>").alias("comments"),
+    )
+    events = view(spark, sf, "fx_source_status").withColumn("entity_id", F.col("entity_id") % 10).select("*", run)
+    done = weekly_run(
+        registry, every.filter(F.col("checked_at") >= cut).select("*", run, F.array().cast("array<string>").alias("items")),
+        before, seen, known_items(spark, sf), events,
+        {"click": "linkedin_ads", "view": "linkedin_organic", "purchase": "twitter_activity"}, "2024-02-01", False,
+    )
+    return D.digest_messages(D.pack_blocks(done.blocks))
