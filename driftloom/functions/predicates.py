@@ -50,7 +50,7 @@ def is_blocked(url: Column) -> Column:
 
 
 def starts_with_any(col: Column, prefixes: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col.startswith(p) for p in prefixes])
+    return col.rlike("^(?:" + "|".join(prefixes) + ")")
 
 
 def page_state(col: Column) -> Column:

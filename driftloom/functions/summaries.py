@@ -38,12 +38,14 @@ def signal_line(col: Column, n: int = 180) -> Column:
     def clean(line: Column) -> Column:
         return strip(F.regexp_replace(drop_bullet_mark(line), r"\*+", ""))
 
-    useful = F.filter(
-        F.transform(stripped_lines(col), clean),
-        lambda x: ~starts_with_any(F.lower(x), V.SIGNAL_SKIP_PREFIXES) & ~is_short_heading(x),
-    )
-    picked = F.coalesce(F.get(useful, F.lit(0)), strip(col))
-    return F.when(F.coalesce(col, F.lit("")) == "", F.lit("")).otherwise(rstrip(F.substring(collapse(picked), 1, n)))
+    def pick(text: Column) -> Column:
+        useful = F.filter(
+            F.transform(stripped_lines(text), clean),
+            lambda x: ~starts_with_any(F.lower(x), V.SIGNAL_SKIP_PREFIXES) & ~is_short_heading(x),
+        )
+        return rstrip(F.substring(collapse(F.coalesce(F.get(useful, F.lit(0)), text)), 1, n))
+
+    return let(F.coalesce(col, F.lit("")), pick)
 
 
 def inline_bullets(col: Column) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import vocab as V
+from driftloom.functions.text import let
 from driftloom.functions.summaries import compact_bullets, fit_bullets, truncate_block
 from driftloom.operators.coverage import is_open, issue_text
 from driftloom.operators.segments import running_sum, segment_of
+from driftloom.session import scratch_path
 
 PAGE_SECTIONS = [
     ("Homepage", "homepage_change"), ("Blog", "blog_change"),
@@ -42,19 +44,15 @@ def block(kind: str, text: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), body.alias("text"))
 
 
-def section(text: Column) -> Column:
-    return F.when(text.isNotNull(), block("section", text))
-
-
-def titled(title: str, text: Column) -> Column:
-    return truncate_block(F.concat(F.lit(title + "\n"), text))
+def titled(title: Column, text: Column) -> Column:
+    return let(F.concat(title, F.lit("\n"), text), truncate_block)
 
 
 def _has(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit("")) != ""
 
 
-def _source(name: str) -> Column:
+def _entry(name: Column) -> Column:
     return F.get(F.filter("sources", lambda s: s["source"] == name), F.lit(0))
 
 
@@ -62,39 +60,68 @@ def _issue(entry: Column) -> Column:
     return F.when(is_open(entry["status"]), issue_text(entry["source"], entry["status"], entry["note"]))
 
 
-def entity_blocks() -> Column:
-    """The blocks of one entity: header, page changes, summaries or the reason they are missing."""
+def _page_texts() -> Column:
+    pages = F.array(*[F.struct(F.lit(f"*{t}:*").alias("title"), F.col(c).alias("text")) for t, c in PAGE_SECTIONS])
+    shown = F.filter(pages, lambda p: p["text"] != "")
+    return F.transform(shown, lambda p: titled(p["title"], p["text"]))
+
+
+def _website_texts() -> Column:
     website = F.filter("sources", lambda s: s["source"].startswith("website:"))
     issues = F.filter(F.transform(website, _issue), lambda x: x.isNotNull())
-    any_change = F.lit(False)
-    for _, col in PAGE_SECTIONS:
-        any_change = any_change | _has(col)
-    website_line = F.when(
-        F.size(issues) > 0, titled("*Website Coverage:*", F.array_join(issues, "\n"))
-    ).when(
-        ~any_change,
-        F.when(
-            F.size(website) > 0, F.lit(":white_check_mark: *Website:* No changes detected this week")
-        ).otherwise(F.lit("*Website:* Not configured")),
-    )
+    quiet = F.when(
+        F.size(website) > 0, F.lit(":white_check_mark: *Website:* No changes detected this week")
+    ).otherwise(F.lit("*Website:* Not configured"))
+    changed = _has(PAGE_SECTIONS[0][1])
+    for _, col in PAGE_SECTIONS[1:]:
+        changed = changed | _has(col)
+    line = F.when(
+        F.size(issues) > 0, titled(F.lit("*Website Coverage:*"), F.array_join(issues, "\n"))
+    ).when(~changed, quiet)
+    return F.array_compact(F.array(line))
+
+
+def _summary_texts() -> Column:
+    """All summary sections in one array, so that the bullet rules appear once in the plan."""
+    none = F.lit(None).cast("string")
+
+    def row(title: str, col: str, source: str | None = None, idle: str | None = None) -> Column:
+        return F.struct(
+            F.lit(title).alias("title"), F.col(col).alias("text"),
+            (none if source is None else F.lit(source)).alias("source"),
+            (none if idle is None else F.lit(idle)).alias("idle"),
+        )
+
+    sections = [row(t, c, s) for t, c, s in FORUM_SECTIONS]
+    sections += [row(t, c, s, i) for t, c, s, i in NETWORK_SECTIONS]
+    sections += [row(t, c) for t, c in SOCIAL_SECTIONS]
 
-    def summary(title: str, col: str) -> Column:
-        return F.when(_has(col), titled(title, compact_bullets(F.col(col), 3, 220)))
+    def stand_in(s: Column) -> Column:
+        """What is shown without a summary: the source's issue, or that there is no news."""
 
-    texts = [F.when(_has(c), titled(f"*{label}:*", F.col(c))) for label, c in PAGE_SECTIONS]
-    texts.append(website_line)
-    for title, col, source in FORUM_SECTIONS:
-        texts.append(F.coalesce(summary(title, col), titled(title, _issue(_source(source)))))
-    for title, col, source, idle in NETWORK_SECTIONS:
-        entry = _source(source)
-        unset = F.when(entry["status"] == "not_configured", F.lit(f"{title} Not configured"))
-        texts.append(F.coalesce(summary(title, col), unset, _issue(entry), F.lit(f"{title} {idle}")))
-    texts += [summary(title, col) for title, col in SOCIAL_SECTIONS]
+        def pick(entry: Column) -> Column:
+            unset = F.when(entry["status"] == "not_configured", F.concat(s["title"], F.lit(" Not configured")))
+            titled_issue = titled(s["title"], _issue(entry))
+            idle = F.concat(s["title"], F.lit(" "), s["idle"])
+            return F.when(s["idle"].isNull(), titled_issue).otherwise(F.coalesce(unset, _issue(entry), idle))
 
+        return let(_entry(s["source"]), pick)
+
+    def text(s: Column) -> Column:
+        summary = titled(s["title"], compact_bullets(s["text"], 3, 220))
+        return F.when(F.coalesce(s["text"], F.lit("")) != "", summary).otherwise(stand_in(s))
+
+    return F.filter(F.transform(F.array(*sections), text), lambda x: x.isNotNull())
+
+
+def entity_blocks() -> Column:
+    """The blocks of one entity: header, page changes, summaries or the reason they are missing."""
     top = block("section", F.format_string("*%s*  |  <%s|%s>", "name", "website_url", "website_url"))
     failed = block("section", F.concat(F.lit(":warning: *Error:* "), "error"))
+    texts = F.concat(_page_texts(), _website_texts(), _summary_texts())
+    sections = F.transform(texts, lambda t: block("section", t))
     return F.when(_has("error"), F.array(top, failed, block("divider"))).otherwise(
-        F.array_compact(F.array(top, *[section(t) for t in texts], block("divider")))
+        F.concat(F.array(top), sections, F.array(block("divider")))
     )
 
 
@@ -107,9 +134,9 @@ def digest_blocks(reports: DataFrame, runs: DataFrame, position: str, summary_on
     opening = F.array(
         block("header", F.concat(F.lit("Weekly Competitive Intel — "), "run_date")), block("divider")
     )
-    fitted = fit_bullets(compact_bullets(F.col("executive"), 6, 380), V.BLOCK_CHARS)
+    fitted = let(compact_bullets(F.col("executive"), 6, 380), lambda b: fit_bullets(b, V.BLOCK_CHARS))
     closing = F.concat(
-        F.when(_has("executive"), F.array(block("section", titled("*Executive Summary:*", fitted)), block("divider")))
+        F.when(_has("executive"), F.array(block("section", titled(F.lit("*Executive Summary:*"), fitted)), block("divider")))
         .otherwise(F.array().cast("array<struct<kind:string,text:string>>")),
         F.array(block("context", F.lit(FOOTER))),
     )
@@ -202,7 +229,14 @@ def _assign(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
 
 
 def pack_blocks(blocks: DataFrame, size: int = V.MESSAGE_BLOCKS, width: int = SEGMENT_BLOCKS) -> DataFrame:
-    """Message number of every block: at most ``size`` blocks each, cut after dividers."""
+    """Message number of every block: at most ``size`` blocks each, cut after dividers.
+
+    The blocks are written once to the shared folder: packing reads their positions and kinds, and
+    only the last join reads their text.
+    """
+    path = scratch_path(blocks.sparkSession, "blocks")
+    blocks.write.parquet(path)
+    blocks = blocks.sparkSession.read.parquet(path)
     run_type = dict(blocks.dtypes)["run_id"]
     segment = segment_of(F.col("block_no"), width)
     flags = blocks.select("run_id", "block_no", (F.col("kind") == "divider").alias("divider"), segment.alias("segment"))

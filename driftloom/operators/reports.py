@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import vocab as V
 from driftloom.functions.predicates import is_non_material, is_pricing_callout
 from driftloom.functions.summaries import append_bullet, card, ensure_pricing, signal_line
-from driftloom.functions.text import first_present, head, sanitize, truncate, truncate_phrase
+from driftloom.functions.text import first_present, head, let, sanitize, truncate, truncate_phrase
 from driftloom.operators.posts import top_n
 from driftloom.operators.segments import SEGMENT_ROWS, running_sum
 
@@ -218,8 +218,10 @@ def fallback_card() -> Column:
     """Signal card built from the report alone."""
 
     def point(label: str, text: Column) -> Column:
-        line = signal_line(text, 180)
-        return F.when(line != "", F.concat(F.lit(f"- {label}: "), truncate_phrase(line, 200)))
+        return let(
+            signal_line(text, 180),
+            lambda x: F.when(x != "", F.concat(F.lit(f"- {label}: "), truncate_phrase(x, 200))),
+        )
 
     error, coverage = signal_line(F.col("error"), 180), F.col("coverage_summary")
     points = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from driftloom.functions import vocab as V
 from driftloom.plans.adapters import with_views
 
 ORACLES: dict[str, str] = {}
@@ -138,3 +139,341 @@ select entity_id, page_type, checked_at, seq from fx_captures order by checked_a
 oracle("f11_usage_line", """
 select concat('API Direct usage: ', string_agg(endpoint || '=' || n, ', ' order by endpoint), ' (total=', sum(n), ')') as usage_line
 from (select endpoint, count(*) as n from fx_usage where success group by 1)""", "fx_usage")
+
+# --- Sources and sinks ---
+def q(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def hit(col: str, pattern: str) -> str:
+    return f"coalesce(regexp_matches({col}, {q('(?i)' + pattern)}), false)"
+
+
+def collapsed_trim(col: str) -> str:
+    return f"trim(regexp_replace({col}, '\\s+', ' ', 'g'))"
+
+
+def rfind_space(head: str) -> str:
+    """0-based index of the last space, -1 without one."""
+    return f"(case when contains({head}, ' ') then length(regexp_extract({head}, '(?s)^(.*) ', 1)) else -1 end)"
+
+
+def cut_words(col: str, n: int, low: int) -> str:
+    """Word-boundary truncation of an already collapsed column."""
+    head = f"rtrim(left({col}, {n}))"
+    kept = f"case when {rfind_space(head)} >= {low} then left({head}, {rfind_space(head)}) else {head} end"
+    return f"case when length({col}) <= {n} then {col} else rtrim({kept}, ' ,;:.') || '…' end"
+
+
+def cut_smart(col: str, n: int) -> str:
+    head = f"rtrim(left({col}, {n}))"
+    sentence = f"regexp_extract({head}, '(?s)^.*[.!?;]')"
+    return (
+        f"case when length({col}) <= {n} then {col} when length({sentence}) > 60 then trim({sentence}) "
+        f"when {rfind_space(head)} >= 40 then rtrim(left({head}, {rfind_space(head)})) || '…' else {head} || '…' end"
+    )
+
+
+def cut(col: str, n: int, marker: str = "' [truncated]'") -> str:
+    return f"case when length({col}) > {n} then left({col}, {n}) || {marker} else {col} end"
+
+
+def split_lines(col: str) -> str:
+    return (
+        f"list_filter(list_transform(string_split({col}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    )
+
+
+ENTITIES = """
+select cast(entity_id as varchar) as entity_id, name, website, search_term,
+  list_filter(list_transform(string_split(keywords_raw, ','), lambda x: trim(x)), lambda x: x <> '') as keywords
+from fx_entities where name <> '' and website <> ''
+"""
+oracle("a1_load_entities", f"""
+select entity_id, name, website, search_term, array_to_string(keywords, '|') as keywords from ({ENTITIES})""", "fx_entities")
+
+TAGS = V.STRIP_TAGS
+
+
+def visible(col: str) -> str:
+    for tag in TAGS:
+        col = f"regexp_replace({col}, {q(f'(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>')}, ' ', 'g')"
+    col = f"regexp_replace({col}, '(?s)<!--.*?-->', ' ', 'g')"
+    col = f"regexp_replace({col}, '(?s)<[!/a-zA-Z][^>]*>', ' ', 'g')"
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+        col = f"replace({col}, '{entity}', '{char}')"
+    return collapsed_trim(col)
+
+
+oracle("a2_capture_status", f"""
+select entity_id, url, case when error is not null or text = '' then 'failed' else 'ok' end as status,
+  case when error is not null then {cut_words('error', 140, 60)} when text = '' then 'empty response' end as note
+from (select page_id as entity_id, url, case when page_id % 7 = 0 then '' else {visible('html')} end as text,
+  {collapsed_trim("case when page_id % 10 = 0 then concat('timeout while loading ', repeat('resource ', 20), url) end")} as error
+  from pages)""")
+LISTED = """
+select o_orderkey % 6 as keyword_idx, cast(floor(o_orderkey / 150) as bigint) as page, p.pos as okey, post_id, title, raw_body,
+  channel, concat('/r/', channel, '/comments/', post_id, '/') as permalink,
+  cast(epoch(date_trunc('hour', created_at)) as double) as created_utc
+from fx_posts p join orders on o_orderkey = p.pos
+"""
+oracle("a3_parse_listing", f"""
+select keyword_idx, page, row_number() over (partition by keyword_idx, page order by okey) - 1 as pos,
+  post_id, title, raw_body, channel, permalink, created_utc from ({LISTED})""", "fx_posts")
+PAYLOAD_FIELDS = ", ".join(
+    f"case when json_extract(j, '$.{k}')::varchar not in ('null', '\"\"', '[]', '{{}}', '0', 'false') "
+    f"then json_extract(j, '$.{k}') end" for k in V.PAYLOAD_LISTS
+)
+
+
+def item(*keys: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(json_extract_string(i, '$.{k}'), '')" for k in keys) + ", '')"
+
+
+COUNTERS = ", ".join(
+    f"case when json_extract_string(i, '$.{k}') is not null then '{k}=' || json_extract_string(i, '$.{k}') end"
+    for k in sorted(V.ENGAGEMENT_KEYS)
+)
+SOCIAL = f"""
+select *, left(sha256(case when url <> '' then url else concat(title, left(text, 100)) end), 16) as post_id from (
+  select event_id, 'facebook' as source, false as is_owned, pos, {item('title')} as title,
+    {item('snippet', 'text', 'body')} as text, {item('url')} as url, {item('author', 'username')} as author,
+    {item('date')} as date, concat_ws(',', {COUNTERS}) as engagement
+  from (select event_id, pos, json_extract(l, '$[' || pos || ']') as i from (
+    select event_id, l, unnest(range(cast(json_array_length(l) as bigint))) as pos from (
+      select event_id, coalesce({PAYLOAD_FIELDS}) as l from (select event_id, try_cast(payload as json) as j from fx_payload))
+    where json_type(l) = 'ARRAY')))
+"""
+oracle("a4_normalize_payload", f"select * from ({SOCIAL})", "fx_payload")
+oracle("a5_endpoint_sources", """
+select source, is_owned, count(*) as requests, count(*) filter (success) as successes from (
+  select success, case left(endpoint, 1) when '1' then 'reddit' when '2' then 'linkedin' when '3' then 'facebook' when '4' then 'twitter' end as source,
+    case left(endpoint, 1) when '1' then false when '2' then true when '3' then false when '4' then true end as is_owned
+  from fx_usage) group by all""", "fx_usage")
+oracle("a6_append_round_trip", f"""
+select seq, entity_id, page_type, content_hash, content_text, checked_at from ({CHANGES}) where verdict <> 'unchanged'""", "fx_captures")
+oracle("a7_commit_state", ITEM_STATE, "fx_items")
+oracle("e8_save_summaries", "select * from fx_summaries", "fx_summaries")
+oracle("e14_read_evolved", """
+select status, case run_id % 2 when 1 then 3::bigint else 0 end as new_ads_count, 0::bigint as new_posts_count,
+  count(*) as n, count(*) filter (run_id % 2 = 1) as with_run, 0::bigint as with_duration
+from fx_run_log group by all""", "fx_run_log")
+
+# --- Extraction ---
+oracle("b1_visible_text", f"select page_id, {visible('html')} as visible_text from pages")
+oracle("b1_visible_text_parsed", f"select page_id, {visible('html')} as visible_text from pages")
+oracle("b3_article_titles", """
+select page_id, concat(trim(replace(replace(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&')), ' | ') as title
+from pages where html like '%<article><h1>%'""")
+oracle("b5_list_page_text", f"""
+select entity_id, page_type, case when items_raw <> '' then array_to_string(list_sort({split_lines('items_raw')}), chr(10))
+  else fallback_text end as content_text from fx_page_items""", "fx_page_items")
+oracle("b6_parse_ad_cards", f"""
+select pos, entity_id, ad_text, left(sha256(ad_text), 16) as ad_id,
+  case when contains(low, 'carousel') then 'Carousel' when contains(low, 'video') then 'Video'
+    when contains(low, 'single image') then 'Single Image' when contains(low, 'text ad') then 'Text' else 'Unknown' end as ad_format,
+  list_filter(lines, lambda x: {hit('x', V.IMPRESSIONS_LINE)})[1] as impressions_range,
+  list_filter(lines, lambda x: {hit('x', V.RUN_DATE_LINE)})[1] as date_range
+from (select *, lower(card_text) as low, {split_lines('card_text')} as lines, array_to_string({split_lines('card_text')}[1:15], ' ') as ad_text
+  from (select *, row_number() over (partition by entity_id order by pos) as rn from fx_cards)
+  where rn <= 20 and length(trim(card_text)) >= 10)""", "fx_cards")
+
+
+def age_token(col: str) -> str:
+    return (
+        f"coalesce(case when contains(lower({col}), 'just now') then 'just now' when contains(lower({col}), 'today') then 'today' "
+        f"when contains(lower({col}), 'yesterday') then 'yesterday' end, "
+        f"nullif(regexp_extract(lower({col}), {q('(?i)' + V.AGE_TOKEN)}), ''), nullif(regexp_extract({col}, {q('(?i)' + V.DATE_TOKEN)}), ''))"
+    )
+
+
+def looks_like_age(col: str) -> str:
+    return (
+        f"(regexp_matches(lower({col}), 'yesterday|today|just now') or {hit(col, V.AGE_TOKEN)} or {hit(col, V.DATE_TOKEN)})"
+    )
+
+
+oracle("b7_parse_organic_cards", f"""
+select pos, trim(left(body, 1800)) as post_text, posted_label,
+  coalesce(nullif(regexp_extract(url, '/posts/[^/?#]+-(\\d+)', 1), ''), left(sha256(concat(left(body, 300), '|', coalesce(posted_label, ''))), 16)) as post_id
+from (select pos, url, coalesce(list_filter(bodies, lambda x: length(x) > 20)[1],
+    case when length(whole) >= 40 then left(whole, 1200) end) as body,
+    case when {looks_like_age('one')} then one else {age_token('whole')} end as posted_label
+  from (select pos, case when pos % 5 = 0 then concat('https://x.example/posts/a-', pos) end as url, {collapsed_trim('card_text')} as one,
+    list_transform(string_split(card_text, chr(10)), lambda x: {collapsed_trim('x')}) as bodies,
+    {collapsed_trim("repeat(concat(card_text, ' '), 2)")} as whole from fx_cards))
+where body is not null""", "fx_cards")
+oracle("b8_posted_label", f"""
+select event_id, case when label is not null and {looks_like_age('trim(label)')} then trim(label) else
+  {age_token("concat('Acme posted ', coalesce(label, 'today'))")} end as posted_label from fx_age_labels""", "fx_age_labels")
+oracle("b9_canonical_url", """
+select page_id, coalesce(case when page_id % 3 = 0 then concat('https://www.linkedin.com/posts/', page_id)
+  when page_id % 5 > 0 then string_split(url, '?')[1] end,
+  concat('https://www.linkedin.com/feed/update/urn:li:activity:', page_id + 7000, '/')) as canonical_url from pages""")
+oracle("b9_candidate_urls", """
+select page_id, concat_ws('|', base || '/posts/?feedView=all', base || '/posts/?feedView=all&viewAsMember=true',
+  concat('https://www.linkedin.com/company/', page_id, '/')) as candidates
+from (select page_id, concat('https://www.linkedin.com/company/', case when page_id % 3 = 1 then 'c' else '' end, page_id) as base from pages)""")
+oracle("b10_item_id", """
+select page_id, case page_id % 4 when 0 then cast(page_id as varchar) when 1 then cast(page_id as varchar)
+  when 2 then left(sha256(url), 16) else left(sha256(concat(left(html, 300), '|', case when page_id % 8 = 3 then '3d' else '' end)), 16) end as item_id
+from pages""")
+oracle("b11_content_id", """
+select doc_id, left(sha256(case when doc_id % 2 = 0 then concat('https://d.example/', doc_id) else concat(source, left(text, 100)) end), 16) as content_id,
+  left(sha256(text), 16) as text_id from documents""")
+STATE_CASES = ", ".join(f"case when contains(low, {q(n)}) then '{m}' end" for n, m in V.PAGE_STATE_MARKERS[:7])
+oracle("b12_page_state", f"""
+select conv_id, turn, case when low = '' then 'empty-body' when marks = '' then 'no-known-marker' else marks end as state
+from (select *, concat_ws(',', {STATE_CASES},
+    case when contains(low, 'page isn''t available') or contains(low, 'this page is unavailable') then 'page-unavailable' end) as marks
+  from (select conv_id, turn, lower({collapsed_trim('body_text')}) as low from fx_states))""", "fx_states")
+oracle("b13_blocked_captures", """
+select page_id, regexp_matches(lower(case when page_id % 4 = 0 then concat(url, '/AuthWall?x') else url end),
+  '/login|/authwall|/checkpoint') as blocked from pages""")
+oracle("b14_flatten_comments", """
+select post_id, comment_id, trim(body) as body, path from walk
+where comment_id % 5 <> 3 and trim(body) <> ''""", "fx_comments")
+ORACLES["b14_flatten_comments"] = ORACLES["b14_flatten_comments"].replace("with fx_comments", "with recursive fx_comments").replace(
+    "\nselect post_id, comment_id, trim(body)", """,
+walk as (select post_id, comment_id, body, cast(comment_id as varchar) as path from fx_comments where parent_id is null
+  union all select c.post_id, c.comment_id, c.body, concat(w.path, '.', c.comment_id)
+  from fx_comments c join walk w on c.post_id = w.post_id and c.parent_id = w.comment_id)
+select post_id, comment_id, trim(body)""")
+oracle("b14_raw_comment_payloads", """
+select cast(conv_id as varchar) as post_id, row_number() over (partition by conv_id order by turn) - 1 as ord, trim(text) as body
+from conversations where trim(text) <> ''""")
+
+# --- Predicates and text ---
+BODY = "concat_ws(' ', title, raw_body)"
+oracle("c1_price_signal", f"select pos, {hit(BODY, V.PRICE_SIGNAL)} as hit from fx_posts", "fx_posts")
+oracle("c2_specific_price", f"select pos, {hit(BODY, V.CONCRETE_PRICE)} as hit from fx_posts", "fx_posts")
+oracle("c3_finance_channel", f"select pos, {hit('channel', V.FINANCE_CHANNEL)} as hit from fx_posts", "fx_posts")
+oracle("c4_customer_signal", f"select pos, {hit('title', V.CUSTOMER_SIGNAL)} as hit from fx_posts", "fx_posts")
+oracle("c5_employee_signal", f"select post_id, comment_id, {hit('body', V.EMPLOYEE_SIGNAL)} as hit from fx_comments", "fx_comments")
+oracle("c6_filter_channels", "select pos, channel from fx_posts where lower(channel) in ('smallbusiness', 'hvac')", "fx_posts")
+oracle("c6_filter_channels_by_entity", """
+select pos, entity_id, channel from (select *, pos % 10 + 1 as entity_id from fx_posts) where entity_id in (select entity_id from fx_entities)
+  and (entity_id % 2 = 1 or lower(channel) in ('hvac', 'stocks')) and (entity_id % 3 > 0 or lower(channel) <> 'stocks')""", "fx_posts", "fx_entities")
+CLEAN = """
+select *, case when raw_body in ('[deleted]', '[removed]') then '' else coalesce(raw_body, '') end as text
+from fx_posts where post_id <> '' and title <> '' and channel <> ''
+"""
+oracle("c7_clean_posts", f"select pos, title, text from ({CLEAN})", "fx_posts")
+
+
+def filtered(signal: str, deny: str = "") -> str:
+    return f"""
+select post_id, pos, keyword_idx, channel, author, title, text, strftime(created_at, '%Y-%m-%d') as date,
+  concat('https://www.reddit.com/r/', channel, '/comments/', post_id, '/') as url
+from ({CLEAN}) where not {hit('channel', V.FINANCE_CHANNEL)} and {hit("concat_ws(' ', title, text)", signal)} {deny}"""
+
+
+PRICING, DISCUSSION = filtered(V.PRICE_SIGNAL), filtered(V.CUSTOMER_SIGNAL)
+POST_COLUMNS = "post_id, pos, channel, title, text, date, url"
+oracle("c8_filter_pricing_posts", f"select {POST_COLUMNS} from ({PRICING})", "fx_posts")
+oracle("c8_filter_discussion_posts", f"""
+select {POST_COLUMNS} from ({filtered(V.CUSTOMER_SIGNAL, "and lower(channel) <> 'startups'")})""", "fx_posts")
+oracle("c9_exclude_own", "select pos, author from fx_posts where pos % 2 = 1 or lower(author) <> 'acmehandle'", "fx_posts")
+oracle("c10_select_entities", f"""
+select entity_id, name from ({ENTITIES}) where lower(name) = lower('SUPPLIER#000000003')""", "fx_entities")
+oracle("c10_entities_with_id", f"select entity_id, name from ({ENTITIES}) where search_term <> ''", "fx_entities")
+oracle("c11_within_days", """
+select event_id, case when coalesce(label, '') = '' or contains(lower(label), 'just now') or contains(lower(label), 'yesterday') then true
+  when regexp_matches(label, '^\\d+d$') then cast(regexp_extract(label, '\\d+') as int) <= 7
+  when regexp_matches(label, '^\\d+ weeks$') then cast(regexp_extract(label, '\\d+') as int) * 7 <= 7
+  when regexp_matches(label, '^\\d+mo$') then cast(regexp_extract(label, '\\d+') as int) * 30 <= 7
+  when try_strptime(label, ['%B %d, %Y', '%b %d, %Y']) is not null
+    then date_diff('day', cast(try_strptime(label, ['%B %d, %Y', '%b %d, %Y']) as date), cast(as_of as date)) <= 7
+  else true end as recent from fx_age_labels""", "fx_age_labels")
+oracle("c12_content_hash", f"select doc_id, sha256({collapsed_trim('text')}) as content_hash from documents")
+oracle("c13_sanitize", """
+select doc_id, sha256(regexp_replace(replace(replace(text, 'a', chr(7) || 'a'), '.', '.' || chr(11) || chr(13) || chr(9)),
+  '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')) as clean_hash from documents""")
+oracle("c14_truncate", f"""
+select doc_id, {cut('text', 500)} as cut, {cut('text', 2900, "chr(10) || '_[truncated]_'")} as block from documents""")
+oracle("c15_truncate_words", f"""
+select doc_id, {cut_words('c', 220, 48)} as phrase, {cut_words('c', 140, 60)} as note
+from (select doc_id, {collapsed_trim('text')} as c from documents)""")
+oracle("c16_truncate_smart", f"select doc_id, {cut_smart('text', 220)} as smart from documents")
+oracle("c17_pricing_callouts", f"""
+select id, {hit('summary_text', V.PRICING_CALLOUT)} as callout, {hit('summary_text', V.NON_MATERIAL_PRICING)} as non_material
+from fx_summaries""", "fx_summaries")
+
+
+def label_case(col: str, variant: int) -> str:
+    cases = " ".join(f"when '{k}' then {q(v[variant])}" for k, v in V.SOURCE_LABELS.items())
+    return f"case {col} {cases} else {col} end"
+
+
+oracle("c18_source_labels", f"""
+select seq, {label_case('s', 0)} as label, {label_case('s', 1)} as digest_label
+from (select seq, case when seq % 11 = 0 then 'custom:feed' else source end as s from fx_source_status)""", "fx_source_status")
+
+
+def keyword_queries(defaults: list[str]) -> str:
+    fixed = "[" + ", ".join(q(k) for k in defaults) + "]"
+    return f"""
+select entity_id, row_number() over (partition by entity_id order by i) - 1 as keyword_idx, concat('"', term, '" "', k, '"') as query
+from (select entity_id, term, k, i from (
+  select entity_id, coalesce(nullif(search_term, ''), name) as term, unnest(ks) as k, unnest(range(len(ks))) as i
+  from (select *, case when len(keywords) > 0 then keywords else {fixed} end as ks from ({ENTITIES})))
+  qualify row_number() over (partition by entity_id, lower(k) order by i) = 1)
+qualify row_number() over (partition by entity_id order by i) <= 6"""
+
+
+oracle("c19_pricing_queries", keyword_queries(V.PRICING_KEYWORDS), "fx_entities")
+oracle("c19_discussion_queries", keyword_queries(V.DISCUSSION_KEYWORDS), "fx_entities")
+oracle("c19_commentary_queries", f"""
+select entity_id, unnest(range(len(ks))) as keyword_idx, unnest(ks) as query from (
+  select entity_id, case when len(keywords) > 0 then keywords[1:2] else [coalesce(nullif(search_term, ''), name)] end as ks
+  from ({ENTITIES}))""", "fx_entities")
+NOTED = f"""
+select *, author as entity_id, case when pos % 2 = 0 then [concat('note ', pos), channel] else [] end as comments from ({PRICING})
+"""
+oracle("c20_item_text", f"""
+select pos, concat(title, chr(10), left(text, 700), case when pos % 2 = 0 then concat(chr(10), chr(10), 'Top comments:', chr(10),
+    left(array_to_string(list_transform(comments, lambda c: '- ' || c), chr(10)), 900)) else '' end) as forum,
+  concat('[', case when pos % 3 = 0 then '3d' else 'unknown date' end, '] ', left(title, 1200), chr(10), 'URL: n/a') as organic,
+  concat(title, chr(10), left(text, 700)) as social from ({NOTED})""", "fx_posts")
+oracle("c21_to_post", f"""
+select post_id, title, text, url, 'unknown' as channel, date, '' as comments from ({SOCIAL})""", "fx_payload")
+
+# --- Dedup, ranking and enrichment ---
+FIRST_POSTS = f"select * from ({PRICING}) qualify row_number() over (partition by post_id order by keyword_idx, pos) = 1"
+oracle("d1_dedup_first", f"select post_id, keyword_idx, pos, title from ({FIRST_POSTS})", "fx_posts")
+oracle("d3_select_recent", """
+select entity_id, item_id, seq from (
+  select * from (select i.*, case when coalesce(label, '') = '' or contains(lower(label), 'just now') or contains(lower(label), 'yesterday') then true
+      when regexp_matches(label, '^\\d+d$') then cast(regexp_extract(label, '\\d+') as int) <= 7
+      when regexp_matches(label, '^\\d+ weeks$') then cast(regexp_extract(label, '\\d+') as int) * 7 <= 7
+      when regexp_matches(label, '^\\d+mo$') then cast(regexp_extract(label, '\\d+') as int) * 30 <= 7
+      when label = 'January 1, 2020' then false when label = 'Jan 25, 2024' then date_diff('day', date '2024-01-25', cast(as_of as date)) <= 7
+      else true end as recent
+    from fx_items i join fx_age_labels l on l.event_id = i.seq) where recent
+  qualify row_number() over (partition by entity_id, item_id order by seq) = 1)
+qualify row_number() over (partition by entity_id order by seq) <= 20""", "fx_items", "fx_age_labels")
+PRICE_CLASS = f"case when {hit('body', V.PRICE_SIGNAL)} then 0 else 1 end"
+
+
+def ranked(cls: str, keep: str = "true") -> str:
+    return f"""
+select post_id, comment_id, rank, left(body, 400) as body from (
+  select *, row_number() over (partition by post_id order by {cls}, comment_id) as rank from fx_comments where {keep}) where rank <= 8"""
+
+
+IS_CUSTOMER, IS_EMPLOYEE = hit("body", V.CUSTOMER_SIGNAL), hit("body", V.EMPLOYEE_SIGNAL)
+oracle("d4_rank_pricing_comments", ranked(PRICE_CLASS), "fx_comments")
+oracle("d4_rank_discussion_comments", ranked(
+    f"case when {IS_CUSTOMER} then 0 else 1 end", f"({IS_CUSTOMER} or not {IS_EMPLOYEE})"), "fx_comments")
+oracle("d5_attach_comments", f"""
+select p.author as entity_id, p.post_id, case when p.rn <= 10 then coalesce(c.comments, '') else '' end as comments
+from (select *, row_number() over (partition by author order by keyword_idx, pos) as rn from ({FIRST_POSTS})) p
+left join (select concat('p', post_id) as post_id, string_agg(body, '|' order by rank) as comments from ({ranked(PRICE_CLASS)}) group by 1) c
+  on c.post_id = p.post_id""", "fx_posts", "fx_comments")
+oracle("d6_union_sources", f"""
+select post_id, pos, title, author, null::varchar as channel from ({PRICING})
+union all select post_id, pos, title, null, channel from ({DISCUSSION})""", "fx_posts")
+oracle("d9_prefix_budget", """
+select doc_id, source, cast(running as bigint) as running from (
+  select *, sum(length(text)) over (partition by source order by doc_id) as running from documents) where running <= 22000""")

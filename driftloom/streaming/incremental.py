@@ -7,7 +7,7 @@ also lets a hot page or item use the skew-safe batch plans instead of one state-
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -67,17 +67,28 @@ def stream_new(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicates(S.ITEM_KEYS)
 
 
+def utc_instant(ts: Column) -> Column:
+    """A zoneless time read as UTC, whatever the session time zone (whole seconds)."""
+    days = F.datediff(ts, F.lit("1970-01-01")).cast("bigint")
+    return F.timestamp_seconds(days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
+
+
 def weekly_windows(stream: DataFrame, at: str, delay: str = "7 days") -> DataFrame:
     """Counts per Monday-based week, entity and platform; partial counts combine before the shuffle.
 
     The epoch was a Thursday, so weeks start four days after it.
     """
     week = F.window(F.col(at), "7 days", startTime="4 days")
+    start_day = F.floor(F.unix_seconds("_week.start") / 86400).cast("int")
     return (
-        stream.withWatermark(at, delay)
+        stream.withColumn(at, utc_instant(F.col(at)))
+        .withWatermark(at, delay)
         .groupBy(week.alias("_week"), "entity_id", "platform")
         .agg(F.count(F.lit(1)).alias("new_count"))
-        .select(F.to_date("_week.start").alias("week_start"), "entity_id", "platform", "new_count")
+        .select(
+            F.date_add(F.lit("1970-01-01").cast("date"), start_day).alias("week_start"),
+            "entity_id", "platform", "new_count",
+        )
     )
 
 
