@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -243,8 +241,15 @@ def pack_blocks(blocks: DataFrame, size: int = V.MESSAGE_BLOCKS, width: int = SE
     early = (F.col("block_no") % width < size) & (F.col("segment") > 0)
     ahead = flags.filter(early).withColumn("segment", F.col("segment") - 1)
     seen = flags.withColumn("ahead", F.lit(False)).unionByName(ahead.withColumn("ahead", F.lit(True)))
+
+    def segment_table(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _segment_table(pdf, size)
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _assign(pdf, size)
+
     tables = seen.groupBy("run_id", "segment").applyInPandas(
-        partial(_segment_table, size=size),
+        segment_table,
         f"run_id {run_type}, segment bigint, entry bigint, leaves bigint, messages bigint",
     )
     entries = tables.groupBy("run_id").applyInPandas(
@@ -254,7 +259,7 @@ def pack_blocks(blocks: DataFrame, size: int = V.MESSAGE_BLOCKS, width: int = SE
         seen.join(entries, ["run_id", "segment"])
         .groupBy("run_id", "segment")
         .applyInPandas(
-            partial(_assign, size=size), f"run_id {run_type}, block_no bigint, message_no bigint"
+            assign, f"run_id {run_type}, block_no bigint, message_no bigint"
         )
     )
     return blocks.join(numbered, ["run_id", "block_no"])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from driftloom.functions import vocab as V
+from driftloom.operators import digest as D
+from driftloom.operators import reports as R
 from driftloom.plans.adapters import with_views
 
 ORACLES: dict[str, str] = {}
@@ -477,3 +479,435 @@ union all select post_id, pos, title, null, channel from ({DISCUSSION})""", "fx_
 oracle("d9_prefix_budget", """
 select doc_id, source, cast(running as bigint) as running from (
   select *, sum(length(text)) over (partition by source order by doc_id) as running from documents) where running <= 22000""")
+
+# --- Coverage ---
+STATUS = """
+select run_id, entity_id, source, arg_max(status, seq) as status, arg_max(coalesce(note, ''), seq) as note, min(seq) as position
+from (select *, entity_id % 7 as run_id from fx_source_status) group by all
+"""
+OPEN = "status in ('failed', 'skipped')"
+oracle("g1_source_status", f"select * from ({STATUS})", "fx_source_status")
+
+
+def json_text(col: str) -> str:
+    return f"concat('\"', replace({col}, '\"', '\\\"'), '\"')"
+
+
+oracle("e6_log_run", f"""
+select s.entity_id, 'success' as status, coalesce(new_ads_count, 0) as new_ads_count, coalesce(new_posts_count, 0) as new_posts_count,
+  coalesce(pages_changed_count, 0) as pages_changed_count,
+  concat('{{"status":{{', string_agg(concat({json_text('source')}, ':', {json_text('s.status')}), ',' order by position), '}},"notes":{{',
+    string_agg(concat({json_text('source')}, ':', {json_text('note')}), ',' order by position), '}}}}') as sources_json
+from ({STATUS}) s
+left join (select entity_id, count(*) filter (platform = 'click') as new_ads_count,
+        count(*) filter (platform <> 'click') as new_posts_count from ({FRESH}) group by 1) i on i.entity_id = s.entity_id
+left join (select entity_id, count(*) filter (verdict = 'changed') as pages_changed_count from ({CHANGES}) group by 1) p
+  on p.entity_id = s.entity_id group by all""", "fx_items", "fx_captures", "fx_source_status")
+oracle("g2_needs_pricing_research", f"""
+select entity_id, needed, case when not needed then 'not_needed' end as status,
+  case when not needed then {q(V.NOT_NEEDED_NOTE)} end as note
+from (select c_custkey as entity_id, c_custkey % 5 = 0 or (captured and (n % 16 = 6 or text = '' or not {hit('text', V.CONCRETE_PRICE)})) as needed
+  from (select c_custkey, seq as n, seq is not null as captured, case when seq % 8 = 2 then '' when seq % 12 = 6 then concat(content_text, ' from $ 99') else content_text end as text
+    from customer left join (select * from fx_captures where page_type = 'pricing'
+      qualify row_number() over (partition by entity_id order by seq desc) = 1) on entity_id = c_custkey))""", "fx_captures")
+oracle("g3_route_fallbacks", """
+select entity_id, network as network_fallback, (forum or coalesce(p, '') = '') and coalesce(d, '') = '' as forum_fallback
+from (select entity_id, bool_or(source = 'linkedin:ads' and status in ('failed', 'skipped')) as network,
+    bool_or(source = 'reddit:pricing' and status in ('failed', 'skipped')) as forum
+  from (select entity_id, source, arg_max(status, seq) as status from fx_source_status group by all) group by 1)
+left join (select entity_id, arg_max(summary_text, id) filter (summary_type = 'pricing_research') as p,
+    case when entity_id < 5 then arg_max(summary_text, id) filter (summary_type = 'reddit_discussion') end as d
+  from fx_summaries group by 1) using (entity_id)""", "fx_source_status", "fx_summaries")
+oracle("g4_cascade_skips", f"""
+with a as (select cast(floor(seq / 100) as bigint) as run_id, seq as run_pos, entity_id, seq % 6 > 0 as has_id, seq % 4 = 0 as ads_set,
+    case when source <> 'linkedin:ads' then 'ok' when status = 'failed' then 'expired' when status = 'skipped' then 'partial' else 'ok' end as outcome,
+    coalesce(case when seq % 3 > 0 then nullif(note, '') end, 'unknown scrape failure') as blame from fx_source_status),
+b as (select *, coalesce(max((has_id and outcome = 'expired')::int) over (partition by run_id order by run_pos
+    rows between unbounded preceding and 1 preceding), 0) = 1 as later from a)
+select run_id, run_pos, entity_id,
+  case when not has_id then 'not_configured' when later then 'skipped' when outcome = 'expired' then 'failed'
+    when outcome = 'partial' and not ads_set then 'failed' else 'ok' end as ads,
+  case when not has_id then null when later then {q(V.EXPIRED_EARLIER)} when outcome = 'expired' then 'session expired'
+    when outcome = 'partial' and not ads_set then blame end as ads_note,
+  case when not has_id then 'not_configured' when later then 'skipped' when outcome = 'expired' then 'skipped'
+    when outcome = 'partial' then 'failed' else 'ok' end as organic,
+  case when not has_id then null when later then {q(V.EXPIRED_EARLIER)} when outcome = 'expired' then 'session expired — organic post scan skipped'
+    when outcome = 'partial' then blame end as organic_note
+from b""".replace("with a as", "a as", 1), "fx_source_status")
+ORACLES["g4_cascade_skips"] = ORACLES["g4_cascade_skips"].replace(")\n\na as", "),\na as")
+oracle("g5_coverage_summary", f"""
+select run_id, entity_id, string_agg(line, '; ' order by position) as coverage_summary from (
+  select *, concat({label_case('source', 0)}, ' ', status, case when note <> '' then ': ' || note else '' end) as line
+  from ({STATUS}) where {OPEN} qualify row_number() over (partition by run_id, entity_id order by position) <= 4) group by all""", "fx_source_status")
+BUCKET_COUNTS = ", ".join(
+    f"case when count(*) filter (b = '{b}') > 0 then concat('{label} ', count(*) filter (b = '{b}')) end" for b, label in V.COVERAGE_BUCKETS
+)
+oracle("g6_coverage_bullet", f"""
+select run_id, concat('• Coverage note: partial scrape failures/skips affected ', count(distinct entity_id), ' competitor(s) (',
+  concat_ws(', ', {BUCKET_COUNTS}), '); review coverage before treating the run as complete.') as bullet
+from (select *, split_part(source, ':', 1) as b from ({STATUS}) where {OPEN}) group by 1""", "fx_source_status")
+
+
+def issue(source: str, status: str, note: str) -> str:
+    return (
+        f"case when {status} = 'failed' then concat(':warning: *', {label_case(source, 1)}, ':* failed', case when {note} <> '' then concat(' (', {note}, ')') else '' end) "
+        f"when {status} = 'skipped' then concat(':information_source: *', {label_case(source, 1)}, ':* skipped', case when {note} <> '' then concat(' (', {note}, ')') else '' end) end"
+    )
+
+
+oracle("g7_issue_lines", f"""
+select run_id, entity_id, source, {issue('source', 'status', 'note')} as line from ({STATUS})
+where source like 'website:%' and {OPEN}""", "fx_source_status")
+
+# --- Reports ---
+WIDE = ", ".join(
+    f"arg_max(summary_text, id) filter (summary_type = '{kind}') as {col}" for kind, col in V.SUMMARY_COLUMNS.items()
+)
+oracle("g8_entity_report", f"select run_id, entity_id, {WIDE} from fx_summaries group by run_id, entity_id", "fx_summaries")
+REPORTS = """
+select *, concat('Entity ', entity_id) as name, concat('https://e', entity_id, '.example') as website_url,
+  case when (run_id + entity_id) % 7 = 0 then 'Blog failed: timeout' end as coverage_summary from fx_reports
+"""
+GIVEN = [
+    "pricing_research_summary", "pricing_change", "homepage_change", "linkedin_ads_summary",
+    "reddit_discussion_summary", "coverage_summary", "error",
+]
+
+
+def clean_text(col: str) -> str:
+    return f"regexp_replace({col}, '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')"
+
+
+EVIDENCE = ", ".join(
+    f"case when {c} <> '' then concat('{label}: ', {cut(clean_text(c), 520)}) end" for label, c in V.EVIDENCE_FIELDS if c in GIVEN
+)
+oracle("g9_evidence_block", f"""
+select run_id, entity_id, concat_ws(chr(10), {EVIDENCE}) as evidence from ({REPORTS})""", "fx_reports")
+
+
+def packet(kind: str) -> str:
+    n, chars, _ = R.EVIDENCE_CAPS[kind]
+    order = "row_number() over (partition by entity_id order by pos)"
+    head = (
+        f"select entity_id, string_agg(entry, {{sep}} order by rn) as evidence from (select *, {{entry}} as entry "
+        f"from (select *, {order} as rn from ({NOTED}) n) where rn <= {n}) {{keep}} group by 1"
+    )
+    if kind == "jobs":
+        body = head.format(sep="chr(10)", entry="concat('- ', text)", keep="")
+    elif kind in R.FORUM_TYPES:
+        entry = (
+            "concat(chr(10), '---', chr(10), 'Date: ', date, '  |  Subreddit: r/', channel, chr(10), 'Title: ', title, chr(10), 'URL: ', url, "
+            "chr(10), 'Post body:', chr(10), text, chr(10), case when pos % 2 = 0 then concat('Top comments:', chr(10), "
+            "array_to_string(list_transform(comments, lambda c: '- ' || c), chr(10)), chr(10)) else '' end)"
+        )
+        body = head.format(sep="''", entry=entry, keep="")
+    else:
+        text = "text" if kind in ("linkedin_ads", "linkedin_organic") else "coalesce(nullif(text, ''), title)"
+        body_text = cut(text, chars)
+        if kind == "linkedin_ads":
+            entry = f"concat('Ad ', rn, ':', chr(10), {body_text}, chr(10), 'Duration: ', date)"
+        else:
+            label = {"twitter_activity": "Tweet ", "facebook_reviews": "Review "}.get(kind, "Post ")
+            by = "' by ', author, " if kind.endswith("_social") else ""
+            url = "" if kind == "facebook_reviews" else ", chr(10), 'URL: ', url"
+            entry = f"concat('{label}', rn, {by}' (', date, '):', chr(10), {body_text}{url})"
+        body = head.format(sep="chr(10) || chr(10)", entry=entry, keep="")
+    return f"""
+select '{kind}' as kind, entity_id, item_count, evidence from ({body})
+join (select entity_id, count(*) as item_count from ({NOTED}) group by 1) using (entity_id)"""
+
+
+oracle("g10_evidence_packets", " union all ".join(packet(k) for k in R.EVIDENCE_CAPS), "fx_posts")
+oracle("g10_page_evidence", f"""
+select doc_id, {cut(clean_text('old'), 3000)} as old_text, {cut(clean_text('text'), 3000)} as new_text
+from (select doc_id, text, lag(text) over (partition by source order by doc_id) as old from documents) where old is not null""")
+
+
+def fallback(kind: str) -> str:
+    chars = R.EVIDENCE_CAPS[kind][2]
+    n = 5 if kind == "jobs" else 3
+    text = "text" if kind in ("linkedin_ads", "linkedin_organic") else "coalesce(nullif(text, ''), title)"
+    line = "text" if kind == "jobs" else "concat(title, ' (', url, ')')" if kind in R.FORUM_TYPES else cut(text, chars)
+    sep = "', '" if kind == "jobs" else "chr(10) || '• '"
+    start = "concat(item_count, ' new job posting(s): ')" if kind == "jobs" else "'• '"
+    return f"""
+select '{kind}' as kind, entity_id, item_count, concat({start}, body) as summary_text
+from (select entity_id, max(c) as item_count, string_agg(line, {sep} order by rn) filter (rn <= {n}) as body from (
+  select *, {line} as line, count(*) over (partition by entity_id) as c,
+    row_number() over (partition by entity_id order by pos) as rn from ({NOTED}) n) group by 1)"""
+
+
+oracle("g11_fallback_summaries", " union all ".join(fallback(k) for k in R.EVIDENCE_CAPS), "fx_posts")
+HEADED = [
+    ("linkedin_ads", "linkedin", "concat('*', item_count, ' new ad(s) detected*', chr(10))"),
+    ("linkedin_organic", "linkedin_organic", "concat('*', item_count, ' new post(s) in last 7 days*', chr(10))"),
+    ("linkedin_organic", "apidirect_linkedin", "'*LinkedIn (via API Direct)*' || chr(10)"),
+    ("reddit_discussion", "apidirect_reddit", "'*Reddit (via API Direct)*' || chr(10)"),
+    ("twitter_activity", "twitter", "''"),
+]
+oracle("g12_headlines", " union all ".join(
+    f"select '{platform}' as platform, entity_id, item_count, concat({prefix}, summary_text) as summary_text from ({fallback(kind)})"
+    for kind, platform, prefix in HEADED), "fx_posts")
+
+MARK = q(V.BULLET_MARK)
+
+
+def unmarked(col: str) -> str:
+    return f"trim(regexp_replace({col}, {MARK}, ''))"
+
+
+def words(col: str) -> str:
+    return f"len(list_filter(string_split({col}, ' '), lambda w: w <> ''))"
+
+
+SIGNAL_SKIP = "'^(step 1|step 2|step 3|extract|normalize|synthesize)'"
+
+
+def signal(col: str, n: int) -> str:
+    cleaned = f"list_transform({split_lines(col)}, lambda x: trim(regexp_replace({unmarked('x')}, '\\*+', '', 'g')))"
+    useful = (
+        f"list_filter({cleaned}, lambda y: not regexp_matches(lower(y), {SIGNAL_SKIP}) and not (y like '%:' and {words('y')} <= 5))"
+    )
+    return f"rtrim(left({collapsed_trim(f'coalesce(({useful})[1], {col}, {chr(39)*2})')}, {n}))"
+
+
+oracle("g13_signal_line", f"select id, {signal('summary_text', 60)} as line from fx_summaries", "fx_summaries")
+SKIPPED = "'^(" + "|".join(V.COMPACT_SKIP_PREFIXES) + ")'"
+
+
+def compact_ctes(source: str, name: str, n: int, chars: int) -> str:
+    """CTEs from ``source`` (key, text) to ``name`` (key, bullets)."""
+    inline = "regexp_replace(x, '(•\\s+|\\d+[.)]\\s+)', chr(1) || '\\1', 'g')"
+    kept = (
+        "list_filter(list_transform(list_filter({0}, lambda x: not regexp_matches(x, '^#{{1,6}}\\s+') and not regexp_matches(lower(x), "
+        + SKIPPED.replace("{", "{{").replace("}", "}}") + ")), lambda x: " + unmarked("x").replace("{", "{{").replace("}", "}}")
+        + "), lambda y: not (y like '%:' and " + words("y") + " <= 5))"
+    )
+    plain = "list_filter(list_transform(" + kept + ", lambda x: trim(replace(x, '**', ''))), lambda x: x <> '')"
+    return f"""
+{name}_e as (select key, text, list_filter(list_transform(flatten(list_transform({split_lines('text')},
+    lambda x: string_split({inline}, chr(1)))), lambda x: trim(x)), lambda x: x <> '') as entries from {source}),
+{name}_a as (select key, text, {plain.format('entries')} as every, list_position(list_transform(entries,
+    lambda x: contains(lower(x), 'step 3') or contains(lower(x), 'synthes')), true) as mark_at, entries from {name}_e),
+{name}_l as (select key, text, every, case when mark_at > 0 then {plain.format('entries[mark_at + 1:]')} else [] end as late from {name}_a),
+{name}_c as (select key, text, case when len(late) >= {n} then late else list_concat(late, every) end as found from {name}_l),
+{name}_f as (select key, text, case when len(found) > 0 then found else
+    string_split(regexp_replace({collapsed_trim('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) end as chosen from {name}_c),
+{name}_t as (select key, text, list_filter(list_transform(chosen, lambda x: trim({collapsed_trim('x')}, ' •-*')),
+    lambda x: x <> '' and not regexp_matches(lower(x), {SKIPPED})) as points from {name}_f),
+{name}_d as (select key, text, list_filter(points, lambda x, i: list_position(list_transform(points, lambda z: lower(z)), lower(x)) = i)[1:{n}] as firsts from {name}_t),
+{name} as (select key, case when coalesce(text, '') = '' then '' when len(firsts) = 0 then '• Summary unavailable' else
+    array_to_string(list_transform(firsts, lambda x: '• ' || {cut_smart('x', chars)}), chr(10)) end as bullets from {name}_d)"""
+
+
+def chained(name: str, ctes: str, sql: str, *views: str) -> None:
+    """An oracle with further common table expressions after the adapter views."""
+    ORACLES[name] = with_views("@@", *views).replace("\n@@", ",\n" + ctes + "\n" + sql)
+
+
+chained("g14_compact_bullets", "s as (select id as key, summary_text as text from fx_summaries),"
+        + compact_ctes("s", "short", 3, 220) + "," + compact_ctes("s", "long", 6, 380),
+        "select short.key as id, short.bullets as bullets, long.bullets as long_bullets from short join long using (key)", "fx_summaries")
+LONG_BULLETS = f"""
+select doc_id, concat(case when doc_id % 5 = 0 then 'no bullet' || chr(10) else '' end, array_to_string(list_transform(
+  range(0, least(len(ws) // 12, 40) + 1), lambda i: '• ' || array_to_string(ws[i * 12 + 1:i * 12 + 12], ' ')), chr(10))) as bullets
+from (select doc_id, string_split({collapsed_trim('text')}, ' ') as ws from documents)
+"""
+oracle("g15_fit_bullets", f"""
+select doc_id, case when length(bullets) <= 700 then bullets
+  when doc_id % 5 = 0 or kept = 0 then {cut('bullets', 2900, "chr(10) || '_[truncated]_'")}
+  else concat(array_to_string(rows[1:kept], chr(10)), case when kept < len(rows) then chr(10) || {q(V.TRUNCATED_NOTICE)} else '' end) end as fitted
+from (select *, len(list_filter(range(1, len(rows) + 1), lambda i: list_sum(list_transform(rows[1:i], lambda x: length(x) + 1)) - 1
+    <= greatest(200, 700 - {len(V.TRUNCATED_NOTICE) + 1}))) as kept
+  from (select doc_id, bullets, {split_lines('bullets')} as rows from ({LONG_BULLETS})))""")
+
+
+def cut_phrase(col: str, n: int = 220) -> str:
+    return cut_words(collapsed_trim(col), n, 48)
+
+
+def card_of(name: str, points: str) -> str:
+    return (
+        f"concat('Competitor: ', {name}, chr(10), 'Signals:', chr(10), case when len({points}) > 0 then array_to_string({points}, chr(10)) "
+        f"else {q(V.NO_MOVEMENT)} end)"
+    )
+
+
+oracle("g16_normalize_card", f"""
+select id, {card_of("concat('Entity ', entity_id)", 'points')} as card from (
+  select id, entity_id, list_transform(list_filter(list_transform(list_filter({split_lines('summary_text')},
+      lambda x: not regexp_matches(lower(x), '^(competitor:|signals:)') and not (x like '%:' and {words('x')} <= 4)),
+    lambda x: {unmarked('x')}), lambda x: x <> '')[1:5], lambda x: '- ' || {cut_phrase('x')}) as points from fx_summaries)""", "fx_summaries")
+PRICE_TEXT = "coalesce(nullif(pricing_research_summary, ''), nullif(pricing_change, ''))"
+CARD_MESSAGE = "coalesce(nullif(linkedin_ads_summary, ''), nullif(reddit_discussion_summary, ''), nullif(homepage_change, ''))"
+SIGNALS = f"""
+select *, {signal(PRICE_TEXT, 180)} as s_price, {signal(CARD_MESSAGE, 180)} as s_message,
+  {signal("case when coalesce(error, '') <> '' then error else coverage_summary end", 180)} as s_risk,
+  {signal(PRICE_TEXT, 140)} as x_price, {signal(CARD_MESSAGE, 140)} as x_message,
+  {signal("coalesce(nullif(error, ''), nullif(coverage_summary, ''))", 120)} as x_risk,
+  {signal('pricing_research_summary', 150)} as b_one, {signal('pricing_change', 150)} as b_two from ({REPORTS})
+"""
+CARD_POINTS = ", ".join(
+    f"case when {c} <> '' then concat('- {label}: ', {cut_phrase(c, 200)}) end"
+    for label, c in (("Pricing/packaging", "s_price"), ("Messaging/GTM", "s_message"), ("Coverage risk", "s_risk"))
+)
+CARDS = f"""
+select run_id, entity_id, {card_of('name', 'points')} as card from (
+  select *, list_filter([{CARD_POINTS}], lambda x: x is not null) as points from ({SIGNALS}))
+"""
+oracle("g17_fallback_card", f"select * from ({CARDS})", "fx_reports")
+
+
+def material(col: str) -> str:
+    return f"({col} <> '' and not {hit(col, V.NON_MATERIAL_PRICING)} and {hit(col, V.PRICING_CALLOUT)})"
+
+
+BULLETS = f"""
+select run_id, arg_min(bullet, entity_id) as pricing_bullet from (
+  select run_id, entity_id, concat('• ', name, ' pricing update: ', rtrim(case when {material('b_one')} then b_one else b_two end, '. '), '.') as bullet
+  from ({SIGNALS}) where {material('b_one')} or {material('b_two')}) group by 1
+"""
+oracle("g18_pricing_bullet", BULLETS, "fx_reports")
+DRAFTS = """
+select run_id, entity_id, concat_ws(chr(10), '• Messaging moved.', homepage_change, '  ', linkedin_ads_summary) as draft from fx_reports
+"""
+
+
+def ensured(col: str, n: int) -> str:
+    rows = split_lines(col)
+    return (
+        f"array_to_string((case when len(list_filter({rows}, lambda x: {hit('x', V.PRICING_CALLOUT)})) > 0 or pricing_bullet is null "
+        f"then {rows} else list_concat([pricing_bullet], {rows}) end)[1:{n}], chr(10))"
+    )
+
+
+oracle("g19_ensure_pricing", f"""
+select run_id, entity_id, {ensured('draft', 4)} as ensured from ({DRAFTS}) left join ({BULLETS}) using (run_id)""", "fx_reports")
+EXECUTIVE = f"""
+select run_id, case when e is null then {q(V.NO_ENTITIES)} else {ensured('e', 6)} end as executive from
+  (select distinct run_id from fx_summaries union all select max(run_id) + 1 from fx_summaries)
+left join (select run_id, coalesce(nullif(concat_ws(chr(10), '• *Pricing watch:* ' || arg_min(name || ': ' || x_price, entity_id) filter (x_risk = '' and x_price <> ''),
+    '• *Messaging shift:* ' || arg_min(name || ': ' || x_message, entity_id) filter (x_risk = '' and x_message <> ''),
+    '• *Execution risk:* ' || arg_min(name || ': ' || x_risk, entity_id) filter (x_risk <> '')), ''), {q(V.NO_CHANGES)}) as e
+  from ({SIGNALS}) group by 1) using (run_id)
+left join ({BULLETS}) using (run_id)
+"""
+oracle("g20_executive_fallback", EXECUTIVE, "fx_reports")
+oracle("g20_card_evidence", f"""
+select * from (select run_id, entity_id, card, cast(sum(length(card)) over (partition by run_id order by entity_id) as bigint) as running
+  from ({CARDS})) where running <= 22000""", "fx_reports")
+oracle("g21_append_bullet", f"""
+select run_id, entity_id, case when run_id % 3 = 0 then draft else array_to_string(rows[greatest(len(rows) - 2, 1):], chr(10)) end as appended
+from (select *, list_concat({split_lines('draft')}, ['• Added last']) as rows from ({DRAFTS}))""", "fx_reports")
+oracle("g22_recovery_run", f"""
+select run_id, entities, has_new, case when has_new then executive else
+  array_to_string(list_concat({split_lines('executive')}, [{q(V.NO_NET_NEW)}])[-4:], chr(10)) end as executive
+from ({EXECUTIVE}) join (
+  select s.run_id, count(*) as entities, bool_or(coalesce(s.entity_id % 4 = 0 and linkedin_ads_summary <> '', false)) as has_new
+  from (select distinct run_id, entity_id from ({STATUS}) where source in ('linkedin:ads', 'linkedin:organic') and entity_id % 2 = 0
+    and entity_id in (select c_custkey from customer)) s
+  left join fx_reports r on r.run_id = s.run_id and r.entity_id = s.entity_id group by 1) using (run_id)""", "fx_reports", "fx_source_status")
+
+# --- Digest ---
+SECTION_ORDER = {  # report column: (section number, title)
+    "pricing_research_summary": (6, "*Pricing Intel (Reddit):*"),
+    "reddit_discussion_summary": (7, "*Reddit Customer Voice:*"),
+    "linkedin_ads_summary": (8, "*LinkedIn Ads:*"),
+}
+LONG_TEXTS = " union all ".join(
+    f"select concat(run_id, '/', entity_id, '/{c}') as key, {c} as text from fx_reports" for c in SECTION_ORDER
+)
+SOURCES = """
+select entity_id, source, arg_max(status, seq) as status, arg_max(note, seq) as note from fx_source_status group by all
+"""
+BLOCK_CUT = cut("{0}", 2900, "chr(10) || '_[truncated]_'")
+
+
+def shown(title: str, col: str) -> str:
+    text = f"concat('{title}', chr(10), {col})"
+    return BLOCK_CUT.replace("{0}", text)
+
+
+def single(source: str) -> str:
+    return f"max(case when source = '{source}' then {issue('source', 'status', 'note')} end)"
+
+
+DIGEST_CTES = (
+    f"texts as ({LONG_TEXTS})," + compact_ctes("texts", "compact", 3, 220)
+    + f""",
+execs as (select run_id, executive from ({EXECUTIVE})),
+exec_texts as (select run_id as key, executive as text from execs),""" + compact_ctes("exec_texts", "exec_compact", 6, 380)
+    + f""",
+issues as (select entity_id, {single('website:pricing')} as site, count(*) filter (source like 'website:%') > 0 as has_site,
+    {single('reddit:pricing')} as forum, {single('linkedin:ads')} as ads,
+    bool_or(source = 'linkedin:ads' and status = 'not_configured') as ads_unset from ({SOURCES}) group by 1),
+full_reports as (select r.*, i.site, i.has_site, i.forum, i.ads, coalesce(i.ads_unset, false) as ads_unset,
+    c1.bullets as t_pricing, c2.bullets as t_discussion, c3.bullets as t_ads from ({REPORTS}) r left join issues i using (entity_id)
+  left join compact c1 on c1.key = concat(r.run_id, '/', r.entity_id, '/pricing_research_summary')
+  left join compact c2 on c2.key = concat(r.run_id, '/', r.entity_id, '/reddit_discussion_summary')
+  left join compact c3 on c3.key = concat(r.run_id, '/', r.entity_id, '/linkedin_ads_summary')),
+sections as (
+  select run_id, entity_id, 0 as k, concat('*', name, '*  |  <', website_url, '|', website_url, '>') as text, error from full_reports
+  union all select run_id, entity_id, 1, {shown('*Homepage:*', 'homepage_change')}, error from full_reports where homepage_change <> ''
+  union all select run_id, entity_id, 2, {shown('*Pricing:*', 'pricing_change')}, error from full_reports where pricing_change <> ''
+  union all select run_id, entity_id, 3, case when site is not null then {shown('*Website Coverage:*', 'site')}
+      when has_site then ':white_check_mark: *Website:* No changes detected this week' else '*Website:* Not configured' end, error
+    from full_reports where site is not null or (coalesce(homepage_change, '') = '' and coalesce(pricing_change, '') = '')
+  union all select run_id, entity_id, 4, {shown('*Pricing Intel (Reddit):*', "case when pricing_research_summary <> '' then t_pricing else forum end")}, error
+    from full_reports where pricing_research_summary <> '' or forum is not null
+  union all select run_id, entity_id, 5, {shown('*Reddit Customer Voice:*', 't_discussion')}, error from full_reports where reddit_discussion_summary <> ''
+  union all select run_id, entity_id, 6, case when linkedin_ads_summary <> '' then {shown('*LinkedIn Ads:*', 't_ads')}
+      when ads_unset then '*LinkedIn Ads:* Not configured' else coalesce(ads, '*LinkedIn Ads:* No new ads') end, error from full_reports
+  union all select run_id, entity_id, 7, '*LinkedIn Organic:* No new posts in last 7 days', error from full_reports),
+parts as (
+  select run_id, 1 as part, entity_id, k, 'section' as kind, text from sections where coalesce(error, '') = '' or k = 0
+  union all select run_id, 1, entity_id, 1, 'section', concat(':warning: *Error:* ', error) from full_reports where error <> ''
+  union all select run_id, 1, entity_id, 99, 'divider', null from full_reports
+  union all select run_id, 0, 0, 0, 'header', 'Weekly Competitive Intel — 2024-02-01' from execs
+  union all select run_id, 0, 0, 1, 'divider', null from execs
+  union all select run_id, 2, 0, 0, 'section', {shown('*Executive Summary:*', 'bullets')} from execs join exec_compact on key = run_id
+  union all select run_id, 2, 0, 1, 'divider', null from execs
+  union all select run_id, 2, 0, 2, 'context', {q(D.FOOTER)} from execs),
+blocks as (select run_id, row_number() over (partition by run_id order by part, entity_id, k) - 1 as block_no, kind, text from parts),
+brief as (select run_id, row_number() over (partition by run_id order by part, entity_id, k) - 1 as block_no, kind, text from parts where part <> 1)"""
+)
+DIGEST_VIEWS = ("fx_reports", "fx_source_status")
+chained("g23_digest_blocks", DIGEST_CTES, "select * from blocks", *DIGEST_VIEWS)
+chained("g23_summary_digest", DIGEST_CTES, "select * from brief", *DIGEST_VIEWS)
+
+
+def packed(source: str) -> str:
+    """Message numbers by following the chain of message starts, one start at a time."""
+    return f"""
+hops as (select run_id, block_no, case when block_no + 50 >= n then n when d is not null then d + 1 else block_no + 50 end as after, n
+  from (select *, count(*) over (partition by run_id) as n, max(case when kind = 'divider' then block_no end) over (
+    partition by run_id order by block_no rows between 1 following and 49 following) as d from {source})),
+starts as (select run_id, cast(0 as bigint) as start_no, cast(0 as bigint) as message_no from (select distinct run_id from {source})
+  union all select h.run_id, h.after, s.message_no + 1 from starts s join hops h on h.run_id = s.run_id and h.block_no = s.start_no where h.after < h.n),
+packed as (select b.run_id, b.block_no, b.kind, b.text, max(s.message_no) as message_no from {source} b
+  join starts s on s.run_id = b.run_id and s.start_no <= b.block_no group by all)"""
+
+
+chained("g24_pack_blocks", DIGEST_CTES + "," + packed("blocks"), "select run_id, block_no, kind, message_no from packed", *DIGEST_VIEWS)
+ORACLES["g24_pack_blocks"] = ORACLES["g24_pack_blocks"].replace("with ", "with recursive ", 1)
+BLOCK_JSON = """case kind when 'header' then concat('{"type":"header","text":{"type":"plain_text","text":', to_json(text), ',"emoji":true}}')
+  when 'section' then concat('{"type":"section","text":{"type":"mrkdwn","text":', to_json(text), '}}')
+  when 'context' then concat('{"type":"context","elements":[{"type":"mrkdwn","text":', to_json(text), '}]}') else '{"type":"divider"}' end"""
+chained("a8_write_digest", DIGEST_CTES, f"""
+select run_id, cast(0 as bigint) as message_no, count(*) as block_count,
+  concat('{{"blocks":[', string_agg({BLOCK_JSON}, ',' order by block_no), ']}}') as payload from brief group by run_id""", *DIGEST_VIEWS)
+
+# --- Incremental forms ---
+oracle("h1_stream_changes", f"select seq, entity_id, page_type, content_hash, verdict from ({CHANGES})", "fx_captures")
+oracle("h2_stream_items", ITEM_STATE, "fx_items")
+oracle("h3_stream_new", """
+select seq, entity_id, platform, item_id from fx_items
+qualify row_number() over (partition by entity_id, platform, item_id order by seq) = 1""", "fx_items")
+oracle("h3_stream_new_in_state", "select distinct entity_id, platform, item_id from fx_items", "fx_items")
+oracle("h4_stream_trend", f"""
+select strftime(date_trunc('week', first_seen_at), '%Y-%m-%d') as week_start, entity_id, platform, count(*) as new_count
+from ({ITEM_STATE}) group by all""", "fx_items")
+oracle("h5_summarize_callback", f"""
+select entity_id, item_count, concat(item_count, ' items, longest: ', t) as summary_text from (
+  select entity_id, count(*) as item_count, max(case when rn <= 12 then (length(title), title) end)[2] as t from (
+    select *, row_number() over (partition by entity_id order by pos) as rn from ({NOTED}) n) group by 1)""", "fx_posts")
