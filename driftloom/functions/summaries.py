@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from driftloom.functions import vocab as V
 from driftloom.functions.predicates import is_pricing_callout, starts_with_any
 from driftloom.functions.text import (
+    INLINE_WS,
+    NOT_WS,
     WS,
     collapse,
     distinct_ignoring_case,
@@ -49,9 +51,9 @@ def signal_line(col: Column, n: int = 180) -> Column:
 
 
 def inline_bullets(col: Column) -> Column:
-    """One entry per bullet or line."""
-    pieces = F.flatten(F.transform(stripped_lines(col), lambda x: F.split(x, "(?U)" + V.INLINE_BULLET)))
-    return F.filter(F.transform(pieces, strip), lambda x: x != "")
+    """One entry per bullet or line: a line ends where a bullet mark with text after it begins."""
+    mark = rf"(?=(?U:{V.INLINE_BULLET}){INLINE_WS}+{NOT_WS})"
+    return stripped_lines(F.regexp_replace(col, mark, "\n"))
 
 
 def _bullet_candidates(entries: Column) -> Column:

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str methods see it; Java's \s alone misses NBSP, U+0085 and U+001C-1F.
-WS = r"[\s\x1c-\x1f\x85\p{Z}]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# The characters that text tools call whitespace (Java's \s alone misses NBSP, U+0085
+# and U+001C-1F), those that do not end a line, and those that do not end one and are not blank.
+WS = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\p{Z}]"
+NOT_WS = r"[^\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\p{Z}]"
+NOT_BREAK = r"[^\n\x0b\f\r\x1c\x1d\x1e\x85\p{Zl}\p{Zp}]"
+INLINE_WS = r"[\t\x1f\x20\xa0\p{Zs}]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,11 +27,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"{WS}+$", "")
+    return F.rtrim(col, F.lit(SPACES))
 
 
 def collapse(col: Column) -> Column:
@@ -44,14 +49,9 @@ def first_present(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
-def lines(col: Column) -> Column:
-    """All lines, untrimmed."""
-    return F.split(col, LINE_BREAK)
-
-
 def stripped_lines(col: Column) -> Column:
     """Trimmed, non-blank lines."""
-    return F.filter(F.transform(lines(col), strip), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(col, F.lit(f"({NOT_BREAK}+)"), 1), strip), lambda x: x != "")
 
 
 def head(arr: Column, n: int) -> Column:
@@ -65,7 +65,7 @@ def rfind(col: Column, needle: str) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.size(F.filter(F.split(col, rf"{WS}+"), lambda x: x != ""))
+    return F.regexp_count(col, F.lit(f"{NOT_WS}+"))
 
 
 def sha_prefix(col: Column, n: int = 16) -> Column:

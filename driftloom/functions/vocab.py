@@ -33,7 +33,7 @@ AGE_TOKEN = rf"\b\d+\s*(?:{AGE_UNITS})\b"
 AGE_PARTS = rf"\b(\d+)\s*({AGE_UNITS})\b"
 DATE_TOKEN = r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2}(?:,\s*\d{4})?\b"
 BULLET_MARK = r"^(?:[•\-\*]\s+|\d+[.)]\s+)"
-INLINE_BULLET = r"(?=(?:•\s+|\d+[.)]\s+))"
+INLINE_BULLET = r"(?:•|\d+[.)])"
 HEADING_MARK = r"^#{1,6}\s+"
 ACTIVITY_ID = r"activity:(\d+)"
 POST_URL_ID = r"/posts/[^/?#]+-(\d+)"

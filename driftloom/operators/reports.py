@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,16 +108,31 @@ def top_items(items: DataFrame, keys: list[str], order: list, n: int) -> DataFra
     return best.join(counts, keys).withColumn("items", F.transform("_items", lambda x: x["item"])).drop("_items")
 
 
-def evidence_packet(items: DataFrame, keys: list[str], order: list, kind: str) -> DataFrame:
-    """The text that stands for a group's new items, within the caps of its summary type."""
-    grouped = top_items(items, keys, order, EVIDENCE_CAPS[kind][0])
-    entries = F.transform("items", lambda x, i: entry_text(kind, x, i + 1))
+def evidence_text(kind: str, items: Column) -> Column:
+    """The text that stands for a group's leading items, within the caps of its summary type."""
+    entries = F.transform(head(items, EVIDENCE_CAPS[kind][0]), lambda x, i: entry_text(kind, x, i + 1))
     if kind in FORUM_TYPES:
-        text = within_budget(entries, V.POST_BUDGET)
-        text = F.when(text == "", F.lit("None available")).otherwise(text)
-    else:
-        text = F.array_join(entries, "\n" if kind == "jobs" else "\n\n")
-    return grouped.select(*keys, "item_count", text.alias("evidence"))
+        return let(
+            within_budget(entries, V.POST_BUDGET),
+            lambda t: F.when(t == "", F.lit("None available")).otherwise(t),
+        )
+    return F.array_join(entries, "\n" if kind == "jobs" else "\n\n")
+
+
+def by_kind(kind: Column, build: Callable[[str], Column], kinds: Iterable[str] = EVIDENCE_CAPS) -> Column:
+    """``build(k)`` for the summary type each row names."""
+    out = F
+    for k in kinds:
+        out = out.when(kind == k, build(k))
+    return out
+
+
+def evidence_packets(items: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Evidence of every group and summary type (column ``kind``) in one pass over the items."""
+    most = max(n for n, _, _ in EVIDENCE_CAPS.values())
+    grouped = top_items(items, [*keys, "kind"], order, most)
+    text = by_kind(F.col("kind"), lambda k: evidence_text(k, F.col("items")))
+    return grouped.select(*keys, "kind", "item_count", text.alias("evidence"))
 
 
 def page_evidence(changed: DataFrame) -> DataFrame:
@@ -159,15 +174,23 @@ def summarize(items: DataFrame, keys: list[str], order: list, kind: str,
     return grouped.select(*keys, "item_count", build(F.col("items"), F.col("item_count")).alias("summary_text"))
 
 
-def headline(summaries: DataFrame, kind: str, platform: str | None = None) -> DataFrame:
-    """Put the new-item headline of a summary type (or the alternate-feed prefix) before the text."""
-    if platform in ALTERNATE_PREFIX:
-        prefix = F.lit(ALTERNATE_PREFIX[platform])
-    elif kind in HEADLINES:
-        prefix = F.format_string(HEADLINES[kind], "item_count")
-    else:
-        prefix = F.lit("")
-    return summaries.withColumn("summary_text", F.concat(prefix, "summary_text"))
+def headline(kind: str, platform: Column, count: Column) -> Column:
+    """New-item headline of a summary type, or the prefix of an alternate feed."""
+    own = F.format_string(HEADLINES[kind], count) if kind in HEADLINES else F.lit("")
+    return F.coalesce(*[F.when(platform == p, F.lit(t)) for p, t in ALTERNATE_PREFIX.items()], own)
+
+
+def summaries_by_kind(items: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Headed fallback summaries of every group, ``platform`` and ``kind``, in one pass."""
+    grouped = top_items(items, [*keys, "platform", "kind"], order, 5)
+    text = by_kind(
+        F.col("kind"),
+        lambda k: F.concat(
+            headline(k, F.col("platform"), F.col("item_count")),
+            fallback_text(k, F.col("items"), F.col("item_count")),
+        ),
+    )
+    return grouped.select(*keys, "platform", "kind", "item_count", text.alias("summary_text"))
 
 
 def prefix_budget(df: DataFrame, keys: list[str], order: str, length: Column, cap: int,

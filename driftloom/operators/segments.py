@@ -30,15 +30,30 @@ def _carry_join(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame
 
 
 def lag_over(
-    df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = SEGMENT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    value: str,
+    out: str,
+    width: int = SEGMENT_ROWS,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
-    """Previous non-null ``value`` of the same key in ``order``; null for a key's first row."""
+    """Previous non-null ``value`` of the same key in ``order``; null for a key's first row.
+
+    ``seed`` (keys and value, one row per key) stands before a key's first row. It is joined to the
+    few carry rows, so the rows themselves are not shuffled again for it.
+    """
     tagged = df.withColumn(_SEG, segment_of(F.col(order), width))
     inner = W.partitionBy(*keys, _SEG).orderBy(order)
     rows = tagged.withColumn(out, F.lag(value).over(inner))
     tails = tagged.groupBy(*keys, _SEG).agg(F.max_by(value, order).alias("_tail"))
     outer = W.partitionBy(*keys).orderBy(_SEG)
     carry = tails.select(*keys, _SEG, F.lag("_tail").over(outer).alias(_CARRY))
+    if seed is not None:
+        before = seed.select(*keys, F.col(value).alias("_seed"))
+        carry = carry.join(before, keys, "left").select(
+            *keys, _SEG, F.coalesce(_CARRY, "_seed").alias(_CARRY)
+        )
     joined = _carry_join(rows, carry, keys)
     return joined.withColumn(out, F.coalesce(out, _CARRY)).drop(_SEG, _CARRY)
 

@@ -41,11 +41,7 @@ def detect_changes(
     the hash travels through the window; texts stay in the rows.
     """
     hashed = usable_captures(captures).withColumn("content_hash", content_hash(F.col("content_text")))
-    rows = lag_over(hashed, PAGE_KEYS, "seq", "content_hash", "prev_hash", width)
-    if state is not None:
-        known = state.select(*PAGE_KEYS, F.col("content_hash").alias("_known"))
-        rows = rows.join(known, PAGE_KEYS, "left")
-        rows = rows.withColumn("prev_hash", F.coalesce("prev_hash", "_known")).drop("_known")
+    rows = lag_over(hashed, PAGE_KEYS, "seq", "content_hash", "prev_hash", width, state)
     verdict = (
         F.when(F.col("prev_hash").isNull(), F.lit("first"))
         .when(F.col("prev_hash") != F.col("content_hash"), F.lit("changed"))

@@ -527,9 +527,10 @@ def b14_flatten_comments(spark, sf):
 
 @query
 def b14_raw_comment_payloads(spark, sf):
-    """Conversations nested as raw payloads: each turn replies to the one before it."""
+    """Conversations nested as raw payloads of at most 50 turns, each replying to the one before."""
     turn = F.struct(F.col("turn"), F.to_json(F.struct("text")).alias("json"))
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(
+    part = F.floor(F.col("turn") / 50).alias("part")
+    turns = table(spark, sf, "conversations").groupBy("conv_id", part).agg(
         F.array_sort(F.collect_list(turn)).alias("turns")
     )
     opened = F.transform("turns", lambda t: F.concat(
@@ -539,7 +540,7 @@ def b14_raw_comment_payloads(spark, sf):
     nested = F.concat(
         F.lit('[{},{"data":{"children":['), joined(opened, ""), F.repeat(F.lit("]}}}}"), F.size("turns")), F.lit("]}}]")
     )
-    payloads = turns.select(F.col("conv_id").cast("string").alias("post_id"), nested.alias("payload"))
+    payloads = turns.select(F.concat_ws("/", "conv_id", "part").alias("post_id"), nested.alias("payload"))
     return H.parse_comment_payloads(payloads)
 
 
@@ -883,17 +884,25 @@ def g9_evidence_block(spark, sf):
     return reports(spark, sf).select("run_id", "entity_id", R.evidence_block().alias("evidence"))
 
 
-EVIDENCE_KINDS = list(R.EVIDENCE_CAPS)
+def each_kind(df: DataFrame) -> DataFrame:
+    """Every group once per summary type."""
+    return df.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in R.EVIDENCE_CAPS])))
+
+
+def leading_items(spark: SparkSession, sf: str) -> DataFrame:
+    return each_kind(R.top_items(noted_posts(spark, sf), ["entity_id"], ["pos"], 30))
 
 
 @query
 def g10_evidence_packets(spark, sf):
-    items = noted_posts(spark, sf)
-    parts = [
-        R.evidence_packet(items, ["entity_id"], ["pos"], kind).withColumn("kind", F.lit(kind))
-        for kind in EVIDENCE_KINDS
-    ]
-    return O.union_sources(*parts)
+    text = R.by_kind(F.col("kind"), lambda k: R.evidence_text(k, F.col("items")))
+    return leading_items(spark, sf).select("entity_id", "kind", "item_count", text.alias("evidence"))
+
+
+@query
+def g10_evidence_by_platform(spark, sf):
+    kind = F.when(F.col("pos") % 3 == 0, F.lit("twitter_activity")).otherwise(F.lit("pricing_research"))
+    return R.evidence_packets(noted_posts(spark, sf).withColumn("kind", kind), ["entity_id"], ["pos"])
 
 
 @query
@@ -906,25 +915,22 @@ def g10_page_evidence(spark, sf):
 
 @query
 def g11_fallback_summaries(spark, sf):
-    items = noted_posts(spark, sf)
-    parts = [
-        R.summarize(items, ["entity_id"], ["pos"], kind).withColumn("kind", F.lit(kind)) for kind in EVIDENCE_KINDS
-    ]
-    return O.union_sources(*parts)
+    text = R.by_kind(F.col("kind"), lambda k: R.fallback_text(k, F.col("items"), F.col("item_count")))
+    return leading_items(spark, sf).select("entity_id", "kind", "item_count", text.alias("summary_text"))
 
 
 @query
 def g12_headlines(spark, sf):
-    items = noted_posts(spark, sf)
-    parts = [
-        R.headline(R.summarize(items, ["entity_id"], ["pos"], kind), kind, platform).withColumn("platform", F.lit(platform))
-        for kind, platform in (
-            ("linkedin_ads", "linkedin"), ("linkedin_organic", "linkedin_organic"),
-            ("linkedin_organic", "apidirect_linkedin"), ("reddit_discussion", "apidirect_reddit"),
-            ("twitter_activity", "twitter"),
-        )
+    pairs = [
+        ("linkedin_ads", "linkedin"), ("linkedin_organic", "linkedin_organic"), ("linkedin_organic", "apidirect_linkedin"),
+        ("reddit_discussion", "apidirect_reddit"), ("twitter_activity", "twitter"),
     ]
-    return O.union_sources(*parts)
+    pick = F.get(
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("platform")) for k, p in pairs]),
+        (F.col("pos") % len(pairs)).cast("int"),
+    )
+    items = noted_posts(spark, sf).withColumn("_pick", pick).select("*", "_pick.kind", "_pick.platform").drop("_pick")
+    return R.summaries_by_kind(items, ["entity_id"], ["pos"])
 
 
 @query

@@ -268,6 +268,15 @@ oracle("b1_visible_text_parsed", f"select page_id, {visible('html')} as visible_
 oracle("b3_article_titles", """
 select page_id, concat(trim(replace(replace(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&')), ' | ') as title
 from pages where html like '%<article><h1>%'""")
+oracle("b4_job_titles", """
+select page_id, row_number() over (partition by page_id order by i) - 1 as pos, title from (
+  select page_id, i, title from (
+    select page_id, unnest(range(len(items))) as i, unnest(list_transform(items, lambda x: trim(regexp_replace(replace(replace(
+      regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')))) as title
+    from (select page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) as items from pages))
+  where length(title) > 5 and length(title) < 200
+  qualify row_number() over (partition by page_id, title order by i) = 1)
+qualify row_number() over (partition by page_id order by i) <= 100""")
 oracle("b5_list_page_text", f"""
 select entity_id, page_type, case when items_raw <> '' then array_to_string(list_sort({split_lines('items_raw')}), chr(10))
   else fallback_text end as content_text from fx_page_items""", "fx_page_items")
@@ -343,8 +352,8 @@ walk as (select post_id, comment_id, body, cast(comment_id as varchar) as path f
   from fx_comments c join walk w on c.post_id = w.post_id and c.parent_id = w.comment_id)
 select post_id, comment_id, trim(body)""")
 oracle("b14_raw_comment_payloads", """
-select cast(conv_id as varchar) as post_id, row_number() over (partition by conv_id order by turn) - 1 as ord, trim(text) as body
-from conversations where trim(text) <> ''""")
+select concat(conv_id, '/', turn // 50) as post_id, row_number() over (partition by conv_id, turn // 50 order by turn) - 1 as ord,
+  trim(text) as body from conversations where trim(text) <> ''""")
 
 # --- Predicates and text ---
 BODY = "concat_ws(' ', title, raw_body)"
@@ -585,12 +594,12 @@ oracle("g9_evidence_block", f"""
 select run_id, entity_id, concat_ws(chr(10), {EVIDENCE}) as evidence from ({REPORTS})""", "fx_reports")
 
 
-def packet(kind: str) -> str:
+def packet(kind: str, where: str = "") -> str:
     n, chars, _ = R.EVIDENCE_CAPS[kind]
     order = "row_number() over (partition by entity_id order by pos)"
     head = (
         f"select entity_id, string_agg(entry, {{sep}} order by rn) as evidence from (select *, {{entry}} as entry "
-        f"from (select *, {order} as rn from ({NOTED}) n) where rn <= {n}) {{keep}} group by 1"
+        f"from (select *, {order} as rn from ({NOTED}) n {where}) where rn <= {n}) {{keep}} group by 1"
     )
     if kind == "jobs":
         body = head.format(sep="chr(10)", entry="concat('- ', text)", keep="")
@@ -614,7 +623,7 @@ def packet(kind: str) -> str:
         body = head.format(sep="chr(10) || chr(10)", entry=entry, keep="")
     return f"""
 select '{kind}' as kind, entity_id, item_count, evidence from ({body})
-join (select entity_id, count(*) as item_count from ({NOTED}) group by 1) using (entity_id)"""
+join (select entity_id, count(*) as item_count from ({NOTED}) n {where} group by 1) using (entity_id)"""
 
 
 oracle("g10_evidence_packets", " union all ".join(packet(k) for k in R.EVIDENCE_CAPS), "fx_posts")
@@ -623,7 +632,7 @@ select doc_id, {cut(clean_text('old'), 3000)} as old_text, {cut(clean_text('text
 from (select doc_id, text, lag(text) over (partition by source order by doc_id) as old from documents) where old is not null""")
 
 
-def fallback(kind: str) -> str:
+def fallback(kind: str, where: str = "") -> str:
     chars = R.EVIDENCE_CAPS[kind][2]
     n = 5 if kind == "jobs" else 3
     text = "text" if kind in ("linkedin_ads", "linkedin_organic") else "coalesce(nullif(text, ''), title)"
@@ -634,7 +643,7 @@ def fallback(kind: str) -> str:
 select '{kind}' as kind, entity_id, item_count, concat({start}, body) as summary_text
 from (select entity_id, max(c) as item_count, string_agg(line, {sep} order by rn) filter (rn <= {n}) as body from (
   select *, {line} as line, count(*) over (partition by entity_id) as c,
-    row_number() over (partition by entity_id order by pos) as rn from ({NOTED}) n) group by 1)"""
+    row_number() over (partition by entity_id order by pos) as rn from ({NOTED}) n {where}) group by 1)"""
 
 
 oracle("g11_fallback_summaries", " union all ".join(fallback(k) for k in R.EVIDENCE_CAPS), "fx_posts")
@@ -646,8 +655,10 @@ HEADED = [
     ("twitter_activity", "twitter", "''"),
 ]
 oracle("g12_headlines", " union all ".join(
-    f"select '{platform}' as platform, entity_id, item_count, concat({prefix}, summary_text) as summary_text from ({fallback(kind)})"
-    for kind, platform, prefix in HEADED), "fx_posts")
+    f"select '{kind}' as kind, '{platform}' as platform, entity_id, item_count, concat({prefix}, summary_text) as summary_text "
+    f"from ({fallback(kind, f'where pos % 5 = {i}')})" for i, (kind, platform, prefix) in enumerate(HEADED)), "fx_posts")
+oracle("g10_evidence_by_platform", packet("twitter_activity", "where pos % 3 = 0") + " union all "
+       + packet("pricing_research", "where pos % 3 > 0"), "fx_posts")
 
 MARK = q(V.BULLET_MARK)
 

@@ -12,6 +12,14 @@ from driftloom.operators import coverage as C
 from driftloom.operators import digest as D
 from driftloom.operators import reports as R
 from driftloom.operators import state as S
+from driftloom.session import scratch_path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, read back from a table in the shared folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 @dataclass
@@ -40,36 +48,39 @@ def weekly_run(
 
     ``entities`` has run_id, entity_id, position, name and website_url; ``observed`` items carry
     title, text, url, date, author and comments; ``summary_types`` maps a platform to its summary
-    type. Nothing is collected: every result is a lazy plan over the inputs.
+    type. Nothing is collected. What several later steps read (changes, new items, statuses, reports)
+    is written once to the shared folder, so it is neither computed twice nor lost with an executor.
     """
+    keys = ["run_id", "entity_id"]
     runs = entities.select("run_id").distinct()
-    changes = S.detect_changes(captures, page_state)
-    page_notes = S.first_scan_note(changes)
-    fresh = S.new_items(observed, item_state)
+    changes = written(S.first_scan_note(S.detect_changes(captures, page_state)), "changes")
+    fresh = written(S.new_items(observed, item_state), "new-items")
+    statuses = written(C.source_status(status_events, keys), "statuses")
 
-    parts = []
-    for platform, kind in summary_types.items():
-        mine = fresh.filter(F.col("platform") == platform)
-        done = R.headline(R.summarize(mine, ["run_id", "entity_id"], ["seq"], kind), kind, platform)
-        parts.append(done.select("run_id", "entity_id", F.lit(kind).alias("summary_type"), "summary_text"))
-    changed = changes.filter(F.col("verdict") == "changed").select(
-        "run_id", "entity_id", F.concat("page_type", F.lit("_change")).alias("summary_type"),
-        F.lit("• Content changed (summary unavailable)").alias("summary_text"),
+    kinds = F.create_map(*[F.lit(x) for pair in summary_types.items() for x in pair])
+    typed = fresh.withColumn("kind", F.try_element_at(kinds, "platform")).filter(F.col("kind").isNotNull())
+    from_items = R.summaries_by_kind(typed, keys, ["seq"]).select(
+        *keys, F.col("kind").alias("summary_type"), "summary_text",
+        F.when(F.col("platform").isin(*R.ALTERNATE_PREFIX), F.lit(1)).otherwise(F.lit(2)).alias("id"),
     )
-    summaries = changed
-    for part in parts:
-        summaries = summaries.unionByName(part)
-    notes = page_notes.filter(F.col("note").isNotNull()).select(
-        "run_id", "entity_id", F.concat("page_type", F.lit("_change")).alias("summary_type"),
-        F.col("note").alias("summary_text"),
+    page_kind = F.concat("page_type", F.lit("_change")).alias("summary_type")
+    from_pages = changes.filter(F.col("verdict") == "changed").select(
+        *keys, page_kind, R.fallback_text("page_change", F.lit(None), F.lit(0)).alias("summary_text"),
+        F.lit(2).alias("id"),
     )
-    keys = ["run_id", "entity_id"]
-    wide = R.entity_report(summaries.unionByName(notes).withColumn("id", F.lit(0)), keys)
-    statuses = C.source_status(status_events, keys)
-    reports = R.complete_report(
-        entities.join(wide, keys, "left")
-        .join(C.source_lists(statuses, keys), keys, "left")
-        .join(C.coverage_summary(statuses, keys), keys, "left")
+    summaries = from_pages.unionByName(from_items)
+    notes = changes.filter(F.col("note").isNotNull()).select(
+        *keys, page_kind, F.col("note").alias("summary_text"), F.lit(0).alias("id")
+    )
+    # A change outranks the page's first-scan note, an entity's own feed the alternate one.
+    ranked = summaries.unionByName(notes)
+    reports = written(
+        R.complete_report(
+            entities.join(R.entity_report(ranked, keys), keys, "left")
+            .join(C.source_lists(statuses, keys), keys, "left")
+            .join(C.coverage_summary(statuses, keys), keys, "left")
+        ),
+        "reports",
     )
     executive = (
         R.executive_summary(runs, reports, ["run_id"], "position")
@@ -80,5 +91,5 @@ def weekly_run(
         reports, executive.withColumn("run_date", F.lit(run_date)), "position", summary_only
     )
     return WeeklyResult(
-        changes, fresh, S.upsert_items(item_state, observed), summaries, reports, executive, blocks
+        changes, fresh, S.upsert_items(item_state, observed), summaries.drop("id"), reports, executive, blocks
     )
