@@ -37,13 +37,25 @@ FOOTER = "_Generated by driftloom · Edit the entity registry to add or remove e
 SEGMENT_BLOCKS = 100_000
 
 
-def block(kind: str, text: Column | None = None) -> Column:
-    body = F.lit(None).cast("string") if text is None else text
-    return F.struct(F.lit(kind).alias("kind"), body.alias("text"))
+# Blocks stay raw (kind, title, body, style) until they are rows: counting and numbering them then
+# costs nothing, and the text rules run once per block.
 
 
-def titled(title: Column, text: Column) -> Column:
-    return let(F.concat(title, F.lit("\n"), text), truncate_block)
+def block(kind: str, body: Column | None = None, title: Column | None = None, style: str = "plain") -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(kind).alias("kind"), (none if title is None else title).alias("title"),
+        (none if body is None else body).alias("body"), F.lit(style).alias("style"),
+    )
+
+
+def block_text() -> Column:
+    """Final text of a raw block row."""
+    body, style = F.col("body"), F.col("style")
+    executive = let(compact_bullets(body, 6, 380), lambda b: fit_bullets(b, V.BLOCK_CHARS))
+    shown = F.when(style == "bullets", compact_bullets(body, 3, 220)).when(style == "executive", executive).otherwise(body)
+    titled = let(F.concat("title", F.lit("\n"), shown), truncate_block)
+    return F.when(style == "plain", body).otherwise(titled)
 
 
 def _has(col: str) -> Column:
@@ -58,13 +70,13 @@ def _issue(entry: Column) -> Column:
     return F.when(is_open(entry["status"]), issue_text(entry["source"], entry["status"], entry["note"]))
 
 
-def _page_texts() -> Column:
+def _page_blocks() -> Column:
     pages = F.array(*[F.struct(F.lit(f"*{t}:*").alias("title"), F.col(c).alias("text")) for t, c in PAGE_SECTIONS])
     shown = F.filter(pages, lambda p: p["text"] != "")
-    return F.transform(shown, lambda p: titled(p["title"], p["text"]))
+    return F.transform(shown, lambda p: block("section", p["text"], p["title"], "titled"))
 
 
-def _website_texts() -> Column:
+def _website_blocks() -> Column:
     website = F.filter("sources", lambda s: s["source"].startswith("website:"))
     issues = F.filter(F.transform(website, _issue), lambda x: x.isNotNull())
     quiet = F.when(
@@ -73,14 +85,13 @@ def _website_texts() -> Column:
     changed = _has(PAGE_SECTIONS[0][1])
     for _, col in PAGE_SECTIONS[1:]:
         changed = changed | _has(col)
-    line = F.when(
-        F.size(issues) > 0, titled(F.lit("*Website Coverage:*"), F.array_join(issues, "\n"))
-    ).when(~changed, quiet)
+    coverage = block("section", F.array_join(issues, "\n"), F.lit("*Website Coverage:*"), "titled")
+    line = F.when(F.size(issues) > 0, coverage).when(~changed, block("section", quiet))
     return F.array_compact(F.array(line))
 
 
-def _summary_texts() -> Column:
-    """All summary sections in one array, so that the bullet rules appear once in the plan."""
+def _summary_blocks() -> Column:
+    """Summaries in order, or what stands in for a missing one."""
     none = F.lit(None).cast("string")
 
     def row(title: str, col: str, source: str | None = None, idle: str | None = None) -> Column:
@@ -95,31 +106,31 @@ def _summary_texts() -> Column:
     sections += [row(t, c) for t, c in SOCIAL_SECTIONS]
 
     def stand_in(s: Column) -> Column:
-        """What is shown without a summary: the source's issue, or that there is no news."""
+        """The source's issue, or that there is no news."""
 
         def pick(entry: Column) -> Column:
+            issue = _issue(entry)
             unset = F.when(entry["status"] == "not_configured", F.concat(s["title"], F.lit(" Not configured")))
-            titled_issue = titled(s["title"], _issue(entry))
             idle = F.concat(s["title"], F.lit(" "), s["idle"])
-            return F.when(s["idle"].isNull(), titled_issue).otherwise(F.coalesce(unset, _issue(entry), idle))
+            quiet = block("section", F.coalesce(unset, issue, idle))
+            titled = F.when(issue.isNotNull(), block("section", issue, s["title"], "titled"))
+            return F.when(s["idle"].isNull(), titled).otherwise(quiet)
 
         return let(_entry(s["source"]), pick)
 
-    def text(s: Column) -> Column:
-        summary = titled(s["title"], compact_bullets(s["text"], 3, 220))
+    def section(s: Column) -> Column:
+        summary = block("section", s["text"], s["title"], "bullets")
         return F.when(F.coalesce(s["text"], F.lit("")) != "", summary).otherwise(stand_in(s))
 
-    return F.filter(F.transform(F.array(*sections), text), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.array(*sections), section), lambda x: x.isNotNull())
 
 
 def entity_blocks() -> Column:
     """The blocks of one entity: header, page changes, summaries or the reason they are missing."""
     top = block("section", F.format_string("*%s*  |  <%s|%s>", "name", "website_url", "website_url"))
     failed = block("section", F.concat(F.lit(":warning: *Error:* "), "error"))
-    texts = F.concat(_page_texts(), _website_texts(), _summary_texts())
-    sections = F.transform(texts, lambda t: block("section", t))
     return F.when(_has("error"), F.array(top, failed, block("divider"))).otherwise(
-        F.concat(F.array(top), sections, F.array(block("divider")))
+        F.concat(F.array(top), _page_blocks(), _website_blocks(), _summary_blocks(), F.array(block("divider")))
     )
 
 
@@ -132,27 +143,27 @@ def digest_blocks(reports: DataFrame, runs: DataFrame, position: str, summary_on
     opening = F.array(
         block("header", F.concat(F.lit("Weekly Competitive Intel — "), "run_date")), block("divider")
     )
-    fitted = let(compact_bullets(F.col("executive"), 6, 380), lambda b: fit_bullets(b, V.BLOCK_CHARS))
-    closing = F.concat(
-        F.when(_has("executive"), F.array(block("section", titled(F.lit("*Executive Summary:*"), fitted)), block("divider")))
-        .otherwise(F.array().cast("array<struct<kind:string,text:string>>")),
-        F.array(block("context", F.lit(FOOTER))),
-    )
+    summary = block("section", F.col("executive"), F.lit("*Executive Summary:*"), "executive")
+    footer = F.array(block("context", F.lit(FOOTER)))
+    closing = F.when(_has("executive"), F.concat(F.array(summary, block("divider")), footer)).otherwise(footer)
     if summary_only:
         arrays = runs.select("run_id", F.lit(0).cast("bigint").alias("start"), F.concat(opening, closing).alias("blocks"))
     else:
-        filled = reports.select("run_id", position, entity_blocks().alias("blocks"))
-        counted = filled.withColumn("_size", F.size("blocks"))
+        counted = reports.select("run_id", position, entity_blocks().alias("blocks")).withColumn("_size", F.size("blocks"))
         placed = running_sum(counted, ["run_id"], position, F.col("_size"), "start", True)
         totals = counted.groupBy("run_id").agg(F.sum("_size").alias("_total"))
-        ends = runs.join(totals, "run_id", "left").withColumn("_total", F.coalesce("_total", F.lit(0)))
-        arrays = (
-            placed.select("run_id", (F.col("start") + 2).alias("start"), "blocks")
-            .unionByName(ends.select("run_id", F.lit(0).cast("bigint").alias("start"), opening.alias("blocks")))
-            .unionByName(ends.select("run_id", (F.col("_total") + 2).alias("start"), closing.alias("blocks")))
+        after = F.coalesce("_total", F.lit(0)) + 2
+        frame = F.array(
+            F.struct(F.lit(0).cast("bigint").alias("start"), opening.alias("blocks")),
+            F.struct(after.cast("bigint").alias("start"), closing.alias("blocks")),
+        )
+        ends = runs.join(totals, "run_id", "left").select("run_id", F.explode(frame).alias("_f"))
+        arrays = placed.select("run_id", (F.col("start") + 2).alias("start"), "blocks").unionByName(
+            ends.select("run_id", "_f.start", "_f.blocks")
         )
     rows = arrays.select("run_id", "start", F.posexplode("blocks").alias("_i", "_block"))
-    return rows.select("run_id", (F.col("start") + F.col("_i")).alias("block_no"), "_block.kind", "_block.text")
+    raw = rows.select("run_id", (F.col("start") + F.col("_i")).alias("block_no"), "_block.*")
+    return raw.select("run_id", "block_no", "kind", block_text().alias("text"))
 
 
 # --- Packing --------------------------------------------------------------------------------
