@@ -12,7 +12,7 @@ from driftloom.functions.text import let
 from driftloom.functions.summaries import compact_bullets, fit_bullets, truncate_block
 from driftloom.operators.coverage import is_open, issue_text
 from driftloom.operators.segments import running_sum, segment_of
-from driftloom.session import scratch_path
+from driftloom.sources.tables import written
 
 PAGE_SECTIONS = [
     ("Homepage", "homepage_change"), ("Blog", "blog_change"),
@@ -243,9 +243,7 @@ def pack_blocks(blocks: DataFrame, size: int = V.MESSAGE_BLOCKS, width: int = SE
     The blocks are written once to the shared folder: packing reads their positions and kinds, and
     only the last join reads their text.
     """
-    path = scratch_path(blocks.sparkSession, "blocks")
-    blocks.write.parquet(path)
-    blocks = blocks.sparkSession.read.parquet(path)
+    blocks = written(blocks, "blocks")
     run_type = dict(blocks.dtypes)["run_id"]
     segment = segment_of(F.col("block_no"), width)
     flags = blocks.select("run_id", "block_no", (F.col("kind") == "divider").alias("divider"), segment.alias("segment"))

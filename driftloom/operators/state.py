@@ -11,6 +11,7 @@ from driftloom.functions import vocab as V
 from driftloom.functions.text import content_hash
 from driftloom.functions.weeks import month_label
 from driftloom.operators.segments import SEGMENT_ROWS, lag_over, running_sum
+from driftloom.sources.tables import written
 
 PAGE_KEYS = ["entity_id", "page_type"]
 ITEM_KEYS = ["entity_id", "platform", "item_id"]
@@ -37,11 +38,13 @@ def detect_changes(
 ) -> DataFrame:
     """Label each capture ``first``, ``changed`` or ``unchanged`` against the one before it.
 
-    ``state`` holds the last known ``content_hash`` per page; it precedes every capture here. Only
-    the hash travels through the window; texts stay in the rows.
+    ``state`` holds the last known ``content_hash`` per page; it precedes every capture here. Texts
+    are hashed once, into a narrow table in the shared folder; they take no part in the window and
+    are not in the result (see :func:`snapshots_to_append`).
     """
     hashed = usable_captures(captures).withColumn("content_hash", content_hash(F.col("content_text")))
-    rows = lag_over(hashed, PAGE_KEYS, "seq", "content_hash", "prev_hash", width, state)
+    narrow = written(hashed.drop("content_text"), "hashes")
+    rows = lag_over(narrow, PAGE_KEYS, "seq", "content_hash", "prev_hash", width, state)
     verdict = (
         F.when(F.col("prev_hash").isNull(), F.lit("first"))
         .when(F.col("prev_hash") != F.col("content_hash"), F.lit("changed"))
@@ -50,9 +53,15 @@ def detect_changes(
     return rows.withColumn("verdict", verdict)
 
 
-def snapshots_to_append(changes: DataFrame) -> DataFrame:
-    """Only first and changed captures are stored."""
-    return changes.filter(F.col("verdict") != "unchanged").select(
+def changed_only(changes: DataFrame) -> DataFrame:
+    """First and changed captures: the ones that are stored."""
+    return changes.filter(F.col("verdict") != "unchanged")
+
+
+def snapshots_to_append(changes: DataFrame, captures: DataFrame) -> DataFrame:
+    """Stored rows of the first and changed captures, with their text, joined on the unique ``seq``."""
+    kept = changed_only(changes).select("seq", *PAGE_KEYS, "content_hash", "checked_at")
+    return kept.join(captures.select("seq", "content_text"), "seq").select(
         "seq", *PAGE_KEYS, "content_hash", "content_text", "checked_at"
     )
 

@@ -74,13 +74,13 @@ def e1_changes_against_state(spark, sf):
     every = captures(spark, sf)
     before = every.filter(F.col("checked_at") < day(KNOWN_BEFORE))
     after = every.filter(F.col("checked_at") >= day(KNOWN_BEFORE))
-    known = S.page_state_of(S.snapshots_to_append(S.detect_changes(before)))
+    known = S.page_state_of(S.changed_only(S.detect_changes(before)))
     return S.detect_changes(after, known).select("seq", "entity_id", "page_type", "verdict")
 
 
 @query
 def e2_snapshots_to_append(spark, sf):
-    return S.snapshots_to_append(changes(spark, sf)).select(
+    return S.snapshots_to_append(changes(spark, sf), captures(spark, sf)).select(
         "seq", "entity_id", "page_type", "content_hash", "content_text"
     )
 
@@ -204,7 +204,7 @@ def f1_item_trend_filtered(spark, sf):
 
 @query
 def f2_change_trend(spark, sf):
-    return T.change_trend(S.snapshots_to_append(changes(spark, sf)), AS_OF)
+    return T.change_trend(S.changed_only(changes(spark, sf)), AS_OF)
 
 
 @query
@@ -356,7 +356,7 @@ def a5_endpoint_sources(spark, sf):
 @query
 def a6_append_round_trip(spark, sf):
     path = scratch_path(spark, "snapshots")
-    rows = S.snapshots_to_append(changes(spark, sf))
+    rows = S.snapshots_to_append(changes(spark, sf), captures(spark, sf))
     cut = day(KNOWN_BEFORE)
     B.append(rows.filter(F.col("checked_at") < cut), path)
     B.append(rows.filter(F.col("checked_at") >= cut), path)
@@ -1159,7 +1159,7 @@ def weekly_digest(spark, sf):
     run = (F.col("entity_id") % 2).alias("run_id")
     every = captures(spark, sf).withColumn("entity_id", F.col("entity_id") % 10)
     cut = day(KNOWN_BEFORE)
-    before = S.page_state_of(S.snapshots_to_append(S.detect_changes(every.filter(F.col("checked_at") < cut))))
+    before = S.page_state_of(S.changed_only(S.detect_changes(every.filter(F.col("checked_at") < cut))))
     seen = observed_items(spark, sf).select(
         "*", run, F.col("item_text").alias("title"), F.col("item_id").alias("text"), F.lit("n/a").alias("url"),
         F.date_format("seen_at", "yyyy-MM-dd").alias("date"), F.col("platform").alias("author"), F.lit("feed").alias("channel"),

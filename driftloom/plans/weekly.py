@@ -12,14 +12,7 @@ from driftloom.operators import coverage as C
 from driftloom.operators import digest as D
 from driftloom.operators import reports as R
 from driftloom.operators import state as S
-from driftloom.session import scratch_path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from driftloom.sources.tables import written
 
 
 @dataclass

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.session import scratch_path
+
 
 def _fs(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -23,6 +25,13 @@ def append(df: DataFrame, path: str, batch: int | None = None, partition_by: lis
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: computed once, lineage cut."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Committed versions of a state table, oldest first."""
     fs, root = _fs(spark, path)

@@ -28,7 +28,10 @@ def _start(stream: DataFrame, root: str, step) -> StreamingQuery:
 
 
 def stream_changes(stream: DataFrame, root: str) -> StreamingQuery:
-    """Change detection over a stream of captures: ``root/changes`` and the last hash per page."""
+    """Change detection over a stream of captures.
+
+    Writes ``root/changes``, the texts to keep under ``root/snapshots`` and the last hash per page.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -36,6 +39,7 @@ def stream_changes(stream: DataFrame, root: str) -> StreamingQuery:
         changes = S.detect_changes(batch, known)
         append(changes.drop("prev_hash"), f"{root}/changes", batch_id)
         written = spark.read.parquet(f"{root}/changes/batch={batch_id}")
+        append(S.snapshots_to_append(written, batch), f"{root}/snapshots", batch_id)
         fresh = S.page_state_of(written)
         merged = fresh if known is None else S.latest_by(known.unionByName(fresh), S.PAGE_KEYS, "seq")
         commit_state(merged, f"{root}/pages", batch_id)
