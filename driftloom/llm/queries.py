@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.llm.bpe import decode, encode, load_ranks
 from driftloom.llm.common import table
 from driftloom.llm.secrets import BASE_KINDS, secret_spans, span_list
 
@@ -28,3 +29,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
         F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as token ids and back as bytes, both as digests."""
+    ranks = load_ranks()
+    both = decode(encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
