@@ -20,7 +20,7 @@ from driftloom.llm.common import written
 
 TOKENS_PER_BLOCK = 4_000_000
 #: Fixed value: the characters with the property White_Space, as the tokenizers' ``\s`` has them.
-WHITE_SPACE = r"\t-\r \x85\xA0  -     　"
+WHITE_SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def jvm_pattern(pattern: str) -> str:
