@@ -66,3 +66,38 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join told using (rid)
 """
+
+ORACLES["op8_mix_sources"] = r"""
+with best as (select doc_id, max(quality) as quality from labels where doc_id is not null group by doc_id),
+sized as (
+  select d.doc_id, d.source, cast(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    -ln((cast(cast('0x' || substr(md5(coalesce(cast(d.doc_id as varchar), '')), 1, 13) as bigint) as double) + 0.5) / 4503599627370496.0)
+      / case b.quality when 0 then 0.25 when 1 then 1.0 else 0.5 end as k
+  from documents d left join best b using (doc_id)
+),
+sources as (
+  select source, cast(sum(size) as bigint) as source_size, cast([3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as double) as weight
+  from sized group by source
+),
+filling as (
+  select source, source_size, weight, source_size * 2.0::double as cap, (select cast(sum(source_size) as double) from sources) * 1.5::double
+      - coalesce(sum(source_size * 2.0::double) over (order by source_size * 2.0::double / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as remaining,
+    sum(weight) over (order by source_size * 2.0::double / weight, source nulls last rows between current row and unbounded following) as open_weight
+  from sources
+),
+level as (select arg_min(remaining / open_weight, cap / weight) as level from filling where remaining / open_weight * weight <= cap),
+goals as (
+  select source, source_size, case when (select level from level) is null then cap else least(cap, (select level from level) * weight) end as target
+  from filling
+),
+epochs as (
+  select *, cast(round(target) as bigint) as goal,
+    case when source_size > 0 then cast(round(target) as bigint) // source_size else 0 end as epochs from goals
+),
+placed as (
+  select s.doc_id, s.size, e.source_size, e.target, e.epochs, e.goal - e.epochs * e.source_size - coalesce(sum(s.size) over (
+    partition by s.source order by s.k, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as room
+  from sized s join epochs e on s.source is not distinct from e.source
+)
+select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, room)) as bigint) as taken from placed
+"""

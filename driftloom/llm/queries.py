@@ -11,6 +11,7 @@ from driftloom.llm import langid
 from driftloom.llm.bpe import decode, encode, load_ranks
 from driftloom.llm.common import table
 from driftloom.llm.langid import held_out
+from driftloom.llm.mixing import mix
 from driftloom.llm.secrets import BASE_KINDS, secret_spans, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     models = langid.fit(docs.filter(~F.col("held_out")))
     return langid.predict(docs, models).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
