@@ -101,3 +101,33 @@ placed as (
 )
 select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, room)) as bigint) as taken from placed
 """
+
+ORACLES["op2_near_duplicates"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+),
+s as (
+  select distinct doc_id, case when len(w) < 2 then w[1] else w[i] || ' ' || w[i + 1] end as s
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) as i from w where len(w) > 0)
+),
+ids as (select doc_id, list(s order by s) as l, count(*) as n from s group by doc_id),
+classes as (select min(doc_id) as head, any_value(n) as n, l from ids group by l),
+ranked as (select s.doc_id, s.s, c.n, row_number() over (partition by s.doc_id order by f.f, s.s) as p
+  from s join classes c on c.head = s.doc_id join (select s, count(*) as f from s group by s) f on f.s = s.s),
+prefix as (select doc_id, s, n from ranked where p <= n - ceil(0.8 * n) + 1),
+pairs as (
+  select distinct a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb from prefix a join prefix b on a.s = b.s and a.doc_id < b.doc_id
+  where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+),
+linked as (
+  select a, b from pairs join s x on x.doc_id = a join s y on y.doc_id = b and y.s = x.s
+  group by a, b, na, nb having 100 * count(*) >= 80 * (na + nb - count(*))
+),
+edges as (select a, b from linked union all select b, a from linked),
+reach as (select a as node, a as cur from edges union select r.node, e.b from reach r join edges e on e.a = r.cur),
+comps as (select node, min(cur) as comp from reach group by node),
+named as (select d.doc_id, coalesce(i.n, 0) as n, coalesce(k.comp, c.head, d.doc_id) as component_id
+  from documents d left join ids i on i.doc_id = d.doc_id left join classes c on c.l = i.l left join comps k on k.node = c.head)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from named
+"""

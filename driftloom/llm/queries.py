@@ -11,6 +11,7 @@ from driftloom.llm import langid
 from driftloom.llm.bpe import decode, encode, load_ranks
 from driftloom.llm.common import table
 from driftloom.llm.langid import held_out
+from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.mixing import mix
 from driftloom.llm.secrets import BASE_KINDS, secret_spans, span_list
 
@@ -59,3 +60,9 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that share four fifths of their two-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
