@@ -131,3 +131,20 @@ named as (select d.doc_id, coalesce(i.n, 0) as n, coalesce(k.comp, c.head, d.doc
   from documents d left join ids i on i.doc_id = d.doc_id left join classes c on c.l = i.l left join comps k on k.node = c.head)
 select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from named
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as k
+  from (select rid, doc_id, w, unnest(generate_series(1, len(w) - 49)) as i from d where len(w) >= 50)
+),
+first as (select k, min(doc_id) as first from windows group by k having min(doc_id) < max(doc_id)),
+hits as (select rid, i from windows join first using (k) where doc_id > first),
+gone as (select distinct rid, i + j as i from hits, generate_series(0, 49) as g(j)),
+tagged as (select d.rid, i, w[i] as word, gone.rid is not null as gone from (select rid, w, unnest(generate_series(1, len(w))) as i from d
+    where rid in (select rid from hits)) d left join gone using (rid, i)),
+kept as (select rid, count(*) filter (where gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (where not gone), '') as t from tagged group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+  sha256(case when k.rid is null then array_to_string(w, ' ') else k.t end) as kept_sha256
+from d left join kept k using (rid)
+"""

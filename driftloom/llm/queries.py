@@ -14,6 +14,7 @@ from driftloom.llm.langid import held_out
 from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.mixing import mix
 from driftloom.llm.secrets import BASE_KINDS, secret_spans, span_list
+from driftloom.llm.substring import dedup_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -66,3 +67,9 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents that share four fifths of their two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the passages of 50 words that an earlier one has."""
+    return dedup_substrings(table(spark, sf_dir, "documents"))
