@@ -148,3 +148,30 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_re
   sha256(case when k.rid is null then array_to_string(w, ' ') else k.t end) as kept_sha256
 from d left join kept k using (rid)
 """
+
+_VECTORS = """
+v as (
+  select vec_id, x from (select vec_id, cast(embedding as double[]) as x from embeddings)
+  where vec_id is not null and len(x) > 0 and len(list_filter(x, lambda e: e is null or isnan(e) or isinf(e))) = 0 and len(list_filter(x, lambda e: e <> 0)) > 0
+)"""
+ORACLES["op4_nearest_neighbours"] = f"""
+with {_VECTORS.strip()},
+scored as (
+  select q.vec_id as query_id, v.vec_id, list_reduce(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]), lambda a, b: a + b) as score
+  from v q join v on q.vec_id % 20 = 0 and v.vec_id <> q.vec_id
+),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored)
+select query_id, cast(r as integer) as rank, vec_id, score from ranked where r <= 20
+"""
+ORACLES["op9_embedding_dedup"] = f"""
+with recursive {_VECTORS.strip()},
+edges as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+  where list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.95
+),
+reach as (select a as node, a as cur from edges union select r.node, e.b from reach r join edges e on e.a = r.cur),
+comps as (select node, min(cur) as comp from reach group by node),
+links as (select a, count(*) as n from edges group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(comp, vec_id) as component_id, coalesce(comp, vec_id) = vec_id as kept
+from embeddings left join links on a = vec_id left join comps on node = vec_id
+"""

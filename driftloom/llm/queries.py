@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import langid
+from driftloom.llm.ann import search
 from driftloom.llm.bpe import decode, encode, load_ranks
 from driftloom.llm.common import table
+from driftloom.llm.embdedup import link_vectors
 from driftloom.llm.langid import held_out
 from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.mixing import mix
@@ -73,3 +75,15 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the passages of 50 words that an earlier one has."""
     return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, among all others."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 between all vectors, counted, and the classes they make."""
+    return link_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
