@@ -175,3 +175,12 @@ links as (select a, count(*) as n from edges group by a)
 select vec_id, coalesce(n, 0) as n_links, coalesce(comp, vec_id) as component_id, coalesce(comp, vec_id) = vec_id as kept
 from embeddings left join links on a = vec_id left join comps on node = vec_id
 """
+
+# The given conversations hold no tool calls, so every message is plain content in the order of its turn;
+# calls and their order are tested by hand-made conversations.
+ORACLES["op10_chat_format"] = """
+select conv_id, turn, turn as order_turn, cast(0 as bigint) as order_step,
+  '{"content":' || cast(to_json(coalesce(text, '')) as varchar) || ',"role":' || coalesce(cast(to_json(role) as varchar), 'null') || '}' as json,
+  cast(0 as bigint) as n_calls, cast(0 as bigint) as n_bad_calls, cast(0 as bigint) as n_unanswered, 'ok' as status
+from conversations
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.llm import langid
 from driftloom.llm.ann import search
 from driftloom.llm.bpe import decode, encode, load_ranks
+from driftloom.llm.chat import format_chat
 from driftloom.llm.common import table
 from driftloom.llm.embdedup import link_vectors
 from driftloom.llm.langid import held_out
@@ -17,6 +18,7 @@ from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.mixing import mix
 from driftloom.llm.secrets import BASE_KINDS, secret_spans, span_list
 from driftloom.llm.substring import dedup_substrings
+from driftloom.llm.tokencount import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,3 +89,15 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.95 between all vectors, counted, and the classes they make."""
     return link_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and tokens of every document under the unigram model of the vocabulary's ranks."""
+    return count_tokens(table(spark, sf_dir, "documents"), load_ranks())
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation as canonical JSON, with its place and what is wrong with its calls."""
+    return format_chat(table(spark, sf_dir, "conversations"))
