@@ -7,7 +7,8 @@ carried along as they are: one row out for each row in. Other columns play no pa
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -15,8 +16,9 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftloom.llm.blocks import TOKENS_PER_BLOCK, block_words, by_block, split_blocks, unpack
+from driftloom.llm.blocks import TOKENS_PER_BLOCK, WORDS_PER_PART, by_block, deal_words, for_each_word, split_blocks
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words that are put together at once when documents are rebuilt.
@@ -29,46 +31,28 @@ def load_ranks(path: str = RANKS_PATH) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, number, word) to (block, number, ids): equal words meet in one sorted run and are encoded once."""
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
+def word_encoder(ranks: dict[bytes, int]) -> Callable[[list[bytes]], list[bytes]]:
+    """Whole words, split by the caller's pattern already, to their ids as bytes of 32-bit numbers."""
+    encoding = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The whole word is one piece: it was split by the caller's pattern already.
-        encoding = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=shared.value, special_tokens={})
-        last, last_ids = None, b""
-        for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            each = []
-            for word in coded.dictionary.to_pylist():
-                if word != last:
-                    last, last_ids = word, np.asarray(encoding.encode_ordinary(word), "<i4").tobytes()
-                each.append(last_ids)
-            ids = pa.array(each, pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), ids], ["block", "number", "ids"])
+    def work(words: list[bytes]) -> list[bytes]:
+        return [array("i", encoding.encode_ordinary(w.decode())).tobytes() for w in words]
 
-    grouped = words.repartition("word").sortWithinPartitions("word")
-    return grouped.mapInArrow(encode, "block bigint, number int, ids binary")
+    return work
 
 
-def rebuild(words: pa.Table, block: dict) -> pa.Table:
+def rebuild(found: list[bytes], ids: pa.Array, sizes: np.ndarray, codes: np.ndarray) -> pa.Table:
     """The ids of each document of a block, in order of position."""
-    column = words.column("ids").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
-    flat = np.frombuffer(column.buffers()[2], "<i4", count=int(ends[-1]) // 4) if len(column) and ends[-1] else np.zeros(0, "<i4")
-    starts, sizes = ends[:-1] // 4, np.diff(ends) // 4
-    codes = unpack(block["codes"])
-    word_ends = np.concatenate([[0], np.cumsum(block["sizes"], dtype=np.int64)])
+    n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat, starts = np.frombuffer(b"".join(found), "<i4"), np.cumsum(n) - n
     values = []
     for at in range(0, len(codes), REBUILD_WORDS):
         part = codes[at : at + REBUILD_WORDS]
-        size = sizes[part]
-        skip = np.cumsum(size) - size
-        values.append(flat[np.repeat(starts[part] - skip, size) + np.arange(int(size.sum()))])
-    id_ends = np.concatenate([[0], np.cumsum(sizes[codes], dtype=np.int64)])[word_ends]
-    ids = pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, "<i4")]), pa.int32()))
-    return pa.table({"id": pa.array(block["ids"]), "ids": ids})
+        size = n[part]
+        values.append(flat[np.repeat(starts[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
+    ends = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+    joined = np.concatenate([*values, np.zeros(0, "<i4")])
+    return pa.table({"id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(joined, pa.int32()))})
 
 
 def encode(
@@ -78,18 +62,14 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokens_per_block: int = TOKENS_PER_BLOCK,
+    words_per_part: int = WORDS_PER_PART,
 ) -> DataFrame:
     """The id column and ``ids``, the token ids of each text."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
     blocks = split_blocks(docs, pattern, id_col, text_col, tokens_per_block)
-    id_type = blocks.schema["ids"].dataType.elementType
-    arrow_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
-
-    def work(words: pa.Table, block: dict) -> pa.Table:
-        done = rebuild(words, block)
-        return done.set_column(0, "id", done.column("id").cast(arrow_type))
-
-    coded = by_block(encode_words(block_words(blocks), ranks), blocks, work, f"id {id_type.simpleString()}, ids array<int>")
-    return coded.withColumnRenamed("id", id_col)
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+    results = for_each_word(deal_words(blocks, words_per_part), lambda: word_encoder(shared.value))
+    return by_block(results, blocks, rebuild, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -99,8 +79,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
         table[rank] = token
     shared = encoded.sparkSession.sparkContext.broadcast(table)
 
-    @F.udf("binary", useArrow=True)
-    def joined(ids):
-        return b"".join(map(shared.value.__getitem__, ids))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = shared.value.__getitem__
+        for batch in batches:
+            lists = batch.column(ids_col)
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+            texts = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out])
 
-    return encoded.withColumn(out, joined(F.coalesce(F.col(ids_col), F.expr("cast(array() as array<int>)"))))
+    before = encoded.drop(out).withColumn(ids_col, F.coalesce(F.col(f"`{ids_col}`"), F.expr("cast(array() as array<int>)")))
+    return before.mapInArrow(each, T.StructType([*before.schema.fields, T.StructField(out, T.BinaryType())]))

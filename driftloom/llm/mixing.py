@@ -67,12 +67,12 @@ def mix(
     most: int = MOST_EPOCHS,
     parts: int = PARTS,
 ) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken (words), epochs (complete) and copies (whole documents).
+    """doc_id, print (hash of the text), size, source, source_size, target, taken (words), epochs, copies (whole documents).
 
     ``quality``: doc_id and quality (0 or 1); of several rows for a document the best counts. A document that
     is taken in part counts as one more copy when at least half of it is taken.
     """
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("print"), F.size(words(F.col("text"))).cast("bigint").alias("size"))
     worth = F.lit(1.0)
     if quality is not None:
         best = quality.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -81,7 +81,7 @@ def mix(
         for value, weight in QUALITY.items():
             worth = F.when(F.col("quality") == value, F.lit(weight)).otherwise(worth)
     key = -F.log(uniform(F.col("doc_id"))) / worth
-    sized = written(sized.select("doc_id", "source", "size", key.alias("key")), "mix-sizes")
+    sized = written(sized.select("doc_id", "source", "print", "size", key.alias("key")), "mix-sizes")
 
     # Below 1 and growing with the key: parts follow each other in order of key.
     part = F.floor((1 - F.exp(-F.col("key"))) * parts)
@@ -96,14 +96,14 @@ def mix(
     before = by_part.select("name", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("before"))
 
     # A source has at most ``parts`` rows here; its documents meet them by source and part, not by source alone.
-    within = W.partitionBy("name", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("name", "part").orderBy("key", "doc_id", "size", "print").rowsBetween(W.unboundedPreceding, -1)
     known = before.join(goals, "name")
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(known, ["name", "part"])
     room = F.col("rest") - F.col("before") - F.col("inside")
     partly = F.greatest(F.lit(0), F.least(F.col("size"), room))
     whole = ((F.col("size") > 0) & (partly * 2 >= F.col("size"))).cast("bigint")
     return placed.select(
-        "doc_id", "size", "source", "source_size", "target",
+        "doc_id", "print", "size", "source", "source_size", "target",
         (F.col("epochs") * F.col("size") + partly).cast("bigint").alias("taken"),
         F.col("epochs").cast("bigint").alias("epochs"), (F.col("epochs") + whole).alias("copies"),
     )
