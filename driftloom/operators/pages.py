@@ -47,8 +47,12 @@ class PageReader(HTMLParser):
         self.pieces: list[str] = []
         self.elements: list[Element] = []
         self.pending: list[str] = []
-        self.feed(html)
-        self.close()
+        self.error: str | None = None
+        try:
+            self.feed(html)
+            self.close()
+        except (AssertionError, ValueError, RecursionError) as broken:
+            self.error = f"unreadable page: {broken}"
         self.end_text()
 
     def end_text(self) -> None:
@@ -90,6 +94,17 @@ class PageReader(HTMLParser):
     def handle_comment(self, data):
         self.end_text()
 
+    def unknown_decl(self, data):
+        self.end_text()
+
+    def parse_marked_section(self, i, report=1):
+        """Any marked section (``<![...]>``) is a comment up to its end, whatever its keyword."""
+        end = self.rawdata.find(">", i)
+        if end < 0:
+            return -1
+        self.end_text()
+        return end + 1
+
     # --- What is read off the page ---
 
     def tagged(self, *tags: str) -> list[Element]:
@@ -102,55 +117,81 @@ class PageReader(HTMLParser):
         found = (e.text() for tag in tags for e in self.tagged(tag))
         return squeeze(" ".join(t for t in found if t))
 
-    def link_of(self, heading: Element) -> Element | None:
-        return next((a for a in self.tagged("a") if heading in a.inside), None)
+    def first_inside(self, tags: tuple[str, ...], outer: str) -> dict[int, Element]:
+        """Of each element with the tag ``outer``, the first element with one of ``tags`` that it encloses."""
+        found: dict[int, Element] = {}
+        for element in self.tagged(*tags):
+            for e in element.inside:
+                if e.tag == outer:
+                    found.setdefault(id(e), element)
+        return found
 
-    def article_titles(self) -> list[str]:
+    def article_titles(self, most: int | None = 50) -> list[str]:
         titles = []
-        headings = self.tagged(*HEADINGS)
+        headings = self.first_inside(HEADINGS, "article")
+        links: dict[int, Element] = {}
+        for link in self.tagged("a"):
+            for e in link.inside:
+                if e.tag in HEADINGS:
+                    links.setdefault(id(e), link)
         for article in self.tagged("article"):
-            heading = next((h for h in headings if article in h.inside), None)
+            heading = headings.get(id(article))
             if heading is not None and heading.pieces:
-                link = self.link_of(heading)
+                link = links.get(id(heading))
                 titles.append(f"{heading.text('')} | {link.href if link else ''}")
         if not titles:
             for heading in self.tagged("h2", "h3"):
-                link = self.link_of(heading)
+                link = links.get(id(heading))
                 if link is not None and len(heading.text("")) > 10:
                     titles.append(f"{heading.text('')} | {link.href}")
-        return titles[:50]
+        return titles[:most]
 
-    def job_titles(self) -> list[str]:
+    def job_titles(self, most: int | None = 100) -> list[str]:
         rows = [e.text() for e in self.tagged("li", "tr", "div") if JOB_CLASS.search(e.css)]
         jobs = [squeeze(t) for t in rows if 5 < len(t) < 200]
         if not jobs:
             texts = [h.text("") for h in self.tagged("h2", "h3", "h4")]
             jobs = [t for t in texts if 5 < len(t) < 150]
-        return list(dict.fromkeys(jobs))[:100]
+        return list(dict.fromkeys(jobs))[:most]
 
 
 def squeeze(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def extract_pages(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """Visible text, focused text, article titles and job titles of every page, in one pass."""
-    columns = [*keys, "visible_text", "focused_text", "article_titles", "job_titles"]
+OUTPUTS = {
+    "visible_text": "string", "focused_text": "string", "article_titles": "array<string>", "job_titles": "array<string>",
+}
+
+
+def extract_pages(
+    pages: DataFrame, keys: list[str], html: str = "html", outputs: list[str] | None = None, titles: int | None = 50,
+    jobs: int | None = 100,
+) -> DataFrame:
+    """What is asked for of ``OUTPUTS`` (default: all) of every page, in one pass, and ``error`` of an unreadable page.
+
+    ``titles`` and ``jobs`` limit the lists that are put out (None: all); pages are always read whole. A page that
+    the tokenizer gives up on keeps what was read before, and its ``error`` makes the capture a failed one.
+    """
+    outputs = list(OUTPUTS) if outputs is None else outputs
     types = dict(pages.select(*keys).dtypes)
+    readers = {
+        "visible_text": PageReader.visible, "focused_text": lambda p: p.focused(V.FOCUS_TAGS),
+        "article_titles": lambda p: p.article_titles(titles), "job_titles": lambda p: p.job_titles(jobs),
+    }
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            read_pages = [PageReader(h or "") for h in pdf[html]]
             out = pdf[keys].copy()
-            out["visible_text"] = [p.visible() for p in read_pages]
-            out["focused_text"] = [p.focused(V.FOCUS_TAGS) for p in read_pages]
-            out["article_titles"] = [p.article_titles() for p in read_pages]
-            out["job_titles"] = [p.job_titles() for p in read_pages]
-            yield out[columns]
-
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
-        ", visible_text string, focused_text string, article_titles array<string>, job_titles array<string>"
-    )
+            found = []
+            for page in pdf[html]:
+                reader = PageReader(page or "")
+                found.append([readers[o](reader) for o in outputs] + [reader.error])
+            for i, name in enumerate([*outputs, "error"]):
+                out[name] = [row[i] for row in found]
+            yield out
+
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{o} {OUTPUTS[o]}" for o in outputs] + ["error string"])
     return pages.select(*keys, html).mapInPandas(read, schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import predicates as P
 from driftloom.functions import vocab as V
 from driftloom.functions.recency import within_days
-from driftloom.functions.text import distinct_ignoring_case, first_present, head, let
+from driftloom.functions.text import distinct_ignoring_case, first_present, head, let, strip
 from driftloom.functions.weeks import epoch_date
 
 
@@ -54,7 +54,7 @@ def filter_channels_by_entity(posts: DataFrame, entities: DataFrame) -> DataFram
     """The same rule with each entity's own ``include_channels`` and ``exclude_channels`` arrays."""
 
     def norm(col: str) -> Column:
-        return F.filter(F.transform(col, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+        return F.filter(F.transform(col, lambda x: F.lower(strip(x))), lambda x: x != "")
 
     rules = entities.select(
         "entity_id", norm("include_channels").alias("_allow"), norm("exclude_channels").alias("_deny")
@@ -178,7 +178,7 @@ def expand_queries(entities: DataFrame, mode: str) -> DataFrame:
         fixed = V.PRICING_KEYWORDS if mode == "pricing" else V.DISCUSSION_KEYWORDS
         defaults = F.array(*[F.lit(k) for k in fixed])
         given = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(defaults)
-        trimmed = F.filter(F.transform(given, lambda k: F.trim(k)), lambda k: k != "")
+        trimmed = F.filter(F.transform(given, strip), lambda k: k != "")
         unique = let(trimmed, distinct_ignoring_case)
         phrases = F.transform(
             head(unique, V.MAX_KEYWORDS), lambda k: F.format_string('"%s" "%s"', term, k)

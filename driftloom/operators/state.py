@@ -11,6 +11,7 @@ from driftloom.functions import vocab as V
 from driftloom.functions.text import content_hash
 from driftloom.functions.weeks import month_label
 from driftloom.operators.segments import SEGMENT_ROWS, lag_over, running_sum
+from driftloom.sources.inputs import has_error
 from driftloom.sources.tables import written
 
 PAGE_KEYS = ["entity_id", "page_type"]
@@ -29,7 +30,7 @@ def usable_captures(captures: DataFrame) -> DataFrame:
     """Captures that hold text; failed and empty ones never reach change detection."""
     ok = F.col("content_text") != ""
     if "error" in captures.columns:
-        ok = ok & F.col("error").isNull()
+        ok = ok & ~has_error(F.col("error"))
     return captures.filter(ok)
 
 

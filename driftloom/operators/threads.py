@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,54 +14,75 @@ from driftloom.functions import vocab as V
 from driftloom.functions.text import strip
 from driftloom.session import ensure_checkpoint_dir
 
-MAX_DOUBLINGS = 12
-
 
 def tree_order(comments: DataFrame) -> DataFrame:
-    """Each comment's root-to-node path; sorting by (post, path) is reading order.
+    """Each comment's root-to-node path and ``place``; sorting by (post, path) is reading order.
 
     ``comments`` has post_id, comment_id, parent_id and pos (order among siblings). Paths grow by
     pointer doubling: every round joins each unfinished node to the node it points at and takes
     over that node's path and pointer, so a thread of depth d needs log2(d) equi-joins. Rounds are
-    cut with checkpoint() in the shared folder. Comments whose ancestors are missing are dropped.
+    cut with checkpoint() in the shared folder and go on until every pointer has ended.
+
+    ``place`` is ``tree``, ``orphan`` when an ancestor is missing (the topmost known one is then the
+    root), or ``cycle`` when following parents never ends (the path is then the comment itself).
     """
     ensure_checkpoint_dir(comments.sparkSession)
     step = F.array(F.struct(F.col("pos"), F.col("comment_id")))
-    state = comments.select(
-        "post_id", "comment_id", F.col("parent_id").alias("ptr"), step.alias("path")
-    ).checkpoint()
-    for _ in range(MAX_DOUBLINGS):
+    known = comments.select("post_id", F.col("comment_id").alias("parent_id"), F.lit(True).alias("_known")).distinct()
+    sizes = comments.groupBy("post_id").agg(F.count(F.lit(1)).alias("_size"))
+    state = (
+        comments.select("post_id", "comment_id", "parent_id", step.alias("path")).join(known, ["post_id", "parent_id"], "left")
+        .join(sizes, "post_id")
+        .select(
+            "post_id", "comment_id", F.when(F.col("_known"), F.col("parent_id")).alias("ptr"), "path", F.col("path").alias("_own"),
+            (F.col("parent_id").isNotNull() & F.col("_known").isNull()).alias("_orphan"), F.lit(1).cast("bigint").alias("_steps"), "_size",
+        )
+        .checkpoint()
+    )
+    # A path longer than its post has comments is a cycle; it is not made any longer.
+    while not state.filter(F.col("ptr").isNotNull() & (F.col("_steps") <= F.col("_size"))).isEmpty():
         open_nodes = state.filter(F.col("ptr").isNotNull())
-        if open_nodes.isEmpty():
-            return state.select("post_id", "comment_id", "path")
         target = state.select(
-            "post_id", F.col("comment_id").alias("ptr"),
-            F.col("ptr").alias("_next"), F.col("path").alias("_prefix"),
+            "post_id", F.col("comment_id").alias("ptr"), F.col("ptr").alias("_next"), F.col("path").alias("_prefix"),
+            F.col("_orphan").alias("_cut"), F.col("_steps").alias("_more"),
         )
+        longer = F.col("_steps") + F.col("_more")
         moved = open_nodes.join(target, ["post_id", "ptr"]).select(
-            "post_id", "comment_id", F.col("_next").alias("ptr"), F.concat("_prefix", "path").alias("path")
+            "post_id", "comment_id", F.col("_next").alias("ptr"),
+            F.when(longer <= F.col("_size"), F.concat("_prefix", "path")).otherwise(F.col("path")).alias("path"), "_own",
+            F.col("_cut").alias("_orphan"), longer.alias("_steps"), "_size",
         )
         state = state.filter(F.col("ptr").isNull()).unionByName(moved).checkpoint()
-    raise ValueError(f"comment threads deeper than {2 ** MAX_DOUBLINGS} levels, or cyclic")
+    cycle = F.col("ptr").isNotNull()
+    place = F.when(cycle, "cycle").when(F.col("_orphan"), "orphan").otherwise("tree")
+    return state.select("post_id", "comment_id", F.when(cycle, F.col("_own")).otherwise(F.col("path")).alias("path"), place.alias("place"))
 
 
 def flatten_comments(comments: DataFrame) -> DataFrame:
-    """Readable comments with their order inside the post.
+    """Readable comments with their order inside the post and their ``place``.
 
     Blank and deleted bodies are dropped, their replies are kept. ``ord`` is the root-to-node path,
-    which sorts in reading order.
+    which sorts in reading order. With a ``kind`` column, only comments (``t1``) are readable.
     """
     body = strip(F.coalesce("body", F.lit("")))
     kept = comments.filter((body != "") & ~body.isin(*V.DELETED_BODIES))
+    if "kind" in comments.columns:
+        kept = kept.filter(F.col("kind") == "t1")
     paths = tree_order(comments)
     return kept.select("post_id", "comment_id", body.alias("body")).join(
         paths.withColumnRenamed("path", "ord"), ["post_id", "comment_id"]
     )
 
 
-def _walk(children: object) -> Iterator[str]:
+def _children(data: object) -> list:
+    below = data.get("data") if isinstance(data, dict) else None
+    below = below.get("children") if isinstance(below, dict) else None
+    return below if isinstance(below, list) else []
+
+
+def _walk(children: list) -> Iterator[str]:
     """Bodies of comment nodes in reading order; an explicit stack copes with any depth."""
-    stack = [iter(children if isinstance(children, list) else [])]
+    stack = [iter(children)]
     while stack:
         node = next(stack[-1], None)
         if node is None:
@@ -68,37 +90,74 @@ def _walk(children: object) -> Iterator[str]:
             continue
         if not isinstance(node, dict) or node.get("kind") != "t1":
             continue
-        data = node.get("data") or {}
-        body = (data.get("body") or "").strip()
+        data = node.get("data")
+        if not isinstance(data, dict):
+            continue
+        body = data.get("body")
+        body = body.strip() if isinstance(body, str) else ""
         if body and body not in V.DELETED_BODIES:
             yield body
-        replies = data.get("replies")
-        if isinstance(replies, dict):
-            below = (replies.get("data") or {}).get("children", [])
-            stack.append(iter(below if isinstance(below, list) else []))
+        stack.append(iter(_children(data.get("replies"))))
+
+
+#: What makes one JSON value out of nested ones, for payloads nested deeper than the parser goes.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}:,]|[^\s\[\]{}:,"]+', re.S)
 
 
-def _bodies(payload: str) -> list[str]:
+def _load(payload: str) -> object:
+    """The payload's value; deep nesting is put together with a stack instead of recursion."""
     try:
-        parsed = json.loads(payload)
+        return json.loads(payload)
+    except RecursionError:
+        pass
+    done: list = []
+    stack: list[tuple[object, list]] = []
+    items = done
+    for token in _TOKEN.findall(payload):
+        if token in "[{":
+            stack.append((token, items))
+            items = []
+        elif token in "]}":
+            if not stack or (stack[-1][0] == "[") != (token == "]"):
+                raise ValueError("unbalanced")
+            kind, outer = stack.pop()
+            if kind == "{" and len(items) % 2:
+                raise ValueError("odd object")
+            outer.append(items if kind == "[" else dict(zip(items[::2], items[1::2], strict=True)))
+            items = outer
+        elif token not in ",:":
+            items.append(json.loads(token))
+    if stack or len(done) != 1:
+        raise ValueError("unfinished")
+    return done[0]
+
+
+def _bodies(payload: str) -> tuple[list[str], bool]:
+    """Readable bodies, and whether the payload could be read."""
+    try:
+        parsed = _load(payload)
     except (TypeError, ValueError):
-        return []
-    if not isinstance(parsed, list) or len(parsed) < 2 or not isinstance(parsed[1], dict):
-        return []
-    return list(_walk((parsed[1].get("data") or {}).get("children")))
+        return [], False
+    if not isinstance(parsed, list) or len(parsed) < 2:
+        return [], False
+    return list(_walk(_children(parsed[1]))), True
+
 
+def parse_comment_payloads(payloads: DataFrame, unreadable: bool = False) -> DataFrame:
+    """One row per readable comment of each raw nested payload (post_id, payload).
 
-def parse_comment_payloads(payloads: DataFrame) -> DataFrame:
-    """One row per readable comment of each raw nested payload (post_id, payload)."""
+    With ``unreadable``, a payload that cannot be read is one row more, without ``ord`` and ``body``.
+    """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (post, i, body)
-                for post, payload in zip(pdf["post_id"], pdf["payload"])
-                for i, body in enumerate(_bodies(payload))
-            ]
-            yield pd.DataFrame(rows, columns=["post_id", "ord", "body"])
+            rows: list[tuple] = []
+            for post, payload in zip(pdf["post_id"], pdf["payload"]):
+                bodies, read = _bodies(payload)
+                rows += [(post, i, body) for i, body in enumerate(bodies)]
+                if unreadable and not read:
+                    rows.append((post, None, None))
+            yield pd.DataFrame(rows, columns=["post_id", "ord", "body"]).astype({"ord": "Int64"})
 
     return payloads.select("post_id", "payload").mapInPandas(
         explode, "post_id string, ord bigint, body string"

@@ -340,6 +340,22 @@ def a4_normalize_payload(spark, sf):
     pairs = F.transform(F.map_entries("engagement"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return social_posts(spark, sf).withColumns(
         {"engagement": joined(F.array_sort(pairs), ","), "pos": F.col("pos").cast("bigint")}
+    ).drop("engagement_raw")
+
+
+@query
+def a4_counters(spark, sf):
+    """Counters that are fractions, shortened or no numbers at all, for every order."""
+    key = F.col("o_orderkey").cast("string")
+    likes = F.when(F.col("o_orderkey") % 4 == 0, F.lit('"1.2K"')).when(F.col("o_orderkey") % 4 == 1, F.lit('"many"')).when(
+        F.col("o_orderkey") % 4 == 2, F.lit("null")
+    ).otherwise(F.lit('"3,400"'))
+    payload = F.concat(F.lit('{"posts":[{"url":"u'), key, F.lit('","likes":'), likes, F.lit(',"views":'), key, F.lit(".5}]}"))
+    rows = table(spark, sf, "orders").select("o_orderkey", payload.alias("payload"))
+    posts_of = I.normalize_payload(rows, "payload", F.lit("facebook"), F.lit(False))
+    return posts_of.select(
+        "o_orderkey", F.col("engagement_raw")["likes"].alias("likes_text"), F.col("engagement")["likes"].alias("likes"),
+        F.col("engagement_raw")["views"].alias("views_text"), F.col("engagement")["views"].alias("views"),
     )
 
 
@@ -402,23 +418,31 @@ def b1_visible_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", G.visible_text(F.col("html")).alias("visible_text"))
 
 
-def read_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return G.extract_pages(table(spark, sf, "pages"), ["page_id"])
+def read_pages(spark: SparkSession, sf: str, *outputs: str) -> DataFrame:
+    return G.extract_pages(table(spark, sf, "pages"), ["page_id"], outputs=list(outputs))
 
 
 @query
 def b1_visible_text_parsed(spark, sf):
-    return read_pages(spark, sf).select("page_id", "visible_text")
+    return read_pages(spark, sf, "visible_text").select("page_id", "visible_text")
+
+
+@query
+def b1_bad_pages(spark, sf):
+    """The given pages with marked sections that no standard knows, which must cost nothing but themselves."""
+    html = F.concat(F.lit("<![foo bar]>"), F.col("html"), F.lit("<![ENDIF[x]]>"))
+    marked = table(spark, sf, "pages").select("page_id", html.alias("html"))
+    return G.extract_pages(marked, ["page_id"], outputs=["visible_text"])
 
 
 @query
 def b2_focused_text(spark, sf):
-    return read_pages(spark, sf).select("page_id", "focused_text")
+    return read_pages(spark, sf, "focused_text").select("page_id", "focused_text")
 
 
 @query
 def b3_article_titles(spark, sf):
-    return read_pages(spark, sf).select("page_id", F.explode("article_titles").alias("title"))
+    return read_pages(spark, sf, "article_titles").select("page_id", F.explode("article_titles").alias("title"))
 
 
 @query
@@ -427,7 +451,7 @@ def b4_job_titles(spark, sf):
     html = F.regexp_replace("html", '<(nav|/nav)>', "<!-- $1 -->")
     html = F.regexp_replace(html, "<li>", '<li class="job-opening">')
     marked = table(spark, sf, "pages").select("page_id", html.alias("html"))
-    return G.extract_pages(marked, ["page_id"]).select(
+    return G.extract_pages(marked, ["page_id"], outputs=["job_titles"]).select(
         "page_id", F.posexplode("job_titles").alias("pos", "title")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -525,6 +549,14 @@ def b14_flatten_comments(spark, sf):
     return H.flatten_comments(tree).select("post_id", "comment_id", "body", joined(path, ".").alias("path"))
 
 
+@query
+def b14_orphans(spark, sf):
+    """Threads without their third comment, so that its replies have lost their parent."""
+    rest = comments(spark, sf).filter("comment_id <> 2").withColumn("pos", F.col("comment_id"))
+    path = F.transform("ord", lambda p: p["comment_id"].cast("string"))
+    return H.flatten_comments(rest).select("post_id", "comment_id", "body", joined(path, ".").alias("path"), "place")
+
+
 @query
 def b14_raw_comment_payloads(spark, sf):
     """Conversations nested as raw payloads of at most 50 turns, each replying to the one before."""

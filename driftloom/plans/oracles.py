@@ -248,6 +248,10 @@ select *, left(sha256(case when url <> '' then url else concat(title, left(text,
     where json_type(l) = 'ARRAY')))
 """
 oracle("a4_normalize_payload", f"select * from ({SOCIAL})", "fx_payload")
+oracle("a4_counters", """
+select o_orderkey, case o_orderkey % 4 when 0 then '1.2K' when 1 then 'many' when 3 then '3,400' end as likes_text,
+  cast(case o_orderkey % 4 when 0 then 1200 when 3 then 3400 end as bigint) as likes,
+  concat(o_orderkey, '.5') as views_text, cast(o_orderkey + 1 as bigint) as views from orders""")
 oracle("a5_endpoint_sources", """
 select source, is_owned, count(*) as requests, count(*) filter (success) as successes from (
   select success, case left(endpoint, 1) when '1' then 'reddit' when '2' then 'linkedin' when '3' then 'facebook' when '4' then 'twitter' end as source,
@@ -265,6 +269,7 @@ from fx_run_log group by all""", "fx_run_log")
 # --- Extraction ---
 oracle("b1_visible_text", f"select page_id, {visible('html')} as visible_text from pages")
 oracle("b1_visible_text_parsed", f"select page_id, {visible('html')} as visible_text from pages")
+oracle("b1_bad_pages", f"select page_id, {visible('html')} as visible_text, cast(null as varchar) as error from pages")
 oracle("b3_article_titles", """
 select page_id, concat(trim(replace(replace(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&')), ' | ') as title
 from pages where html like '%<article><h1>%'""")
@@ -351,6 +356,12 @@ walk as (select post_id, comment_id, body, cast(comment_id as varchar) as path f
   union all select c.post_id, c.comment_id, c.body, concat(w.path, '.', c.comment_id)
   from fx_comments c join walk w on c.post_id = w.post_id and c.parent_id = w.comment_id)
 select post_id, comment_id, trim(body)""")
+ORACLES["b14_orphans"] = ORACLES["b14_flatten_comments"].replace(
+    "as path from fx_comments where parent_id is null",
+    "as path, case when parent_id = 2 then 'orphan' else 'tree' end as place from fx_comments where comment_id <> 2 and (parent_id is null or parent_id = 2)",
+).replace("concat(w.path, '.', c.comment_id)", "concat(w.path, '.', c.comment_id), w.place").replace(
+    "as body, path from walk", "as body, path, place from walk").replace("comment_id % 5 <> 3", "comment_id <> 2").replace(
+    "c.parent_id = w.comment_id)", "c.parent_id = w.comment_id where c.comment_id <> 2)")
 oracle("b14_raw_comment_payloads", """
 select concat(conv_id, '/', turn // 50) as post_id, row_number() over (partition by conv_id, turn // 50 order by turn) - 1 as ord,
   trim(text) as body from conversations where trim(text) <> ''""")

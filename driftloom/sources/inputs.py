@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from driftloom import schemas
 from driftloom.functions import vocab as V
 from driftloom.functions.ids import content_id
-from driftloom.functions.text import first_present, truncate_note
+from driftloom.functions.text import first_present, strip, truncate_note
 
 
 def string_list(arr: Column) -> Column:
     """Trimmed, non-blank entries; a missing list is empty."""
-    kept = F.filter(F.transform(arr.cast("array<string>"), lambda x: F.trim(x)), lambda x: x != "")
+    kept = F.filter(F.transform(arr.cast("array<string>"), strip), lambda x: x != "")
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
@@ -29,9 +29,14 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.schema(schemas.CAPTURES).format(fmt).load(path)
 
 
+def has_error(error: Column) -> Column:
+    """Whether a capture failed: it names an error, and an empty one is none."""
+    return F.coalesce(error != "", F.lit(False))
+
+
 def capture_status(df: DataFrame) -> DataFrame:
     """Whether each capture succeeded, and why not."""
-    failed = F.col("error").isNotNull() & (F.col("error") != "")
+    failed = has_error(F.col("error"))
     empty = F.coalesce(F.col("text"), F.lit("")) == ""
     return df.withColumns(
         {
@@ -60,18 +65,30 @@ def _present(value: Column) -> Column:
     return F.when(~value.isin("", "[]", "{}", "0", "false"), value)
 
 
+def counter_value(text: Column) -> Column:
+    """A counter as a whole number: plain, with a fraction, or shortened by K, M or B; null when it is no number."""
+    number = F.regexp_extract(text, r"^\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*([KkMmBb]?)\s*$", 1)
+    unit = F.upper(F.regexp_extract(text, r"([KkMmBb])\s*$", 1))
+    times = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
+    return F.when(number != "", F.round(F.replace(number, F.lit(","), F.lit("")).try_cast("double") * times).try_cast("bigint"))
+
+
 def normalize_payload(df: DataFrame, payload: str, source: Column, is_owned: Column) -> DataFrame:
-    """One row per post of a social payload, whichever of the four list fields it uses."""
+    """One row per post of a social payload, whichever of the four list fields it uses.
+
+    ``engagement_raw`` has every counter that is not null, as text; ``engagement`` those that are numbers.
+    """
     raw = F.coalesce(*[_present(F.get_json_object(payload, f"$.{k}")) for k in V.PAYLOAD_LISTS])
     items = F.filter(F.from_json(raw, "array<string>"), lambda x: x.startswith("{"))
     rest = [c for c in df.columns if c != payload]
     rows = df.select(*rest, source.alias("source"), is_owned.alias("is_owned"),
                      F.posexplode(F.when(raw.startswith("["), items)).alias("pos", "_item"))
     texts = ["title", "snippet", "text", "body", "url", "author", "username", "date"]
-    schema = ", ".join([f"{t} string" for t in texts] + [f"{k} bigint" for k in V.ENGAGEMENT_KEYS])
+    schema = ", ".join([f"{t} string" for t in texts] + [f"{k} string" for k in V.ENGAGEMENT_KEYS])
     item = F.col("_post")
     blank = F.lit("")
     counters = F.create_map(*[x for k in V.ENGAGEMENT_KEYS for x in (F.lit(k), item[k])])
+    counters = F.map_filter(counters, lambda _, v: v.isNotNull())
     parsed = rows.withColumn("_post", F.from_json("_item", schema)).select(
         *rest, "source", "is_owned", "pos",
         F.coalesce(item["title"], blank).alias("title"),
@@ -79,7 +96,8 @@ def normalize_payload(df: DataFrame, payload: str, source: Column, is_owned: Col
         F.coalesce(item["url"], blank).alias("url"),
         F.coalesce(first_present(item["author"], item["username"]), blank).alias("author"),
         F.coalesce(item["date"], blank).alias("date"),
-        F.map_filter(counters, lambda _, v: v.isNotNull()).alias("engagement"),
+        F.map_filter(F.transform_values(counters, lambda _, v: counter_value(v)), lambda _, v: v.isNotNull()).alias("engagement"),
+        counters.alias("engagement_raw"),
     )
     return parsed.withColumn("post_id", content_id(F.col("url"), F.col("title"), F.col("text")))
 

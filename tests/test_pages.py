@@ -59,3 +59,26 @@ def test_page_content(spark):
     assert out["homepage"].content_text == "Top Bb Aa"
     assert out["blog"].content_text == "Aa | \nBb | " and out["blog"]["items"] == ["Bb | ", "Aa | "]
     assert out["pricing"].content_text == "Top Bb Aa"
+
+
+def test_unknown_marked_sections_are_comments(spark):
+    pages = [(1, "<p>a</p><![foo bar]>x"), (2, "<![if !IE]><p>b</p><![endif]>"), (3, "<p>c<![CDATA[d]]>"), (4, None), (5, "<!foo"), (6, "<![")]
+    out = {r.page_id: (r.visible_text, r.error) for r in G.extract_pages(spark.createDataFrame(pages, "page_id long, html string"), ["page_id"], outputs=["visible_text"]).collect()}
+    assert out[1] == ("a x", None) and out[2] == ("b", None) and out[4] == ("", None) and len(out) == 6
+
+
+def test_title_limits_are_arguments(spark):
+    html = "".join(f"<article><h1>t{i}</h1></article><li class='job'>Engineer {i}</li>" for i in range(120))
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    row = G.extract_pages(df, ["page_id"], titles=None, jobs=None).first()
+    assert len(row.article_titles) == 120 and len(row.job_titles) == 120
+    assert len(G.extract_pages(df, ["page_id"], titles=7).first().article_titles) == 7
+
+
+def test_an_empty_error_is_no_error(spark):
+    from driftloom.operators.state import usable_captures
+    from driftloom.sources.inputs import capture_status
+
+    df = spark.createDataFrame([("x", ""), ("x", None), ("x", "boom"), ("", None)], "content_text string, error string")
+    assert usable_captures(df).count() == 2
+    assert [r.status for r in capture_status(df.withColumnRenamed("content_text", "text")).collect()] == ["ok", "ok", "failed", "failed"]

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftloom.operators import posts as O
 from driftloom.operators import threads as H
@@ -80,17 +81,45 @@ def test_raw_comment_payload(spark):
 def test_tree_order_is_preorder_at_any_depth(spark):
     chain = [("deep", i, i - 1 if i else None, 0, f"c{i}") for i in range(70)]
     bushy = [("b", 0, None, 5, "r2"), ("b", 1, None, 1, "r1"), ("b", 2, 1, 9, "r1b"), ("b", 3, 1, 2, "[removed]"), ("b", 4, 3, 0, "kept"),
-             ("b", 5, 99, 0, "orphan")]
+             ("b", 5, 99, 9, "orphan")]
     df = spark.createDataFrame(chain + bushy, "post_id string, comment_id long, parent_id long, pos long, body string")
     out = H.flatten_comments(df).orderBy("post_id", "ord").collect()
-    assert [r.body for r in out if r.post_id == "b"] == ["r1", "kept", "r1b", "r2"]
+    assert [r.body for r in out if r.post_id == "b"] == ["r1", "kept", "r1b", "r2", "orphan"]
     assert [r.body for r in out if r.post_id == "deep"] == [f"c{i}" for i in range(70)]
 
 
-def test_cycle_is_reported(spark):
-    df = spark.createDataFrame([("p", 1, 2, 0, "a"), ("p", 2, 1, 0, "b")], "post_id string, comment_id long, parent_id long, pos long, body string")
-    with pytest.raises(ValueError):
-        H.tree_order(df)
+def test_orphans_and_cycles_are_kept_and_named(spark):
+    rows = [("p", 1, 2, 0, "a"), ("p", 2, 1, 0, "b"), ("p", 3, 2, 0, "behind"), ("p", 4, None, 0, "root"), ("q", 5, 99, 0, "lost"), ("q", 6, 5, 0, "below")]
+    df = spark.createDataFrame(rows, "post_id string, comment_id long, parent_id long, pos long, body string")
+    out = {r.comment_id: (r.place, [p.comment_id for p in r.ord]) for r in H.flatten_comments(df).collect()}
+    assert out == {1: ("cycle", [1]), 2: ("cycle", [2]), 3: ("cycle", [3]), 4: ("tree", [4]), 5: ("orphan", [5]), 6: ("orphan", [5, 6])}
+
+
+def test_a_thread_deeper_than_any_bound(spark):
+    df = spark.createDataFrame([("deep", i, i - 1 if i else None, 0, f"c{i}") for i in range(5000)], "post_id string, comment_id long, parent_id long, pos long, body string")
+    assert H.tree_order(df).selectExpr("max(size(path))", "min(place)").first() == (5000, "tree")
+
+
+def test_only_comments_are_readable(spark):
+    df = spark.createDataFrame([("p", 1, None, 0, "a", "t1"), ("p", 2, 1, 0, "more", "more"), ("p", 3, 2, 0, "c", "t1")],
+                               "post_id string, comment_id long, parent_id long, pos long, body string, kind string")
+    assert [r.body for r in H.flatten_comments(df).orderBy("ord").collect()] == ["a", "c"]
+
+
+def test_bad_comment_payloads_cost_only_themselves(spark):
+    deep = '[{},{"data":{"children":[' + '{"kind":"t1","data":{"body":"x","replies":{"data":{"children":[' * 6000 + "]}}}}" * 6000 + "]}}]"
+    odd = [{"kind": "t1", "data": {"body": 5}}, {"kind": "t1", "data": [1]}, {"kind": "t1", "data": {"body": "ok", "replies": {"data": [1]}}}]
+    rows = [("deep", deep), ("odd", json.dumps([{}, {"data": {"children": odd}}])), ("list", "[" * 9000), ("data", '[{}, {"data": 7}]'), ("null", None)]
+    df = spark.createDataFrame(rows, "post_id string, payload string")
+    out = H.parse_comment_payloads(df, unreadable=True).groupBy("post_id").agg(F.count("body").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert {r.post_id: (r.n, r["rows"]) for r in out} == {"deep": (6000, 6000), "odd": (1, 1), "list": (0, 1), "null": (0, 1)}
+
+
+def test_counters_are_kept(spark):
+    payload = '{"posts":[{"url":"u","likes":"1.2K","views":1.5,"shares":"lots","comments":null,"awards":"2,000","upvotes":7}]}'
+    row = I.normalize_payload(spark.createDataFrame([(payload,)], "payload string"), "payload", F.lit("s"), F.lit(True)).first()
+    assert row["engagement"] == {"likes": 1200, "views": 2, "awards": 2000, "upvotes": 7}
+    assert row["engagement_raw"] == {"likes": "1.2K", "views": "1.5", "shares": "lots", "awards": "2,000", "upvotes": "7"}
 
 
 def test_payload_lists(spark):
