@@ -150,7 +150,9 @@ def digest_blocks(reports: DataFrame, runs: DataFrame, position: str, summary_on
         arrays = runs.select("run_id", F.lit(0).cast("bigint").alias("start"), F.concat(opening, closing).alias("blocks"))
     else:
         counted = reports.select("run_id", position, entity_blocks().alias("blocks")).withColumn("_size", F.size("blocks"))
-        placed = running_sum(counted, ["run_id"], position, F.col("_size"), "start", True)
+        counted = written(counted, "counted-blocks")
+        starts = running_sum(counted.select("run_id", position, "_size"), ["run_id"], position, F.col("_size"), "start", True)
+        placed = counted.join(starts.select("run_id", position, "start"), ["run_id", position])
         totals = counted.groupBy("run_id").agg(F.sum("_size").alias("_total"))
         after = F.coalesce("_total", F.lit(0)) + 2
         frame = F.array(

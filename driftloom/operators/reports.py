@@ -195,9 +195,14 @@ def summaries_by_kind(items: DataFrame, keys: list[str], order: list) -> DataFra
 
 def prefix_budget(df: DataFrame, keys: list[str], order: str, length: Column, cap: int,
                   width: int = SEGMENT_ROWS) -> DataFrame:
-    """Rows taken in order until one would exceed ``cap`` characters in total."""
-    summed = running_sum(df, keys, order, length, "running", False, width)
-    return summed.filter(F.col("running") <= cap)
+    """Rows taken in order until one would exceed ``cap`` characters in total, with ``running``.
+
+    Only lengths go through the window; the taken rows meet their texts again by (key, order), which is unique.
+    """
+    narrow = df.select(*keys, order, length.cast("bigint").alias("_length"))
+    summed = running_sum(narrow, keys, order, F.col("_length"), "running", False, width)
+    taken = summed.filter(F.col("running") <= cap).select(*keys, order, "running")
+    return df.join(taken, [*keys, order]).select(*df.columns, "running")
 
 
 # --- Reports --------------------------------------------------------------------------------

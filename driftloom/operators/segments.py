@@ -1,11 +1,15 @@
 """Ordered windows that survive a hot key.
 
-A plain window puts every row of a key into one task. Here the key's rows are cut into segments of
-a unique increasing sequence number, so that no segment can hold more than ``width`` rows whatever
-the key distribution. Each segment is windowed on its own; what must flow from one segment to the
-next (a last value, a running total) is aggregated with map-side combine to one row per segment,
-windowed per key over those few rows, and joined back on (key, segment), on which the rows are
-already partitioned.
+A plain window puts every row of a key into one task. Here rows are range-partitioned by key and order
+into segments of about ``width`` rows, whatever the keys and however far apart the sequence numbers are:
+a hot key is spread over many segments, and small keys share one. Each segment is windowed on its own;
+what must flow from one segment of a key to the next (a last value, a running total) is aggregated with
+map-side combine to one row per key and segment, windowed per key over those few rows (at most as many
+as there are segments), and joined back on (key, segment), on which the rows are already partitioned.
+
+The segments are written to the shared folder, so that every reader sees the same borders; counting and
+writing run while the plan is being built. A table of at most ``width`` rows is one plain window. Pass
+narrow rows: whatever is in them is moved and sorted; texts are joined back by their sequence number.
 """
 
 from __future__ import annotations
@@ -14,15 +18,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.sources.tables import written
+
 SEGMENT_ROWS = 1 << 20
 _SEG = "_segment"
 _CARRY = "_carry"
 
 
 def segment_of(order: Column, width: int) -> Column:
+    """Segments of a dense number, such as a position that was counted."""
     return F.floor(order / F.lit(width))
 
 
+def cut(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame | None:
+    """The rows with their segment, written; None if one segment is enough."""
+    parts = -(-df.count() // width)
+    if parts <= 1:
+        return None
+    ranged = df.repartitionByRange(parts, *keys, order)
+    return written(ranged.withColumn(_SEG, F.spark_partition_id()), "segments")
+
+
 def _carry_join(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     """Bring each segment's carried value to its rows. Plain equality keeps the rows' partitioning,
     so only the few carry rows move; keys must not be null."""
@@ -43,7 +59,13 @@ def lag_over(
     ``seed`` (keys and value, one row per key) stands before a key's first row. It is joined to the
     few carry rows, so the rows themselves are not shuffled again for it.
     """
-    tagged = df.withColumn(_SEG, segment_of(F.col(order), width))
+    tagged = cut(df, keys, order, width)
+    if tagged is None:
+        plain = df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(order)))
+        if seed is None:
+            return plain
+        before = seed.select(*keys, F.col(value).alias(_CARRY))
+        return plain.join(before, keys, "left").withColumn(out, F.coalesce(out, _CARRY)).select(*df.columns, out)
     inner = W.partitionBy(*keys, _SEG).orderBy(order)
     rows = tagged.withColumn(out, F.lag(value).over(inner))
     tails = tagged.groupBy(*keys, _SEG).agg(F.max_by(value, order).alias("_tail"))
@@ -68,10 +90,12 @@ def running_sum(
     width: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Running total of ``value`` per key in ``order``, with or without the current row."""
-    tagged = df.withColumn("_value", value.cast("bigint")).withColumn(
-        _SEG, segment_of(F.col(order), width)
-    )
     last = -1 if exclusive else 0
+    valued = df.withColumn("_value", value.cast("bigint"))
+    tagged = cut(valued, keys, order, width)
+    if tagged is None:
+        whole = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+        return valued.withColumn(out, F.coalesce(F.sum("_value").over(whole), F.lit(0))).drop("_value")
     inner = W.partitionBy(*keys, _SEG).orderBy(order).rowsBetween(W.unboundedPreceding, last)
     rows = tagged.withColumn(out, F.coalesce(F.sum("_value").over(inner), F.lit(0)))
     totals = tagged.groupBy(*keys, _SEG).agg(F.sum("_value").alias("_total"))

@@ -939,10 +939,13 @@ def g10_evidence_by_platform(spark, sf):
 
 @query
 def g10_page_evidence(spark, sf):
-    rows = S.lag_over(
-        table(spark, sf, "documents").withColumnRenamed("text", "new_text"), ["source"], "doc_id", "new_text", "old_text"
-    )
-    return R.page_evidence(rows.filter(F.col("old_text").isNotNull())).select("doc_id", "old_text", "new_text")
+    """Each document beside the one before it of its source; only numbers go through the window."""
+    docs = table(spark, sf, "documents")
+    pairs = S.lag_over(docs.select("source", "doc_id", F.col("doc_id").alias("_id")), ["source"], "doc_id", "_id", "_old")
+    old = docs.select(F.col("doc_id").alias("_old"), F.col("text").alias("old_text"))
+    new = docs.select("doc_id", F.col("text").alias("new_text"))
+    rows = pairs.filter(F.col("_old").isNotNull()).select("doc_id", "_old").join(new, "doc_id").join(old, "_old")
+    return R.page_evidence(rows).select("doc_id", "old_text", "new_text")
 
 
 @query
@@ -1102,9 +1105,20 @@ def a8_write_digest(spark, sf):
 # --- Incremental forms ----------------------------------------------------------------------
 
 
+STREAM_BATCHES = 3
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The given events as a stream of several micro-batches: files written one after another, one read at a time."""
+    path = scratch_path(spark, "event-files")
+    events = table(spark, sf, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = ((high or 0) - (low or 0)) // STREAM_BATCHES + 1
+    for i in range(STREAM_BATCHES):
+        start = (low or 0) + i * step
+        part = events.filter((F.col("event_id") >= start) & (F.col("event_id") < start + step))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def item_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -1160,11 +1174,7 @@ def h3_stream_new_in_state(spark, sf):
 def h4_stream_trend(spark, sf):
     root = scratch_path(spark, "stream-trend")
     N.stream_items(item_stream(spark, sf), root).awaitTermination()
-    feed = spark.read.parquet(f"{root}/new_items")
-    stream = spark.readStream.schema(feed.drop("batch").schema).option("recursiveFileLookup", "true").parquet(f"{root}/new_items")
-    N.stream_trend(stream, f"{root}/weeks").awaitTermination()
-    out = N.current_trend(spark, f"{root}/weeks")
-    return out.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
+    return N.current_trend(spark, root).withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
 
 
 @query

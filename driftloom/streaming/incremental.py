@@ -7,7 +7,7 @@ also lets a hot page or item use the skew-safe batch plans instead of one state-
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,7 +26,6 @@ def _start(stream: DataFrame, root: str, step) -> StreamingQuery:
 
 
 
-
 def stream_changes(stream: DataFrame, root: str) -> StreamingQuery:
     """Change detection over a stream of captures.
 
@@ -48,10 +47,10 @@ def stream_changes(stream: DataFrame, root: str) -> StreamingQuery:
 
 
 def stream_items(stream: DataFrame, root: str) -> StreamingQuery:
-    """Item upsert over a stream of sightings: ``root/new_items`` (the feed) and ``root/items``.
+    """Item upsert over a stream of sightings: ``root/new_items`` (the feed), ``root/items`` and ``root/trend``.
 
     The feed is the first sighting of every unknown item; sightings of one item collapse before the
-    join with the known items.
+    join with the known items. The trend is counted from the batch's own feed.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -60,6 +59,7 @@ def stream_items(stream: DataFrame, root: str) -> StreamingQuery:
         first = dedup_first(batch, S.ITEM_KEYS, ["seq"])
         fresh = first if known is None else S.new_items(first, known)
         append(fresh, f"{root}/new_items", batch_id)
+        append(weekly_counts(spark.read.parquet(f"{root}/new_items/batch={batch_id}")), f"{root}/trend", batch_id)
         commit_state(S.upsert_items(known, batch), f"{root}/items", batch_id)
 
     return _start(stream, root, step)
@@ -71,49 +71,26 @@ def stream_new(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicates(S.ITEM_KEYS)
 
 
-def utc_instant(ts: Column) -> Column:
-    """A zoneless time read as UTC, whatever the session time zone (whole seconds)."""
-    days = F.datediff(ts, F.lit("1970-01-01")).cast("bigint")
-    return F.timestamp_seconds(days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
+def weekly_counts(rows: DataFrame, at: str = "seen_at") -> DataFrame:
+    """Counts per Monday-based week, entity and platform; partial counts combine before the shuffle."""
+    week = F.to_date(F.date_trunc("week", F.col(at))).alias("week_start")
+    return rows.groupBy(week, "entity_id", "platform").agg(F.count(F.lit(1)).alias("new_count"))
 
 
-def weekly_windows(stream: DataFrame, at: str, delay: str = "7 days") -> DataFrame:
-    """Counts per Monday-based week, entity and platform; partial counts combine before the shuffle.
+def stream_trend(stream: DataFrame, root: str, at: str = "seen_at") -> StreamingQuery:
+    """Weekly counts kept current: every batch writes its own counts under ``root/trend``.
 
-    The epoch was a Thursday, so weeks start four days after it.
+    Nothing is too late: a late row adds to its week with the batch it came in. A batch that is repeated
+    replaces its counts.
     """
-    week = F.window(F.col(at), "7 days", startTime="4 days")
-    start_day = F.floor(F.unix_seconds("_week.start") / 86400).cast("int")
-    return (
-        stream.withColumn(at, utc_instant(F.col(at)))
-        .withWatermark(at, delay)
-        .groupBy(week.alias("_week"), "entity_id", "platform")
-        .agg(F.count(F.lit(1)).alias("new_count"))
-        .select(
-            F.date_add(F.lit("1970-01-01").cast("date"), start_day).alias("week_start"),
-            "entity_id", "platform", "new_count",
-        )
-    )
-
-
-def stream_trend(stream: DataFrame, root: str, at: str = "seen_at") -> StreamingQuery:
-    """Weekly counts kept current: every batch writes the groups it changed under ``root/trend``."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        append(batch, f"{root}/trend", batch_id)
+        append(weekly_counts(batch, at), f"{root}/trend", batch_id)
 
-    return (
-        weekly_windows(stream, at)
-        .writeStream.outputMode("update")
-        .foreachBatch(step)
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(stream, root, step)
 
 
 def current_trend(spark: SparkSession, root: str) -> DataFrame:
-    """The newest count of every group."""
-    return S.latest_by(
-        spark.read.parquet(f"{root}/trend"), ["week_start", "entity_id", "platform"], "batch"
-    ).drop("batch")
+    """The count of every group over all batches: few rows a batch, added up."""
+    parts = spark.read.parquet(f"{root}/trend")
+    return parts.groupBy("week_start", "entity_id", "platform").agg(F.sum("new_count").alias("new_count"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.operators import state as S
 from driftloom.plans.adapters import view
 from driftloom.session import scratch_path
-from driftloom.sources.tables import read_state
+from driftloom.sources.tables import append, read_state
 from driftloom.streaming import incremental as N
 
 SF = "/root/testdata/sf0.001"
@@ -54,10 +54,14 @@ def test_items_and_feed(spark, items):
     assert same(first, feed)
 
 
-def test_trend(spark, items):
+def test_trend_keeps_late_rows_and_replays(spark, items):
     root = scratch_path(spark, "trend")
-    stream = in_batches(spark, items, f"{root}/in")
+    late = items.withColumn("seen_at", F.when(F.col("seq") > 800, F.expr("seen_at - interval 60 days")).otherwise(F.col("seen_at")))
+    stream = in_batches(spark, late, f"{root}/in")
     N.stream_trend(stream, f"{root}/weeks").awaitTermination()
     monday = F.to_date(F.date_trunc("week", "seen_at")).alias("week_start")
-    want = items.groupBy(monday, "entity_id", "platform").agg(F.count("*").alias("new_count"))
+    want = late.groupBy(monday, "entity_id", "platform").agg(F.count("*").alias("new_count"))
+    assert same(want, N.current_trend(spark, f"{root}/weeks"))
+    again = late.filter((F.col("seq") > 300) & (F.col("seq") <= 800))
+    append(N.weekly_counts(again), f"{root}/weeks/trend", 1)  # the second batch once more
     assert same(want, N.current_trend(spark, f"{root}/weeks"))
