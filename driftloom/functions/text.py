@@ -86,6 +86,14 @@ def truncate(col: Column, n: int, marker: str = " [truncated]") -> Column:
     return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit(marker))).otherwise(col)
 
 
+def leading(col: Column, n: int) -> Column:
+    """A start of the text that holds its first ``n`` characters other than whitespace; all of it if it has fewer.
+
+    Collapsed, it is the start of the collapsed text, so a long text need not be collapsed whole to be cut.
+    """
+    return F.regexp_extract(col, rf"^{WS}*+((?:{NOT_WS}{WS}*+){{0,{n}}}+)", 1)
+
+
 def truncate_words(col: Column, n: int, min_split: int) -> Column:
     """Cut at the last space at or after ``min_split``, trim trailing punctuation, add an ellipsis."""
 
@@ -95,7 +103,7 @@ def truncate_words(col: Column, n: int, min_split: int) -> Column:
         return F.concat(F.regexp_replace(kept, r"[ ,;:.]+$", ""), F.lit("…"))
 
     return let(
-        collapse(col),
+        collapse(leading(col, n + 1)),
         lambda c: F.when(F.length(c) <= n, c).otherwise(let(rstrip(F.substring(c, 1, n)), cut)),
     )
 
@@ -124,10 +132,10 @@ def truncate_smart(col: Column, n: int) -> Column:
 
 
 def distinct_ignoring_case(arr: Column) -> Column:
-    """Keep the first of equal items (case-insensitive), in order."""
+    """Keep the first of equal items (case-insensitive), in order; lists without equal items stay as they are."""
     return let(
         F.transform(arr, lambda x: F.lower(x)),
-        lambda low: F.filter(
-            arr, lambda x, i: F.array_position(low, F.lower(x)) == (i + 1).cast("bigint")
+        lambda low: F.when(F.size(F.array_distinct(low)) == F.size(arr), arr).otherwise(
+            F.filter(arr, lambda x, i: F.array_position(low, F.lower(x)) == (i + 1).cast("bigint"))
         ),
     )
