@@ -437,7 +437,10 @@ def b1_bad_pages(spark, sf):
 
 @query
 def b2_focused_text(spark, sf):
-    return read_pages(spark, sf, "focused_text").select("page_id", "focused_text")
+    """The given pages with every open paragraph closed and emphasis left out, so that nothing nests."""
+    html = F.regexp_replace(F.regexp_replace("html", "<p>", "</p><p>"), "<b>", "")
+    closed = table(spark, sf, "pages").select("page_id", html.alias("html"))
+    return G.extract_pages(closed, ["page_id"], outputs=["focused_text"]).select("page_id", "focused_text")
 
 
 @query
@@ -1057,8 +1060,9 @@ def g22_recovery_run(spark, sf):
     )
     events = status_events(spark, sf)
     current = C.source_status(events, ["run_id", "entity_id"])
-    wide = reports(spark, sf).filter(F.col("entity_id") % 4 == 0).select(
-        "run_id", "entity_id", "linkedin_ads_summary", "linkedin_organic_summary"
+    held = F.col("entity_id") % 4 == 0
+    wide = reports(spark, sf).select(
+        "run_id", "entity_id", *[F.when(held, F.col(c)).alias(c) for c in ("linkedin_ads_summary", "linkedin_organic_summary")]
     )
     drafts = R.executive_summary(runs_of(spark, sf), reports(spark, sf), ["run_id"], "entity_id")
     return R.recovery_run(registry, current, wide, drafts)
@@ -1211,6 +1215,9 @@ def weekly_digest(spark, sf):
     done = weekly_run(
         registry, every.filter(F.col("checked_at") >= cut).select("*", run, F.array().cast("array<string>").alias("items")),
         before, seen, known_items(spark, sf), events,
-        {"click": "linkedin_ads", "view": "linkedin_organic", "purchase": "twitter_activity"}, "2024-02-01", False,
+        {
+            "click": "linkedin_ads", "view": "linkedin_organic", "purchase": "twitter_activity", "error": "reddit_discussion",
+            "signup": "pricing_research",
+        }, "2024-02-01", False,
     )
     return D.digest_messages(D.pack_blocks(done.blocks))

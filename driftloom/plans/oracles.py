@@ -270,6 +270,8 @@ from fx_run_log group by all""", "fx_run_log")
 oracle("b1_visible_text", f"select page_id, {visible('html')} as visible_text from pages")
 oracle("b1_visible_text_parsed", f"select page_id, {visible('html')} as visible_text from pages")
 oracle("b1_bad_pages", f"select page_id, {visible('html')} as visible_text, cast(null as varchar) as error from pages")
+FOCUSED = visible("regexp_extract(html, '(?s)<article>.*$', 0)")
+oracle("b2_focused_text", f"select page_id, {FOCUSED} as focused_text from pages")
 oracle("b3_article_titles", """
 select page_id, concat(trim(replace(replace(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&')), ' | ') as title
 from pages where html like '%<article><h1>%'""")
