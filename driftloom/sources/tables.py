@@ -1,11 +1,14 @@
 """Table sinks: append, versioned state, evolved reads and digest files.
 
-Every write goes to a folder of its own and counts only once Spark has put its success marker
-there, so a lost executor or a repeated batch never leaves half a table in view.
+Every write goes to a folder of its own; a state version counts only once Spark has put its success
+marker there, so a lost executor or a repeated batch never leaves half a version in view.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,38 @@ def append(df: DataFrame, path: str, batch: int | None = None, partition_by: lis
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+_OWNED: list[list[str]] = []
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Drops, at its end, the scratch tables that operators have written inside it.
+
+    Operators write such tables while a plan is being built, and results read them; so store the results
+    before the end. Outside of it, scratch tables stay until the shared folder is cleared.
+    """
+    paths: list[str] = []
+    _OWNED.append(paths)
+    try:
+        yield paths
+    finally:
+        _OWNED.remove(paths)
+        for path in paths:
+            fs, folder = _fs(spark, path)
+            fs.delete(folder, True)
+
+
+def owned_path(spark: SparkSession, label: str) -> str:
+    """A fresh scratch path, which belongs to the innermost :func:`owned_tables` if there is one."""
+    path = scratch_path(spark, label)
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: computed once, lineage cut."""
-    path = scratch_path(df.sparkSession, label)
+    path = owned_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

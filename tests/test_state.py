@@ -94,3 +94,15 @@ def test_evolved_schema(spark):
     B.append(new, path)
     rows = {r.entity_id: r for r in B.read_evolved(spark, path, schemas.RUN_LOG, schemas.RUN_LOG_DEFAULTS).collect()}
     assert rows["a"].new_ads_count == 0 and rows["b"].new_ads_count == 4 and rows["a"].run_id is None
+
+
+def test_scratch_tables_have_an_owner(spark):
+    import os
+
+    from driftloom.sources.tables import owned_tables, written
+
+    with owned_tables(spark) as paths:
+        assert written(spark.range(5), "mine").count() == 5
+        assert len(paths) == 1 and os.path.isdir(paths[0])
+    assert not os.path.exists(paths[0])
+    assert written(spark.range(5), "free").count() == 5
