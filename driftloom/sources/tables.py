@@ -57,9 +57,12 @@ def owned_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: computed once, lineage cut."""
-    path = owned_path(df.sparkSession, label)
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: computed once, lineage cut.
+
+    With ``keep`` the table outlives the :func:`owned_tables` around it.
+    """
+    path = (scratch_path if keep else owned_path)(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
