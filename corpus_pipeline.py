@@ -16,6 +16,7 @@ from driftloom.llm.common import table, written
 from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.mixing import mix
 from driftloom.llm.secrets import redact, secret_spans
+from driftloom.sources.tables import owned_tables
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +32,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of several rows with that doc_id one stays, that with the smallest text hash. Rows without doc_id are in
     no group and stay.
     """
-    kept = near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id").distinct()
     prints = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("__print"))
-    chosen = kept.join(prints, "doc_id")
+    with owned_tables(spark):  # sketches and sets have done their work once this small table is there
+        kept = near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id").distinct()
+        chosen = written(kept.join(prints, "doc_id"), "kept-documents", keep=True)
     named = docs.filter("doc_id is not null").withColumn("__print", F.xxhash64("text"))
     stay = named.join(chosen, ["doc_id", "__print"], "left_semi").dropDuplicates(["doc_id", "__print"])
     return stay.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
