@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import words, written
 from driftloom.llm.graph import components
 
-#: Bands x registers of a band. Two sets with similarity 0.8 share no band with probability 5e-6.
-BANDS, ROWS = 40, 6
-#: Base of the registers' spacing, and the largest value; both far beyond what sets of 2^60 items need.
-BASE, MOST = 1.02, 4000
+#: Registers are a table of so many rows; each row and, as often, each column that steps through the table
+#: is a band. Two sets with similarity 0.8 share no band with probability 1e-4, with 0.85 with 1e-7.
+TABLE, ROWS = 30, 9
+REGISTERS = TABLE * ROWS
+#: Base of the registers' spacing, and the largest value, which is that of sets of 10^10 shingles.
+BASE, MOST = 1.1, 255
 #: Pairs whose estimate is so many standard errors below the threshold are not verified (1 in a million or less).
 ERRORS = 5
 #: Shingles hashed at once.
 CHUNK = 4096
 
 _rng = np.random.default_rng(20240101)
-_MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,13 +56,13 @@ def shingle_set(word_hashes: np.ndarray, size: int) -> np.ndarray:
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """Of each register's minimum over the set, which exponential step it lies in."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), CHUNK):
         values = shingles[at : at + CHUNK, None] * _MULTIPLY
         values += _ADD
         np.minimum(least, values.min(axis=0), out=least)
     exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64 * (1 - 2e-16))
-    return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)) + 1, 0, MOST).astype("<u2")
+    return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)) + 1, 0, MOST).astype(np.uint8)
 
 
 def similarity_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -100,15 +102,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, least: int) -
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(h, size) for h in lists_of(batch, "hashes")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([registers(s).tobytes() if len(s) >= least else None for s in sets], pa.binary()),
-                ],
-                ["node", "n", "same", "registers"],
-            )
+            out: list[list] = [[], [], []]
+            for hashes in lists_of(batch, "hashes"):
+                own = shingle_set(hashes, size)
+                out[0].append(len(own))
+                out[1].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                out[2].append(registers(own).tobytes() if len(own) >= least else None)
+            made = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *made], ["node", "n", "same", "registers"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("node"), hashed_words(F.col(f"`{text_col}`")).alias("hashes"))
     return rows.mapInArrow(each, "node bigint, n bigint, same binary, registers binary")
@@ -145,13 +146,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that can be similar by their sizes and their registers' likelihood, with the estimate."""
-    least = percent / 100 - ERRORS * np.sqrt(percent / 100 * (1 - percent / 100) / (BANDS * ROWS))
+    least = percent / 100 - ERRORS * np.sqrt(percent / 100 * (1 - percent / 100) / (REGISTERS))
 
     @F.pandas_udf("double")
     def estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype="float64")
-        x, y = (np.frombuffer(b"".join(v), "<u2").reshape(len(v), -1) for v in (a, b))
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in (a, b))
         return pd.Series(similarity_estimate(x, y, n_a.to_numpy(float), n_b.to_numpy(float)))
 
     left, right = (heads.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}")) for k in "ab")
@@ -174,10 +175,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = with_registers.join(classes.withColumnRenamed("head", "node"), ["same", "node"], "left_semi")
     heads = written(heads.select("node", "n", "registers"), "sketch-heads")
 
-    width = 2 * ROWS
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("registers").substr(i * width + 1, F.lit(width)))
+    part = F.col("registers").substr
+    row = F.transform(F.sequence(F.lit(0), F.lit(TABLE - 1)), lambda i: F.xxhash64(i, part(i * ROWS + 1, F.lit(ROWS))))
+    column = F.transform(
+        F.sequence(F.lit(0), F.lit(TABLE - 1)),
+        lambda i: F.xxhash64(i + TABLE, F.concat(*[part(i + (k * TABLE + 1), F.lit(1)) for k in range(ROWS)])),
     )
+    keys = F.concat(row, column)
     banded = heads.select("node", "n", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     members = written(banded.join(shared.select("key", "first"), "key"), "band-members")
@@ -189,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = candidates.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("a"))).alias("best"))
     best = best.select((-F.col("best.a")).alias("a"), "b")
 
-    ends = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
+    ends = written(candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct(), "ends")
     sets = full_sets(docs, ends, id_col, text_col, size)
     links = written(verified(best, sets, percent), "links")
     found = components(links)
@@ -204,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
     more = likely(across, heads, percent)
     ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
-    missing = ends.join(sets.select("node"), "node", "left_anti")
+    # Written, so that Spark knows its size and need not move the texts again when it is small.
+    missing = written(ends.join(sets.select("node"), "node", "left_anti"), "ends")
     both_sets = sets.unionByName(full_sets(docs, missing, id_col, text_col, size)) if not missing.isEmpty() else sets
     late = written(verified(more.select("a", "b"), both_sets, percent), "links")
     if not late.isEmpty():
