@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import written
+from driftloom.llm.common import written_in_buckets
 
-TOKENS_PER_BLOCK = 3_000_000
+TOKENS_PER_BLOCK = 1_500_000
 #: Words of all blocks that meet in a part.
 WORDS_PER_PART = 250_000
 #: Fixed value: the characters with the property White_Space, as the tokenizers' ``\s`` has them.
@@ -60,7 +60,7 @@ def unpack_strings(data: bytes) -> list[bytes]:
 def split_blocks(
     docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", tokens_per_block: int = TOKENS_PER_BLOCK
 ) -> DataFrame:
-    """A written table with a row for each block: its number, words, and of each document id, length and word numbers."""
+    """A table, written by block, with a row for each: its number, words, and of each document id, length and word numbers."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     tokens = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.regexp_extract_all(text, F.lit(jvm_pattern(pattern)), F.lit(0)).alias("tokens")
@@ -93,7 +93,7 @@ def split_blocks(
                 first = last
 
     schema = f"block bigint, n_words bigint, words binary, ids array<{id_type}>, sizes binary, codes binary"
-    return written(tokens.mapInArrow(split, schema), "word-blocks")
+    return written_in_buckets(tokens.mapInArrow(split, schema), "block", "word_blocks")
 
 
 def deal_words(blocks: DataFrame, words_per_part: int = WORDS_PER_PART) -> DataFrame:

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.sources.tables import written
+from driftloom.sources.tables import owned_path, written
 
 #: A word: a run of characters other than space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Items in a block of ``scan``: work is linear in the list but for this factor.
 SCAN_BLOCK = 256
 
-__all__ = ["WORD", "let", "scan", "table", "words", "written"]
+__all__ = ["WORD", "let", "scan", "table", "words", "written", "written_in_buckets"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written_in_buckets(df: DataFrame, key: str, label: str) -> DataFrame:
+    """The same rows, written by the hash of a key, as many buckets as a shuffle has partitions.
+
+    What groups or joins them by the key later need not move them again. The name that the writer needs is
+    taken back at once; the files stay in the shared folder.
+    """
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", owned_path(spark, label)).saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return rows
+
+
 def words(text: Column) -> Column:
     """All words of a text, in order; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
