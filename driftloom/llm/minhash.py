@@ -28,8 +28,12 @@ REGISTERS = TABLE * ROWS
 BASE, MOST = 1.1, 255
 #: Pairs whose estimate is so many standard errors below the threshold are not verified (1 in a million or less).
 ERRORS = 5
-#: Shingles hashed at once.
-CHUNK = 4096
+#: The same for pairs in a large bucket that its smallest id has not linked: of pairs at the threshold 2 in 10,000.
+ERRORS_APART = 3.5
+#: Shingles hashed at once; members of a bucket that meet at once.
+CHUNK, TILE = 4096, 512
+#: Members of a bucket that are joined with each other; larger buckets are compared in tiles.
+SMALL = 32
 
 _rng = np.random.default_rng(20240101)
 _MULTIPLY = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,6 +165,91 @@ def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     return written(scored.filter(F.col("estimate") >= float(least)), "likely-pairs")
 
 
+def band_keys(registers: Column) -> Column:
+    """Keys of all bands, each with the band's number in it: the rows of the table, then its stepped columns."""
+    numbers = F.sequence(F.lit(0), F.lit(TABLE - 1))
+    part = registers.substr
+    row = F.transform(numbers, lambda i: F.xxhash64(i, part(i * ROWS + 1, F.lit(ROWS))))
+    column = F.transform(
+        numbers, lambda i: F.xxhash64(i + TABLE, F.concat(*[part(i + (k * TABLE + 1), F.lit(1)) for k in range(ROWS)]))
+    )
+    return F.concat(row, column)
+
+
+def shared_bands(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From which registers of pairs are equal: the first band that they share, and whether there is one."""
+    rows = equal.reshape(len(equal), TABLE, ROWS).all(axis=2)
+    columns = equal.reshape(len(equal), ROWS, TABLE).all(axis=1)
+    both = np.concatenate([rows, columns], axis=1)
+    return both.argmax(axis=1), both.any(axis=1)
+
+
+def compare_tiles(x: pa.Table, y: pa.Table, same: bool, percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Likely pairs (a, b) between two tiles of a bucket, of different components; each in the first band it shares."""
+    node, n, component, band = ([t.column(c).to_numpy() for t in (x, y)] for c in ("node", "n", "component", "band"))
+    regs = [np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint8).reshape(len(t), -1) for t in (x, y)]
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(node[0])):
+        low, high = np.minimum(n[0][i], n[1]), np.maximum(n[0][i], n[1])
+        may = (component[0][i] != component[1]) & (node[0][i] != node[1]) & (100 * low >= percent * high)
+        if same:
+            may[: i + 1] = False
+        j = np.flatnonzero(may)
+        if not len(j):
+            continue
+        # Far too few equal registers are dropped before anything else is worked out.
+        equal = regs[0][i] == regs[1][j]
+        enough = np.count_nonzero(equal, axis=1) >= least * REGISTERS
+        j, equal = j[enough], equal[enough]
+        if len(j):
+            first, any_ = shared_bands(equal)
+            j = j[any_ & (first == band[0][i])]
+            one.append(np.full(len(j), i))
+            two.append(j)
+    i, j = np.concatenate(one), np.concatenate(two)
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), CHUNK):
+        x_, y_ = i[at : at + CHUNK], j[at : at + CHUNK]
+        keep[at : at + CHUNK] = similarity_estimate(regs[0][x_], regs[1][y_], n[0][x_].astype(float), n[1][y_].astype(float)) >= least
+    a, b = node[0][i[keep]], node[1][j[keep]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def across(apart: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of different components in large buckets: rows of ``apart`` with their registers.
+
+    A bucket is cut into tiles of about ``TILE`` members, and every two tiles meet in a group of their own, so a
+    large bucket is no single task's work and its pairs are looked at by their registers, not joined.
+    """
+    share = percent / 100
+    least = float(share - ERRORS_APART * np.sqrt(share * (1 - share) / REGISTERS))
+    apart = written(apart, "apart")
+    counts = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    dealt = apart.join(counts, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # The smaller tile of a pair of tiles is its first half; a tile meets itself, too.
+    dealt = dealt.withColumn("band", band_of("registers", "key"))
+    left = dealt.withColumn("other", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)))
+    right = dealt.withColumn("other", F.col("tile")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tile"))))
+    columns = ["node", "n", "component", "registers", "band"]
+    left = left.select("key", "tile", "other", *columns)
+    right = right.select(F.col("key").alias("key_2"), F.col("tile").alias("tile_2"), F.col("other").alias("other_2"), *[F.col(c).alias(c) for c in columns])
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        same = x.column("tile")[0].as_py() == x.column("other")[0].as_py()
+        order = [("node", "ascending")]
+        a, b = compare_tiles(x.sort_by(order), y.sort_by(order), same, percent, least)
+        return pa.table({"a": a, "b": b})
+
+    return left.groupBy("key", "tile", "other").cogroup(right.groupBy("key_2", "tile_2", "other_2")).applyInArrow(meet, "a bigint, b bigint")
+
+
+def band_of(registers: str, key: str) -> Column:
+    """The number of the band that has this key."""
+    return (F.array_position(band_keys(F.col(registers)), F.col(key)) - 1).cast("int")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable), kept (whether that is the row's own).
 
@@ -175,14 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = with_registers.join(classes.withColumnRenamed("head", "node"), ["same", "node"], "left_semi")
     heads = written(heads.select("node", "n", "registers"), "sketch-heads")
 
-    part = F.col("registers").substr
-    row = F.transform(F.sequence(F.lit(0), F.lit(TABLE - 1)), lambda i: F.xxhash64(i, part(i * ROWS + 1, F.lit(ROWS))))
-    column = F.transform(
-        F.sequence(F.lit(0), F.lit(TABLE - 1)),
-        lambda i: F.xxhash64(i + TABLE, F.concat(*[part(i + (k * TABLE + 1), F.lit(1)) for k in range(ROWS)])),
-    )
-    keys = F.concat(row, column)
-    banded = heads.select("node", "n", F.explode(keys).alias("key"))
+    banded = heads.select("node", "n", F.explode(band_keys(F.col("registers"))).alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     members = written(banded.join(shared.select("key", "first"), "key"), "band-members")
 
@@ -200,13 +282,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What is still apart within a bucket.
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    apart = written(labelled.join(apart.select("key"), "key", "left_semi").select("key", "node", "n", "component"), "apart")
-    one, two = (apart.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "ab")
-    across = one.join(two, "key").filter(
-        (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
-    more = likely(across, heads, percent)
+    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    apart = apart.filter("low < high")
+    apart = apart.select("key", (F.col("members") > SMALL).alias("large"))
+    apart = written(labelled.join(apart, "key").select("key", "node", "n", "component", "large"), "apart")
+    one, two = (apart.filter("not large").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "ab")
+    pairs = one.join(two, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
+    pairs = likely(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"), heads, percent)
+    large = apart.filter("large").drop("large").join(heads.select("node", "registers"), "node")
+    more = written(pairs.select("a", "b").unionByName(across(large, percent)).distinct(), "likely-pairs")
     ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
     # Written, so that Spark knows its size and need not move the texts again when it is small.
     missing = written(ends.join(sets.select("node"), "node", "left_anti"), "ends")
