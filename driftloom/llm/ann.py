@@ -1,8 +1,9 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-A vector is rotated at random and only the signs of its components are kept, with its length and the inner
-product of the signs with its own direction. From these an inner product with any query is estimated with a
-known error; what may be among the nearest by the error's bound is worked out exactly in double precision.
+A vector is rotated at random, several times, and only the signs of its components are kept, with its length
+and the inner products of the signs with its own direction. From these an inner product with any query is
+estimated with a known error; what may be among the nearest by the error's bound is worked out exactly in
+double precision.
 
 Vectors that are null, zero, of an unusual length, or hold null or non-finite components, and rows without an
 id, are neither queries nor candidates. Repeated rows are candidates each for itself. An empty table has no
@@ -22,26 +23,33 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import written
 from driftloom.llm.vectors import blocked, dots, usable
 
-#: Standard errors of the bound; the estimate is off by more for one pair in a thousand.
-ERRORS = 3.0
+#: Standard errors of the bound; the estimate is off by more for one pair in some thousands.
+ERRORS = 3.5
+#: Rotations, and so bits for each component; the error falls as their square root.
+CODES = 4
 #: Vectors of a block, queries of a chunk, queries whose estimates are in memory at once.
-BLOCK, CHUNK, STRIP = 8192, 1024, 128
+BLOCK, CHUNK, STRIP = 16384, 1024, 64
 #: Exact products worked out at once.
 RERANK = 1 << 18
 SEED = 4242
 
 
-def turn(d: int) -> np.ndarray:
-    """A random rotation, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
+def turns(d: int) -> np.ndarray:
+    """Random rotations side by side (d x CODES d), the same in every task."""
+    rng = np.random.default_rng(SEED)
+    made = []
+    for _ in range(CODES):
+        q, r = np.linalg.qr(rng.standard_normal((d, d)))
+        made.append(q * np.sign(np.diag(r)))
+    return np.concatenate(made, axis=1)
 
 
 def encode(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, lengths, and inner products of the signs' direction with the vectors' own."""
+    """Packed signs, lengths, and for each rotation the inner product of the signs' direction with the vector's own."""
+    n, d = data.shape
     length = np.sqrt(dots(data, data))
-    turned = (data / length[:, None]) @ turn(data.shape[1])
-    return np.packbits(turned >= 0, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(data.shape[1])
+    turned = (data / length[:, None]) @ turns(d)
+    return np.packbits(turned >= 0, axis=1), length, np.abs(turned).reshape(n, CODES, d).sum(axis=2) / np.sqrt(d)
 
 
 def index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -64,16 +72,17 @@ def nearest_in_block(block: dict, ids: np.ndarray, queries: np.ndarray, k: int)
     own = np.frombuffer(block["ids"], np.int64)
     data = np.frombuffer(block["data"]).reshape(len(own), -1)
     d = data.shape[1]
-    signs = np.unpackbits(np.frombuffer(block["codes"], np.uint8).reshape(len(own), -1), axis=1, count=d).astype(np.float32) * 2 - 1
-    length, fit = np.frombuffer(block["lengths"]), np.frombuffer(block["fits"])
-    scale = (length / (fit * np.sqrt(d))).astype(np.float32)
-    error = (length * ERRORS * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(d - 1, 1))).astype(np.float32)
-    turned = (queries @ turn(d)).astype(np.float32)
+    signs = np.unpackbits(np.frombuffer(block["codes"], np.uint8).reshape(len(own), -1), axis=1, count=CODES * d).astype(np.float32) * 2 - 1
+    length, fit = np.frombuffer(block["lengths"]), np.frombuffer(block["fits"]).reshape(len(own), CODES)
+    # Each rotation gives an estimate of its own; they are averaged, and so are their independent errors.
+    signs *= np.repeat(length[:, None] / (fit * np.sqrt(d) * CODES), d, axis=1).astype(np.float32)
+    error = (length * ERRORS * np.sqrt(np.maximum(1 / fit**2 - 1, 0).sum(axis=1)) / CODES / np.sqrt(max(d - 1, 1))).astype(np.float32)
+    turned = (queries @ turns(d)).astype(np.float32)
     lengths = np.sqrt(dots(queries, queries))
     out = []
     for at in range(0, len(ids), STRIP):
         strip = slice(at, min(at + STRIP, len(ids)))
-        estimate = (turned[strip] @ signs.T) * scale
+        estimate = turned[strip] @ signs.T
         estimate[ids[strip, None] == own[None, :]] = -np.inf
         first = min(3 * k, len(own))
         top = np.argpartition(-estimate, first - 1, axis=1)[:, :first]

@@ -32,10 +32,11 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products row by row, dimension after dimension: equal vectors have equal products wherever they stand."""
-    out = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        out += a[:, d] * b[:, d]
-    return out
+    if not a.size:
+        return np.zeros(len(a))
+    products = a * b
+    np.add.accumulate(products, axis=1, out=products)
+    return products[:, -1].copy()
 
 
 def blocked(rows: DataFrame, size: int) -> DataFrame:
