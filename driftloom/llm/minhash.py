@@ -31,7 +31,7 @@ ERRORS = 5
 #: The same for pairs in a large bucket that its smallest id has not linked: of pairs at the threshold 2 in 10,000.
 ERRORS_APART = 3.5
 #: Shingles hashed at once; members of a bucket that meet at once.
-CHUNK, TILE = 4096, 512
+CHUNK, TILE = 4096, 256
 #: Members of a bucket that are joined with each other; larger buckets are compared in tiles.
 SMALL = 32
 
@@ -139,9 +139,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two)), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "one"), ("b", "two")))
@@ -184,8 +182,17 @@ def shared_bands(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.argmax(axis=1), both.any(axis=1)
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 x intersection >= percent x union, of two sorted sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def compare_tiles(x: pa.Table, y: pa.Table, same: bool, percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Likely pairs (a, b) between two tiles of a bucket, of different components; each in the first band it shares."""
+    """Links (a, b) between two tiles of a bucket that join different components, each pair in the first band it shares.
+
+    Likely pairs are verified on full sets, the likeliest first; what earlier links have joined is not looked at again.
+    """
     node, n, component, band = ([t.column(c).to_numpy() for t in (x, y)] for c in ("node", "n", "component", "band"))
     regs = [np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint8).reshape(len(t), -1) for t in (x, y)]
     one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -207,19 +214,35 @@ def compare_tiles(x: pa.Table, y: pa.Table, same: bool, percent: int, least: flo
             one.append(np.full(len(j), i))
             two.append(j)
     i, j = np.concatenate(one), np.concatenate(two)
-    keep = np.zeros(len(i), bool)
+    estimate = np.zeros(len(i))
     for at in range(0, len(i), CHUNK):
         x_, y_ = i[at : at + CHUNK], j[at : at + CHUNK]
-        keep[at : at + CHUNK] = similarity_estimate(regs[0][x_], regs[1][y_], n[0][x_].astype(float), n[1][y_].astype(float)) >= least
-    a, b = node[0][i[keep]], node[1][j[keep]]
+        estimate[at : at + CHUNK] = similarity_estimate(regs[0][x_], regs[1][y_], n[0][x_].astype(float), n[1][y_].astype(float))
+    sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("shingles")] for t in (x, y)]
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    links = []
+    for k in np.argsort(-estimate, kind="stable").tolist():
+        if estimate[k] < least:
+            break
+        p, q = root(int(component[0][i[k]])), root(int(component[1][j[k]]))
+        if p != q and similar(sets[0][i[k]], sets[1][j[k]], percent):
+            joined[max(p, q)] = min(p, q)
+            links.append((int(node[0][i[k]]), int(node[1][j[k]])))
+    a, b = (np.array([link[side] for link in links], np.int64) for side in (0, 1))
     return np.minimum(a, b), np.maximum(a, b)
 
 
 def across(apart: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different components in large buckets: rows of ``apart`` with their registers.
+    """Links (a, b) that join components in large buckets: rows of ``apart`` with their registers and full sets.
 
     A bucket is cut into tiles of about ``TILE`` members, and every two tiles meet in a group of their own, so a
-    large bucket is no single task's work and its pairs are looked at by their registers, not joined.
+    large bucket is no single task's work. Its pairs are looked at in place; only links leave the group.
     """
     share = percent / 100
     least = float(share - ERRORS_APART * np.sqrt(share * (1 - share) / REGISTERS))
@@ -230,7 +253,7 @@ def across(apart: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("band", band_of("registers", "key"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)))
     right = dealt.withColumn("other", F.col("tile")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tile"))))
-    columns = ["node", "n", "component", "registers", "band"]
+    columns = ["node", "n", "component", "registers", "shingles", "band"]
     left = left.select("key", "tile", "other", *columns)
     right = right.select(F.col("key").alias("key_2"), F.col("tile").alias("tile_2"), F.col("other").alias("other_2"), *[F.col(c).alias(c) for c in columns])
 
@@ -289,13 +312,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one, two = (apart.filter("not large").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "ab")
     pairs = one.join(two, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
     pairs = likely(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"), heads, percent)
-    large = apart.filter("large").drop("large").join(heads.select("node", "registers"), "node")
-    more = written(pairs.select("a", "b").unionByName(across(large, percent)).distinct(), "likely-pairs")
-    ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
+    more = written(pairs.select("a", "b").distinct(), "likely-pairs")
+    large = apart.filter("large").drop("large")
+    ends = more.select(F.col("a").alias("node")).union(more.select("b")).union(large.select("node")).distinct()
     # Written, so that Spark knows its size and need not move the texts again when it is small.
     missing = written(ends.join(sets.select("node"), "node", "left_anti"), "ends")
     both_sets = sets.unionByName(full_sets(docs, missing, id_col, text_col, size)) if not missing.isEmpty() else sets
-    late = written(verified(more.select("a", "b"), both_sets, percent), "links")
+    in_tiles = across(large.join(heads.select("node", "registers"), "node").join(both_sets, "node"), percent)
+    late = written(verified(more, both_sets, percent).unionByName(in_tiles), "links")
     if not late.isEmpty():
         found = components(links.unionByName(late))
 

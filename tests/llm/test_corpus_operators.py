@@ -98,32 +98,26 @@ def test_near_duplicates(spark, size):
 
 
 def test_large_buckets_in_tiles(spark, monkeypatch):
-    """Every likely pair of a bucket is found once, whatever the tiles, if nothing in it is linked yet."""
+    """Links found in tiles join what all similar pairs of a bucket would, if nothing in it is linked yet."""
     from driftloom.llm import minhash
 
     monkeypatch.setattr(minhash, "TILE", 7)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    rows, regs = [], {}
-    for i in range(40):
-        own = base.copy()
-        own[: rng.integers(0, 60)] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
-        own = np.unique(own)
-        regs[i] = (len(own), registers(own))
-        rows.append((i, len(own), i, bytearray(regs[i][1].tobytes())))
-    df = spark.createDataFrame(rows, "node long, n long, component long, registers binary")
+    other = np.concatenate([base[:240], rng.integers(0, 1 << 63, 60, dtype=np.uint64)])
+    rows, sets = [], {}
+    for i in range(60):
+        own = (base if i % 2 else other).copy()
+        own[: rng.integers(0, 90)] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+        own[150 : 150 + rng.integers(0, 60)] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+        sets[i] = np.unique(own)
+        rows.append((i, len(sets[i]), i, bytearray(registers(sets[i]).tobytes()), bytearray(sets[i].tobytes())))
+    df = spark.createDataFrame(rows, "node long, n long, component long, registers binary, shingles binary")
     apart = df.select("*", F.explode(minhash.band_keys(F.col("registers"))).alias("key"))
-    got = [tuple(r) for r in minhash.across(apart, 80).collect()]
-    least = 0.8 - minhash.ERRORS_APART * (0.16 / minhash.REGISTERS) ** 0.5
-    want = set()
-    for a in regs:
-        for b in regs:
-            (n_a, x), (n_b, y) = regs[a], regs[b]
-            equal = (x == y).reshape(minhash.TABLE, -1).all(axis=1).any() or (x == y).reshape(-1, minhash.TABLE).all(axis=0).any()
-            sized = 100 * min(n_a, n_b) >= 80 * max(n_a, n_b)
-            if a < b and equal and sized and (x == y).mean() >= least and similarity_estimate(x[None], y[None], np.array([n_a]), np.array([n_b]))[0] >= least:
-                want.add((a, b))
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    got = {tuple(r) for r in minhash.across(apart, 80).collect()}
+    all_links = {(a, b) for a in sets for b in sets if a < b and minhash.similar(sets[a], sets[b], 80)}
+    assert got <= all_links and reach(sets, got) == reach(sets, all_links)
+    assert 1 < len(set(reach(sets, all_links).values())) < 60 and len(got) < len(all_links)
 
 
 def test_register_estimates():
