@@ -28,8 +28,6 @@ REGISTERS = TABLE * ROWS
 BASE, MOST = 1.1, 255
 #: Pairs whose estimate is so many standard errors below the threshold are not verified (1 in a million or less).
 ERRORS = 5
-#: The same for pairs in a large bucket that its smallest id has not linked: of pairs at the threshold 2 in 10,000.
-ERRORS_APART = 3.5
 #: Shingles hashed at once; members of a bucket that meet at once.
 CHUNK, TILE = 4096, 256
 #: Members of a bucket that are joined with each other; larger buckets are compared in tiles.
@@ -146,9 +144,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(each, "a bigint, b bigint")
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate from which pairs are verified, in buckets of any size."""
+    share = percent / 100
+    return float(share - ERRORS * np.sqrt(share * (1 - share) / REGISTERS))
+
+
 def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that can be similar by their sizes and their registers' likelihood, with the estimate."""
-    least = percent / 100 - ERRORS * np.sqrt(percent / 100 * (1 - percent / 100) / (REGISTERS))
+    least = least_estimate(percent)
 
     @F.pandas_udf("double")
     def estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
@@ -160,7 +164,7 @@ def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     left, right = (heads.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}")) for k in "ab")
     sized = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
     scored = sized.join(left, "a").join(right, "b").select("a", "b", estimate("r_a", "r_b", "n_a", "n_b").alias("estimate"))
-    return written(scored.filter(F.col("estimate") >= float(least)), "likely-pairs")
+    return written(scored.filter(F.col("estimate") >= least), "likely-pairs")
 
 
 def band_keys(registers: Column) -> Column:
@@ -244,8 +248,7 @@ def across(apart: DataFrame, percent: int) -> DataFrame:
     A bucket is cut into tiles of about ``TILE`` members, and every two tiles meet in a group of their own, so a
     large bucket is no single task's work. Its pairs are looked at in place; only links leave the group.
     """
-    share = percent / 100
-    least = float(share - ERRORS_APART * np.sqrt(share * (1 - share) / REGISTERS))
+    least = least_estimate(percent)
     apart = written(apart, "apart")
     counts = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     dealt = apart.join(counts, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))

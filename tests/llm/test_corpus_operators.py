@@ -120,6 +120,27 @@ def test_large_buckets_in_tiles(spark, monkeypatch):
     assert 1 < len(set(reach(sets, all_links).values())) < 60 and len(got) < len(all_links)
 
 
+def test_tiles_look_as_far_down_as_small_buckets(spark):
+    """A similar pair of large buckets is verified from 5 errors below the threshold on, like any other."""
+    from driftloom.llm import minhash
+
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 1 << 63, 100, dtype=np.uint64)])  # 800 of 1,000
+    own = registers(np.unique(a))
+    other = own.copy()
+    # Registers as unlucky as can be: 0.70 of them equal, the first band among them.
+    far = rng.permutation(np.arange(minhash.ROWS, minhash.REGISTERS))[: round(0.30 * minhash.REGISTERS)]
+    other[far[::2]] += 1
+    other[far[1::2]] -= 1
+    estimate = similarity_estimate(own[None], other[None], np.array([900.0]), np.array([900.0]))[0]
+    assert minhash.least_estimate(80) <= estimate < 0.71 and (own == other).mean() < 0.71
+    rows = [(i, 900, i, bytearray(r.tobytes()), bytearray(np.unique(x).tobytes())) for i, r, x in ((1, own, a), (2, other, b))]
+    df = spark.createDataFrame(rows, "node long, n long, component long, registers binary, shingles binary")
+    apart = df.select("*", F.explode(minhash.band_keys(F.col("registers"))).alias("key"))
+    assert {tuple(r) for r in minhash.across(apart, 80).collect()} == {(1, 2)}
+
+
 def test_register_estimates():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.8, 0.95):
