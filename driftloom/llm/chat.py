@@ -72,6 +72,12 @@ def read_object(text: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def content_of(value: dict) -> object:
+    """The content of a message object as it is, 0, false and empty lists too; only null or none is empty text."""
+    content = value.get("content")
+    return "" if content is None else content
+
+
 def parse(role: str | None, text: str | None, tools: dict[str, dict]) -> tuple:
     """(json of the message, calls: (id, after, status), id of the call that it answers)."""
     value = read_object(text) if role in ("assistant", "tool") else None
@@ -85,10 +91,10 @@ def parse(role: str | None, text: str | None, tools: dict[str, dict]) -> tuple:
             status = "unknown_tool" if schema is None else "ok" if fits(arguments, schema) else "bad_arguments"
             calls.append((key if isinstance(key, str) else None, after, status))
             shown.append({"id": key, "name": name, "arguments": arguments})
-        message = {"role": role, "content": value.get("content") or "", "tool_calls": shown}
+        message = {"role": role, "content": content_of(value), "tool_calls": shown}
         return canonical(message), calls, None
     if role == "tool" and value and isinstance(value.get("tool_call_id"), str):
-        message = {"role": role, "content": value.get("content") or "", "tool_call_id": value["tool_call_id"]}
+        message = {"role": role, "content": content_of(value), "tool_call_id": value["tool_call_id"]}
         return canonical(message), [], value["tool_call_id"]
     return canonical({"role": role, "content": text or ""}), [], None
 

@@ -204,6 +204,18 @@ def test_chat_links_orders_and_validates(spark):
     assert of[3, 4]["json"] == '{"content":"","role":"user"}' and of[None, 0]["json"] == '{"content":"lost","role":null}'
 
 
+def test_chat_keeps_falsy_contents(spark):
+    contents = [0, 0.0, False, [], {}, "", None]
+    call = {"id": "a", "name": "calculate", "arguments": {"expression": "1-1"}}
+    rows = [(i, 0, "assistant", json.dumps({"tool_calls": [call], "content": c})) for i, c in enumerate(contents)]
+    rows += [(i, 1, "tool", json.dumps({"tool_call_id": "a", "content": c})) for i, c in enumerate(contents)]
+    out = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    of = {(r["conv_id"], r["turn"]): r["json"] for r in out}
+    for i, shown in enumerate(["0", "0.0", "false", "[]", "{}", '""', '""']):
+        assert of[i, 0].startswith(f'{{"content":{shown},"role":"assistant","tool_calls":[')
+        assert of[i, 1] == f'{{"content":{shown},"role":"tool","tool_call_id":"a"}}'
+
+
 def test_schemas():
     schema = {"type": "object", "properties": {"n": {"type": ["integer", "null"]}, "l": {"type": "array", "items": {"enum": [1, 2]}}}, "required": ["n"]}
     assert fits({"n": 1.0, "l": [1, 2]}, schema) and fits({"n": None, "more": 1}, schema)
