@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import words, written
 from driftloom.llm.graph import components
 
-#: Registers are a table of so many rows; each row and, as often, each column that steps through the table
-#: is a band. Two sets with similarity 0.8 share no band with probability 1e-4, with 0.85 with 1e-7.
+#: Registers are ROWS lines of TABLE; each run of ROWS and, for each of STEPS, each column that moves so far
+#: along from line to line is a band. Two bands have one register in common at most. README: what they miss.
 TABLE, ROWS = 30, 9
+STEPS = (0, 11, 19)
 REGISTERS = TABLE * ROWS
 #: Base of the registers' spacing, and the largest value, which is that of sets of 10^10 shingles.
 BASE, MOST = 1.1, 255
@@ -168,21 +169,26 @@ def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
 
 def band_keys(registers: Column) -> Column:
-    """Keys of all bands, each with the band's number in it: the rows of the table, then its stepped columns."""
+    """Keys of all bands, each with the band's number in it: the runs of registers, then the columns of each step."""
     numbers = F.sequence(F.lit(0), F.lit(TABLE - 1))
     part = registers.substr
-    row = F.transform(numbers, lambda i: F.xxhash64(i, part(i * ROWS + 1, F.lit(ROWS))))
-    column = F.transform(
-        numbers, lambda i: F.xxhash64(i + TABLE, F.concat(*[part(i + (k * TABLE + 1), F.lit(1)) for k in range(ROWS)]))
-    )
-    return F.concat(row, column)
+
+    def columns(at: int, step: int) -> Column:
+        places = lambda i: [(i + step * k) % TABLE + (k * TABLE + 1) for k in range(ROWS)]
+        return F.transform(numbers, lambda i: F.xxhash64(i + at * TABLE, F.concat(*[part(p, F.lit(1)) for p in places(i)])))
+
+    runs = F.transform(numbers, lambda i: F.xxhash64(i, part(i * ROWS + 1, F.lit(ROWS))))
+    return F.concat(runs, *[columns(at, step) for at, step in enumerate(STEPS, 1)])
+
+
+_LINES = [np.concatenate([k * TABLE + (np.arange(TABLE) + step * k) % TABLE for k in range(ROWS)]) for step in STEPS]
 
 
 def shared_bands(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From which registers of pairs are equal: the first band that they share, and whether there is one."""
-    rows = equal.reshape(len(equal), TABLE, ROWS).all(axis=2)
-    columns = equal.reshape(len(equal), ROWS, TABLE).all(axis=1)
-    both = np.concatenate([rows, columns], axis=1)
+    bands = [equal.reshape(len(equal), TABLE, ROWS).all(axis=2)]
+    bands += [equal[:, line].reshape(len(equal), ROWS, TABLE).all(axis=1) for line in _LINES]
+    both = np.concatenate(bands, axis=1)
     return both.argmax(axis=1), both.any(axis=1)
 
 

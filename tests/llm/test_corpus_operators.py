@@ -141,6 +141,24 @@ def test_tiles_look_as_far_down_as_small_buckets(spark):
     assert {tuple(r) for r in minhash.across(apart, 80).collect()} == {(1, 2)}
 
 
+def test_bands_miss_few_pairs(spark):
+    """Of the band keys that Spark makes and those that tiles see, the same are shared; few pairs share none."""
+    from driftloom.llm import minhash
+
+    rng = np.random.default_rng(8)
+    own = rng.integers(100, 120, (40, minhash.REGISTERS)).astype(np.uint8)
+    equal = rng.random((40, minhash.REGISTERS)) < np.linspace(0.5, 0.95, 40)[:, None]
+    rows = [(i, bytearray(a.tobytes()), bytearray(np.where(e, a, a + 1).astype(np.uint8).tobytes())) for i, (a, e) in enumerate(zip(own, equal, strict=True))]
+    keys = spark.createDataFrame(rows, "i long, a binary, b binary").select("i", *[minhash.band_keys(F.col(c)).alias(c) for c in "ab"])
+    first, any_ = minhash.shared_bands(equal)
+    for r in keys.collect():
+        shared = [k for k, (x, y) in enumerate(zip(r["a"], r["b"], strict=True)) if x == y]
+        assert len(set(r["a"])) == len(r["a"]) and any_[r["i"]] == bool(shared) and (not shared or first[r["i"]] == shared[0])
+    # 0.808 of the registers of a pair at 0.8 are equal.
+    missed = sum(int((~minhash.shared_bands(rng.random((50_000, minhash.REGISTERS)) < 0.808)[1]).sum()) for _ in range(8))
+    assert missed <= 20  # 5e-5; the 60 bands before missed about 110
+
+
 def test_register_estimates():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.8, 0.95):
