@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import words, written
@@ -248,20 +248,48 @@ def compare_tiles(x: pa.Table, y: pa.Table, same: bool, percent: int, least: flo
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def in_tiles(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets (key) with tile and other, the two tiles that meet: first sides, second sides.
+
+    A component with ``TILE`` members or more of a bucket has tiles of its own, numbered first, which do not meet
+    each other; the members of smaller components share tiles, which meet all tiles of the bucket and themselves.
+    """
+    sizes = written(apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members")), "tile-sizes")
+    pieces = F.ceil(F.col("members") / TILE).cast("int")
+    before = Window.partitionBy("key").orderBy("component")
+    large = sizes.filter(F.col("members") >= TILE).select("key", "component", pieces.alias("pieces"))
+    large = large.withColumn("start", (F.sum("pieces").over(before) - F.col("pieces")).cast("int"))
+    own = F.when(F.col("members") >= TILE, pieces).otherwise(0)
+    rest = F.ceil(F.sum(F.when(F.col("members") < TILE, F.col("members")).otherwise(0)) / TILE).cast("int")
+    counts = sizes.groupBy("key").agg(F.sum(own).cast("int").alias("own"), rest.alias("shared"))
+    counts = counts.withColumn("tiles", F.col("own") + F.col("shared"))
+    places = written(sizes.select("key", "component").join(counts, "key").join(large, ["key", "component"], "left"), "tile-places")
+
+    alone, number = F.col("start").isNotNull(), F.xxhash64("node")
+    dealt = apart.join(places, ["key", "component"]).withColumn(
+        "at", F.when(alone, F.col("start") + F.pmod(number, F.col("pieces"))).otherwise(F.col("own") + F.pmod(number, F.col("shared"))).cast("int")
+    )
+    low = F.when(alone, F.col("start") + F.col("pieces")).otherwise(F.col("at"))
+    high = F.when(alone, F.col("start") - 1).otherwise(F.col("at"))
+    # What has no tile to meet falls out here.
+    after = F.when(low < F.col("tiles"), F.sequence(low, F.col("tiles") - 1))
+    until = F.when(high >= 0, F.sequence(F.lit(0), high))
+    columns = apart.columns
+    left = dealt.select(*columns, F.col("at").alias("tile"), F.explode(after).alias("other"))
+    right = dealt.select(*columns, F.col("at").alias("other"), F.explode(until).alias("tile"))
+    return left, right
+
+
 def across(apart: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components in large buckets: rows of ``apart`` with their registers and full sets.
 
-    A bucket is cut into tiles of about ``TILE`` members, and every two tiles meet in a group of their own, so a
-    large bucket is no single task's work. Its pairs are looked at in place; only links leave the group.
+    A bucket is cut into tiles of about ``TILE`` members, and every two tiles that may hold different components
+    meet in a group of their own, so a large bucket is no single task's work. Its pairs are looked at in place;
+    only links leave the group.
     """
     least = least_estimate(percent)
-    apart = written(apart, "apart")
-    counts = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    dealt = apart.join(counts, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # The smaller tile of a pair of tiles is its first half; a tile meets itself, too.
-    dealt = dealt.withColumn("band", band_of("registers", "key"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)))
-    right = dealt.withColumn("other", F.col("tile")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tile"))))
+    apart = written(apart.withColumn("band", band_of("registers", "key")), "apart")
+    left, right = in_tiles(apart)
     columns = ["node", "n", "component", "registers", "shingles", "band"]
     left = left.select("key", "tile", "other", *columns)
     right = right.select(F.col("key").alias("key_2"), F.col("tile").alias("tile_2"), F.col("other").alias("other_2"), *[F.col(c).alias(c) for c in columns])
@@ -286,7 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id (the smallest id reachable), kept (whether that is the row's own).
 
     In a bucket, every set is first compared with the bucket's smallest id; after the links so found, what lies
-    in different components is compared pair by pair, so a group of copies never makes all its pairs.
+    in different components is compared pair by pair, so a group of copies in one component never makes all its
+    pairs. The work is quadratic in the members of a bucket that are still apart.
     """
     # A smaller set can only be similar to an equal one: one more shingle makes it too different.
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
@@ -327,8 +356,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Written, so that Spark knows its size and need not move the texts again when it is small.
     missing = written(ends.join(sets.select("node"), "node", "left_anti"), "ends")
     both_sets = sets.unionByName(full_sets(docs, missing, id_col, text_col, size)) if not missing.isEmpty() else sets
-    in_tiles = across(large.join(heads.select("node", "registers"), "node").join(both_sets, "node"), percent)
-    late = written(verified(more, both_sets, percent).unionByName(in_tiles), "links")
+    tiled = across(large.join(heads.select("node", "registers"), "node").join(both_sets, "node"), percent)
+    late = written(verified(more, both_sets, percent).unionByName(tiled), "links")
     if not late.isEmpty():
         found = components(links.unionByName(late))
 

@@ -141,6 +141,31 @@ def test_tiles_look_as_far_down_as_small_buckets(spark):
     assert {tuple(r) for r in minhash.across(apart, 80).collect()} == {(1, 2)}
 
 
+def test_tiles_of_one_component_do_not_meet(spark, monkeypatch):
+    """Members of different components meet exactly once; a large component with few others costs few rows."""
+    from driftloom.llm import minhash
+
+    monkeypatch.setattr(minhash, "TILE", 7)
+    component = [0] * 600 + [600, 600, 602, 603, 604]
+    rows = [(1, i, c) for i, c in enumerate(component)]
+    rows += [(2, i, c) for i, c in enumerate([5] * 30 + [9] * 20 + [11] * 7)] + [(3, i, i) for i in range(40)] + [(4, i, 8) for i in range(30)]
+    left, right = (x.collect() for x in minhash.in_tiles(spark.createDataFrame(rows, "key long, node long, component long")))
+    assert len([r for r in left + right if r["key"] == 1]) < 3 * 605  # every two tiles: 605 x 87 and more
+    groups = {}
+    for side, rs in enumerate((left, right)):
+        for r in rs:
+            groups.setdefault((r["key"], r["tile"], r["other"]), ([], []))[side].append(r)
+    met = Counter()
+    for (key, tile, other), (xs, ys) in groups.items():
+        assert tile <= other
+        for a in xs:
+            for b in ys:
+                if a["component"] != b["component"] and (tile != other or a["node"] < b["node"]):
+                    met[key, min(a["node"], b["node"]), max(a["node"], b["node"])] += 1
+    want = Counter((k, a, b) for k, a, x in rows for l, b, y in rows if k == l and a < b and x != y)
+    assert met == want
+
+
 def test_bands_miss_few_pairs(spark):
     """Of the band keys that Spark makes and those that tiles see, the same are shared; few pairs share none."""
     from driftloom.llm import minhash
