@@ -29,13 +29,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id.
 
-    Of several rows with that doc_id one stays, that with the smallest text hash. Rows without doc_id are in
+    Of several rows with that doc_id that are kept one stays, that with the smallest text hash. Rows without doc_id are in
     no group and stay.
     """
-    prints = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("__print"))
     with owned_tables(spark):  # sketches and sets have done their work once this small table is there
-        kept = near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id").distinct()
-        chosen = written(kept.join(prints, "doc_id"), "kept-documents", keep=True)
+        kept = near_duplicates(docs, size=5, percent=80, prints=True).filter("kept")
+        chosen = written(kept.groupBy("doc_id").agg(F.min("print").alias("__print")), "kept-documents", keep=True)
     named = docs.filter("doc_id is not null").withColumn("__print", F.xxhash64("text"))
     stay = named.join(chosen, ["doc_id", "__print"], "left_semi").dropDuplicates(["doc_id", "__print"])
     return stay.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

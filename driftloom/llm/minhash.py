@@ -101,7 +101,7 @@ def lists_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, least: int) -> DataFrame:
-    """node, n (set size), same (equal for equal sets), registers (none for sets smaller than ``least``)."""
+    """node, n (set size), same (equal for equal sets), registers (none for sets smaller than ``least``), print (the text's hash)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,10 +112,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, least: int) -
                 out[1].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 out[2].append(registers(own).tobytes() if len(own) >= least else None)
             made = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *made], ["node", "n", "same", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *made, batch.column("print")], ["node", "n", "same", "registers", "print"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("node"), hashed_words(F.col(f"`{text_col}`")).alias("hashes"))
-    return rows.mapInArrow(each, "node bigint, n bigint, same binary, registers binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("node"), hashed_words(F.col(f"`{text_col}`")).alias("hashes"), F.xxhash64(f"`{text_col}`").alias("print"))
+    return rows.mapInArrow(each, "node bigint, n bigint, same binary, registers binary, print bigint")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -310,8 +310,8 @@ def band_of(registers: str, key: str) -> Column:
     return (F.array_position(band_keys(F.col(registers)), F.col(key)) - 1).cast("int")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable), kept (whether that is the row's own).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, prints: bool = False) -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable), kept (whether that is the row's own); with ``prints``, print (xxhash64 of the text).
 
     In a bucket, every set is first compared with the bucket's smallest id; after the links so found, what lies
     in different components is compared pair by pair, so a group of copies in one component never makes all its
@@ -361,11 +361,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not late.isEmpty():
         found = components(links.unionByName(late))
 
-    named = sketched.select("node", "n", "same").join(classes, "same", "left")
+    named = sketched.select("node", "n", "same", "print").join(classes, "same", "left")
     own = found.withColumnRenamed("node", "head")
     named = named.join(own, "head", "left").withColumn("component_id", F.coalesce("component", "head", "node"))
     # Several rows of one doc_id are one document.
     return named.select(
         F.col("node").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("node") == F.col("component_id"), F.lit(False)).alias("kept"),
+        F.coalesce(F.col("node") == F.col("component_id"), F.lit(False)).alias("kept"), *["print"] * prints,
     )

@@ -60,6 +60,15 @@ def test_stages(spark):
     assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded_sha256"]) for r in tokens) == want
 
 
+def test_near_dedup_keeps_the_text_that_was_kept(spark):
+    """Of an id with a copy of another document and a text of its own, that text stays."""
+    copy = "a text of more than five words that others copy"
+    own = {i: " ".join(f"own{i}x{k}" for k in range(9)) for i in range(5, 25)}
+    docs = spark.createDataFrame([(1, copy)] + [(i, t) for i in own for t in (copy, own[i])], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, SF).collect())
+    assert got == Counter([(1, copy), *own.items()])
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
