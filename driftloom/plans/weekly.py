@@ -1,4 +1,4 @@
-"""The whole weekly run, for all entities at once."""
+"""The weekly run from changes to the digest, for all entities at once; README.md lists which steps are open."""
 
 from __future__ import annotations
 
