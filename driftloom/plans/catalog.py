@@ -1120,7 +1120,8 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     step = ((high or 0) - (low or 0)) // STREAM_BATCHES + 1
     for i in range(STREAM_BATCHES):
         start = (low or 0) + i * step
-        part = events.filter((F.col("event_id") >= start) & (F.col("event_id") < start + step))
+        inside = (F.col("event_id") >= start) & (F.col("event_id") < start + step)
+        part = events.filter(inside | F.col("event_id").isNull() if i == 0 else inside)
         part.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 

@@ -65,3 +65,12 @@ def test_trend_keeps_late_rows_and_replays(spark, items):
     again = late.filter((F.col("seq") > 300) & (F.col("seq") <= 800))
     append(N.weekly_counts(again), f"{root}/weeks/trend", 1)  # the second batch once more
     assert same(want, N.current_trend(spark, f"{root}/weeks"))
+
+
+def test_event_stream_reads_rows_without_id(spark, tmp_path):
+    from driftloom.plans.catalog import event_stream
+
+    spark.createDataFrame([(1, "a"), (None, "b"), (9, "c")], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    query = event_stream(spark, str(tmp_path)).writeStream.format("memory").queryName("events_read").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r["props"] for r in spark.table("events_read").collect()) == ["a", "b", "c"]
