@@ -184,3 +184,11 @@ select conv_id, turn, turn as order_turn, cast(0 as bigint) as order_step,
   cast(0 as bigint) as n_calls, cast(0 as bigint) as n_bad_calls, cast(0 as bigint) as n_unanswered, 'ok' as status
 from conversations
 """
+
+ORACLES["op13_exact_dedup"] = """
+with owners as (
+  select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size from documents group by 1
+)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(t) as text_sha256
+from documents join owners on t = coalesce(text, '')
+"""

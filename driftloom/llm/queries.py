@@ -13,6 +13,7 @@ from driftloom.llm.bpe import decode, encode, load_ranks
 from driftloom.llm.chat import format_chat
 from driftloom.llm.common import table
 from driftloom.llm.embdedup import link_vectors
+from driftloom.llm.exactdup import exact_owners
 from driftloom.llm.langid import held_out
 from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.mixing import mix
@@ -101,3 +102,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of every conversation as canonical JSON, with its place and what is wrong with its calls."""
     return format_chat(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the row with the largest id stays."""
+    owned = exact_owners(table(spark, sf_dir, "documents"), largest=True)
+    return owned.select("doc_id", F.col("owner").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
