@@ -192,3 +192,92 @@ with owners as (
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(t) as text_sha256
 from documents join owners on t = coalesce(text, '')
 """
+
+
+# Costs and audits in one string (nine digits, then the letters), so that the least string is the cheapest edit.
+_FAR = "'~'"
+
+
+def _plus(key: str, cost: str, letters: str) -> str:
+    return f"case when {key} = {_FAR} then {_FAR} else lpad(cast(cast(substr({key}, 1, 9) as int) + {cost} as varchar), 9, '0') || substr({key}, 10) || {letters} end"
+
+
+def _if(condition: str, value: str) -> str:
+    return f"case when {condition} then {value} else {_FAR} end"
+
+
+_I = "2", "'I'"
+# z: none, system, user, assistant as the last message; what inserts add to that.
+_USER = f"least(z[3], {_plus('z[1]', *_I)}, {_plus('z[2]', *_I)}, {_plus('z[4]', *_I)})"
+_WITH_INSERTS = f"lambda z: list_transform([{_USER}], lambda v: [z[1], z[2], v, least(z[4], {_plus('v', *_I)})])[1]"
+_OPEN, _T = "e[2] = '0'", "cast(e[3] as int)"
+_DROP = [_plus(f"a[{q}]", "3", "'D'") for q in (1, 2, 3, 4)]
+_KEEP = {q: _plus(f"a[{q}]", _T, "'K'") for q in (1, 2, 3, 4)}
+_TURN = {q: _plus(f"a[{q}]", f"2 + {_T}", "'R'") for q in (1, 2, 3, 4)}
+_STEP = ", ".join([
+    _DROP[0],
+    f"least({_DROP[1]}, {_if(_OPEN + " and e[1] = 's'", _KEEP[1])})",
+    f"least({_DROP[2]}, " + ", ".join(_if(_OPEN + " and e[1] = 'u'", _KEEP[q]) + ", " + _if(_OPEN, _TURN[q]) for q in (1, 2, 4)) + ")",
+    f"least({_DROP[3]}, {_if(_OPEN + " and e[1] = 'a'", _KEEP[3])}, {_if(_OPEN, _TURN[3])})",
+])
+ORACLES["op11_repair_conversations"] = f"""
+with bits as (
+  select list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
+    lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+),
+kinds as (
+  select conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(
+      coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: cast(ascii(c) as bigint))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as kind
+  from conversations, bits
+),
+rows_left as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when kind = 3 then [1, 2] else [1] end) as copy
+  from kinds where kind <> 0
+),
+ordered as (
+  select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first, copy) as pos,
+    rtrim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from rows_left
+),
+judged as (
+  select *, coalesce(substr(role, 1, 1), '') as i, case when t = '' then 'blank'
+    when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate'
+    when right(t, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lead(coalesce(substr(role, 1, 1), '')) over (partition by conv_id order by pos) as next
+  from ordered
+),
+told as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+    count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+    count(*) filter (where next is not null and i || next not in ('su', 'ua', 'au')) as illegal,
+    list([i, case when fault in ('blank', 'duplicate') then '1' else '0' end, case when fault = 'truncated' then '1' else '0' end] order by pos) as line
+  from judged group by conv_id
+),
+solved as (
+  select * exclude (line, z), least(z[1], z[4]) as key from (
+    select *, list_reduce(list_concat([list_transform([['000000000', {_FAR}, {_FAR}, {_FAR}]], {_WITH_INSERTS})[1]], line),
+      lambda a, e: list_transform([[{_STEP}]], {_WITH_INSERTS})[1]) as z from told)
+),
+letters as (
+  select conv_id, j, substr(key, 9 + j, 1) as letter from (select conv_id, key, unnest(generate_series(1, length(key) - 9)) as j from solved)
+),
+placed as (select *, sum(case when letter <> 'I' then 1 else 0 end) over (partition by conv_id order by j) as pos from letters),
+sent as (
+  select p.conv_id, j, letter, i, role, text, row_number() over (partition by p.conv_id order by j) as m
+  from placed p left join judged r on r.conv_id is not distinct from p.conv_id and r.pos = p.pos and letter <> 'I' where letter <> 'D'
+),
+begun as (select conv_id, coalesce(max(case when m = 1 and letter = 'K' and i = 's' then 1 else 0 end), 0) as shift from sent group by conv_id),
+named as (
+  select s.conv_id, m, case when letter = 'K' then role when (m - shift) % 2 = 1 then 'user' else 'assistant' end as role,
+    case when letter = 'I' then '' else text end as text
+  from sent s join begun b on b.conv_id is not distinct from s.conv_id
+),
+mended as (select conv_id, string_agg(role || ':' || text, chr(10) order by m) as lines from named group by conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, cast(coalesce(cast(substr(key, 1, 9) as int), 0) as bigint) as cost, coalesce(substr(key, 10), '') as audit,
+  sha256(coalesce(lines, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+  left join solved s on s.conv_id is not distinct from o.conv_id left join mended x on x.conv_id is not distinct from o.conv_id
+"""

@@ -11,12 +11,13 @@ from driftloom.llm import langid
 from driftloom.llm.ann import search
 from driftloom.llm.bpe import decode, encode, load_ranks
 from driftloom.llm.chat import format_chat
-from driftloom.llm.common import table
+from driftloom.llm.common import table, written
 from driftloom.llm.embdedup import link_vectors
 from driftloom.llm.exactdup import exact_owners
 from driftloom.llm.langid import held_out
 from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.mixing import mix
+from driftloom.llm.repair import COUNTS, damaged, digests, lines_of, repair_conversations
 from driftloom.llm.secrets import BASE_KINDS, secret_spans, span_list
 from driftloom.llm.substring import dedup_substrings
 from driftloom.llm.tokencount import count_tokens
@@ -109,3 +110,17 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the row with the largest id stays."""
     owned = exact_owners(table(spark, sf_dir, "documents"), largest=True)
     return owned.select("doc_id", F.col("owner").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@query
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every damaged conversation, the cheapest edits that mend it, and the digest of what they give."""
+    chunks = written(repair_conversations(damaged(table(spark, sf_dir, "conversations"))), "repaired")
+    told = chunks.filter("chunk = 0").select("conv_id", *COUNTS, "audit", "n_chunks", "messages")
+    # Nearly all conversations are one chunk, whose digest needs no second look.
+    here = F.sha2(lines_of(), 256).alias("repaired_sha256")
+    one = told.filter("n_chunks = 1").select("conv_id", *COUNTS, "audit", here)
+    cut = chunks.filter("n_chunks > 1")
+    hashes = digests(cut).select(F.col("conv_id").alias("id"), F.col("sha256").alias("repaired_sha256"))
+    many = told.filter("n_chunks > 1").join(hashes, F.col("conv_id").eqNullSafe(F.col("id")))
+    return one.unionByName(many.select("conv_id", *COUNTS, "audit", "repaired_sha256"))
