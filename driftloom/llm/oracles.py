@@ -281,3 +281,25 @@ select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coales
 from (select distinct conv_id from conversations) o
   left join solved s on s.conv_id is not distinct from o.conv_id left join mended x on x.conv_id is not distinct from o.conv_id
 """
+
+ORACLES["op12_hard_negatives"] = """
+with v as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(x, lambda e: cast(floor(256 * e) as bigint)) as x
+  from (select vec_id, label, cast(embedding as double[]) as x from embeddings)
+  where vec_id is not null and label is not null and x is not null and len(list_filter(x, lambda e: e is null or isnan(e) or isinf(e))) = 0
+),
+scored as (
+  select a.rid, a.vec_id as anchor_id, v.vec_id, a.label = v.label as same,
+    coalesce(list_sum(list_transform(list_zip(a.x, v.x), lambda p: p[1] * p[2])), 0) as score
+  from v a join v on a.vec_id % 50 = 0 and v.vec_id <> a.vec_id and len(a.x) = len(v.x)
+),
+near as (
+  select rid, anchor_id, vec_id as positive_id, cast(score as bigint) as positive_score, row_number() over (partition by rid order by score desc, vec_id) as r
+  from scored where same qualify r <= 5
+)
+select n.anchor_id, n.positive_id, cast(row_number() over (partition by n.rid, n.r order by s.score desc, s.vec_id) as integer) as rank,
+  s.vec_id as negative_id, n.positive_score, cast(s.score as bigint) as negative_score
+from near n join scored s on s.rid = n.rid and not s.same and 50 * n.positive_score <= 100 * s.score and 100 * s.score <= 95 * n.positive_score
+qualify rank <= 3
+"""

@@ -14,6 +14,7 @@ from driftloom.llm.chat import format_chat
 from driftloom.llm.common import table, written
 from driftloom.llm.embdedup import link_vectors
 from driftloom.llm.exactdup import exact_owners
+from driftloom.llm.hardneg import mine_hard_negatives
 from driftloom.llm.langid import held_out
 from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.mixing import mix
@@ -124,3 +125,11 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = digests(cut).select(F.col("conv_id").alias("id"), F.col("sha256").alias("repaired_sha256"))
     many = told.filter("n_chunks > 1").join(hashes, F.col("conv_id").eqNullSafe(F.col("id")))
     return one.unionByName(many.select("conv_id", *COUNTS, "audit", "repaired_sha256"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, a seventh of the labels moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", label), F.col("id") % 50 == 0)
