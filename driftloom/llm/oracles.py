@@ -17,6 +17,7 @@ _FOUND = "\n  union all ".join(
     f"regexp_extract_all(t, '{regex}', {2 if kind == 'assign' else 0}) as v, string_split_regex(t, '{regex}') as p from d"
     for kind, rank, regex in _KINDS
 )
+_KNOWN = "(?i)0123456789abcdef|abcdefghijklmnop|1234567890123456|example"
 ORACLES["op1_secret_scan"] = f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 found as ({_FOUND}),
@@ -36,12 +37,19 @@ suspects as (
   select row_number() over () as c, rid, kind, rank, s, m, case kind when 'entropy_hex' then 24 else 32 end as w,
     case kind when 'entropy_hex' then 3.1 else 4.1 end as least
   from placed where ((kind = 'entropy_hex' and length(m) >= 24) or (kind = 'entropy_base64' and length(m) >= 32))
-    and not regexp_matches(m, '^[A-Za-z]+$') and not regexp_matches(m, '^[0-9+/_=-]+$')
-    and not regexp_matches(m, '^([A-Za-z]*[+/_=-]+)*[A-Za-z]*$')
+    and not regexp_matches(m, '^[A-Za-z+/_=-]*$') and not regexp_matches(m, '^[0-9+/_=-]+$')
     and not regexp_matches(m, '(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$')
-    and not regexp_matches(m, '(?i)0123456789abcdef|abcdefghijklmnop|1234567890123456') and not regexp_matches(m, '(?i)example')
 ),
-windows as (select *, unnest(generate_series(0, length(m) - w)) as o from suspects),
+known as (
+  select c, f, p, unnest(generate_series(1, len(f))) as i from (select c, regexp_extract_all(m, '{_KNOWN}') as f, string_split_regex(m, '{_KNOWN}') as p from suspects)
+),
+quiet as (
+  select c, b - length(f[i]) as a, b from (select *, sum(length(p[i]) + length(f[i])) over (partition by c order by i) as b from known)
+),
+windows as (
+  select * from (select *, unnest(generate_series(0, length(m) - w)) as o from suspects) s
+  where not exists (select 1 from quiet q where q.c = s.c and q.a < o + w and q.b > o)
+),
 characters as (select c, o, w, least, substr(m, o + k, 1) as ch from (select *, unnest(generate_series(1, w)) as k from windows)),
 counted as (select c, o, w, least, ch, count(*) as n from characters group by all),
 dense as (

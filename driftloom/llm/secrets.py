@@ -29,16 +29,15 @@ ENTROPY_CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", 24, 3.1),
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 32, 4.1),
 }
-#: Candidates that are known to be harmless: words, numbers, plain lower-case names with joints, paths
-#: and file names of words, universal identifiers, counting and alphabet runs, documented examples.
-ALLOW_LIST = (
-    r"^[A-Za-z]+$",
+#: Whole candidates that are known to be harmless: words, names and paths of words, numbers, universal identifiers.
+#: None of these patterns repeats a group, which a regular expression follows by recursion.
+ALLOWED_WHOLE = (
+    r"^[A-Za-z+/_=-]*$",
     r"^[0-9+/_=-]+$",
-    r"^([A-Za-z]*[+/_=-]+)*[A-Za-z]*$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)0123456789abcdef|abcdefghijklmnop|1234567890123456",
-    r"(?i)example",
 )
+#: Parts that are known: counting and alphabet runs, documented examples. They silence the windows that overlap them, no others.
+ALLOWED_PARTS = r"(?i)0123456789abcdef|abcdefghijklmnop|1234567890123456|example"
 #: Bits are added up as whole millionths, so that what a character adds is taken away exactly.
 SCALE = 1_000_000
 
@@ -78,15 +77,15 @@ def matches(text: Column, found: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, spans).otherwise(nothing)
 
 
-def dense_parts(candidate: Column, characters: str, window: int, least: float) -> Column:
+def dense_parts(candidate: Column, characters: str, window: int, least: float, silent: Column) -> Column:
     """Parts (start, end) of a candidate whose windows reach the entropy; overlapping windows are one part.
 
-    One character enters and one leaves at each step: two counts change, and the sum of bits with them.
+    Windows that overlap one of the ``silent`` places do not count. One character enters and one leaves at each step: two counts change, and the sum of bits with them.
     """
     table = F.array(*[F.lit(bits(c)).cast("bigint") for c in range(window + 2)])
     limit = F.lit(most_bits(window, least)).cast("bigint")
 
-    def step(s: Column, p: Column, codes: Column, cost: Column) -> Column:
+    def step(s: Column, p: Column, codes: Column, cost: Column, quiet: Column) -> Column:
         came = F.element_at(codes, p)
         left = F.when(p > window, F.element_at(codes, F.greatest(p - window, F.lit(1)))).otherwise(0)
         n_came = F.element_at(s["counts"], came)
@@ -99,8 +98,8 @@ def dense_parts(candidate: Column, characters: str, window: int, least: float) -
         counts = F.transform(
             s["counts"], lambda c, i: c + F.when(i + 1 == came, 1).otherwise(0) - F.when(i + 1 == left, 1).otherwise(0)
         )
-        hit = (p >= window) & (total <= limit)
         start = p - window
+        hit = (p >= window) & (total <= limit) & ~F.exists(quiet, lambda q: (q["start"] < p) & (q["end"] > start))
         joins = hit & (s["to"] > start)
         done = F.when(
             hit & ~joins & (s["to"] > 0),
@@ -124,28 +123,38 @@ def dense_parts(candidate: Column, characters: str, window: int, least: float) -
         codes,
         lambda cs: let(
             table,
-            lambda cost: F.aggregate(F.sequence(F.lit(1), F.size(cs)), zero, lambda s, p: step(s, p, cs, cost), last),
+            lambda cost: let(
+                silent,
+                lambda quiet: F.aggregate(F.sequence(F.lit(1), F.size(cs)), zero, lambda s, p: step(s, p, cs, cost, quiet), last),
+            ),
         ),
     )
 
 
-def allowed(candidate: Column, allow_list: tuple[str, ...]) -> Column:
+def allowed(candidate: Column, patterns: tuple[str, ...]) -> Column:
     found = F.lit(False)
-    for pattern in allow_list:
+    for pattern in patterns:
         found = found | candidate.rlike(pattern)
     return found
 
 
+def silenced(candidate: Column, pattern: str) -> Column:
+    """Places (start, end) of the known parts of a candidate."""
+    places = matches(candidate, F.regexp_extract_all(candidate, F.lit(pattern), F.lit(0)), pattern)
+    return F.transform(places, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+
+
 def secret_spans(
     docs: DataFrame,
     text: str = "text",
     classes: dict[str, tuple[str, int, float]] | None = None,
-    allow_list: tuple[str, ...] = ALLOW_LIST,
+    allowed_whole: tuple[str, ...] = ALLOWED_WHOLE,
+    allowed_parts: str = ALLOWED_PARTS,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The columns of ``keep`` (default: all), and ``secrets``: (start, rank, end, kind) in order of start, then kind.
 
-    Base kinds are always reported; the allow list only silences what entropy alone has found.
+    Base kinds are always reported; what is allowed only silences what entropy alone has found.
     The new column replaces one of its name.
     """
     classes = ENTROPY_CLASSES if classes is None else classes
@@ -170,12 +179,12 @@ def secret_spans(
             places = F.filter(places, long_enough)
         if kind in classes:
             chars, window, least = classes[kind]
-            suspects = F.filter(places, lambda m: ~allowed(m["match"], allow_list))
+            suspects = F.filter(places, lambda m: ~allowed(m["match"], allowed_whole))
             hits = F.flatten(
                 F.transform(
                     suspects,
                     lambda m: F.transform(
-                        dense_parts(m["match"], chars, window, least), lambda part: tag(m["start"] + part["start"], m["start"] + part["end"])
+                        dense_parts(m["match"], chars, window, least, silenced(m["match"], allowed_parts)), lambda part: tag(m["start"] + part["start"], m["start"] + part["end"])
                     ),
                 )
             )

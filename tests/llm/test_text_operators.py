@@ -16,7 +16,7 @@ from driftloom.llm import langid
 from driftloom.llm.bpe import decode, encode, load_ranks
 from driftloom.llm.chat import canonical, fits, format_chat
 from driftloom.llm.common import scan
-from driftloom.llm.secrets import ALLOW_LIST, ENTROPY_CLASSES, redact, secret_spans
+from driftloom.llm.secrets import ALLOWED_PARTS, ALLOWED_WHOLE, ENTROPY_CLASSES, redact, secret_spans
 from driftloom.llm.tokencount import SCALE, count_tokens, trie_counter, unigram_costs
 
 SF = "/root/testdata/sf0.001"
@@ -35,10 +35,12 @@ def plain_spans(text):
         found += [(m.start(), rank, m.end(), kind) for m in pattern.finditer(text) if long_enough(m)]
     for rank, (kind, (chars, window, least)) in enumerate(ENTROPY_CLASSES.items(), len(kinds)):
         for m in re.finditer("[" + re.escape(chars) + "]{%d,}" % window, text):
-            if any(re.search(p, m[0]) for p in ALLOW_LIST):
+            if any(re.search(p, m[0]) for p in ALLOWED_WHOLE):
                 continue
-            parts = []
+            known, parts = [k.span() for k in re.finditer(ALLOWED_PARTS, m[0])], []
             for at in range(len(m[0]) - window + 1):
+                if any(a < at + window and b > at for a, b in known):
+                    continue
                 counts = Counter(m[0][at : at + window]).values()
                 if -sum(c / window * math.log2(c / window) for c in counts) >= least - 1e-6:
                     if parts and parts[-1][1] > at:
@@ -58,6 +60,9 @@ def test_secret_spans_and_redaction(spark):
         "x" + "".join(rng.choice(b64) for _ in range(80)) + " " + "a" * 60 + "".join(rng.choice(b64) for _ in range(40)) + "a" * 60,
         "550e8400-e29b-41d4-a716-446655440000", "token=abcdef1 " * 700, "".join(rng.choice(b64) for _ in range(3000)),
     ]
+    key = "".join(rng.choice(b64) for _ in range(64))
+    texts += ["https/example/path/" + key, key + "/Example/" + key[::-1], "abcdefghijklmnop" + key[:31], "example" * 3 + key[:33] + "1234567890123456" + key]
+    texts += ["a-", "a-" * 2000, "-a" * 200_000, "word_" * 800 + key, "/".join(["path"] * 80_000)]
     texts += ["".join(rng.choice("tokens=: '\"AKI0f") for _ in range(300)) for _ in range(20)]
     rows = [(i, t, "kept") for i, t in enumerate(texts)] + [(4, texts[4], "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string, `start` string")
