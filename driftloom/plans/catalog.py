@@ -26,6 +26,7 @@ from driftloom.plans.weekly import weekly_run
 from driftloom.session import scratch_path
 from driftloom.sources import inputs as I
 from driftloom.sources import tables as B
+from driftloom.sources.keyed import KeyedState
 from driftloom.streaming import incremental as N
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -381,10 +382,11 @@ def a6_append_round_trip(spark, sf):
 
 @query
 def a7_commit_state(spark, sf):
-    path = scratch_path(spark, "items")
-    B.commit_state(known_items(spark, sf), path)
-    B.commit_state(S.upsert_items(B.read_state(spark, path), observed_items(spark, sf)), path)
-    return B.read_state(spark, path).drop("item_ref")
+    state = KeyedState(spark, scratch_path(spark, "items"), S.ITEM_KEYS)
+    state.commit(known_items(spark, sf))
+    seen = observed_items(spark, sf)
+    state.commit(S.upsert_items(state.read(only=seen), seen))
+    return state.read().drop("item_ref")
 
 
 @query
@@ -1153,7 +1155,7 @@ def h1_stream_changes(spark, sf):
 def h2_stream_items(spark, sf):
     root = scratch_path(spark, "stream-items")
     N.stream_items(item_stream(spark, sf), root).awaitTermination()
-    return B.read_state(spark, f"{root}/items").drop("item_ref")
+    return KeyedState(spark, f"{root}/items", S.ITEM_KEYS).read().drop("item_ref")
 
 
 @query

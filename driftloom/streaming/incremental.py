@@ -1,8 +1,9 @@
 """Structured Streaming jobs. Each micro-batch reuses the batch operators against versioned state.
 
 All results of a batch go to folders named by the batch number, so a repeated batch replaces its own
-output and the state it read; a lost executor costs a retry, never a duplicate. Working per batch
-also lets a hot page or item use the skew-safe batch plans instead of one state-store task.
+output and the state it read; a lost executor costs a retry, never a duplicate. A batch reads the state of its own
+keys only, and commits no other rows. Working per batch also lets a hot page or item use the skew-safe batch
+plans instead of one state-store task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from driftloom.operators import state as S
 from driftloom.operators.posts import dedup_first
-from driftloom.sources.tables import append, commit_state, read_state
+from driftloom.sources.keyed import KeyedState
+from driftloom.sources.tables import append
 
 
 def _start(stream: DataFrame, root: str, step) -> StreamingQuery:
@@ -34,14 +36,13 @@ def stream_changes(stream: DataFrame, root: str) -> StreamingQuery:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_state(spark, f"{root}/pages", before=batch_id)
+        pages = KeyedState(spark, f"{root}/pages", S.PAGE_KEYS)
+        known = pages.read(before=batch_id, only=batch)
         changes = S.detect_changes(batch, known)
         append(changes.drop("prev_hash"), f"{root}/changes", batch_id)
         written = spark.read.parquet(f"{root}/changes/batch={batch_id}")
         append(S.snapshots_to_append(written, batch), f"{root}/snapshots", batch_id)
-        fresh = S.page_state_of(written)
-        merged = fresh if known is None else S.latest_by(known.unionByName(fresh), S.PAGE_KEYS, "seq")
-        commit_state(merged, f"{root}/pages", batch_id)
+        pages.commit(S.page_state_of(written), batch_id)
 
     return _start(stream, root, step)
 
@@ -55,12 +56,13 @@ def stream_items(stream: DataFrame, root: str) -> StreamingQuery:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_state(spark, f"{root}/items", before=batch_id)
+        items = KeyedState(spark, f"{root}/items", S.ITEM_KEYS)
+        known = items.read(before=batch_id, only=batch)
         first = dedup_first(batch, S.ITEM_KEYS, ["seq"])
         fresh = first if known is None else S.new_items(first, known)
         append(fresh, f"{root}/new_items", batch_id)
         append(weekly_counts(spark.read.parquet(f"{root}/new_items/batch={batch_id}")), f"{root}/trend", batch_id)
-        commit_state(S.upsert_items(known, batch), f"{root}/items", batch_id)
+        items.commit(S.upsert_items(known, batch), batch_id)
 
     return _start(stream, root, step)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from driftloom.operators import state as S
 from driftloom.plans.adapters import view
 from driftloom.session import scratch_path
-from driftloom.sources.tables import append, read_state
+from driftloom.sources.keyed import KeyedState
+from driftloom.sources.tables import append
 from driftloom.streaming import incremental as N
 
 SF = "/root/testdata/sf0.001"
@@ -48,7 +49,7 @@ def test_changes(spark):
 def test_items_and_feed(spark, items):
     root = scratch_path(spark, "items")
     N.stream_items(in_batches(spark, items, f"{root}/in"), root).awaitTermination()
-    assert same(S.upsert_items(None, items), read_state(spark, f"{root}/items"))
+    assert same(S.upsert_items(None, items), KeyedState(spark, f"{root}/items", S.ITEM_KEYS).read())
     feed = spark.read.parquet(f"{root}/new_items")
     first = items.groupBy(*S.ITEM_KEYS).agg(F.min("seq").alias("seq"))
     assert same(first, feed)
