@@ -34,9 +34,9 @@ def random_rows(seed, n=600):
 
 @pytest.mark.parametrize(("largest", "sizes"), [
     (True, {}),
-    (False, {"block_bytes": 2000, "part_bytes": 5000, "trie_bytes": 3000}),
+    (False, {"block_bytes": 2000, "part_bytes": 200_000, "trie_bytes": 3000}),
     (True, {"block_bytes": 2000, "part_bytes": 1 << 30, "trie_bytes": 2000, "lane_blocks": 3}),
-    (False, {"block_bytes": 3000, "part_bytes": 20_000, "trie_bytes": 1000, "lane_blocks": 2, "hashed": lambda text: 7}),
+    (False, {"block_bytes": 3000, "part_bytes": 200_000, "trie_bytes": 1000, "lane_blocks": 2, "hashed": lambda text: 7}),
 ])
 def test_owners(spark, largest, sizes):
     rows = random_rows(3)
