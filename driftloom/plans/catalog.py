@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from driftloom import schemas
 from driftloom.functions import ids, recency, summaries as M, text as X
@@ -1114,31 +1115,33 @@ def a8_write_digest(spark, sf):
 STREAM_BATCHES = 3
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The given events as a stream of several micro-batches: files written one after another, one read at a time."""
+def stream_events(spark: SparkSession, sf: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The given events as a stream of several micro-batches: a part is written, and the stream takes what is new, with all its files.
+
+    Rows without an id come with the first part. ``start`` begins the stream anew each time, from its checkpoint.
+    """
     path = scratch_path(spark, "event-files")
     events = table(spark, sf, "events")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     step = ((high or 0) - (low or 0)) // STREAM_BATCHES + 1
     for i in range(STREAM_BATCHES):
-        start = (low or 0) + i * step
-        inside = (F.col("event_id") >= start) & (F.col("event_id") < start + step)
-        part = events.filter(inside | F.col("event_id").isNull() if i == 0 else inside)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        first = (low or 0) + i * step
+        inside = (F.col("event_id") >= first) & (F.col("event_id") < first + step)
+        events.filter(inside | F.col("event_id").isNull() if i == 0 else inside).write.mode("append").parquet(path)
+        start(spark.readStream.schema(events.schema).parquet(path)).awaitTermination()
 
 
-def item_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return event_stream(spark, sf).select(
+def sightings_of(stream: DataFrame) -> DataFrame:
+    return stream.select(
         (F.col("user_id") % 10).alias("entity_id"), F.col("event_type").alias("platform"), F.col("props").alias("item_id"),
         F.concat("event_type", F.lit(" "), "props").alias("item_text"), F.col("ts").alias("seen_at"),
         F.col("event_id").alias("seq"),
     )
 
 
-def capture_stream(spark: SparkSession, sf: str) -> DataFrame:
+def captures_of(stream: DataFrame) -> DataFrame:
     pages = F.array(*[F.lit(p) for p in ("homepage", "blog", "pricing", "careers")])
-    return event_stream(spark, sf).select(
+    return stream.select(
         F.col("user_id").alias("entity_id"), F.get(pages, (F.col("event_id") % 4).cast("int")).alias("page_type"),
         F.col("event_type").alias("content_text"), F.col("ts").alias("checked_at"), F.col("event_id").alias("seq"),
     )
@@ -1147,40 +1150,35 @@ def capture_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def h1_stream_changes(spark, sf):
     root = scratch_path(spark, "stream-changes")
-    N.stream_changes(capture_stream(spark, sf), root).awaitTermination()
+    stream_events(spark, sf, lambda events: N.stream_changes(captures_of(events), root))
     return spark.read.parquet(f"{root}/changes").select("seq", "entity_id", "page_type", "content_hash", "verdict")
 
 
 @query
 def h2_stream_items(spark, sf):
     root = scratch_path(spark, "stream-items")
-    N.stream_items(item_stream(spark, sf), root).awaitTermination()
+    stream_events(spark, sf, lambda events: N.stream_items(sightings_of(events), root))
     return KeyedState(spark, f"{root}/items", S.ITEM_KEYS).read().drop("item_ref")
 
 
 @query
 def h3_stream_new(spark, sf):
     root = scratch_path(spark, "stream-new")
-    N.stream_items(item_stream(spark, sf), root).awaitTermination()
+    stream_events(spark, sf, lambda events: N.stream_items(sightings_of(events), root))
     return spark.read.parquet(f"{root}/new_items").select("seq", *S.ITEM_KEYS)
 
 
 @query
 def h3_stream_new_in_state(spark, sf):
     root = scratch_path(spark, "stream-dedup")
-    done = (
-        N.stream_new(item_stream(spark, sf)).select(*S.ITEM_KEYS).writeStream.format("parquet")
-        .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    done.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    stream_events(spark, sf, lambda events: N.stream_new(sightings_of(events), root))
+    return spark.read.parquet(f"{root}/new").select(*S.ITEM_KEYS)
 
 
 @query
 def h4_stream_trend(spark, sf):
     root = scratch_path(spark, "stream-trend")
-    N.stream_items(item_stream(spark, sf), root).awaitTermination()
+    stream_events(spark, sf, lambda events: N.stream_items(sightings_of(events), root, trend=True))
     return N.current_trend(spark, root).withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
 
 

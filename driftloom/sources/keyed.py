@@ -22,8 +22,10 @@ from driftloom.sources.tables import _fs
 #: Rows of a bucket at which a state is made; with four times as many it gets four times the buckets.
 BUCKET_ROWS = 1 << 20
 LEAST_BUCKETS = 16
-#: A bucket is rewritten when its later rows are this share of it, within this many rows for each row of the commit.
-REWRITE_SHARE, REWRITE_ROWS = 0.5, 2
+#: A bucket is rewritten when its later rows are more than so many times it, within this many rows for each row of the commit.
+REWRITE_SHARE, REWRITE_ROWS = 2, 2
+#: Later folders of like size that are merged into one.
+MERGED_FOLDERS = 4
 _BUCKET, _WRITE = "_bucket", "_write"
 
 
@@ -44,8 +46,8 @@ class KeyedState:
         return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
 
     def _manifest(self, version: int) -> dict:
-        rows = self.spark.read.text(f"{self.path}/manifests/{version:012d}.json", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        fs, file = _fs(self.spark, f"{self.path}/manifests/{version:012d}.json")
+        return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(file), "UTF-8"))
 
     def _before(self, version: int | None) -> dict | None:
         done = [v for v in self.versions() if version is None or v < version]
@@ -89,39 +91,55 @@ class KeyedState:
             return self.spark.createDataFrame([], wanted)
         return self.spark.read.schema(wanted).option("basePath", f"{self.path}/data").parquet(*paths)
 
-    def _merged(self, manifest: dict, buckets: list[int] | None = None, only: DataFrame | None = None) -> DataFrame:
-        """The rows of all buckets or some, and of all keys or those of ``only``."""
-        schema = manifest["schema"]
-        chosen = {int(k): v for k, v in manifest["base"].items() if buckets is None or int(k) in set(buckets)}
-        base = self._load([f"{self.path}/data/{_WRITE}={write}/{_BUCKET}={k}" for k, (write, _) in sorted(chosen.items())], schema)
-        later = self._load([f"{self.path}/data/{_WRITE}={write}" for write in manifest["later"]], schema)
+    def _later(self, manifest: dict, writes: list[str], buckets: list[int] | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The newest row of each key that some of the later folders have."""
+        later = self._load([f"{self.path}/data/{_WRITE}={write}" for write in writes], manifest["schema"])
         if buckets is not None:
             later = later.filter(F.col(_BUCKET).isin(buckets))
-        # What a bucket was rewritten with does not come after it; as many rows as buckets.
-        since = [(int(k), write) for k, (write, _) in manifest["base"].items()]
-        since = self.spark.createDataFrame(since, f"{_BUCKET} int, _since string")
-        later = later.join(F.broadcast(since), _BUCKET, "left").filter(F.col("_since").isNull() | (F.col(_WRITE) > F.col("_since")))
+        # What a bucket was rewritten with does not come after it.
+        since: dict[str, list[int]] = {}
+        for k, (write, _) in manifest["base"].items():
+            since.setdefault(write, []).append(int(k))
+        for write, rewritten in since.items():
+            if write > min(writes, default=write):
+                later = later.filter(~(F.col(_BUCKET).isin(rewritten) & (F.col(_WRITE) < write)))
         if only is not None:
-            names = only.select(*self.keys).distinct()
-            base, later = base.join(names, self.keys, "left_semi"), later.join(names, self.keys, "left_semi")
+            later = later.join(only, self.keys, "left_semi")
+        if len(writes) < 2:
+            return later
+        newest = later.groupBy(*self.keys).agg(F.max(_WRITE).alias(_WRITE))
+        return later.join(newest, [*self.keys, _WRITE], "left_semi")
+
+    def _merged(self, manifest: dict, buckets: list[int] | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The rows of all buckets or some, and of all keys or those of ``only``."""
+        chosen = {int(k): v for k, v in manifest["base"].items() if buckets is None or int(k) in set(buckets)}
+        paths = [f"{self.path}/data/{_WRITE}={write}/{_BUCKET}={k}" for k, (write, n) in sorted(chosen.items()) if n]
+        base = self._load(paths, manifest["schema"])
         columns = [c for c in base.columns if c not in (_BUCKET, _WRITE)]
+        names = None if only is None else only.select(*self.keys).distinct()
+        if names is not None:
+            base = base.join(names, self.keys, "left_semi")
         base = base.select(*columns)
         if not manifest["later"]:
             return base
-        newest = later.groupBy(*self.keys).agg(F.max(_WRITE).alias(_WRITE))
-        later = later.join(newest, [*self.keys, _WRITE], "left_semi").select(*columns)
+        later = self._later(manifest, sorted(manifest["later"]), buckets, names).select(*columns)
         return base.join(later.select(*self.keys), self.keys, "left_anti").unionByName(later)
 
+    def note(self, before: int | None = None) -> dict:
+        """What the newest version (before one) was committed with."""
+        manifest = self._before(before)
+        return manifest["note"] if manifest else {}
+
     def read(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
         """The newest version, or the newest before one; None if there is none. ``only`` limits it to the keys of some rows.
 
-        With ``only``, buckets that have none of its keys are not read.
+        With ``only``, buckets that have none of its keys are not read, if there are many.
         """
         manifest = self._before(before)
         if manifest is None:
             return None
-        if only is None:
-            return self._merged(manifest)
+        if only is None or manifest["buckets"] <= LEAST_BUCKETS:
+            return self._merged(manifest, only=only)
         touched = only.select(self._bucket(manifest["buckets"]).alias(_BUCKET)).distinct().collect()
         return self._merged(manifest, [row[0] for row in touched], only)
 
@@ -134,8 +152,11 @@ class KeyedState:
         there = self._load([f"{self.path}/data/{_WRITE}={write}"], _ddl(rows))
         return write, {str(r[0]): r[1] for r in there.groupBy(_BUCKET).count().collect()}
 
-    def commit(self, rows: DataFrame, version: int | None = None) -> int:
-        """Puts rows (one per key, new or changed) into a new version. The same version again replaces itself."""
+    def commit(self, rows: DataFrame, version: int | None = None, note: dict | None = None, live: Column | None = None) -> int:
+        """Puts rows (one per key, new or changed) into a new version. The same version again replaces itself.
+
+        A small note may go with it. Buckets that are rewritten lose rows that are not ``live``; readers filter the others.
+        """
         if version is None:
             version = max(self.versions(), default=-1) + 1
         old = self._before(version)
@@ -144,12 +165,12 @@ class KeyedState:
             base = {k: [write, n] for k, n in counts.items()}
             manifest = {"version": version, "buckets": LEAST_BUCKETS, "schema": _ddl(rows), "base": base, "later": {}, "credit": 0}
         else:
-            manifest = self._changed(old, rows, version)
-        self._publish(self._enough_buckets(manifest))
+            manifest = self._changed(old, rows, version, live)
+        self._publish(self._enough_buckets(manifest, live) | {"note": note or {}})
         self._clear()
         return version
 
-    def _changed(self, old: dict, rows: DataFrame, version: int) -> dict:
+    def _changed(self, old: dict, rows: DataFrame, version: int, live: Column | None) -> dict:
         write, counts = self._write(rows, version, 0, old["buckets"], False)
         manifest = old | {"version": version, "schema": _wider(old["schema"], rows), "base": dict(old["base"]), "later": old["later"] | {write: counts}}
         manifest["credit"] = old["credit"] + REWRITE_ROWS * sum(counts.values())
@@ -166,22 +187,42 @@ class KeyedState:
             chosen.append(int(bucket))
             manifest["credit"] -= n + later
         if chosen:
-            write, counts = self._write(self._merged(manifest, chosen), version, 1, old["buckets"], True)
-            manifest["base"] |= {k: [write, n] for k, n in counts.items()}
+            write, counts = self._write(_only(self._merged(manifest, chosen), live), version, 1, old["buckets"], True)
+            manifest["base"] |= {str(k): [write, counts.get(str(k), 0)] for k in chosen}
+        manifest = self._few_folders(manifest)
         needed = min((manifest["base"].get(str(b), ["", 0])[0] for b in range(old["buckets"]) if sizes[str(b)][1]), default="")
         manifest["later"] = {w: c for w, c in manifest["later"].items() if w > needed}
         return manifest
 
-    def _enough_buckets(self, manifest: dict) -> dict:
+    def _few_folders(self, manifest: dict) -> dict:
+        """The newest later folders merged into one, where several are of like size; so there are as many as the logarithm of all."""
+        newest, rows = [], 0
+        for write in sorted(manifest["later"], reverse=True):
+            n = sum(manifest["later"][write].values())
+            if newest and n > 2 * rows:
+                break
+            newest.append(write)
+            rows += n
+        if len(newest) < MERGED_FOLDERS:
+            return manifest
+        merged = self._later(manifest, newest).drop(_BUCKET, _WRITE)
+        write, counts = self._write(merged, manifest["version"], 0, manifest["buckets"], False)
+        return manifest | {"later": {w: c for w, c in manifest["later"].items() if w not in newest} | {write: counts}}
+
+    def _enough_buckets(self, manifest: dict, live: Column | None) -> dict:
         """The same version dealt anew, where its buckets have grown too large."""
         total = sum(n for _, n in manifest["base"].values()) + sum(sum(c.values()) for c in manifest["later"].values())
         if total <= 4 * manifest["buckets"] * self.bucket_rows:
             return manifest
         buckets = max(4 * manifest["buckets"], -(-total // self.bucket_rows))
-        write, counts = self._write(self._merged(manifest), manifest["version"], 2, buckets, True)
+        write, counts = self._write(_only(self._merged(manifest), live), manifest["version"], 2, buckets, True)
         return manifest | {"buckets": buckets, "base": {k: [write, n] for k, n in counts.items()}, "later": {}, "credit": 0}
 
 
+def _only(rows: DataFrame, live: Column | None) -> DataFrame:
+    return rows if live is None else rows.filter(live)
+
+
 def _ddl(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in (_BUCKET, _WRITE))
 
