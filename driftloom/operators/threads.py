@@ -12,11 +12,69 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import vocab as V
 from driftloom.functions.text import strip
+from driftloom.operators.segments import lag_over
 from driftloom.session import ensure_checkpoint_dir
+from driftloom.sources.tables import owned_tables, written
 
 
-def tree_order(comments: DataFrame) -> DataFrame:
-    """Each comment's root-to-node path and ``place``; sorting by (post, path) is reading order.
+def reading_order(comments: DataFrame) -> DataFrame:
+    """Each comment's ``ord`` in its post's reading order (from 0), ``depth`` (roots have 0) and ``place``.
+
+    ``comments`` has post_id, comment_id (unique in a post), parent_id and pos (order among siblings, ties by
+    comment_id). A walk around each tree enters and leaves every comment once; what follows on entering or leaving is
+    known from the comment before among its siblings, so the walk is a linked list. The list is ranked by pointer
+    jumping: in each round a step takes over the sums and the pointer of the step it points at, so a walk of n steps
+    takes log2(n) equi-joins of numbers, in which every key occurs once on either side, whatever the shape of the trees.
+    Only numbers are kept, as many for a step at any depth.
+
+    ``place`` is ``tree``, ``orphan`` below (and at) a comment whose parent is missing, which is then a root, or ``cycle``
+    where following parents never ends; such comments have no ``ord`` and no ``depth``.
+    """
+    spark = comments.sparkSession
+    with owned_tables(spark):
+        own = comments.select("post_id", "comment_id", "parent_id", "pos", F.monotonically_increasing_id().alias("num"))
+        own = written(own, "comments")
+        known = own.select("post_id", F.col("comment_id").alias("parent_id"), F.col("num").alias("up"))
+        nodes = own.join(known, ["post_id", "parent_id"], "left").select(
+            "post_id", "num", "up", (F.col("parent_id").isNotNull() & F.col("up").isNull()).cast("int").alias("lost"),
+            F.coalesce("up", F.lit(-1)).alias("_under"), F.struct("pos", "comment_id").alias("_at"),
+        )
+        nodes = written(lag_over(nodes, ["post_id", "_under"], "_at", "num", "before").drop("_at", "_under"), "siblings")
+
+        enter, leave = F.col("num") * 2, F.col("num") * 2 + 1
+        follows = F.when(F.col("before").isNotNull(), F.col("before") * 2 + 1).otherwise(F.col("up") * 2)
+        links = nodes.select(follows.alias("step"), enter.alias("next")).filter("step is not null")
+        # Where no comment follows: a comment without replies is left again, the last reply leads back to its parent.
+        steps = nodes.select(
+            enter.alias("step"), leave.alias("back"), F.lit(1).alias("n"), F.lit(1).alias("up"), F.col("lost")
+        ).unionByName(nodes.select(leave.alias("step"), (F.col("up") * 2 + 1).alias("back"), F.lit(0).alias("n"), F.lit(-1).alias("up"), (-F.col("lost")).alias("lost")))
+        sums = [F.col(c).cast("bigint").alias(c) for c in ("n", "up", "lost")]
+        state = written(steps.join(links, "step", "left").select("step", F.coalesce("next", "back").alias("ptr"), *sums), "walk")
+        longest = own.groupBy("post_id").count().agg(F.max("count")).first()[0] or 0
+        for _ in range((2 * longest).bit_length()):  # after these, only cycles have a pointer
+            todo = state.filter("ptr is not null")
+            if todo.isEmpty():
+                break
+            ahead = state.select(F.col("step").alias("ptr"), F.col("ptr").alias("_ptr"), *[F.col(c).alias(f"_{c}") for c in ("n", "up", "lost")])
+            moved = todo.join(ahead, "ptr").select("step", F.col("_ptr").alias("ptr"), *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("n", "up", "lost")])
+            state = written(state.filter("ptr is null").unionByName(moved), "walk")
+
+        # Sums from a step to the end of its walk: comments still to come, and what is open before it, negative.
+        ranked = state.filter("step % 2 = 0").select((F.col("step") / 2).cast("bigint").alias("num"), "ptr", "n", (-F.col("up")).alias("depth"), (-F.col("lost")).alias("inside"))
+        ranked = own.select("post_id", "comment_id", "num").join(nodes.select("num", "lost"), "num").join(ranked, "num")
+        totals = ranked.filter("ptr is null").groupBy("post_id").agg(F.max("n").alias("all"))
+        ranked = ranked.join(totals, "post_id", "left")
+        ends = F.col("ptr").isNull()
+        place = F.when(~ends, "cycle").when((F.col("inside") > 0) | (F.col("lost") > 0), "orphan").otherwise("tree")
+        return written(ranked.select(
+            "post_id", "comment_id", F.when(ends, F.col("all") - F.col("n")).alias("ord"), F.when(ends, F.col("depth")).alias("depth"), place.alias("place")
+        ), "reading-order", keep=True)
+
+
+def comment_paths(comments: DataFrame) -> DataFrame:
+    """Each comment's root-to-node path and ``place``, for callers who want the paths themselves.
+
+    All paths together grow with the square of a thread's depth; :func:`reading_order` does not need them.
 
     ``comments`` has post_id, comment_id, parent_id and pos (order among siblings). Paths grow by
     pointer doubling: every round joins each unfinished node to the node it points at and takes
@@ -58,20 +116,17 @@ def tree_order(comments: DataFrame) -> DataFrame:
     return state.select("post_id", "comment_id", F.when(cycle, F.col("_own")).otherwise(F.col("path")).alias("path"), place.alias("place"))
 
 
-def flatten_comments(comments: DataFrame) -> DataFrame:
-    """Readable comments with their order inside the post and their ``place``.
+def flatten_comments(comments: DataFrame, paths: bool = False) -> DataFrame:
+    """Readable comments with their order inside the post, ``depth`` and ``place`` (see :func:`reading_order`); or their ``path``.
 
-    Blank and deleted bodies are dropped, their replies are kept. ``ord`` is the root-to-node path,
-    which sorts in reading order. With a ``kind`` column, only comments (``t1``) are readable.
+    Blank and deleted bodies are dropped, their replies are kept. With a ``kind`` column, only comments (``t1``) are readable.
     """
     body = strip(F.coalesce("body", F.lit("")))
     kept = comments.filter((body != "") & ~body.isin(*V.DELETED_BODIES))
     if "kind" in comments.columns:
         kept = kept.filter(F.col("kind") == "t1")
-    paths = tree_order(comments)
-    return kept.select("post_id", "comment_id", body.alias("body")).join(
-        paths.withColumnRenamed("path", "ord"), ["post_id", "comment_id"]
-    )
+    placed = comment_paths(comments) if paths else reading_order(comments)
+    return kept.select("post_id", "comment_id", body.alias("body")).join(placed, ["post_id", "comment_id"])
 
 
 def _children(data: object) -> list:

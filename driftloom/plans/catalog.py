@@ -551,16 +551,23 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
 def b14_flatten_comments(spark, sf):
     body = F.when(F.col("comment_id") % 5 == 3, F.lit("[deleted]")).otherwise(F.col("body"))
     tree = comments(spark, sf).withColumns({"body": body, "pos": F.col("comment_id")})
-    path = F.transform("ord", lambda p: p["comment_id"].cast("string"))
-    return H.flatten_comments(tree).select("post_id", "comment_id", "body", joined(path, ".").alias("path"))
+    path = F.transform("path", lambda p: p["comment_id"].cast("string"))
+    return H.flatten_comments(tree, paths=True).select("post_id", "comment_id", "body", joined(path, ".").alias("path"))
+
+
+@query
+def b14_reading_order(spark, sf):
+    """Place of every readable comment in its post, without any path. Older siblings come last."""
+    body = F.when(F.col("comment_id") % 5 == 3, F.lit("[deleted]")).otherwise(F.col("body"))
+    return H.flatten_comments(comments(spark, sf).withColumns({"body": body, "pos": -F.col("comment_id")}))
 
 
 @query
 def b14_orphans(spark, sf):
     """Threads without their third comment, so that its replies have lost their parent."""
     rest = comments(spark, sf).filter("comment_id <> 2").withColumn("pos", F.col("comment_id"))
-    path = F.transform("ord", lambda p: p["comment_id"].cast("string"))
-    return H.flatten_comments(rest).select("post_id", "comment_id", "body", joined(path, ".").alias("path"), "place")
+    path = F.transform("path", lambda p: p["comment_id"].cast("string"))
+    return H.flatten_comments(rest, paths=True).select("post_id", "comment_id", "body", joined(path, ".").alias("path"), "place")
 
 
 @query

@@ -364,6 +364,16 @@ ORACLES["b14_orphans"] = ORACLES["b14_flatten_comments"].replace(
 ).replace("concat(w.path, '.', c.comment_id)", "concat(w.path, '.', c.comment_id), w.place").replace(
     "as body, path from walk", "as body, path, place from walk").replace("comment_id % 5 <> 3", "comment_id <> 2").replace(
     "c.parent_id = w.comment_id)", "c.parent_id = w.comment_id where c.comment_id <> 2)")
+# A path of (999 - comment_id) in three digits sorts siblings by falling id, parents before their replies.
+oracle("b14_reading_order", """
+select post_id, comment_id, trim(body) as body, ord, depth, 'tree' as place from (
+  select *, row_number() over (partition by post_id order by path) - 1 as ord from walk) where comment_id % 5 <> 3 and trim(body) <> ''""", "fx_comments")
+ORACLES["b14_reading_order"] = ORACLES["b14_reading_order"].replace("with fx_comments", "with recursive fx_comments").replace(
+    "\nselect post_id, comment_id, trim(body) as body, ord", """,
+walk as (select post_id, comment_id, body, format('{:03d}', 999 - comment_id) as path, cast(0 as bigint) as depth from fx_comments where parent_id is null
+  union all select c.post_id, c.comment_id, c.body, concat(w.path, format('{:03d}', 999 - c.comment_id)), w.depth + 1
+  from fx_comments c join walk w on c.post_id = w.post_id and c.parent_id = w.comment_id)
+select post_id, comment_id, trim(body) as body, ord""")
 oracle("b14_raw_comment_payloads", """
 select concat(conv_id, '/', turn // 50) as post_id, row_number() over (partition by conv_id, turn // 50 order by turn) - 1 as ord,
   trim(text) as body from conversations where trim(text) <> ''""")

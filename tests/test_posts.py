@@ -1,6 +1,8 @@
 """Forum posts, comments and entities: known cases."""
 
 import json
+import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,13 +93,51 @@ def test_tree_order_is_preorder_at_any_depth(spark):
 def test_orphans_and_cycles_are_kept_and_named(spark):
     rows = [("p", 1, 2, 0, "a"), ("p", 2, 1, 0, "b"), ("p", 3, 2, 0, "behind"), ("p", 4, None, 0, "root"), ("q", 5, 99, 0, "lost"), ("q", 6, 5, 0, "below")]
     df = spark.createDataFrame(rows, "post_id string, comment_id long, parent_id long, pos long, body string")
-    out = {r.comment_id: (r.place, [p.comment_id for p in r.ord]) for r in H.flatten_comments(df).collect()}
+    paths = H.comment_paths(df).withColumnRenamed("path", "ord")
+    out = {r.comment_id: (r.place, [p.comment_id for p in r.ord]) for r in paths.collect()}
     assert out == {1: ("cycle", [1]), 2: ("cycle", [2]), 3: ("cycle", [3]), 4: ("tree", [4]), 5: ("orphan", [5]), 6: ("orphan", [5, 6])}
+    out = {r.comment_id: (r.place, r.ord, r.depth) for r in H.flatten_comments(df).collect()}
+    assert out == {1: ("cycle", None, None), 2: ("cycle", None, None), 3: ("cycle", None, None), 4: ("tree", 0, 0), 5: ("orphan", 0, 0), 6: ("orphan", 1, 1)}
+
+
+SHAPE = "post_id string, comment_id long, parent_id long, pos long, body string"
 
 
 def test_a_thread_deeper_than_any_bound(spark):
-    df = spark.createDataFrame([("deep", i, i - 1 if i else None, 0, f"c{i}") for i in range(5000)], "post_id string, comment_id long, parent_id long, pos long, body string")
-    assert H.tree_order(df).selectExpr("max(size(path))", "min(place)").first() == (5000, "tree")
+    df = spark.range(50_000).selectExpr(
+        "'deep' as post_id", "id as comment_id", "if(id = 0, null, id - 1) as parent_id", "0L as pos", "concat('c', id) as body"
+    )
+    order = H.reading_order(df)
+    assert order.filter("ord = comment_id and depth = comment_id and place = 'tree'").count() == 50_000
+    assert {t for _, t in order.dtypes} <= {"string", "bigint"}  # no paths
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reading_order_of_any_forest(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for post in "abcd":
+        n = {"a": 1, "b": 40, "c": 300, "d": 120}[post]
+        ids = rng.sample(range(1000), n)
+        for i, c in enumerate(ids):
+            parent = None if i == 0 or rng.random() < 0.1 else 5000 if rng.random() < 0.05 else ids[rng.randrange(max(0, i - (3 if post == "c" else 99)), i)]
+            rows.append((post, c, parent, rng.randrange(3), "x"))
+        if post == "d":
+            rows += [(post, 2000, 2001, 0, "x"), (post, 2001, 2000, 0, "x"), (post, 2002, 2001, 0, "x")]
+    below, known = defaultdict(list), {(p, c) for p, c, *_ in rows}
+    for p, c, up, pos, _ in rows:
+        below[p, up if (p, up) in known else None].append((pos, c, up is not None and (p, up) not in known))
+    want = {(p, c): (None, None, "cycle") for p, c, *_ in rows}
+    for post in "abcd":
+        stack, ord_ = [(*r, 0) for r in sorted(below[post, None], reverse=True)], 0
+        while stack:
+            _, c, lost, depth = stack.pop()
+            want[post, c] = (ord_, depth, "orphan" if lost else "tree")
+            ord_ += 1
+            stack += [(pos, child, lost, depth + 1) for pos, child, _ in sorted(below[post, c], reverse=True)]
+    got = {(r.post_id, r.comment_id): (r.ord, r.depth, r.place) for r in H.reading_order(spark.createDataFrame(rows, SHAPE).repartition(5)).collect()}
+    assert got == want
+    assert H.reading_order(spark.createDataFrame([], SHAPE)).count() == 0
 
 
 def test_only_comments_are_readable(spark):
