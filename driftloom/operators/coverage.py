@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import vocab as V
 from driftloom.functions.predicates import has_specific_price
 from driftloom.functions.text import blank_to_null, strip
+from driftloom.operators.fetch import fetch
 from driftloom.operators.posts import top_n
 
 
@@ -23,13 +24,9 @@ def source_label(source: Column, digest: bool = False) -> Column:
 def source_status(events: DataFrame, keys: list[str]) -> DataFrame:
     """Current status per source: the last write wins, its position is that of the first write."""
     note = F.when(F.col("note") != "", strip(F.col("note")))
-    return (
-        events.groupBy(*keys, "source")
-        .agg(
-            F.max_by(F.struct("status", note.alias("note")), "seq").alias("_last"),
-            F.min("seq").alias("position"),
-        )
-        .select(*keys, "source", "_last.status", "_last.note", "position")
+    ends = events.groupBy(*keys, "source").agg(F.max("seq").alias("seq"), F.min("seq").alias("position"))
+    return fetch(events.select(*keys, "source", "seq", "status", "note"), ends, [*keys, "source", "seq"]).select(
+        *keys, "source", "status", note.alias("note"), "position"
     )
 
 

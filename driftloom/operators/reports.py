@@ -11,6 +11,7 @@ from driftloom.functions import vocab as V
 from driftloom.functions.predicates import is_non_material, is_pricing_callout
 from driftloom.functions.summaries import append_bullet, card, ensure_pricing, signal_line
 from driftloom.functions.text import first_present, head, let, sanitize, truncate, truncate_phrase
+from driftloom.operators.fetch import fetch, latest_ids
 from driftloom.operators.posts import top_n
 from driftloom.operators.segments import SEGMENT_ROWS, running_sum
 
@@ -197,12 +198,12 @@ def prefix_budget(df: DataFrame, keys: list[str], order: str, length: Column, ca
                   width: int = SEGMENT_ROWS) -> DataFrame:
     """Rows taken in order until one would exceed ``cap`` characters in total, with ``running``.
 
-    Only lengths go through the window; the taken rows meet their texts again by (key, order), which is unique.
+    Only lengths go through the window; the texts of the rows taken are fetched by (key, order), which is unique.
     """
     narrow = df.select(*keys, order, length.cast("bigint").alias("_length"))
     summed = running_sum(narrow, keys, order, F.col("_length"), "running", False, width)
     taken = summed.filter(F.col("running") <= cap).select(*keys, order, "running")
-    return df.join(taken, [*keys, order]).select(*df.columns, "running")
+    return fetch(df, taken, [*keys, order]).select(*df.columns, "running")
 
 
 # --- Reports --------------------------------------------------------------------------------
@@ -210,9 +211,14 @@ def prefix_budget(df: DataFrame, keys: list[str], order: str, length: Column, ca
 
 def entity_report(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """Latest summary of every type as one wide row."""
-    types = list(V.SUMMARY_COLUMNS)
-    wide = summaries.groupBy(*keys).pivot("summary_type", types).agg(F.max_by("summary_text", "id"))
-    return wide.withColumnsRenamed(V.SUMMARY_COLUMNS)
+    key = [*keys, "summary_type"]
+    rows = summaries.select(*key, "id", "summary_text")
+    last = fetch(rows, latest_ids(rows, key, "id"), [*key, "id"])
+    # One text of each known type, of texts with the same id the greatest; keys with other types only have a row of nulls.
+    known = F.when(F.col("summary_type").isin(*V.SUMMARY_COLUMNS), F.struct("summary_type", "summary_text"))
+    texts = last.groupBy(*keys).agg(F.collect_set(known).alias("_texts"))
+    text = lambda k: F.array_max(F.filter("_texts", lambda t: t["summary_type"] == k))["summary_text"]
+    return texts.select(*keys, *[text(k).alias(c) for k, c in V.SUMMARY_COLUMNS.items()])
 
 
 def complete_report(reports: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import vocab as V
 from driftloom.functions.text import content_hash
 from driftloom.functions.weeks import month_label
+from driftloom.operators.fetch import fetch, latest_ids, parted
 from driftloom.operators.segments import SEGMENT_ROWS, lag_over, running_sum
 from driftloom.sources.inputs import has_error
 from driftloom.sources.tables import written
@@ -19,11 +20,11 @@ ITEM_KEYS = ["entity_id", "platform", "item_id"]
 
 
 def latest_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The newest row per key. Ties in the leading order column go to the later ones."""
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[F.col(c) for c in order])
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*df.columns)
+    """The newest row per key. Ties in the leading order column go to the later ones, which are unique within a key.
+
+    Only keys and order columns are aggregated; the rows are fetched afterwards.
+    """
+    return fetch(df, latest_ids(df, keys, *order), [*keys, *order]).select(*df.columns)
 
 
 def usable_captures(captures: DataFrame) -> DataFrame:
@@ -60,9 +61,9 @@ def changed_only(changes: DataFrame) -> DataFrame:
 
 
 def snapshots_to_append(changes: DataFrame, captures: DataFrame) -> DataFrame:
-    """Stored rows of the first and changed captures, with their text, joined on the unique ``seq``."""
+    """Stored rows of the first and changed captures; their texts are fetched by the unique ``seq``, no others move."""
     kept = changed_only(changes).select("seq", *PAGE_KEYS, "content_hash", "checked_at")
-    return kept.join(captures.select("seq", "content_text"), "seq").select(
+    return fetch(captures.select("seq", "content_text"), kept, ["seq"]).select(
         "seq", *PAGE_KEYS, "content_hash", "content_text", "checked_at"
     )
 
@@ -114,20 +115,23 @@ def observations_as_items(observed: DataFrame) -> DataFrame:
 def upsert_items(state: DataFrame | None, observed: DataFrame) -> DataFrame:
     """Insert unseen items; for known ones only the last-seen time moves.
 
-    One aggregation with map-side combine, so repeated sightings of a hot item meet before the
-    shuffle. State rows sort before observations through ``seq`` = -1.
+    Sightings are aggregated as numbers, so those of a hot item meet before the shuffle; the text of a new item is
+    fetched by the ``seq`` of its first sighting. Known items that were not seen again are passed on where they are.
     """
     fresh = observations_as_items(observed)
-    if state is not None:
-        fresh = state.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(fresh)
-    order = F.struct("seq", "first_seen_at")
-    kept = fresh.groupBy(*ITEM_KEYS).agg(
-        F.min_by(F.struct("item_text", "item_ref", "first_seen_at"), order).alias("_first"),
-        F.max_by("last_seen_at", F.struct("seq", "last_seen_at")).alias("last_seen_at"),
-    )
-    return kept.select(
-        *ITEM_KEYS, "_first.item_text", "_first.item_ref", "_first.first_seen_at", "last_seen_at"
-    )
+    seen = fresh.groupBy(*ITEM_KEYS).agg(F.min("seq").alias("seq"), F.max_by("last_seen_at", "seq").alias("_seen"))
+    seen = written(seen, "sightings")
+    columns = [*ITEM_KEYS, "item_text", "item_ref", "first_seen_at"]
+    if state is None:
+        return fetch(fresh.select("seq", *columns), seen, [*ITEM_KEYS, "seq"]).select(*columns, F.col("_seen").alias("last_seen_at"))
+    again, rest = parted(state, seen, ITEM_KEYS)
+    hit = seen.select(*ITEM_KEYS, "_seen", F.lit(True).alias("_hit"))
+    known = again.join(hit, ITEM_KEYS, "left").select(*columns, F.when(F.col("_hit"), F.col("_seen")).otherwise(F.col("last_seen_at")).alias("last_seen_at"))
+    if rest is not None:
+        known = known.unionByName(rest.select(*columns, "last_seen_at"))
+    unseen = seen.join(state.select(*ITEM_KEYS), ITEM_KEYS, "left_anti")
+    new = fetch(fresh.select("seq", *columns), unseen, [*ITEM_KEYS, "seq"]).select(*columns, F.col("_seen").alias("last_seen_at"))
+    return known.unionByName(new)
 
 
 def start_run(runs: DataFrame) -> DataFrame:

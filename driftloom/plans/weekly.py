@@ -66,7 +66,7 @@ def weekly_run(
         *keys, page_kind, F.col("note").alias("summary_text"), F.lit(0).alias("id")
     )
     # A change outranks the page's first-scan note, an entity's own feed the alternate one.
-    ranked = summaries.unionByName(notes)
+    ranked = written(summaries.unionByName(notes), "summaries")
     reports = written(
         R.complete_report(
             entities.join(R.entity_report(ranked, keys), keys, "left")
