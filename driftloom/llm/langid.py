@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,22 +48,23 @@ def fit(
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    # Hashes are made distinct before they are ranked, so copies take no places; at most languages x docs of them remain.
     part = rows.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("text").alias("at"))
     nearest = W.partitionBy("lang").orderBy("at")
-    sample = (
-        part.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= docs)
-        .join(known, "lang", "left_semi").select("lang", "at", "text").distinct()
-    )
+    chosen = part.select("lang", "at").distinct().withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= docs)
+    chosen = chosen.join(known, "lang", "left_semi").drop("n")
+    sample = part.join(F.broadcast(chosen), ["lang", "at"], "left_semi").distinct()
     found: dict[str, list[str]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["at"])):
         found.setdefault(row["lang"], []).append(row["text"])
     return {k: b" ".join(map(fold, v)) for k, v in found.items()}
 
 
-def judge(texts: pd.Series, compressors: dict[str, zstandard.ZstdCompressor], least: float) -> pd.DataFrame:
-    """lang_pred, score and rejected of each text; equal sizes go to the language first in order."""
+def judge(texts: pa.Array, compressors: dict[str, zstandard.ZstdCompressor], least: float) -> pa.Array:
+    """lang_pred, score and rejected of each text; equal sizes go to the language first in order. One text at a time leaves the batch."""
     out = []
     for text in texts:
+        text = text.as_py()
         if text is None or not any(map(str.isalpha, text)) or not compressors:
             out.append((UNKNOWN, 0.0, True))
             continue
@@ -76,15 +77,17 @@ def judge(texts: pd.Series, compressors: dict[str, zstandard.ZstdCompressor], le
             continue
         margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
         out.append((sizes[0][1], min(1.0, margin / (margin + 0.02)), margin < least))
-    return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+    lang, score, rejected = zip(*out, strict=True) if out else ((), (), ())
+    columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+    return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "rejected"])
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", least_margin: float = LEAST_MARGIN) -> DataFrame:
     """Adds lang_pred, score (0 to 1, from the margin) and rejected; only the text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = {}
         for lang, data in sorted(shared.value.items()):
             content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -184,12 +184,11 @@ def band_keys(registers: Column) -> Column:
 _LINES = [np.concatenate([k * TABLE + (np.arange(TABLE) + step * k) % TABLE for k in range(ROWS)]) for step in STEPS]
 
 
-def shared_bands(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From which registers of pairs are equal: the first band that they share, and whether there is one."""
+def share_a_band(equal: np.ndarray) -> np.ndarray:
+    """From which registers of pairs are equal, whether there is a band that they share."""
     bands = [equal.reshape(len(equal), TABLE, ROWS).all(axis=2)]
     bands += [equal[:, line].reshape(len(equal), ROWS, TABLE).all(axis=1) for line in _LINES]
-    both = np.concatenate(bands, axis=1)
-    return both.argmax(axis=1), both.any(axis=1)
+    return np.concatenate(bands, axis=1).any(axis=1)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -199,11 +198,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def compare_tiles(x: pa.Table, y: pa.Table, same: bool, percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) between two tiles of a bucket that join different components, each pair in the first band it shares.
+    """Links (a, b) between two tiles of a group that join different components, of pairs that share a band.
 
     Likely pairs are verified on full sets, the likeliest first; what earlier links have joined is not looked at again.
     """
-    node, n, component, band = ([t.column(c).to_numpy() for t in (x, y)] for c in ("node", "n", "component", "band"))
+    node, n, component = ([t.column(c).to_numpy() for t in (x, y)] for c in ("node", "n", "component"))
     regs = [np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint8).reshape(len(t), -1) for t in (x, y)]
     one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(node[0])):
@@ -219,8 +218,7 @@ def compare_tiles(x: pa.Table, y: pa.Table, same: bool, percent: int, least: flo
         enough = np.count_nonzero(equal, axis=1) >= least * REGISTERS
         j, equal = j[enough], equal[enough]
         if len(j):
-            first, any_ = shared_bands(equal)
-            j = j[any_ & (first == band[0][i])]
+            j = j[share_a_band(equal)]
             one.append(np.full(len(j), i))
             two.append(j)
     i, j = np.concatenate(one), np.concatenate(two)
@@ -249,10 +247,10 @@ def compare_tiles(x: pa.Table, y: pa.Table, same: bool, percent: int, least: flo
 
 
 def in_tiles(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets (key) with tile and other, the two tiles that meet: first sides, second sides.
+    """Members of groups (key) with tile and other, the two tiles that meet: first sides, second sides.
 
-    A component with ``TILE`` members or more of a bucket has tiles of its own, numbered first, which do not meet
-    each other; the members of smaller components share tiles, which meet all tiles of the bucket and themselves.
+    A component with ``TILE`` members or more of a group has tiles of its own, numbered first, which do not meet
+    each other; the members of smaller components share tiles, which meet all tiles of the group and themselves.
     """
     sizes = written(apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members")), "tile-sizes")
     pieces = F.ceil(F.col("members") / TILE).cast("int")
@@ -281,16 +279,16 @@ def in_tiles(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def across(apart: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components in large buckets: rows of ``apart`` with their registers and full sets.
+    """Links (a, b) that join components in groups (key) of large buckets: each member once, with its registers and full set.
 
-    A bucket is cut into tiles of about ``TILE`` members, and every two tiles that may hold different components
-    meet in a group of their own, so a large bucket is no single task's work. Its pairs are looked at in place;
-    only links leave the group.
+    A group is cut into tiles of about ``TILE`` members, and every two tiles that may hold different components
+    meet in a place of their own, so a large group is no single task's work. Its pairs are looked at there, once
+    however many buckets they share; only links leave.
     """
     least = least_estimate(percent)
-    apart = written(apart.withColumn("band", band_of("registers", "key")), "apart")
+    apart = written(apart, "apart")
     left, right = in_tiles(apart)
-    columns = ["node", "n", "component", "registers", "shingles", "band"]
+    columns = ["node", "n", "component", "registers", "shingles"]
     left = left.select("key", "tile", "other", *columns)
     right = right.select(F.col("key").alias("key_2"), F.col("tile").alias("tile_2"), F.col("other").alias("other_2"), *[F.col(c).alias(c) for c in columns])
 
@@ -305,9 +303,12 @@ def across(apart: DataFrame, percent: int) -> DataFrame:
     return left.groupBy("key", "tile", "other").cogroup(right.groupBy("key_2", "tile_2", "other_2")).applyInArrow(meet, "a bigint, b bigint")
 
 
-def band_of(registers: str, key: str) -> Column:
-    """The number of the band that has this key."""
-    return (F.array_position(band_keys(F.col(registers)), F.col(key)) - 1).cast("int")
+def grouped(large: DataFrame) -> DataFrame:
+    """Members (key, node, n, component) of large buckets, each document once: buckets that overlap are one group (key)."""
+    first = large.groupBy("key").agg(F.min("node").alias("a"))
+    groups = components(large.join(first, "key").select("a", F.col("node").alias("b")))
+    once = large.select("node", "n", "component").distinct()
+    return once.join(groups.select("node", F.col("component").alias("key")), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, prints: bool = False) -> DataFrame:
@@ -351,7 +352,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = one.join(two, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
     pairs = likely(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"), heads, percent)
     more = written(pairs.select("a", "b").distinct(), "likely-pairs")
-    large = apart.filter("large").drop("large")
+    large = written(grouped(apart.filter("large").drop("large")), "grouped")
     ends = more.select(F.col("a").alias("node")).union(more.select("b")).union(large.select("node")).distinct()
     # Written, so that Spark knows its size and need not move the texts again when it is small.
     missing = written(ends.join(sets.select("node"), "node", "left_anti"), "ends")

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+import zstandard
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
@@ -105,6 +106,33 @@ def test_language_id_held_out(spark):
     assert out.filter("rejected").count() < 0.02 * n
 
 
+def test_language_id_is_the_smallest_compressed_size(spark):
+    """Every text with every dictionary, by the library alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    models = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    for row in langid.predict(docs, models).collect():
+        text, sizes = row["text"], {}
+        if text is None or not any(c.isalpha() for c in text):
+            assert (row["lang_pred"], row["score"], row["rejected"]) == ("und", 0.0, True)
+            continue
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        for lang, content in models.items():
+            content = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            plain = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(plain.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+        (best, lang), (second, _) = sorted((n, lang) for lang, n in sizes.items())[:2]
+        assert row["lang_pred"] == lang and row["rejected"] == ((second - best) / best < langid.LEAST_MARGIN)
+
+
+def test_copies_take_no_places_in_a_dictionary(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["cat", "dog", "the", "and", "runs", "far"]) for _ in range(40)) + f" {i}" for i in range(300)]
+    df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    for hot in texts[:3]:
+        copies = spark.createDataFrame([(hot, "en")] * 400, "text string, lang string")
+        assert langid.fit(df.unionByName(copies)) == langid.fit(df)
+
+
 def test_language_id_edges(spark):
     teach = spark.createDataFrame([("the cat and the dog " * 9, "en"), ("der hund und die katze " * 9, "de"), ("lost", None)], "text string, lang string")
     rows = [(None,), ("",), ("123 !!",), ("the dog and the cat",), ("die katze und der hund",), ("the dog and the cat",), ("the cat and " * 20000,)]
