@@ -31,6 +31,8 @@ BASE, MOST = 1.1, 255
 ERRORS = 5
 #: Shingles hashed at once; members of a bucket that meet at once.
 CHUNK, TILE = 4096, 256
+#: Sets whose band keys a task makes.
+HEADS = 8192
 #: Members of a bucket that are joined with each other; larger buckets are compared in tiles.
 SMALL = 32
 
@@ -326,7 +328,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = with_registers.join(classes.withColumnRenamed("head", "node"), ["same", "node"], "left_semi")
     heads = written(heads.select("node", "n", "registers"), "sketch-heads")
 
-    banded = heads.select("node", "n", F.explode(band_keys(F.col("registers"))).alias("key"))
+    # Most keys occur once, so a task's map of keys is as large as what it explodes; that is kept small.
+    spread = heads.repartition(max(1, -(-heads.count() // HEADS)), "node")
+    banded = spread.select("node", "n", F.explode(band_keys(F.col("registers"))).alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     members = written(banded.join(shared.select("key", "first"), "key"), "band-members")
 
