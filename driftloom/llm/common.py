@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,31 @@ from driftloom.sources.tables import owned_path, written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Items in a block of ``scan``: work is linear in the list but for this factor.
 SCAN_BLOCK = 256
+#: Rows and bytes that :func:`small_batches` lets Python have at once.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
-__all__ = ["WORD", "let", "scan", "table", "words", "written", "written_in_buckets"]
+__all__ = ["WORD", "let", "scan", "small_batches", "table", "words", "written", "written_in_buckets"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside hands rows to Python in small Arrow batches, so a task holds few of them on either side."""
+    wanted = {"maxRecordsPerBatch": str(BATCH_ROWS), "maxBytesPerBatch": str(BATCH_BYTES)}
+    limits = {f"spark.sql.execution.arrow.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written_in_buckets(df: DataFrame, key: str, label: str) -> DataFrame:
     """The same rows, written by the hash of a key, as many buckets as a shuffle has partitions.
 

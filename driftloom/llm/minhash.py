@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import words, written
+from driftloom.llm.common import small_batches, words, written
 from driftloom.llm.graph import components
 
 #: Registers are ROWS lines of TABLE; each run of ROWS and, for each of STEPS, each column that moves so far
@@ -320,6 +320,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in different components is compared pair by pair, so a group of copies in one component never makes all its
     pairs. The work is quadratic in the members of a bucket that are still apart.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, size, percent, prints)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, prints: bool) -> DataFrame:
     # A smaller set can only be similar to an equal one: one more shingle makes it too different.
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
     sketched = written(sketch(docs, id_col, text_col, size, least), "sketches")
