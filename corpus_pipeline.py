@@ -22,8 +22,10 @@ from driftloom.sources.tables import owned_tables
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without text or letters, or between two languages, go."""
     models = langid.fit(docs)
-    told = langid.predict(docs.select(F.struct("*").alias("row"), "text"), models)
-    return told.filter(~F.col("rejected")).select("row.*")
+    # The text stands once in a row, beside what else the row has.
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    told = langid.predict(docs.select(rest, "text"), models).filter(~F.col("rejected"))
+    return told.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
