@@ -173,8 +173,9 @@ def digest_blocks(reports: DataFrame, runs: DataFrame, position: str, summary_on
 # Where a message starts decides where the next one starts, so packing is a chain along the whole
 # digest. A chain enters a segment of blocks at one of its first ``size`` positions, because no
 # message is longer; so each segment is summarised, independently, as a table from entry position
-# to exit position and message count. Chaining those small tables gives every segment its true
-# entry, after which the segments assign messages independently.
+# to exit position and message count. Such tables can be composed, two neighbours at a time, so
+# every segment's true entry is known after a few joins whose number is the logarithm of the
+# segments; then the segments assign messages independently.
 
 
 def next_start(divider: np.ndarray, size: int) -> np.ndarray:
@@ -192,46 +193,83 @@ def next_start(divider: np.ndarray, size: int) -> np.ndarray:
     return np.where(end >= n, n, following)
 
 
+def chains(following: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first ``own`` positions, where the chain from it leaves them, and after how many messages.
+
+    Every round puts each position's way and that of where it has got to together, so ways double in length.
+    """
+    at, messages = following[:own].copy(), np.ones(own, dtype=np.int64)
+    inside = at < own
+    while inside.any():
+        to = at[inside]
+        messages[inside] += messages[to]
+        at[inside] = at[to]
+        inside = at < own
+    return at, messages
+
+
+def chain_from(entry: int, following: np.ndarray, own: int) -> np.ndarray:
+    """All positions below ``own`` at which messages start, from the first one on, in no order."""
+    jumps = [following[:own]]
+    while (jumps[-1] < own).any():
+        last = jumps[-1]
+        jumps.append(np.where(last < own, last[np.minimum(last, own - 1)], last))
+    found = np.array([entry], dtype=np.int64)
+    found = found[found < own]
+    for jump in reversed(jumps):
+        more = jump[found]
+        found = np.concatenate([found, more[more < own]])
+    return found
+
+
 def _segment_table(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
     pdf = pdf.sort_values("block_no")
     own = int((~pdf["ahead"]).sum())
-    following = next_start(pdf["divider"].to_numpy(), size)
-    exits, counts = np.zeros(own, dtype=np.int64), np.ones(own, dtype=np.int64)
-    for p in range(own - 1, -1, -1):
-        to = following[p]
-        if to < own:
-            exits[p], counts[p] = exits[to], counts[to] + 1
-        else:
-            exits[p] = to - own
-    entries = range(min(size, own))
+    leaves, messages = chains(next_start(pdf["divider"].to_numpy(), size), own)
+    entries = np.arange(min(size, own))
     return pd.DataFrame(
         {
             "run_id": pdf["run_id"].iloc[0], "segment": pdf["segment"].iloc[0], "entry": entries,
-            "leaves": [exits[e] for e in entries], "messages": [counts[e] for e in entries],
+            "leaves": leaves[entries] - own, "messages": messages[entries],
         }
     )
 
 
-def _chain_segments(pdf: pd.DataFrame) -> pd.DataFrame:
-    tables = {s: t.set_index("entry") for s, t in pdf.groupby("segment")}
-    entry, message, rows = 0, 0, []
-    for segment in sorted(tables):
-        rows.append((pdf["run_id"].iloc[0], segment, entry, message))
-        if entry in tables[segment].index:
-            step = tables[segment].loc[entry]
-            entry, message = int(step["leaves"]), message + int(step["messages"])
-    return pd.DataFrame(rows, columns=["run_id", "segment", "entry", "message"])
+def segment_entries(tables: DataFrame, first: DataFrame, segments: int) -> DataFrame:
+    """run_id, segment, entry, message: where the chain enters each segment, and after how many messages.
+
+    Tables of neighbours are joined into tables of 2, 4, 8, ... segments. From the widest down, the known entry of a
+    stretch then gives that of its second half. ``first`` has the entries of the first segments; segments behind a
+    run's last one may be named, too. Every join is on run, segment and position, so no task sees a whole run.
+    """
+    levels = [tables] if segments > 1 else []
+    while levels and 1 << len(levels) < segments:
+        width = 1 << (len(levels) - 1)
+        place = F.pmod("segment", F.lit(2 * width))
+        second = levels[-1].filter(place == width).select(
+            "run_id", (F.col("segment") - width).alias("segment"), F.col("entry").alias("leaves"),
+            F.col("leaves").alias("_leaves"), F.col("messages").alias("_messages"),
+        )
+        both = levels[-1].filter(place == 0).join(second, ["run_id", "segment", "leaves"])
+        both = both.select(
+            "run_id", "segment", "entry", F.col("_leaves").alias("leaves"), (F.col("messages") + F.col("_messages")).alias("messages")
+        )
+        levels.append(written(both, "packing-level"))
+    known = first
+    for k in reversed(range(len(levels))):
+        halves = known.join(levels[k], ["run_id", "segment", "entry"]).select(
+            "run_id", (F.col("segment") + (1 << k)).alias("segment"), F.col("leaves").alias("entry"),
+            (F.col("message") + F.col("messages")).alias("message"),
+        )
+        known = written(known.unionByName(halves), "packing-entries")
+    return known
 
 
 def _assign(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
     pdf = pdf.sort_values("block_no")
     own = int((~pdf["ahead"]).sum())
-    following = next_start(pdf["divider"].to_numpy(), size)
     number = np.zeros(own, dtype=np.int64)
-    at = int(pdf["entry"].iloc[0])
-    while at < own:
-        number[at] = 1
-        at = following[at]
+    number[chain_from(int(pdf["entry"].iloc[0]), next_start(pdf["divider"].to_numpy(), size), own)] = 1
     number = np.cumsum(number) + int(pdf["message"].iloc[0]) - 1
     return pd.DataFrame(
         {"run_id": pdf["run_id"].iloc[:own].to_numpy(), "block_no": pdf["block_no"].iloc[:own].to_numpy(),
@@ -263,9 +301,12 @@ def pack_blocks(blocks: DataFrame, size: int = V.MESSAGE_BLOCKS, width: int = SE
         segment_table,
         f"run_id {run_type}, segment bigint, entry bigint, leaves bigint, messages bigint",
     )
-    entries = tables.groupBy("run_id").applyInPandas(
-        _chain_segments, f"run_id {run_type}, segment bigint, entry bigint, message bigint"
-    )
+    segments = (blocks.agg(F.max(segment)).first()[0] or 0) + 1
+    if segments > 1:
+        tables = written(tables, "packing-tables")
+    zero = F.lit(0).cast("bigint")
+    first = blocks.filter("block_no = 0").select("run_id", zero.alias("segment"), zero.alias("entry"), zero.alias("message"))
+    entries = segment_entries(tables, first, segments)
     numbered = (
         seen.join(entries, ["run_id", "segment"])
         .groupBy("run_id", "segment")
