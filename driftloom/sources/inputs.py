@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftloom import schemas
 from driftloom.functions import vocab as V
 from driftloom.functions.ids import content_id
-from driftloom.functions.text import first_present, strip, truncate_note
+from driftloom.functions.text import first_present, let, strip, truncate_note
 
 
 def string_list(arr: Column) -> Column:
@@ -62,7 +62,12 @@ def parse_listing(df: DataFrame, json_col: str) -> DataFrame:
 
 def _present(value: Column) -> Column:
     """JSON text that counts as present: not null, empty, zero or false."""
-    return F.when(~value.isin("", "[]", "{}", "0", "false"), value)
+    return F.when(~value.rlike(r"^(?:\[\s*\]|\{\s*\}|0|false|)$"), value)
+
+
+def _whole_number(text: Column) -> Column:
+    """Plain digits as they are, however many of a bigint's; null for all else."""
+    return F.when(~text.contains(".") & ~text.contains("+"), text.try_cast("bigint"))
 
 
 def counter_value(text: Column) -> Column:
@@ -70,7 +75,8 @@ def counter_value(text: Column) -> Column:
     number = F.regexp_extract(text, r"^\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*([KkMmBb]?)\s*$", 1)
     unit = F.upper(F.regexp_extract(text, r"([KkMmBb])\s*$", 1))
     times = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
-    return F.when(number != "", F.round(F.replace(number, F.lit(","), F.lit("")).try_cast("double") * times).try_cast("bigint"))
+    rounded = F.round(F.replace(number, F.lit(","), F.lit("")).try_cast("double") * times).try_cast("bigint")
+    return F.coalesce(_whole_number(text), F.when(number != "", rounded))
 
 
 def normalize_payload(df: DataFrame, payload: str, source: Column, is_owned: Column) -> DataFrame:
@@ -78,11 +84,12 @@ def normalize_payload(df: DataFrame, payload: str, source: Column, is_owned: Col
 
     ``engagement_raw`` has every counter that is not null, as text; ``engagement`` those that are numbers.
     """
-    raw = F.coalesce(*[_present(F.get_json_object(payload, f"$.{k}")) for k in V.PAYLOAD_LISTS])
-    items = F.filter(F.from_json(raw, "array<string>"), lambda x: x.startswith("{"))
+    lists = F.from_json(F.when(F.col(payload).rlike(r"^\s*\{"), F.col(payload)), ", ".join(f"{k} string" for k in V.PAYLOAD_LISTS))
+    raw = let(lists, lambda found: F.coalesce(*[_present(found[k]) for k in V.PAYLOAD_LISTS]))
+    items = F.filter(F.from_json("_listed", "array<string>"), lambda x: x.startswith("{"))
     rest = [c for c in df.columns if c != payload]
-    rows = df.select(*rest, source.alias("source"), is_owned.alias("is_owned"),
-                     F.posexplode(F.when(raw.startswith("["), items)).alias("pos", "_item"))
+    listed = df.select(*rest, source.alias("source"), is_owned.alias("is_owned"), raw.alias("_listed")).filter(F.col("_listed").startswith("["))
+    rows = listed.select(*rest, "source", "is_owned", F.posexplode(items).alias("pos", "_item"))
     texts = ["title", "snippet", "text", "body", "url", "author", "username", "date"]
     schema = ", ".join([f"{t} string" for t in texts] + [f"{k} string" for k in V.ENGAGEMENT_KEYS])
     item = F.col("_post")

@@ -190,3 +190,14 @@ def test_attach_comments_only_to_leading_posts(spark):
     lists = spark.createDataFrame([(f"p{i}", ["c"]) for i in range(15)], "post_id string, comments array<string>")
     out = {r.post_id: r.comments for r in O.attach_comments(posts, lists, ["pos"]).collect()}
     assert sum(bool(c) for c in out.values()) == 10 and len(out) == 15 and out["p9"] and not out["p10"]
+
+
+def test_payload_lists_and_long_counters(spark):
+    rows = [
+        ('{"posts": [ ], "tweets":[{"text":"t","likes":9007199254740993,"views":"1.5K","shares":"12.7","comments":"+4"}]}',),
+        ('[{"posts":[{"text":"in a list"}]}]',), ('{"posts":[{"text":"cut',), ('{"data":{"text":"no list"}}',), (None,), ("",),
+    ]
+    df = spark.createDataFrame(rows, "payload string")
+    out = I.normalize_payload(df, "payload", F.lit("s"), F.lit(True)).collect()
+    assert [r.text for r in out] == ["t"]
+    assert out[0].engagement == {"likes": 9007199254740993, "views": 1500, "shares": 13}
