@@ -29,13 +29,11 @@ MERGED_FOLDERS = 4
 _BUCKET, _WRITE = "_bucket", "_write"
 
 
-class KeyedState:
-    """One row per key, in versions. ``keys`` are the columns that name a row."""
+class Manifests:
+    """Numbered versions of a table, each one a small file that is renamed into place."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], bucket_rows: int = BUCKET_ROWS, keep: int = 2) -> None:
-        self.spark, self.path, self.keys, self.bucket_rows, self.keep = spark, path, keys, bucket_rows, keep
-
-    # --- Manifests --------------------------------------------------------------------------
+    spark: SparkSession
+    path: str
 
     def versions(self) -> list[int]:
         """Committed versions, oldest first."""
@@ -64,6 +62,13 @@ class KeyedState:
         if not fs.rename(draft, final):
             raise RuntimeError(f"cannot commit {name}")
 
+
+class KeyedState(Manifests):
+    """One row per key, in versions. ``keys`` are the columns that name a row."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], bucket_rows: int = BUCKET_ROWS, keep: int = 2) -> None:
+        self.spark, self.path, self.keys, self.bucket_rows, self.keep = spark, path, keys, bucket_rows, keep
+
     def _clear(self) -> None:
         """Drops old versions, and the folders that no version names."""
         done = self.versions()
