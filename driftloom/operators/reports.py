@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,6 +197,57 @@ def summaries_by_kind(items: DataFrame, keys: list[str], order: list) -> DataFra
     return grouped.select(*keys, "platform", "kind", "item_count", text.alias("summary_text"))
 
 
+def summarize_groups(items: DataFrame, keys: list[str], order: list[str],
+                     fn: Callable[[dict, Iterator[pa.RecordBatch]], str | None]) -> DataFrame:
+    """keys, item_count and summary_text: a caller's own summary of all items of each group.
+
+    ``fn`` gets the group's key and its items, in order, as Arrow batches that are read from Spark as it asks for them
+    (rows at once: spark.sql.execution.arrow.maxRecordsPerBatch); what it leaves is counted and passed over. So a task
+    holds one batch, however large the group is: Spark sorts the rows, on disk where they do not fit. Null keys
+    are a group. ``fn`` may give None.
+    """
+    types = dict(items.dtypes)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for batch in batches:
+            start = 0
+            for key, same in groupby(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)):
+                n = sum(1 for _ in same)
+                yield key, batch.slice(start, n)
+                start += n
+
+    def counted(parts: Iterator[tuple[tuple, pa.RecordBatch]], tally: list[int]) -> Iterator[pa.RecordBatch]:
+        for _, part in parts:
+            tally[0] += part.num_rows
+            yield part
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, parts in groupby(slices(batches), itemgetter(0)):
+            _, first = next(parts)
+            tally = [0]
+            feed = counted(chain([(key, first)], parts), tally)
+            text = fn(dict(zip(keys, key, strict=True)), feed)
+            for _ in feed:  # what was not read
+                pass
+            named = [first.slice(0, 1).column(k) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [*named, pa.array(tally, pa.int64()), pa.array([text], pa.string())], [*keys, "item_count", "summary_text"]
+            )
+
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "item_count bigint", "summary_text string"])
+    return items.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
+
+
+def told_summaries(items: DataFrame, keys: list[str], order: list[str],
+                   fn: Callable[[dict, Iterator[pa.RecordBatch]], str | None]) -> DataFrame:
+    """Headed summaries as :func:`summaries_by_kind` has them, told by ``fn``; where it gives None, the fallback stays."""
+    group = [*keys, "platform", "kind"]
+    told = summarize_groups(items, group, order, fn).withColumnRenamed("summary_text", "_told").drop("item_count")
+    headed = by_kind(F.col("kind"), lambda k: F.concat(headline(k, F.col("platform"), F.col("item_count")), F.col("_told")))
+    joined = summaries_by_kind(items, keys, order).join(told, group, "left")
+    return joined.withColumn("summary_text", F.coalesce(headed, F.col("summary_text"))).drop("_told")
+
+
 def prefix_budget(df: DataFrame, keys: list[str], order: str, length: Column, cap: int,
                   width: int = SEGMENT_ROWS) -> DataFrame:
     """Rows taken in order until one would exceed ``cap`` characters in total, with ``running``.

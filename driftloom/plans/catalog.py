@@ -28,6 +28,7 @@ from driftloom.session import scratch_path
 from driftloom.sources import inputs as I
 from driftloom.sources import tables as B
 from driftloom.sources.keyed import KeyedState
+from driftloom.sources.snapshots import SnapshotStore
 from driftloom.streaming import incremental as N
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +160,26 @@ def e13_prune_report(spark, sf):
     return S.prune_report(captures(spark, sf), items, datetime(2024, 2, 1), 17, 6)
 
 
+def pruned_store(spark: SparkSession, sf: str) -> tuple[SnapshotStore, int]:
+    """Captures in daily partitions, appended in two parts, after retention; how many rows went."""
+    store = SnapshotStore(spark, scratch_path(spark, "snapshots"), unit="day")
+    known = F.coalesce(F.col("checked_at") < day(KNOWN_BEFORE), F.lit(False))
+    for part in (known, ~known):
+        store.append(captures(spark, sf).filter(part))
+    return store, store.prune(AS_OF, 17)
+
+
+@query
+def e11_prune_partitions(spark, sf):
+    return pruned_store(spark, sf)[0].read().select("seq", "entity_id", "page_type")
+
+
+@query
+def e13_prune_by_manifest(spark, sf):
+    store, gone = pruned_store(spark, sf)
+    return spark.range(1).select(F.lit(gone).cast("bigint").alias("pruned"), F.lit(store.count()).cast("bigint").alias("left_rows"))
+
+
 @query
 def d2_new_items(spark, sf):
     return S.new_items(observed_items(spark, sf), known_items(spark, sf)).select("seq", *S.ITEM_KEYS)
@@ -1200,6 +1221,23 @@ def h5_summarize_callback(spark, sf):
     return R.summarize(noted_posts(spark, sf), ["entity_id"], ["pos"], "twitter_activity", longest)
 
 
+@query
+def h5_summarize_groups(spark, sf):
+    """A caller's own summary of all items of a group, read batch by batch."""
+
+    def tell(key, batches):
+        n = chars = 0
+        first = last = None
+        for batch in batches:
+            titles = batch.column("title").to_pylist()
+            first, last = titles[0] if n == 0 else first, titles[-1]
+            n, chars = n + len(titles), chars + sum(map(len, titles))
+        return f"{key['entity_id']}: {n} items, {chars} characters, from {first} to {last}"
+
+    items = noted_posts(spark, sf).select("entity_id", "pos", "title")
+    return R.summarize_groups(items, ["entity_id"], ["pos"], tell)
+
+
 # --- Whole run ------------------------------------------------------------------------------
 
 

@@ -77,6 +77,14 @@ oracle("e11_prune_snapshots", """
 select seq, entity_id, page_type from (
   select *, row_number() over (partition by entity_id, page_type order by seq desc) as rn from fx_captures)
 where rn = 1 or checked_at >= timestamp '2024-01-15'""", "fx_captures")
+oracle("e11_prune_partitions", """
+select seq, entity_id, page_type from (
+  select *, row_number() over (partition by entity_id, page_type order by seq desc) as rn from fx_captures)
+where rn = 1 or checked_at >= timestamp '2024-01-15'""", "fx_captures")
+oracle("e13_prune_by_manifest", """
+select count(*) filter (rn > 1 and checked_at < timestamp '2024-01-15') as pruned,
+  count(*) filter (rn = 1 or checked_at >= timestamp '2024-01-15') as left_rows from (
+  select *, row_number() over (partition by entity_id, page_type order by seq desc) as rn from fx_captures)""", "fx_captures")
 oracle("e12_prune_items", f"""
 select entity_id, platform, item_id from ({ITEM_STATE}) where last_seen_at >= timestamp '2024-01-26'""", "fx_items")
 oracle("e13_prune_report", f"""
@@ -945,3 +953,6 @@ oracle("h5_summarize_callback", f"""
 select entity_id, item_count, concat(item_count, ' items, longest: ', t) as summary_text from (
   select entity_id, count(*) as item_count, max(case when rn <= 12 then (length(title), title) end)[2] as t from (
     select *, row_number() over (partition by entity_id order by pos) as rn from ({NOTED}) n) group by 1)""", "fx_posts")
+oracle("h5_summarize_groups", f"""
+select entity_id, count(*) as item_count, concat(entity_id, ': ', count(*), ' items, ', sum(length(title)), ' characters, from ',
+  arg_min(title, pos), ' to ', arg_max(title, pos)) as summary_text from ({NOTED}) n group by 1""", "fx_posts")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ def weekly_run(
     summary_types: dict[str, str],
     run_date: str,
     summary_only: bool = True,
+    summarize: Callable[[dict, Iterator[pa.RecordBatch]], str | None] | None = None,
 ) -> WeeklyResult:
     """Captures and sightings of one run to changes, new items, summaries, report and digest.
 
@@ -43,6 +46,7 @@ def weekly_run(
     title, text, url, date, author and comments; ``summary_types`` maps a platform to its summary
     type. Nothing is collected. What several later steps read (changes, new items, statuses, reports)
     is written once to the shared folder, so it is neither computed twice nor lost with an executor.
+    ``summarize`` tells the new items of an entity, platform and kind (see ``summarize_groups``).
     """
     keys = ["run_id", "entity_id"]
     runs = entities.select("run_id").distinct()
@@ -52,7 +56,8 @@ def weekly_run(
 
     kinds = F.create_map(*[F.lit(x) for pair in summary_types.items() for x in pair])
     typed = fresh.withColumn("kind", F.try_element_at(kinds, "platform")).filter(F.col("kind").isNotNull())
-    from_items = R.summaries_by_kind(typed, keys, ["seq"]).select(
+    by_kind = R.told_summaries(typed, keys, ["seq"], summarize) if summarize else R.summaries_by_kind(typed, keys, ["seq"])
+    from_items = by_kind.select(
         *keys, F.col("kind").alias("summary_type"), "summary_text",
         F.when(F.col("platform").isin(*R.ALTERNATE_PREFIX), F.lit(1)).otherwise(F.lit(2)).alias("id"),
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from driftloom import schemas
 from driftloom.operators import digest as D
+from driftloom.operators import reports as R
 from driftloom.operators import state as S
 from driftloom.plans.weekly import weekly_run
 
@@ -13,7 +14,7 @@ ITEM = (
 )
 
 
-def week(spark, summary_only):
+def week(spark, summary_only, summarize=None):
     entities = spark.createDataFrame(
         [(1, "acme", 0, "Acme", "https://acme.example"), (1, "bee", 1, "Bee", "https://bee.example")],
         "run_id long, entity_id string, position long, name string, website_url string",
@@ -41,7 +42,7 @@ def week(spark, summary_only):
         "run_id long, entity_id string, source string, status string, note string, seq long",
     )
     kinds = {"reddit": "pricing_research", "linkedin": "linkedin_ads", "linkedin_organic": "linkedin_organic", "apidirect_linkedin": "linkedin_organic"}
-    return weekly_run(entities, captures, known, observed, state, events, kinds, "2026-03-02", summary_only)
+    return weekly_run(entities, captures, known, observed, state, events, kinds, "2026-03-02", summary_only, summarize)
 
 
 def test_week(spark):
@@ -71,3 +72,40 @@ def test_week(spark):
 def test_summary_only_week(spark):
     blocks = week(spark, summary_only=True).blocks.collect()
     assert [b.kind for b in sorted(blocks, key=lambda b: b.block_no)] == ["header", "divider", "section", "divider", "context"]
+
+
+def test_told_by_a_caller(spark):
+    def tell(key, batches):
+        titles = [t for batch in batches for t in batch.column("title").to_pylist()]
+        return f"• {key['platform']}: {titles}" if key["kind"] != "linkedin_organic" else None
+
+    reports = {r.entity_id: r for r in week(spark, False, tell).reports.collect()}
+    assert reports["acme"].pricing_research_summary == "• reddit: ['Acme costs $199 per month']"
+    assert reports["acme"].linkedin_ads_summary == "*1 new ad(s) detected*\n• linkedin: ['']"
+    assert reports["bee"].linkedin_organic_summary == "*LinkedIn (via API Direct)*\n• bee post"
+
+
+def test_a_hot_group_is_fed_in_batches(spark):
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100")
+
+    def tell(key, batches):
+        n = most = 0
+        last, ordered = -1, True
+        for batch in batches:
+            rows = batch.column("seq").to_pylist()
+            ordered = ordered and rows == sorted(rows) and rows[0] > last
+            last, n, most = rows[-1], n + 1, max(most, len(rows))
+            if key["k"] == "left early":
+                return f"{n}"
+        return f"{n >= 50} {most <= 100} {ordered} {last}"
+
+    try:
+        names = F.when(F.col("id") < 5000, F.lit("hot")).when(F.col("id") < 5900, F.lit("left early"))
+        rows = spark.range(6000).select(names.alias("k"), F.col("id").alias("seq")).repartition(7)
+        out = {r.k: (r.item_count, r.summary_text) for r in R.summarize_groups(rows, ["k"], ["seq"], tell).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert out == {"hot": (5000, "True True True 4999"), "left early": (900, "1"), None: (100, "False True True 5999")}
+    assert R.summarize_groups(rows.filter("seq < 0"), ["k"], ["seq"], tell).count() == 0
