@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,9 @@ from driftloom.functions import vocab as V
 from driftloom.functions.predicates import is_pricing_callout, starts_with_any
 from driftloom.functions.text import (
     INLINE_WS,
+    NOT_BREAK,
     NOT_WS,
-    WS,
     collapse,
-    distinct_ignoring_case,
     head,
     let,
     rstrip,
@@ -24,6 +25,10 @@ from driftloom.functions.text import (
     word_count,
 )
 
+#: Starts of lines that are no points, whatever their case.
+COMPACT_SKIP = "^(?i:" + "|".join(V.COMPACT_SKIP_PREFIXES) + ")"
+HEADING_OR_SKIP = f"(?U:{V.HEADING_MARK})|{COMPACT_SKIP}"
+SYNTHESIS = "(?i:step 3|synthes)"
 
 
 def drop_bullet_mark(col: Column) -> Column:
@@ -52,59 +57,95 @@ def signal_line(col: Column, n: int = 180) -> Column:
 
 def inline_bullets(col: Column) -> Column:
     """One entry per bullet or line: a line ends where a bullet mark with text after it begins."""
-    mark = rf"(?=(?U:{V.INLINE_BULLET}){INLINE_WS}+{NOT_WS})"
-    return stripped_lines(F.regexp_replace(col, mark, "\n"))
+    plain = NOT_BREAK[:-1] + r"•\p{Nd}]"  # what begins no mark; a run of digits is looked behind once
+    no_mark = rf"(?:{plain}++|\p{{Nd}}++(?![.)]{INLINE_WS}+{NOT_WS})|•(?!{INLINE_WS}+{NOT_WS}))*+"
+    entries = F.regexp_extract_all(col, F.lit(NOT_BREAK + no_mark), F.lit(0))
+    return F.filter(F.transform(entries, strip), lambda x: x != "")
 
 
-def _bullet_candidates(entries: Column) -> Column:
-    """Entries that are points rather than headings or boilerplate, without marks or emphasis."""
+def sentences(col: Column) -> Column:
+    """The parts of a collapsed text between blanks that follow a full stop, question or exclamation mark."""
+    return F.regexp_extract_all(collapse(col), F.lit(r"(?:[^ ]++|(?<![.!?]) )++"), F.lit(0))
 
-    def clean(entry: Column) -> Column:
-        skipped = entry.rlike("(?U)" + V.HEADING_MARK) | starts_with_any(F.lower(entry), V.COMPACT_SKIP_PREFIXES)
-        point = let(
-            drop_bullet_mark(entry),
-            lambda p: F.when(is_short_heading(p), F.lit("")).otherwise(strip(F.replace(p, F.lit("**"), F.lit("")))),
-        )
-        return F.when(skipped, F.lit("")).otherwise(point)
 
-    return F.filter(F.transform(entries, clean), lambda x: x != "")
+def _point(entry: Column) -> Column:
+    """An entry without marks or emphasis; empty if it is a heading or boilerplate."""
 
+    def cleaned(p: Column) -> Column:
+        return F.when(is_short_heading(p), F.lit("")).otherwise(strip(F.replace(p, F.lit("**"), F.lit(""))))
 
-def _after_synthesis(entries: Column) -> Column:
-    """Entries after the first "step 3" or synthesis line; none when there is no such line."""
-    marks = F.transform(
-        entries, lambda e: F.lower(e).contains("step 3") | F.lower(e).contains("synthes")
-    )
-    at = F.array_position(marks, F.lit(True)).cast("int")
-    return F.when(at > 0, F.slice(entries, at + 1, F.size(entries))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.when(entry.rlike(HEADING_OR_SKIP), F.lit("")).otherwise(let(drop_bullet_mark(entry), cleaned))
 
 
-def compact_bullets(col: Column, n: int = 3, chars: int = 220) -> Column:
-    """A short bullet list from verbose model output."""
+def _shown(point: Column) -> Column:
+    """A point as it is shown, empty if nothing of it is."""
+    text = F.btrim(collapse(point), F.lit(" •-*"))
+    return let(text, lambda t: F.when(t.rlike(COMPACT_SKIP), F.lit("")).otherwise(t))
 
-    def candidates(entries: Column) -> Column:
-        return let(
-            _bullet_candidates(_after_synthesis(entries)),
-            lambda late: F.when(F.size(late) >= n, late).otherwise(
-                F.concat(late, _bullet_candidates(entries))
-            ),
-        )
 
-    sentences = F.filter(F.split(collapse(col), rf"(?<=[.!?]){WS}+"), lambda s: s != "")
-    found = let(inline_bullets(col), candidates)
-    chosen = let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(sentences))
-    trimmed = F.filter(
-        F.transform(chosen, lambda c: F.regexp_replace(collapse(c), r"^[ •\-*]+|[ •\-*]+$", "")),
-        lambda t: (t != "") & ~starts_with_any(F.lower(t), V.COMPACT_SKIP_PREFIXES),
-    )
-    kept = head(let(trimmed, distinct_ignoring_case), n)
-    bullets = F.transform(kept, lambda t: F.concat(F.lit("• "), truncate_smart(t, chars)))
-    text = let(
-        bullets,
-        lambda b: F.when(F.size(b) > 0, F.array_join(b, "\n")).otherwise(F.lit("• Summary unavailable")),
+def _gather(items: Column, found: Column, most: int, rule: Callable[[Column], Column] | None = None) -> Column:
+    """``found`` and what the items add: how many points there were, and the different ones, up to ``most``.
+
+    From the moment ``most`` are kept, items are passed by unread.
+    """
+
+    def add(acc: Column, point: Column) -> Column:
+        def take(shown: Column, low: Column) -> Column:
+            known = (shown == "") | F.array_contains(acc["keys"], low)
+            return F.struct(
+                (acc["seen"] + 1).alias("seen"),
+                F.when(known, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(shown))).alias("kept"),
+                F.when(known, acc["keys"]).otherwise(F.concat(acc["keys"], F.array(low))).alias("keys"),
+            )
+
+        return let(_shown(point), lambda shown: let(F.lower(shown), lambda low: take(shown, low)))
+
+    def step(acc: Column, item: Column) -> Column:
+        more = add(acc, item) if rule is None else let(rule(item), lambda p: F.when(p == "", acc).otherwise(add(acc, p)))
+        return F.when(F.size(acc["kept"]) >= most, acc).otherwise(more)
+
+    return F.aggregate(items, found, step)
+
+
+def bullet_points(col: Column, most: int = 3) -> Column:
+    """The first ``most`` different points of verbose model output, for bullet lists of any length up to that.
+
+    ``late``: points after the first "step 3" or synthesis line, and ``late_seen``, how many these were before the
+    walk ended; ``points``: the late ones, then those of the whole text; if there are none, its sentences.
+    """
+    nothing = F.struct(
+        F.lit(0).alias("seen"), F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("keys")
     )
+
+    def after_synthesis(entries: Column) -> Column:
+        at = F.array_position(F.transform(entries, lambda e: e.rlike(SYNTHESIS)), F.lit(True)).cast("int")
+        return F.slice(entries, at + 1, F.size(entries))
+
+    def gather(entries: Column) -> Column:
+        late = F.when(F.exists(entries, lambda e: e.rlike(SYNTHESIS)), _gather(after_synthesis(entries), nothing, most, _point)).otherwise(nothing)
+
+        def rest(late: Column) -> Column:
+            found = let(
+                _gather(entries, late, most, _point),
+                lambda a: F.when(a["seen"] == 0, _gather(sentences(col), nothing, most)).otherwise(a),
+            )
+            return F.struct(late["seen"].alias("late_seen"), late["kept"].alias("late"), found["kept"].alias("points"))
+
+        return let(late, rest)
+
+    return let(inline_bullets(col), gather)
+
+
+def bullets(points: Column, n: int = 3, chars: int = 220) -> Column:
+    """A list of ``n`` bullets from :func:`bullet_points` of as many or more; late points alone if there are ``n`` of them."""
+    kept = head(F.when(points["late_seen"] >= n, points["late"]).otherwise(points["points"]), n)
+    rows = F.transform(kept, lambda t: F.concat(F.lit("• "), truncate_smart(t, chars)))
+    return F.when(F.size(kept) > 0, F.array_join(rows, "\n")).otherwise(F.lit("• Summary unavailable"))
+
+
+def compact_bullets(col: Column, n: int = 3, chars: int = 220) -> Column:
+    """A short bullet list from verbose model output."""
+    text = let(bullet_points(col, n), lambda p: bullets(p, n, chars))
     return F.when(F.coalesce(col, F.lit("")) == "", F.lit("")).otherwise(text)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -1009,10 +1009,14 @@ def g13_signal_line(spark, sf):
 
 @query
 def g14_compact_bullets(spark, sf):
-    text = F.col("summary_text")
-    return view(spark, sf, "fx_summaries").select(
-        "id", M.compact_bullets(text).alias("bullets"), M.compact_bullets(text, 6, 380).alias("long_bullets")
-    )
+    """Both lists are made of one reading of the text."""
+    text, points = F.col("summary_text"), F.col("points")
+    read = view(spark, sf, "fx_summaries").withColumn("points", M.bullet_points(text, 6))
+
+    def shown(n: int, chars: int) -> Column:
+        return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(M.bullets(points, n, chars))
+
+    return read.select("id", shown(3, 220).alias("bullets"), shown(6, 380).alias("long_bullets"))
 
 
 def long_bullets(spark: SparkSession, sf: str) -> DataFrame:

@@ -131,6 +131,32 @@ def test_compact_bullets(spark):
     assert one(spark, M.compact_bullets(F.col("t")), t=None) == ""
 
 
+def test_inline_bullets_split_where_a_mark_begins(spark):
+    entries = lambda t: one(spark, M.inline_bullets(F.col("t")), t=t)
+    assert entries("a • b\n\n c 3) d") == ["a", "• b", "c", "3) d"]
+    assert entries("12. x") == ["1", "2. x"]
+    assert entries("v1.2 and •x, 7.\n• ") == ["v1.2 and •x, 7.", "•"]
+    assert entries("1" * 300_000) == ["1" * 300_000]
+    assert entries(" \n\t") == []
+
+
+def test_points_after_a_synthesis_line_stand_alone_if_enough(spark):
+    text = "• a\n• b\nStep 3\n• c\n• C\n• d"
+    read = M.bullet_points(F.col("t"), 6)
+    shown = lambda n: one(spark, M.bullets(read, n), t=text)
+    assert shown(2) == "• c\n• d"
+    assert shown(3) == "• c\n• d"  # three late points, two of them alike
+    assert shown(4) == "• c\n• d\n• a\n• b"
+    for n in (2, 3, 4):
+        assert one(spark, M.compact_bullets(F.col("t"), n), t=text) == shown(n)
+
+
+def test_sentences_stand_in_for_points(spark):
+    assert one(spark, M.compact_bullets(F.col("t"), 2), t="Normalize: One.  Two! Three?") == "• Two!\n• Three?"
+    many = "Step 1 " + "word. " * 20_000 + "Last one?"
+    assert one(spark, M.compact_bullets(F.col("t"), 2), t=many) == "• word.\n• Last one?"
+
+
 def test_fit_bullets(spark):
     bullets = "\n".join("• " + c * 120 for c in "ABC")
     out = one(spark, M.fit_bullets(F.col("t"), 240), t=bullets)
