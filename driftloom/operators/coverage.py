@@ -12,6 +12,7 @@ from driftloom.functions.predicates import has_specific_price
 from driftloom.functions.text import blank_to_null, strip
 from driftloom.operators.fetch import fetch
 from driftloom.operators.posts import top_n
+from driftloom.sources.inputs import has_error
 
 
 def source_label(source: Column, digest: bool = False) -> Column:
@@ -201,3 +202,21 @@ def log_run(metrics: DataFrame, sources: DataFrame) -> DataFrame:
         *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
         sources_json(F.col("sources")).alias("sources_json"),
     )
+
+
+def log_outcomes(outcomes: DataFrame, metrics: DataFrame, sources: DataFrame) -> DataFrame:
+    """Run-log rows of all entities that a run has tried, failed ones included.
+
+    ``outcomes`` has run_id, entity_id, error and duration_seconds, one row per entity. An entity with an error has
+    status ``error``, the message, no counts and no sources; an entity of which no source reported has no sources.
+    """
+    failed = has_error(F.col("error"))
+    counts = ["new_ads_count", "new_posts_count", "pages_changed_count"]
+    rows = outcomes.select("run_id", "entity_id", "error", "duration_seconds")
+    rows = rows.join(metrics.select("entity_id", *counts), "entity_id", "left").join(sources.select("entity_id", "sources"), "entity_id", "left")
+    return rows.select(
+        "run_id", "entity_id", F.when(failed, F.lit("error")).otherwise(F.lit("success")).alias("status"),
+        F.when(failed, F.col("error")).alias("error_message"), "duration_seconds",
+        *[F.when(failed, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in counts],
+        F.when(~failed & F.col("sources").isNotNull(), sources_json(F.col("sources"))).alias("sources_json"),
+    )

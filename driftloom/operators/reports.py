@@ -165,6 +165,13 @@ def fallback_text(kind: str, items: Column, count: Column) -> Column:
     return F.concat(F.lit("• "), F.array_join(F.transform(head(items, 3), line), "\n• "))
 
 
+def page_change_text(page_type: Column, items: Column) -> Column:
+    """Extractive summary of a changed page; a careers page names the jobs that its capture brought as new (null: none)."""
+    jobs = fallback_text("jobs", F.transform(items, lambda t: F.struct(t.alias("text"))), F.size(items))
+    named = F.when((page_type == "careers") & (F.size(items) > 0), F.concat(F.lit("\n\n_New jobs:_ "), jobs))
+    return F.concat(fallback_text("page_change", F.lit(None), F.lit(0)), F.coalesce(named, F.lit("")))
+
+
 def summarize(items: DataFrame, keys: list[str], order: list, kind: str,
               fn: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Summary text per group of new items.

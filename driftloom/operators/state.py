@@ -68,6 +68,29 @@ def snapshots_to_append(changes: DataFrame, captures: DataFrame) -> DataFrame:
     )
 
 
+def changed_texts(
+    changes: DataFrame, captures: DataFrame, snapshots: DataFrame | None = None, width: int = SEGMENT_ROWS
+) -> DataFrame:
+    """Each changed capture's own text beside the stored one that it replaces: seq, page keys, old_seq, old_text, new_text.
+
+    That is the text of the page's last first or changed capture before it; if none is here, of its newest row in
+    ``snapshots``, whose seq are none of the captures'. Both are null if a page's state has no snapshot. Windows hold
+    numbers only; texts are fetched by seq, so those of unchanged captures do not move.
+    """
+    kept = changed_only(changes).select("seq", *PAGE_KEYS, "verdict", F.col("seq").alias("_seq"))
+    stored = captures.select("seq", "content_text")
+    last = None
+    if snapshots is not None:
+        last = latest_ids(snapshots, PAGE_KEYS, "seq").withColumnRenamed("seq", "_seq")
+        stored = stored.unionByName(snapshots.select("seq", "content_text"))
+    pairs = lag_over(kept, PAGE_KEYS, "seq", "_seq", "old_seq", width, last).filter(F.col("verdict") == "changed")
+    pairs = written(pairs.select("seq", *PAGE_KEYS, "old_seq"), "changed-pairs")
+    own = captures.select("seq", F.col("content_text").alias("new_text"))
+    before = stored.select(F.col("seq").alias("old_seq"), F.col("content_text").alias("old_text"))
+    old = fetch(before, pairs.select("old_seq").filter(F.col("old_seq").isNotNull()), ["old_seq"])
+    return fetch(own, pairs, ["seq"]).join(old, "old_seq", "left").select("seq", *PAGE_KEYS, "old_seq", "old_text", "new_text")
+
+
 def page_state_of(snapshots: DataFrame) -> DataFrame:
     """Last stored hash per page."""
     return latest_by(snapshots.select(*PAGE_KEYS, "seq", "content_hash"), PAGE_KEYS, "seq")

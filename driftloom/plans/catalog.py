@@ -865,6 +865,18 @@ def e6_log_run(spark, sf):
     return C.log_run(metrics, C.source_lists(statuses(spark, sf), ["entity_id"]))
 
 
+@query
+def e6_log_outcomes(spark, sf):
+    """Every fifth entity has failed."""
+    tried = status_events(spark, sf).select("run_id", "entity_id").distinct().withColumns({
+        "error": F.when(F.col("entity_id") % 5 == 0, F.lit("timeout while loading")).otherwise(F.lit("")),
+        "duration_seconds": (F.col("entity_id") % 100).cast("double") / 4,
+    })
+    fresh = S.new_items(observed_items(spark, sf), known_items(spark, sf))
+    metrics = S.run_metrics(fresh, changes(spark, sf), ["click"])
+    return C.log_outcomes(tried, metrics, C.source_lists(statuses(spark, sf), ["entity_id"]))
+
+
 @query
 def g1_source_status(spark, sf):
     return statuses(spark, sf)
@@ -971,6 +983,16 @@ def g10_evidence_by_platform(spark, sf):
     return R.evidence_packets(noted_posts(spark, sf).withColumn("kind", kind), ["entity_id"], ["pos"])
 
 
+@query
+def g10_changed_pages(spark, sf):
+    """Old and new text of the pages that changed, those of the first run after the stored snapshots."""
+    every = captures(spark, sf)
+    earlier, later = every.filter(F.col("checked_at") < day(KNOWN_BEFORE)), every.filter(F.col("checked_at") >= day(KNOWN_BEFORE))
+    stored = S.snapshots_to_append(S.detect_changes(earlier), earlier)
+    now = S.detect_changes(later, S.page_state_of(stored))
+    return R.page_evidence(S.changed_texts(now, later, stored))
+
+
 @query
 def g10_page_evidence(spark, sf):
     """Each document beside the one before it of its source; only numbers go through the window."""

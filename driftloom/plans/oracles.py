@@ -533,7 +533,7 @@ def json_text(col: str) -> str:
     return f"concat('\"', replace({col}, '\"', '\\\"'), '\"')"
 
 
-oracle("e6_log_run", f"""
+LOG = f"""
 select s.entity_id, 'success' as status, coalesce(new_ads_count, 0) as new_ads_count, coalesce(new_posts_count, 0) as new_posts_count,
   coalesce(pages_changed_count, 0) as pages_changed_count,
   concat('{{"status":{{', string_agg(concat({json_text('source')}, ':', {json_text('s.status')}), ',' order by position), '}},"notes":{{',
@@ -542,7 +542,14 @@ from ({STATUS}) s
 left join (select entity_id, count(*) filter (platform = 'click') as new_ads_count,
         count(*) filter (platform <> 'click') as new_posts_count from ({FRESH}) group by 1) i on i.entity_id = s.entity_id
 left join (select entity_id, count(*) filter (verdict = 'changed') as pages_changed_count from ({CHANGES}) group by 1) p
-  on p.entity_id = s.entity_id group by all""", "fx_items", "fx_captures", "fx_source_status")
+  on p.entity_id = s.entity_id group by all"""
+oracle("e6_log_run", LOG, "fx_items", "fx_captures", "fx_source_status")
+oracle("e6_log_outcomes", f"""
+select entity_id % 7 as run_id, entity_id, case when failed then 'error' else 'success' end as status,
+  case when failed then 'timeout while loading' end as error_message, cast(entity_id % 100 as double) / 4 as duration_seconds,
+  case when failed then 0 else new_ads_count end as new_ads_count, case when failed then 0 else new_posts_count end as new_posts_count,
+  case when failed then 0 else pages_changed_count end as pages_changed_count, case when not failed then sources_json end as sources_json
+from (select *, entity_id % 5 = 0 as failed from ({LOG}))""", "fx_items", "fx_captures", "fx_source_status")
 oracle("g2_needs_pricing_research", f"""
 select entity_id, needed, case when not needed then 'not_needed' end as status,
   case when not needed then {q(V.NOT_NEEDED_NOTE)} end as note
@@ -658,6 +665,11 @@ join (select entity_id, count(*) as item_count from ({NOTED}) n {where} group by
 
 
 oracle("g10_evidence_packets", " union all ".join(packet(k) for k in R.EVIDENCE_CAPS), "fx_posts")
+oracle("g10_changed_pages", f"""
+select seq, entity_id, page_type, old_seq, {cut(clean_text('old_text'), 3000)} as old_text, {cut(clean_text('content_text'), 3000)} as new_text
+from (select *, lag(seq) over w as old_seq, lag(content_text) over w as old_text from ({CHANGES}) where verdict <> 'unchanged'
+  window w as (partition by entity_id, page_type order by seq))
+where verdict = 'changed' and checked_at >= timestamp '2024-01-22'""", "fx_captures")
 oracle("g10_page_evidence", f"""
 select doc_id, {cut(clean_text('old'), 3000)} as old_text, {cut(clean_text('text'), 3000)} as new_text
 from (select doc_id, text, lag(text) over (partition by source order by doc_id) as old from documents) where old is not null""")

@@ -26,6 +26,7 @@ class WeeklyResult:
     reports: DataFrame
     executive: DataFrame
     blocks: DataFrame
+    evidence: DataFrame | None = None
 
 
 def weekly_run(
@@ -39,6 +40,7 @@ def weekly_run(
     run_date: str,
     summary_only: bool = True,
     summarize: Callable[[dict, Iterator[pa.RecordBatch]], str | None] | None = None,
+    snapshots: DataFrame | None = None,
 ) -> WeeklyResult:
     """Captures and sightings of one run to changes, new items, summaries, report and digest.
 
@@ -46,7 +48,8 @@ def weekly_run(
     title, text, url, date, author and comments; ``summary_types`` maps a platform to its summary
     type. Nothing is collected. What several later steps read (changes, new items, statuses, reports)
     is written once to the shared folder, so it is neither computed twice nor lost with an executor.
-    ``summarize`` tells the new items of an entity, platform and kind (see ``summarize_groups``).
+    ``summarize`` tells the new items of an entity, platform and kind (see ``summarize_groups``). With the stored
+    ``snapshots`` the result has ``evidence``: old and new text of every changed page.
     """
     keys = ["run_id", "entity_id"]
     runs = entities.select("run_id").distinct()
@@ -63,7 +66,7 @@ def weekly_run(
     )
     page_kind = F.concat("page_type", F.lit("_change")).alias("summary_type")
     from_pages = changes.filter(F.col("verdict") == "changed").select(
-        *keys, page_kind, R.fallback_text("page_change", F.lit(None), F.lit(0)).alias("summary_text"),
+        *keys, page_kind, R.page_change_text(F.col("page_type"), F.col("items")).alias("summary_text"),
         F.lit(2).alias("id"),
     )
     summaries = from_pages.unionByName(from_items)
@@ -88,6 +91,7 @@ def weekly_run(
     blocks = D.digest_blocks(
         reports, executive.withColumn("run_date", F.lit(run_date)), "position", summary_only
     )
+    evidence = None if snapshots is None else R.page_evidence(S.changed_texts(changes, captures, snapshots))
     return WeeklyResult(
-        changes, fresh, S.upsert_items(item_state, observed), summaries.drop("id"), reports, executive, blocks
+        changes, fresh, S.upsert_items(item_state, observed), summaries.drop("id"), reports, executive, blocks, evidence
     )

@@ -5,6 +5,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from driftloom import schemas
+from driftloom.functions import text as X
+from driftloom.operators import coverage as C
+from driftloom.operators import reports as R
 from driftloom.operators import state as S
 from driftloom.plans import trends as T
 from driftloom.session import scratch_path
@@ -60,6 +63,44 @@ def test_history_and_usage(spark):
     assert T.usage(usage, datetime(2024, 2, 9), "a").first().request_count == 0
 
 
+def test_changed_texts_stand_beside_the_stored_ones(spark):
+    schema = "seq long, entity_id long, page_type string, content_text string"
+    stored = spark.createDataFrame([(1, 1, "blog", "old"), (2, 1, "blog", "newer"), (3, 2, "blog", "same")], schema)
+    known = S.page_state_of(stored.withColumn("content_hash", X.content_hash(F.col("content_text"))))
+    orphan = spark.createDataFrame([(9, "blog", 0, "gone")], "entity_id long, page_type string, seq long, content_hash string")
+    captures = spark.createDataFrame(
+        [(11, 1, "blog", "third"), (12, 1, "blog", "third "), (13, 1, "blog", "fourth"), (14, 2, "blog", "same"), (15, 3, "blog", "first"),
+         (16, 3, "blog", ""), (17, 3, "blog", "second"), (18, 9, "blog", "x")], schema)
+    for width in (2, 1000):
+        changes = S.detect_changes(captures, known.unionByName(orphan.select(known.columns)), width)
+        rows = S.changed_texts(changes, captures, stored, width).select("seq", "old_seq", "old_text", "new_text").collect()
+        assert sorted(map(tuple, rows)) == [
+            (11, 2, "newer", "third"), (13, 11, "third", "fourth"), (17, 15, "first", "second"), (18, None, None, "x")]
+    none = S.changed_texts(S.detect_changes(captures.limit(0)), captures.limit(0))
+    assert none.count() == 0
+
+
+def test_failed_entities_are_logged(spark):
+    tried = spark.createDataFrame(
+        [(7, 1, "", 1.5), (7, 2, "timeout", 2.0), (7, 3, None, None)], "run_id long, entity_id long, error string, duration_seconds double")
+    metrics = spark.createDataFrame([(1, 4, 5, 6), (2, 1, 1, 1)], "entity_id long, new_ads_count long, new_posts_count long, pages_changed_count long")
+    sources = spark.createDataFrame(
+        [(e, [("reddit", "ok", None)]) for e in (1, 2)], "entity_id long, sources array<struct<source:string,status:string,note:string>>")
+    rows = {r.entity_id: r for r in C.log_outcomes(tried, metrics, sources).collect()}
+    assert rows[1].status == "success" and rows[1].error_message is None and rows[1].pages_changed_count == 6
+    assert rows[1].sources_json == '{"status":{"reddit":"ok"},"notes":{}}'
+    assert (rows[2].status, rows[2].error_message, rows[2].new_ads_count, rows[2].sources_json) == ("error", "timeout", 0, None)
+    assert (rows[3].status, rows[3].new_posts_count, rows[3].sources_json, rows[3].duration_seconds) == ("success", 0, None, None)
+
+
+def test_new_jobs_of_a_changed_careers_page(spark):
+    rows = spark.createDataFrame(
+        [("careers", ["Cook", "Clerk"]), ("careers", []), ("careers", None), ("blog", ["Post"])], "page_type string, items array<string>")
+    told = [r[0] for r in rows.select(R.page_change_text(F.col("page_type"), F.col("items"))).collect()]
+    plain = "• Content changed (summary unavailable)"
+    assert told == [plain + "\n\n_New jobs:_ 2 new job posting(s): Cook, Clerk", plain, plain, plain]
+
+
 def test_state_versions(spark):
     path = scratch_path(spark, "versions")
     assert B.read_state(spark, path) is None
