@@ -82,3 +82,39 @@ def test_an_empty_error_is_no_error(spark):
     df = spark.createDataFrame([("x", ""), ("x", None), ("x", "boom"), ("", None)], "content_text string, error string")
     assert usable_captures(df).count() == 2
     assert [r.status for r in capture_status(df.withColumnRenamed("content_text", "text")).collect()] == ["ok", "ok", "failed", "failed"]
+
+
+OPEN_REFERENCE = "<title>Save &amp now&amp</title><article><h1>R&ampD &am &copy; &#38; &ampx; 5 & 6&amp</h1></article>"
+
+
+def test_references_without_a_semicolon(spark):
+    """What a cut title leaves of a reference is text in the reading that SQL has, and a character in the lenient one."""
+    df = spark.createDataFrame([(1, OPEN_REFERENCE)], "page_id long, html string")
+    lenient = G.extract_pages(df, ["page_id"]).first()
+    assert lenient.visible_text == "Save & now& R&D &am \u00a9 & &x; 5 & 6&"
+    plain = G.extract_pages(df, ["page_id"], open_references=False).first()
+    assert plain.visible_text == "Save &amp now&amp R&ampD &am \u00a9 & &ampx; 5 & 6&amp"
+    assert plain.article_titles == ["R&ampD &am \u00a9 & &ampx; 5 & 6&amp | "]
+
+
+def cut_pages(spark, folder):
+    """A folder of given tables: one page whose title and heading were cut inside a reference."""
+    html = "<title>One &amp; two&amp</title><article><h1>One &amp; two&amp</h1><p>text &amp; more</p></article>"
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def against_sql(spark, folder, name):
+    import duckdb
+
+    from driftloom.plans.catalog import QUERIES
+    from driftloom.plans.oracles import ORACLES
+    from tests.compare import compare
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    return compare(spark, con, folder, QUERIES[name], ORACLES[name])
+
+
+def test_bad_pages_with_cut_references_equal_sql(spark, tmp_path):
+    assert against_sql(spark, cut_pages(spark, tmp_path), "b1_bad_pages") == ""
