@@ -118,3 +118,7 @@ def against_sql(spark, folder, name):
 
 def test_bad_pages_with_cut_references_equal_sql(spark, tmp_path):
     assert against_sql(spark, cut_pages(spark, tmp_path), "b1_bad_pages") == ""
+
+
+def test_parsed_text_with_cut_references_equals_sql(spark, tmp_path):
+    assert against_sql(spark, cut_pages(spark, tmp_path), "b1_visible_text_parsed") == ""
