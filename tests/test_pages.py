@@ -126,3 +126,7 @@ def test_parsed_text_with_cut_references_equals_sql(spark, tmp_path):
 
 def test_focused_text_with_cut_references_equals_sql(spark, tmp_path):
     assert against_sql(spark, cut_pages(spark, tmp_path), "b2_focused_text") == ""
+
+
+def test_article_titles_with_cut_references_equal_sql(spark, tmp_path):
+    assert against_sql(spark, cut_pages(spark, tmp_path), "b3_article_titles") == ""
