@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import written_in_buckets
+from driftloom.llm.common import giving_back, written_in_buckets
 
 TOKENS_PER_BLOCK = 1_500_000
 #: Words of all blocks that meet in a part.
@@ -93,7 +93,7 @@ def split_blocks(
                 first = last
 
     schema = f"block bigint, n_words bigint, words binary, ids array<{id_type}>, sizes binary, codes binary"
-    return written_in_buckets(tokens.mapInArrow(split, schema), "block", "word_blocks")
+    return written_in_buckets(tokens.mapInArrow(giving_back(split), schema), "block", "word_blocks")
 
 
 def deal_words(blocks: DataFrame, words_per_part: int = WORDS_PER_PART) -> DataFrame:
@@ -113,7 +113,7 @@ def deal_words(blocks: DataFrame, words_per_part: int = WORDS_PER_PART) -> DataF
                     yield pa.RecordBatch.from_pylist([dict(zip(("part", "block", "numbers", "words"), row, strict=True))], schema=arrow)
 
     arrow = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("numbers", pa.binary()), ("words", pa.binary())])
-    return blocks.select("block", "words").mapInArrow(deal, "part bigint, block bigint, numbers binary, words binary")
+    return blocks.select("block", "words").mapInArrow(giving_back(deal), "part bigint, block bigint, numbers binary, words binary")
 
 
 def for_each_word(dealt: DataFrame, start: Callable[[], Callable[[list[bytes]], list[bytes]]]) -> DataFrame:
@@ -142,7 +142,7 @@ def for_each_word(dealt: DataFrame, start: Callable[[], Callable[[list[bytes]],
             yield finish(rows, work)
 
     by_part = dealt.repartition("part").sortWithinPartitions("part")
-    return by_part.mapInArrow(each, "block bigint, numbers binary, results binary")
+    return by_part.mapInArrow(giving_back(each), "block bigint, numbers binary, results binary")
 
 
 def by_block(results: DataFrame, blocks: DataFrame, work: Callable[[list[bytes], pa.Array, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:

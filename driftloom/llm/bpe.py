@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.llm.blocks import TOKENS_PER_BLOCK, WORDS_PER_PART, by_block, deal_words, for_each_word, split_blocks
+from driftloom.llm.common import giving_back
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words that are put together, and documents that are decoded, at once.
@@ -98,4 +99,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out])
 
     before = encoded.drop(out).withColumn(ids_col, F.coalesce(F.col(f"`{ids_col}`"), F.expr("cast(array() as array<int>)")))
-    return before.mapInArrow(each, T.StructType([*before.schema.fields, T.StructField(out, T.BinaryType())]))
+    return before.mapInArrow(giving_back(each), T.StructType([*before.schema.fields, T.StructField(out, T.BinaryType())]))

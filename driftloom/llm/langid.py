@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.llm.common import giving_back
+
 UNKNOWN = "und"
 #: Bounds of the sample: documents of a language, and characters of each, that make its dictionary.
 SAMPLE_DOCS = 96
@@ -86,8 +88,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     """Adds lang_pred, score (0 to 1, from the margin) and rejected; only the text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    @F.arrow_udf("lang_pred string, score double, rejected boolean")
-    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def tell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = {}
         for lang, data in sorted(shared.value.items()):
             content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -98,6 +99,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
         for texts in batches:
             yield judge(texts, compressors, least_margin)
 
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(tell)(batches)
+
     new = ("lang_pred", "score", "rejected")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     out = docs.select(F.struct(*kept).alias("__row"), judged(F.col(f"`{text}`")).alias("__new"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import small_batches, words, written
+from driftloom.llm.common import giving_back, small_batches, words, written
 from driftloom.llm.graph import components
 
 #: Registers are ROWS lines of TABLE; each run of ROWS and, for each of STEPS, each column that moves so far
@@ -117,7 +117,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, least: int) -
             yield pa.RecordBatch.from_arrays([batch.column("node"), *made, batch.column("print")], ["node", "n", "same", "registers", "print"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("node"), hashed_words(F.col(f"`{text_col}`")).alias("hashes"), F.xxhash64(f"`{text_col}`").alias("print"))
-    return rows.mapInArrow(each, "node bigint, n bigint, same binary, registers binary, print bigint")
+    return rows.mapInArrow(giving_back(each), "node bigint, n bigint, same binary, registers binary, print bigint")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -130,7 +130,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, siz
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("node"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.join(nodes, "node", "left_semi").select("node", hashed_words(F.col("text")).alias("hashes"))
-    return written(rows.mapInArrow(each, "node bigint, shingles binary"), "shingle-sets")
+    return written(rows.mapInArrow(giving_back(each), "node bigint, shingles binary"), "shingle-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
