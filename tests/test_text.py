@@ -190,3 +190,10 @@ def test_signal_line(spark):
     assert one(spark, M.signal_line(F.col("t"), 20), t="Step 1 x\nSignals:\n- **Bold**  move here today") == "Bold move here today"
     assert one(spark, M.signal_line(F.col("t")), t="***") == ""
     assert one(spark, M.signal_line(F.col("t")), t="Signals:") == "Signals:"
+
+
+def test_long_bullets_split_a_text_once(spark):
+    from driftloom.plans.catalog import long_bullets
+
+    plan = long_bullets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
