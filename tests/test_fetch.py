@@ -93,3 +93,18 @@ def test_known_items_that_are_not_seen_again_stay(spark, monkeypatch):
     both = S.upsert_items(known, items.filter("seq >= 500"))
     whole = S.upsert_items(None, items)
     assert both.exceptAll(whole).count() == 0 and whole.exceptAll(both).count() == 0
+
+
+def test_filter_pages_are_whole_and_not_looked_up_word_by_word(spark):
+    from driftloom.operators.fetch import _PAGE_WORDS, _word_and_bits, bloom_pages
+
+    ids = spark.range(3000).withColumnRenamed("id", "seq")
+    pages, size = bloom_pages(ids, ["seq"], 3000)
+    plan = pages._jdf.queryExecution().analyzed().toString()
+    assert "map_from_entries" not in plan and "element_at" not in plan
+    want = [0] * size
+    for r in ids.select(*[c.alias(n) for c, n in zip(_word_and_bits(["seq"], size), ("w", "b"), strict=True)]).collect():
+        want[r.w] |= r.b
+    got = {r["_page"]: r["_words"] for r in pages.collect()}
+    assert set(got) == {i // _PAGE_WORDS for i, b in enumerate(want) if b}
+    assert all(words == want[p * _PAGE_WORDS : (p + 1) * _PAGE_WORDS] for p, words in got.items())
