@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,35 @@ def test_packing_across_segments(spark, seed, width):
     assert sizes == greedy(dividers, n, 50) and max(sizes) <= 50
 
 
+@pytest.mark.parametrize("seed,width,batch", [(1, 64, 7), (2, 50, 64), (3, 100_000, 1000), (4, 101, 10_000)])
+def test_many_digests_are_packed_together(spark, seed, width, batch):
+    rnd = random.Random(seed)
+    sizes = {f"r{i}": rnd.choice([1, 5, 49, 50, 51, rnd.randint(2, 300)]) for i in range(60)}
+    dividers = {r: {i for i in range(n) if rnd.random() < rnd.choice([0, 0.01, 0.2])} for r, n in sizes.items()}
+    rows = [(r, i, "divider" if i in dividers[r] else "section", "t") for r, n in sizes.items() for i in range(n)]
+    rnd.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "run_id string, block_no long, kind string, text string")
+        packed = D.pack_blocks(df, 50, width)
+        assert "InPandas" not in packed._jdf.queryExecution().toString()
+        got = {}
+        for row in packed.orderBy("run_id", "block_no").collect():
+            got.setdefault(row.run_id, []).append(row.message_no)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {r: [m for m, k in enumerate(greedy(dividers[r], n, 50)) for _ in range(k)] for r, n in sizes.items()}
+
+
+def test_short_segments_of_a_batch_come_at_once():
+    columns = {"run_id": [i // 5 for i in range(5000)], "segment": [0] * 5000, "block_no": [i % 5 for i in range(5000)]}
+    given = pa.table(columns).to_batches(max_chunksize=999)
+    parts = list(D.whole_segments(iter(given)))
+    assert len(parts) <= len(given) + 1 and pa.concat_tables(parts).to_pydict() == columns
+    firsts, lasts = ([p["run_id"][i].as_py() for p in parts] for i in (0, -1))
+    assert all(last < first for last, first in zip(lasts, firsts[1:]))
+
+
 def entity(spark, sources=(), **fields):
     base = {"run_id": 1, "position": 0, "entity_id": "acme", "name": "Acme Corp", "website_url": "https://a.example", **fields}
     kinds = {"run_id": "long", "position": "long"}
@@ -121,6 +151,15 @@ def test_executive_prefers_pricing_and_isolates_risk(spark):
     assert R.pricing_bullet(df, ["run_id"], "position").first().pricing_bullet == "• A pricing update: $5 per seat plan."
 
 
+def test_executive_reads_reports_once(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    reports(spark, ("A", None, None, None), ("B", "• $5 per seat plan", None, "timeout"), ("C", "• $9 per seat plan", None, "x")).write.parquet(path)
+    runs = spark.createDataFrame([(1,)], "run_id long")
+    out = R.executive_summary(runs, spark.read.parquet(path), ["run_id"], "position")
+    assert out.first().executive == "• B pricing update: $5 per seat plan.\n• *Execution risk:* B: timeout"
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().mkString(" ").count("parquet") == 1
+
+
 def test_pricing_bullet_skips_non_material(spark):
     df = reports(spark, ("A", "• No concrete customer pricing figures were found.", None, None))
     assert R.pricing_bullet(df, ["run_id"], "position").count() == 0
