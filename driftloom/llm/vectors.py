@@ -7,20 +7,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def comparable(id_col: str, vector: str) -> Column:
+    """Whether there is an id, and a vector that is finite and not zero; its length is told by :func:`usual_length`."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(id_col).isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The most frequent length of a vector, of equally frequent ones the larger; 0 without rows."""
+    length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return length["d"] if length else 0
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector as doubles) of the vectors that can be compared: an id, one length, finite, and not zero.
 
     If lengths differ, the most frequent takes part, of equally frequent ones the larger.
     """
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(F.col("id").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0))
-    length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.filter(F.size("vector") == (length["d"] if length else 0))
+    rows = rows.filter(comparable("id", "vector"))
+    return rows.filter(F.size("vector") == usual_length(rows))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
