@@ -22,6 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from driftloom.llm.common import dropped_shuffles, written
 from driftloom.llm.graph import components
-from driftloom.llm.vectors import comparable, dots, matrix, usual_length
+from driftloom.llm.vectors import dots, matrix
 from driftloom.operators.fetch import fetch
 from driftloom.sources.tables import owned_tables
 
@@ -60,24 +61,46 @@ UNIT = 256
 SINGLE, DOUBLE = 1e-4, 1e-9
 
 
-def rotation(rows: DataFrame) -> np.ndarray:
+def comparable(batch: pa.RecordBatch, d: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows (id, vector) can be compared: an id, finite, not zero, of length ``d`` if one is given; and the lengths."""
+    vector = batch.column("vector")
+    size = np.asarray(pc.fill_null(pc.list_value_length(vector), 0)).astype(np.int64)
+    values = vector.flatten().to_numpy(zero_copy_only=False)  # null components are NaN
+    ends = np.cumsum(size)
+    within = lambda what: (total := np.append(0, np.cumsum(what)))[ends] - total[ends - size]
+    good = np.asarray(batch.column("id").is_valid()) & (size > 0) & (within(~np.isfinite(values)) == 0) & (within(values != 0) > 0)
+    return good if d is None else good & (size == d), size
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The most frequent length of vectors that can be compared, of equally frequent ones the larger; 0 without such."""
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, size = comparable(batch)
+            d, n = np.unique(size[good], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(n.astype(np.int64))], ["d", "n"])
+
+    found = rows.mapInArrow(lengths, "d bigint, n bigint").groupBy("d").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    return found["d"] if found else 0
+
+
+def rotation(rows: DataFrame, d: int) -> np.ndarray:
     """Principal directions of the unit vectors, by falling variance: sums of products by task, added up by Spark."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros((d, d))
         for batch in batches:
-            if len(batch):
-                m = matrix(batch.column("vector"))
+            m = matrix(batch.column("vector").filter(pa.array(comparable(batch, d)[0])))
+            if len(m):
                 m = m / np.sqrt(dots(m, m))[:, None]
-                total = m.T @ m if total is None else total + m.T @ m
-        if total is not None:
-            flat = total.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
+                total += m.T @ m
+        flat = total.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
 
-    sums = rows.select("vector").mapInArrow(moments, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    sums = rows.mapInArrow(moments, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v"))
     found = np.array([r["v"] for r in sums.orderBy("i").collect()])
-    d = int(round(len(found) ** 0.5))
-    return np.linalg.eigh(found.reshape(d, d))[1][:, ::-1].copy() if d else np.zeros((0, 0))
+    return np.linalg.eigh(found.reshape(d, d))[1][:, ::-1].copy()
 
 
 def rotated(data: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -170,19 +193,21 @@ def single(rows: DataFrame) -> bool:
     return isinstance(getattr(rows.schema["vector"].dataType, "elementType", None), T.FloatType)
 
 
-def keyed(rows: DataFrame, axes: np.ndarray | None = None, data: bool = False) -> DataFrame:
-    """id and ``key``, the digest of the row's vector (null for none); with axes also its sketch, or else its bytes.
+def keyed(rows: DataFrame, d: int, axes: np.ndarray | None = None, data: bool = False) -> DataFrame:
+    """id and ``key``, the digest of the row's vector, null if it can't be compared.
 
-    ``rows`` are (id, vector); bytes are of the vector's own kind of number.
+    With axes, only rows that can be, and their sketches; with data, their vectors as bytes of their own kind of number.
     """
+    whole = axes is None and not data
     kind = np.float32 if single(rows) else np.float64
     schema = "id bigint, key binary" + (", lead double, code binary, off double" if axes is not None else ", data binary" if data else "")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vector = batch.column("vector")
-            there = np.asarray(vector.is_valid())
-            m = matrix(vector.drop_null()) + 0.0  # no negative zero
+            there = comparable(batch, d)[0]
+            if not whole:
+                batch, there = batch.filter(pa.array(there)), np.ones(int(there.sum()), bool)
+            m = matrix(batch.column("vector").filter(pa.array(there))) + 0.0  # no negative zero
             own = bytes_of(m.astype(kind))
             keys = np.full(len(batch), None, object)
             keys[there] = [blake2b(x, digest_size=16).digest() for x in own.to_pylist()]
@@ -194,8 +219,7 @@ def keyed(rows: DataFrame, axes: np.ndarray | None = None, data: bool = False) -
                 columns.append(own)
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    whole = axes is None and not data
-    return (rows if whole else rows.filter("vector is not null")).mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema)
 
 
 def units(code: np.ndarray) -> np.ndarray:
@@ -338,13 +362,13 @@ def may_link_pairs(made: DataFrame, least: float) -> DataFrame:
     pairs = written(tile_pairs(made, least), "group-pairs")
     one = made.select(F.col("block").alias("a"), "ids", "codes", "offs")
     two = made.select(F.col("block").alias("b"), "ids", "codes", "offs")
-    # Each pair of groups is a group of its own: some pieces on either side.
+    # Each pair of groups is a group of its own: some pieces on either side, on one if it is the same.
     left = pairs.join(one, "a").select("a", "b", "ids", "codes", "offs")
-    right = pairs.join(two, "b").select(*[F.col(c).alias(f"{c}_too") for c in left.columns])
+    right = pairs.filter("a <> b").join(two, "b").select(*[F.col(c).alias(f"{c}_too") for c in left.columns])
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         ids, codes, offs = [], [], []
-        same = x.column("a")[0].as_py() == x.column("b")[0].as_py()
+        same = not len(y)
         for side in (x,) if same else (x, y.rename_columns(x.column_names)):
             for column, kind, out in (("ids", np.int64, ids), ("codes", np.int8, codes), ("offs", np.float32, offs)):
                 out.append(np.frombuffer(b"".join(side.column(column).to_pylist()), kind))
@@ -385,7 +409,7 @@ def links(ids: list[np.ndarray], weights: list[np.ndarray], data: list[np.ndarra
     return pa.table({"id": both[found], "n": counts[found].astype(np.int64), "root": both[node[found]]})
 
 
-def linked(rows: DataFrame, wanted: DataFrame, axes: np.ndarray, least: float, most: int) -> DataFrame:
+def linked(rows: DataFrame, d: int, wanted: DataFrame, axes: np.ndarray, least: float, most: int) -> DataFrame:
     """id, n, root of the links within each ``comp`` of the wanted rows (key, id, n, comp, size), from whole vectors.
 
     Sets of up to ``most`` rows are compared by the task that has them, larger ones in as many tiles as that takes.
@@ -424,7 +448,7 @@ def linked(rows: DataFrame, wanted: DataFrame, axes: np.ndarray, least: float, m
             yield from sets(pa.Table.from_batches(held).combine_chunks())
 
     def chosen(ids: DataFrame) -> DataFrame:
-        return fetch(keyed(rows, data=True), ids, ["key", "id"], few=0)
+        return fetch(keyed(rows, d, data=True), ids, ["key", "id"], few=0)
 
     small = chosen(wanted.filter(F.col("size") <= most)).repartition("comp").sortWithinPartitions("comp").mapInArrow(each, schema)
     crowds = wanted.filter(F.col("size") > most)
@@ -456,17 +480,15 @@ def link_vectors(
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("vector"))
     rows = rows.withColumn("vector", F.col("vector").cast("array<float>" if single(rows) else "array<double>"))
-    good = comparable("id", "vector")
-    d = usual_length(rows.filter(good))
+    d = usual_length(rows)
     if not d:
         return rows.select(
             F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")
         )
-    rows = rows.select("id", F.when(good & (F.size("vector") == d), F.col("vector")).alias("vector"))
     with dropped_shuffles(spark):
-        axes = rotation(rows.filter("vector is not null"))
+        axes = rotation(rows, d)
         one = F.first(F.struct("lead", "code", "off")).alias("one")
-        told = keyed(rows, axes).groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), one)
+        told = keyed(rows, d, axes).groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), one)
         classes = written(told.select("key", "id", "n", "one.*"), "vector-classes", keep=True)
         with owned_tables(spark):
             made = groups(classes, classes.count(), tile)
@@ -476,13 +498,13 @@ def link_vectors(
             sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
             wanted = classes.select("key", "id", "n").join(sets, "id").join(sizes, "comp").select("key", "id", "n", "comp", "size")
             most = max(tile, min(TILES * tile, ROOM // (d * (4 if single(rows) else 8))))
-            found = written(linked(rows, written(wanted, "wanted"), axes, least, most), "vector-links", keep=True)
+            found = written(linked(rows, d, written(wanted, "wanted"), axes, least, most), "vector-links", keep=True)
         together = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
         counts = found.groupBy("id").agg(F.sum("n").alias("links"))
         told = classes.select("key", "id", "n").join(counts, "id", "left").join(together.withColumnRenamed("node", "id"), "id", "left").select(
             F.col("key").alias("head"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"), "n"
         )
-    own = keyed(rows)
+    own = keyed(rows, d)
     named = own.join(told, own["key"] == told["head"], "left")
     return named.select(
         F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("bigint").alias("n_links"),
